@@ -1,18 +1,21 @@
 """Linked groups of near copies without listing all pairs of a group.
 
 ``link`` takes the members of band buckets and returns the connected components of all exactly
-verified links. It works in rounds. In a round, each bucket's members are compared in memory by their
-sketches; a member that agrees with members of another component proposes up to ``tries`` of them
-and is then taken as one of theirs, so a bucket of n near copies proposes about n pairs, not n * n.
-Proposed pairs are verified on whole texts; distributed union-find labels the components; the next
-round looks only at buckets that still hold several components, never proposes a refuted pair again
-and multiplies ``tries``. It ends when a round proposes nothing new and has left nothing out: then
-every pair of one bucket whose sketches agree is in one component or has been refuted.
-
-A bucket of more than ``block`` members is dealt to several tasks by a hash of the member. In the
-first round each block also gets the bucket's smallest member, which ties the blocks together; later
-each block also gets all members outside that member's component, so no pair of components is missed.
-Tables between rounds are written to the shared folder; nothing but counts reaches the driver.
+verified links, in three steps:
+
+1. In each bucket, members are compared by their sketches; one that agrees with members of another
+   group proposes one of them and joins that group. So a bucket of n near copies proposes about n
+   pairs. Distributed union-find turns the proposals into coarse groups: a superset of the links.
+2. Each coarse group gets the whole texts of its members. A member's set is compared exactly with
+   those of all members that are in another component by then; links merge components, and only
+   merging links are written. A group of copies takes one comparison each, and no pair is skipped
+   unless its two members are already in one component.
+3. A coarse group of more than ``GROUP_BYTES`` is dealt to several tasks by a hash of the member.
+   Every ``DEALS`` rounds deal anew and join the components. At last each task also gets all members
+   outside the group's largest-labelled component, so pairs of different tasks are compared too.
+
+Buckets of more than ``BLOCK`` members are dealt to tasks as well, each with the bucket's smallest
+member. Tables between steps are in the shared folder; nothing but counts reaches the driver.
 """
 
 from __future__ import annotations
@@ -27,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, spread
 
 BLOCK = 4096
-TRIES = 2
-GROWTH = 4
+GROUP_BYTES = 4 << 20
+DEALS = 2
 
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
@@ -55,148 +58,180 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def propose(rids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, tries: int, agree: Callable, num: int, den: int) -> Iterator[tuple[int, int, bool]]:
-    """Pairs of one bucket that may link different components; the flag says that more would agree."""
-    order = np.lexsort((sizes, rids))
-    rids, comps, sizes, sketches = rids[order], comps[order], sizes[order], sketches[order]
-    label = comps.copy()
+def propose(rids: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, agree: Callable, num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs that join the members of one bucket whose sketches agree."""
+    label = np.arange(len(rids))
+    out = []
     for i in range(1, len(rids)):
-        others = np.flatnonzero(label[:i] != label[i])
-        if not len(others):
-            continue
-        small, large = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
-        others = others[small * den >= large * num]  # Jaccard is at most the ratio of the sizes
-        if not len(others):
-            continue
-        others = others[agree(sketches[others], sketches[i])]
+        small, large = np.minimum(sizes[:i], sizes[i]), np.maximum(sizes[:i], sizes[i])
+        others = np.flatnonzero((label[:i] != label[i]) & (small * den >= large * num))  # Jaccard is at most the ratio of the sizes
+        if len(others):
+            others = others[agree(sketches[others], sketches[i])]
         for own in dict.fromkeys(label[others].tolist()):
-            theirs = others[label[others] == own]
-            for j in theirs[:tries]:
-                yield int(rids[j]), int(rids[i]), len(theirs) > tries
-        for own in set(label[others].tolist()):
-            label[: i + 1][label[: i + 1] == own] = label[i]
+            out.append((int(rids[others[label[others] == own][0]]), int(rids[i])))
+        if len(others):
+            label[: i + 1][np.isin(label[: i + 1], label[others])] = label[i]
+    return out
+
 
+PAIRS = "a bigint, b bigint"
 
-PAIRS = "a bigint, b bigint, more boolean"
 
+def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
+    best = sorted({(min(x), max(x)) for x in out})
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in best], pa.int64()), pa.array([b for _, b in best], pa.int64())], ["a", "b"])
 
-def _proposals(rows: DataFrame, tries: int, agree: Callable, num: int, den: int) -> DataFrame:
-    """rows: bucket, part, rid, comp, size, sketch; dealt and sorted by bucket and part."""
+
+def _proposals(rows: DataFrame, agree: Callable, num: int, den: int) -> DataFrame:
+    """rows: bucket, part, rid, size, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
-        def flush(groups: list[tuple]) -> pa.RecordBatch:
-            cols = [np.concatenate([g[i] for g in groups]) for i in range(6)]
+        def flush(cols: tuple) -> pa.RecordBatch:
             out: list[tuple] = []
             edge = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])) + 1
             for lo, hi in zip([0, *edge], [*edge, len(cols[0])], strict=True):
                 if hi - lo > 1:
-                    out += propose(cols[2][lo:hi], cols[3][lo:hi], cols[4][lo:hi], cols[5][lo:hi], tries, agree, num, den)
-            best: dict[tuple[int, int], bool] = {}
-            for a, b, more in out:
-                best[min(a, b), max(a, b)] = best.get((min(a, b), max(a, b)), False) or more
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in best], pa.int64()), pa.array([b for _, b in best], pa.int64()), pa.array(list(best.values()), pa.bool_())], ["a", "b", "more"])
+                    out += propose(cols[2][lo:hi], cols[3][lo:hi], cols[4][lo:hi], agree, num, den)
+            return _pairs(out)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:5]]
-            width = len(batch.column(5)[0].as_py())
-            sketch = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, width)
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:4]]
+            sketch = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
             held.append((*cols, sketch))
             # All but the last group are whole.
-            cols = tuple(np.concatenate([h[i] for h in held]) for i in range(6))
+            cols = tuple(np.concatenate([h[i] for h in held]) for i in range(5))
             last = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
             cut = int(last[-1]) + 1 if len(last) else 0
             if cut:
-                yield flush([tuple(c[:cut] for c in cols)])
+                yield flush(tuple(c[:cut] for c in cols))
             held = [tuple(c[cut:] for c in cols)]
         if held:
-            yield flush(held)
-
-    dealt = spread(rows.select("bucket", "part", "rid", "comp", "size", "sketch"), "bucket", "part").sortWithinPartitions("bucket", "part")
-    return dealt.mapInArrow(run, PAIRS).groupBy("a", "b").agg(F.max("more").alias("more"))
+            yield flush(held[0])
+
+    dealt = spread(rows.select("bucket", "part", "rid", "size", "sketch"), "bucket", "part").sortWithinPartitions("bucket", "part", "rid")
+    return dealt.mapInArrow(run, PAIRS).distinct()
+
+
+def exact_links(sets: list[np.ndarray], label: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Links that merge components: every pair whose components differ when it is reached is compared."""
+    size = np.array([len(s) for s in sets])
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    code = np.empty(len(flat), np.int64)
+    code[order] = np.cumsum(np.concatenate([[0], flat[order][1:] != flat[order][:-1]]))
+    first = np.concatenate([[0], np.cumsum(size)])
+    mark = np.zeros(int(code.max(initial=0)) + 1, bool)
+    label = label.copy()
+    out = []
+    for i in range(len(sets)):
+        others = np.flatnonzero((label != label[i]) & (np.minimum(size, size[i]) * den >= np.maximum(size, size[i]) * num))
+        if not len(others) or not size[i]:
+            continue
+        mine = code[first[i] : first[i + 1]]
+        mark[mine] = True
+        n = size[others]
+        edge = np.concatenate([[0], np.cumsum(n)])
+        spot = np.arange(edge[-1]) + np.repeat(first[others] - edge[:-1], n)
+        total = np.concatenate([[0], np.cumsum(mark[code[spot]])])
+        shared = total[edge[1:]] - total[edge[:-1]]
+        mark[mine] = False
+        hits = others[(den * shared >= num * (n + size[i] - shared)) & (shared > 0)]
+        for own in dict.fromkeys(label[hits].tolist()):
+            out.append((i, int(hits[label[hits] == own][0])))
+        if len(hits):
+            label[np.isin(label, label[hits])] = label[i]
+    return out
+
+
+def _verified(rows: DataFrame, shingles: Callable, num: int, den: int) -> DataFrame:
+    """Merging links (a, b). rows: grp, part, rid, comp, text."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rids, comps, sets = None, [], [], []
 
-def _verified(pairs: DataFrame, texts: DataFrame, shingles: Callable, num: int, den: int) -> DataFrame:
-    """a, b, more, linked: decided on the full sets of both whole texts."""
+        def flush() -> list[tuple[int, int]]:
+            if len(rids) < 2:
+                return []
+            return [(rids[i], rids[j]) for i, j in exact_links(sets, np.array(comps), num, den)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, known = None, None
         for batch in batches:
-            linked = []
-            for x, y in zip(batch.column(3), batch.column(4), strict=True):
-                x = x.as_py()
-                if x != last:
-                    last, known = x, shingles(x)
-                other = shingles(y.as_py())
-                shared = int(np.isin(other, known, assume_unique=True, kind="sort").sum())
-                linked.append(den * shared >= num * (len(known) + len(other) - shared) and shared > 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(linked, pa.bool_())], ["a", "b", "more", "linked"])
+            out: list[tuple[int, int]] = []
+            for grp, part, rid, comp, text in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
+                if (grp, part) != now:
+                    out += flush()
+                    now, rids, comps, sets = (grp, part), [], [], []
+                rids.append(rid)
+                comps.append(comp)
+                sets.append(shingles(text.as_py()))
+            yield _pairs(out)
+        yield _pairs(flush())
+
+    dealt = spread(rows.select("grp", "part", "rid", "comp", "text"), "grp", "part").sortWithinPartitions("grp", "part", "rid")
+    return dealt.mapInArrow(run, PAIRS)
+
+
+def buckets(scratch: Scratch, bands: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Members of buckets with at least two: bucket, parts, lead, rid (a saved table).
+
+    bands: bucket, rid, without repeats. lead is the bucket's smallest member. One exchange serves
+    both the counts, which are partial sums of longs, and the rows.
+    """
+    dealt = spread(bands.select("bucket", "rid"), "bucket")
+    many = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("lead")).filter("n > 1")
+    out = scratch.save(dealt.join(many.hint("merge"), "bucket").select("bucket", F.ceil(F.col("n") / block).cast("int").alias("parts"), "lead", "rid"))
+    scratch.tidy()
+    return out
 
-    with_b = pairs.join(texts.select(F.col("rid").alias("b"), F.col("text").alias("tb")), "b")
-    both = with_b.join(texts.select(F.col("rid").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "more", "ta", "tb")
-    return both.mapInArrow(run, PAIRS + ", linked boolean").groupBy("a", "b").agg(F.max("more").alias("more"), F.max("linked").alias("linked"))
 
+def _part(salt: int):
+    return F.pmod(F.xxhash64("rid", F.lit(salt)), F.col("parts")).cast("int")
 
-def buckets(scratch: Scratch, bands: DataFrame, about: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Members of buckets with at least two: bucket, parts, lead, rid, size, sketch (a saved table).
 
-    bands: bucket, rid. about: rid, size, sketch. lead is the bucket's smallest member.
-    """
-    bands = bands.distinct()
-    many = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("lead")).filter("n > 1")
-    rows = bands.join(many, "bucket").select("bucket", F.ceil(F.col("n") / block).cast("int").alias("parts"), "lead", "rid")
-    return scratch.save(rows.join(about, "rid").select("bucket", "parts", "lead", "rid", "size", "sketch"))
+def _everywhere(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
 
-def link(scratch: Scratch, members: DataFrame, texts: DataFrame, shingles: Callable, num: int, den: int, agree: Callable, tries: int = TRIES, more_edges: DataFrame | None = None) -> DataFrame | None:
+def link(scratch: Scratch, members: DataFrame, about: DataFrame, texts: DataFrame, shingles: Callable, num: int, den: int, agree: Callable, more_edges: DataFrame | None = None) -> DataFrame | None:
     """Components (node, comp) of the members whose sets have a Jaccard similarity of num / den or more.
 
-    texts: rid, text of every member. more_edges: links that hold without a check. None: no link at all.
+    members: from ``buckets``. about: rid, size, sketch. texts: rid, text. more_edges: links that hold
+    without a check. None: no link at all.
     """
-    known = labels = None
-    first = True
-    while True:
-        rows = members.withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"))
-        if first:
-            rows = rows.withColumn("comp", F.col("rid"))
-            # The smallest member ties the blocks of a large bucket together.
-            leads = rows.filter("parts > 1 and rid = lead")
-            rows = rows.unionByName(leads.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter(F.col("part") != F.pmod(F.xxhash64("rid"), F.col("parts"))))
-        else:
-            if labels is not None:
-                rows = rows.join(labels.select(F.col("node").alias("rid"), "comp"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
-            else:
-                rows = rows.withColumn("comp", F.col("rid"))
-            mixed = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.when(F.col("rid") == F.col("lead"), F.col("comp"))).alias("main")).filter("lo <> hi")
-            rows = rows.join(mixed.select("bucket", "main"), "bucket")
-            outside = rows.filter("parts > 1 and comp <> main")
-            rows = rows.unionByName(outside.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter(F.col("part") != F.pmod(F.xxhash64("rid"), F.col("parts"))))
-        pairs = scratch.save(_proposals(rows, tries, agree, num, den))
-        fresh = pairs if known is None else pairs.join(known, ["a", "b"], "left_anti")
-        checked = scratch.save(_verified(fresh, texts, shingles, num, den))
-        told = checked.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("linked").cast("int")).alias("good")).first()
-        left_out = pairs.filter("more").limit(1).count() > 0
-        scratch.drop(pairs)
-        if told["n"]:
-            both = checked.select("a", "b", "linked")
-            grown = both if known is None else known.unionByName(both)
-            known_new = scratch.save(grown.select("a", "b", "linked"))
-            scratch.drop(known)
-            known = known_new
-        scratch.drop(checked)
-        if told["good"] or (first and more_edges is not None):
-            scratch.drop(labels)
-            edges = None if known is None else known.filter("linked").select("a", "b")
-            if more_edges is not None:
-                edges = more_edges.select("a", "b") if edges is None else edges.unionByName(more_edges.select("a", "b"))
-            labels = components(scratch, edges)
-        refuted = told["n"] - (told["good"] or 0)
-        split = first and members.filter("parts > 1").limit(1).count() > 0
-        first = False
-        if not split and not (told["n"] and refuted) and not (left_out and not told["n"]):
-            scratch.drop(known)
-            return labels
-        tries *= GROWTH
+    rows = members.join(about, "rid").withColumn("part", _part(0))
+    leads = _everywhere(rows.filter("parts > 1 and rid = lead")).filter(F.col("part") != _part(0))
+    proposed = scratch.save(_proposals(rows.unionByName(leads), agree, num, den))
+    if more_edges is not None:
+        kept = scratch.save(more_edges.select("a", "b"))
+    coarse = components(scratch, proposed) if proposed.limit(1).count() else None
+    scratch.drop(proposed)
+    labels, links = None, None
+    if coarse is not None:
+        whole = coarse.select(F.col("node").alias("rid"), F.col("comp").alias("grp")).join(texts, "rid")
+        sizes = whole.groupBy("grp").agg(F.ceil(F.sum(F.octet_length("text").cast("long") + 64) / GROUP_BYTES).cast("int").alias("parts"))
+        whole = scratch.save(whole.join(sizes, "grp").select("grp", "parts", "rid", "text"))
+        one = _verified(whole.withColumn("part", _part(1)).withColumn("comp", F.col("rid")), shingles, num, den)
+        links = scratch.save(one)
+        large = whole.filter("parts > 1")
+        if large.limit(1).count():
+            for deal in range(2, 2 + DEALS):
+                labels = components(scratch, links)
+                known = large.join(labels.select(F.col("node").alias("rid"), "comp"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
+                if deal < 1 + DEALS:
+                    dealt = known.withColumn("part", _part(deal))
+                else:
+                    # The component of most members stays dealt; all others go to every part.
+                    counts = known.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("n"))
+                    main = counts.groupBy("grp").agg(F.max(F.struct("n", "comp")).alias("m")).select("grp", F.col("m.comp").alias("main"))
+                    known = known.join(main, "grp")
+                    dealt = known.filter("comp = main").withColumn("part", _part(deal)).unionByName(_everywhere(known.filter("comp <> main")))
+                more = scratch.save(links.unionByName(_verified(dealt, shingles, num, den)).distinct())
+                scratch.drop(links, labels)
+                links = more
+        scratch.drop(whole, coarse)
+    if more_edges is not None:
+        links = kept if links is None else links.unionByName(kept)
+    return components(scratch, links) if links is not None and links.limit(1).count() else None
