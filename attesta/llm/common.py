@@ -6,6 +6,7 @@ Only the named columns of an input are read, so extra columns with any names are
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Stands for a null id inside the operators: it sorts last.
 NO_ID = 2**63 - 1
+#: Rows of an Arrow batch.
+BATCH_ROWS = 2500
 _OWN_DIR: list[str] = []
 
 
@@ -36,6 +39,9 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/attesta-{uuid.uuid4().hex}"
         self.count = 0
+        # Batches of whole texts: fewer rows keep a Python worker's memory small.
+        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def save(self, df: DataFrame) -> DataFrame:
         self.count += 1
@@ -56,6 +62,7 @@ class Scratch:
 
     def tidy(self) -> None:
         """Let the driver's cleaner drop the shuffle files of finished steps now, not at some later GC."""
+        gc.collect()
         self.spark._jvm.System.gc()
 
 

@@ -58,19 +58,32 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def propose(rids: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, agree: Callable, num: int, den: int) -> list[tuple[int, int]]:
-    """Pairs that join the members of one bucket whose sketches agree."""
-    label = np.arange(len(rids))
-    out = []
-    for i in range(1, len(rids)):
-        small, large = np.minimum(sizes[:i], sizes[i]), np.maximum(sizes[:i], sizes[i])
-        others = np.flatnonzero((label[:i] != label[i]) & (small * den >= large * num))  # Jaccard is at most the ratio of the sizes
-        if len(others):
-            others = others[agree(sketches[others], sketches[i])]
+def propose(rids: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, first: np.ndarray, agree: Callable, num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs that join the members of each bucket (its first member's place in ``first``) whose sketches agree."""
+    size = np.diff(first)
+    lead = np.repeat(first[:-1], size)
+
+    def near(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+        # Jaccard is at most the ratio of the sizes.
+        fits = np.minimum(sizes[one], sizes[other]) * den >= np.maximum(sizes[one], sizes[other]) * num
+        return fits & agree(sketches[one], sketches[other])
+
+    at = np.arange(len(rids))
+    star = near(at, lead) & (at != lead)
+    out = list(zip(rids[lead[star]].tolist(), rids[star].tolist(), strict=True))
+    # Members unlike their bucket's first are held against all others of the bucket.
+    odd = np.flatnonzero(~star & (at != lead) & (np.repeat(size, size) > 2))
+    label = np.where(star, lead, at)
+    for i in odd.tolist():
+        lo = int(lead[i])
+        others = np.arange(lo + 1, int(lo + size[np.searchsorted(first, lo, "right") - 1]))
+        others = others[label[others] != label[i]]
+        others = others[near(np.full(len(others), i), others)]
         for own in dict.fromkeys(label[others].tolist()):
             out.append((int(rids[others[label[others] == own][0]]), int(rids[i])))
         if len(others):
-            label[: i + 1][np.isin(label[: i + 1], label[others])] = label[i]
+            span = slice(lo, int(lo + size[np.searchsorted(first, lo, "right") - 1]))
+            label[span][np.isin(label[span], label[others])] = label[i]
     return out
 
 
@@ -89,11 +102,8 @@ def _proposals(rows: DataFrame, agree: Callable, num: int, den: int) -> DataFram
         held: list[tuple] = []
 
         def flush(cols: tuple) -> pa.RecordBatch:
-            out: list[tuple] = []
             edge = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])) + 1
-            for lo, hi in zip([0, *edge], [*edge, len(cols[0])], strict=True):
-                if hi - lo > 1:
-                    out += propose(cols[2][lo:hi], cols[3][lo:hi], cols[4][lo:hi], agree, num, den)
+            out = propose(cols[2], cols[3], cols[4], np.array([0, *edge, len(cols[0])]), agree, num, den)
             return _pairs(out)
 
         for batch in batches:
@@ -174,6 +184,53 @@ def _verified(rows: DataFrame, shingles: Callable, num: int, den: int) -> DataFr
     return dealt.mapInArrow(run, PAIRS)
 
 
+ENTRY = np.dtype([("bucket", "<u8"), ("offset", "<u4")])
+
+
+def pack_bands(bands: np.ndarray, rids: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """part, blob: (bucket, rid) pairs dealt out by bucket; bands has a row of buckets for each rid."""
+    high = rids >> 32  # ids of one writing task differ in their low halves only
+    for own in np.unique(high):
+        bucket = np.ascontiguousarray(bands[high == own]).view(np.uint64).ravel()
+        to = (bucket % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(to, kind="stable")
+        entry = np.empty(len(bucket), ENTRY)
+        entry["bucket"], entry["offset"] = bucket[order], np.repeat(rids[high == own].astype(np.uint32), bands.shape[1])[order]
+        cut = np.searchsorted(to[order], np.arange(parts + 1))
+        full = np.flatnonzero(np.diff(cut)).tolist()
+        head = np.int64(own << 32).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([head + entry[cut[p] : cut[p + 1]].tobytes() for p in full], pa.binary())], ["part", "blob"])
+
+
+def packed_buckets(scratch: Scratch, blobs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """As ``buckets``, from packed bands: a task sorts the twelve-byte entries of its share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, rid = [], []
+        for batch in batches:
+            for blob in batch.column(1):
+                blob = blob.as_py()
+                entry = np.frombuffer(blob, ENTRY, -1, 8)
+                bucket.append(entry["bucket"])
+                rid.append(entry["offset"].astype(np.int64) + np.frombuffer(blob, "<i8", 1)[0])
+        if not bucket:
+            return
+        bucket, rid = np.concatenate(bucket), np.concatenate(rid)
+        order = np.argsort(bucket)
+        bucket, rid = bucket[order], rid[order]
+        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        n = np.diff(np.append(first, len(bucket)))
+        lead = np.minimum.reduceat(rid, first)
+        keep = np.repeat(n > 1, n)
+        cols = [bucket.view(np.int64)[keep], np.repeat(-(-n // block), n)[keep].astype(np.int32), np.repeat(lead, n)[keep], rid[keep]]
+        for lo in range(0, len(cols[0]), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 100_000]) for c in cols], ["bucket", "parts", "lead", "rid"])
+
+    out = scratch.save(spread(blobs, "part").mapInArrow(run, "bucket bigint, parts int, lead bigint, rid bigint"))
+    scratch.tidy()
+    return out
+
+
 def buckets(scratch: Scratch, bands: DataFrame, block: int = BLOCK) -> DataFrame:
     """Members of buckets with at least two: bucket, parts, lead, rid (a saved table).
 
