@@ -2,18 +2,17 @@
 
 A byte goes if it lies in a string of ``LENGTH`` bytes that also starts in a document of smaller id.
 
-1. Equal texts are one: all but the smallest id's are covered whole.
-2. Anchors: of the ``K``-byte strings in each window of LENGTH bytes, those with the least hash. Equal
-   windows have equal anchors, so strings that repeat meet at an anchor. Anchors go to tasks by hash
-   (packed arrays, no more than one entry of an anchor from each input piece); anchors of one document
-   alone are done with.
-3. An anchor's context holds every window around it. Equal contexts are one: documents other than
-   the smallest are covered there. What is left are contexts that differ at one anchor.
-4. Those are laid out as one text per block, its suffixes are sorted, and intervals of the BWT are
+1. Anchors: of the ``K``-byte strings in each window of LENGTH bytes, those with the least hash. Equal
+   windows have equal anchors, so strings that repeat meet at an anchor. An anchor's context is the
+   union of the windows that chose it. Of equal contexts in one input piece only the smallest
+   document's is sent (packed arrays, dealt out by anchor); the others are covered.
+2. Where all contexts of an anchor meet, those of one document alone are done with, equal ones cover
+   all but their smallest document, and contexts that differ at one anchor are fetched as bytes.
+3. These are laid out as one text per block, its suffixes are sorted, and intervals of the BWT are
    extended backward, breadth first: each interval found first sets one entry of the longest common
    prefixes, by increasing value, and the expansion stops at LENGTH. Entries still unset part no
    strings of LENGTH bytes, so the runs between set entries are the classes of equal windows.
-5. Covered ranges are joined back to the texts.
+4. Covered ranges are joined back to the texts.
 
 An anchor with over ``HOT`` differing contexts is not gathered: its windows are grouped by their own
 bytes with partial aggregation instead, which spreads and pre-aggregates them.
@@ -24,7 +23,6 @@ other. Texts shorter than LENGTH keep everything. Nothing is cut: long texts are
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +37,8 @@ K = 16
 BEFORE = LENGTH - K
 WIDTH = BEFORE + LENGTH
 HOT = 20000
-PIECE = 8 << 20
+PIECE = 2 << 20
+FLUSH = 16 << 20
 BLOCK = 1 << 20
 
 
@@ -60,14 +59,31 @@ def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(out[: len(x) - width + 1], out[width - have : width - have + len(x) - width + 1]) if have < width else out
 
 
-def anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and positions of all anchors of a batch of texts."""
+_ODD = mix64(np.arange(16, dtype=np.uint64) + np.uint64(11 << 40)) | np.uint64(1)
+_WORDS = -(-WIDTH // 8)
+
+
+def _masks() -> tuple[np.ndarray, np.ndarray]:
+    """For a context's bytes as words: which bits stand at or after, and before, each byte."""
+    byte = np.arange(_WORDS * 8)
+    part = lambda keep: np.where(keep, 255, 0).astype(np.uint8).reshape(-1, _WORDS, 8).view(np.uint64)[..., 0]
+    edge = np.arange(WIDTH + 1)[:, None]
+    return part(byte >= edge), part(byte < edge)
+
+
+_FROM, _UNTIL = _masks()
+
+
+def anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All anchors of a batch of texts: hash, hash of the context, place, and the context's range."""
     n = len(data) - K + 1
-    if n < LENGTH - K + 1:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    h = mix64(_word(padded, 0, n) * np.uint64(0xD6E8FEB86659FD93) ^ mix64(_word(padded, 8, n)))
     width = LENGTH - K + 1
+    if n < width:
+        none = np.zeros(0, np.int64)
+        return none.astype(np.uint64), none.astype(np.uint64), none, none, none
+    padded = np.concatenate([np.zeros(BEFORE, np.uint8), data, np.zeros(WIDTH + 16, np.uint8)])
+    word = _word(padded, 0, len(padded) - 8)  # from BEFORE bytes ahead of each place on
+    h = mix64(word[BEFORE : BEFORE + n] * np.uint64(0xD6E8FEB86659FD93) ^ mix64(word[BEFORE + 8 : BEFORE + 8 + n]))
     low = _slide(h, width, np.minimum)
     # Windows that reach into the next text don't count.
     size = np.diff(starts)
@@ -76,151 +92,191 @@ def anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     np.add.at(good, starts[:-1][many], 1)
     np.add.at(good, starts[1:][many] - LENGTH + 1, -1)
     low = np.where(np.cumsum(good)[:-1] > 0, low, np.uint64(0))
-    # A position is an anchor if its hash is the least of some window that holds it.
+    # A place is an anchor if its hash is the least of some window that holds it.
     edge = np.zeros(width - 1, np.uint64)
     best = _slide(np.concatenate([edge, low, edge]), width, np.maximum)
     at = np.flatnonzero((best == h) & (h > 0))
-    return h[at], at
+    mine = h[at]
+    # Windows that chose it: the run of that least value around it.
+    first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+    last = np.append(first[1:], len(low)) - 1
+    r = np.searchsorted(last, np.maximum(at - width + 1, 0))
+    while True:
+        off = low[first[r]] != mine
+        if not off.any():
+            break
+        r[off] += 1
+    begin = np.maximum(np.maximum(at - width + 1, 0), first[r])
+    stop = np.minimum(np.minimum(at, len(low) - 1), last[r]) + LENGTH
+    lo, hi = begin - at + BEFORE, stop - at + BEFORE
+    c = mix64((lo * 256 + hi).astype(np.uint64))
+    for k in range(_WORDS):
+        c = mix64(c ^ (word[at + 8 * k] & _FROM[lo, k] & _UNTIL[hi, k]) * _ODD[k])
+    return mine, c, at, begin, stop
 
 
-CHECK = np.dtype([("h", "<u8"), ("row", "<u4"), ("at", "<u4"), ("sure", "u1")])
+CHECK = np.dtype([("h", "<u4"), ("c", "<u8"), ("row", "<u4"), ("at", "<u4"), ("lo", "u1"), ("hi", "u1")])
+RANGE = "doc bigint, mark bigint, begin int, stop int"
+
+
+def _merged(row: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unions of the ranges of each row."""
+    order = np.lexsort((begin, row))
+    row, begin, stop = row[order].astype(np.int64), begin[order].astype(np.int64), stop[order].astype(np.int64)
+    if not len(row):
+        return row, begin, stop
+    shift = row * (int(stop.max()) + 2)
+    reach = np.maximum.accumulate(stop + shift)
+    head = np.concatenate([[True], begin[1:] + shift[1:] > reach[:-1]])
+    at = np.flatnonzero(head)
+    return row[at], begin[at], np.maximum.reduceat(stop, at)
 
 
 def _find(docs: DataFrame, parts: int) -> DataFrame:
-    """part, blob: packed anchors of each input piece, dealt out by hash; docs has doc, mark, text."""
+    """part, blob: packed anchors of each input piece, dealt out by hash; part -1: ranges covered already."""
+
+    def flush(ids: np.ndarray, found: list[tuple]) -> pa.RecordBatch:
+        h, c, row, at, lo, hi = (np.concatenate([f[i] for f in found]) for i in range(6))
+        doc = ids[0][row]
+        order = np.lexsort((doc, c))
+        head = np.concatenate([[True], c[order][1:] != c[order][:-1]])[: len(c)]
+        least = doc[order][head][np.cumsum(head) - 1]
+        over = doc[order] > least
+        gone = order[over]
+        out_parts, blobs = [], []
+        if len(gone):
+            r, b, e = _merged(row[gone], at[gone].astype(np.int64) - BEFORE + lo[gone], at[gone].astype(np.int64) - BEFORE + hi[gone])
+            out_parts.append(-1 - int(c[0] % np.uint64(parts)))
+            blobs.append(np.stack([ids[0][r], ids[1][r], b, e]).astype("<i8").tobytes())
+        stay = order[~over]
+        entry = np.zeros(len(stay), CHECK)
+        entry["h"], entry["c"], entry["row"], entry["at"], entry["lo"], entry["hi"] = h[stay] >> np.uint64(32), c[stay], row[stay], at[stay], lo[stay], hi[stay]
+        to = ((h[stay] & np.uint64(0xFFFFFFFF)) % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((row[stay], to))
+        entry, to = entry[order], to[order]
+        cut = np.searchsorted(to, np.arange(parts + 1))
+        for p in np.flatnonzero(np.diff(cut)).tolist():
+            out_parts.append(p)
+            blobs.append(_pack(ids, entry[cut[p] : cut[p + 1]]))
+        return pa.RecordBatch.from_arrays([pa.array(out_parts, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, found, rows, held = [], [], 0, 0
         for batch in batches:
             data, starts = utf8(batch.column(2))
             for lo, hi in chunks(np.diff(starts), PIECE):
                 bounds = starts[lo : hi + 1] - starts[lo]
-                h, at = anchors(data[starts[lo] : starts[hi]], bounds)
-                row = (np.searchsorted(bounds, at, "right") - 1).astype(np.uint32)
-                ids = np.stack([batch.column(0)[lo:hi].to_numpy(), batch.column(1)[lo:hi].to_numpy()])
-                order = np.argsort(h, kind="stable")
-                h, row, at = h[order], row[order], at[order]
-                # Anchors of several documents of this piece are sure; one entry tells the others.
-                run_of = np.cumsum(np.concatenate([[0], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-                head = np.flatnonzero(np.concatenate([[True], run_of[1:] != run_of[:-1]])) if len(h) else np.zeros(0, np.int64)
-                sure = np.zeros(len(h), bool)
-                if len(h):
-                    doc = ids[0][row]
-                    mixed = np.minimum.reduceat(doc, head) != np.maximum.reduceat(doc, head)
-                    sure = mixed[run_of]
-                entry = np.zeros(len(h), CHECK)
-                entry["h"], entry["row"], entry["at"], entry["sure"] = h, row, at - bounds[row], sure
-                lead = np.zeros(len(h), bool)
-                lead[head] = True
-                send = ~sure | lead
-                own = entry[sure]
-                out_parts, blobs = [], []
-                if len(own):
-                    out_parts.append(int(mix64(h[:1])[0] % np.uint64(parts)))
-                    blobs.append(_pack(ids, own[np.argsort(own["row"], kind="stable")], True))
-                entry = entry[send]
-                to = (entry["h"] % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(to, kind="stable")
-                entry, to = entry[order], to[order]
-                cut = np.searchsorted(to, np.arange(parts + 1))
-                for p in np.flatnonzero(np.diff(cut)).tolist():
-                    out_parts.append(p)
-                    blobs.append(_pack(ids, entry[cut[p] : cut[p + 1]], False))
-                yield pa.RecordBatch.from_arrays([pa.array(out_parts, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
+                h, c, at, begin, stop = anchors(data[starts[lo] : starts[hi]], bounds)
+                row = np.searchsorted(bounds, at, "right") - 1
+                place = (at - bounds[row]).astype(np.uint32)
+                found.append((h, c, (row + rows).astype(np.uint32), place, (begin - at + BEFORE).astype(np.uint8), (stop - at + BEFORE).astype(np.uint8)))
+                ids.append(np.stack([batch.column(0)[lo:hi].to_numpy(), batch.column(1)[lo:hi].to_numpy()]))
+                rows, held = rows + hi - lo, held + int(bounds[-1])
+                if held >= FLUSH:
+                    yield flush(np.concatenate(ids, 1), found)
+                    ids, found, rows, held = [], [], 0, 0
+        if found:
+            yield flush(np.concatenate(ids, 1), found)
 
     return docs.select("doc", "mark", "text").mapInArrow(run, "part int, blob binary")
 
 
-def _pack(ids: np.ndarray, entry: np.ndarray, done: bool) -> bytes:
+def _pack(ids: np.ndarray, entry: np.ndarray) -> bytes:
     """Ids of the documents in use, then the entries with rows numbered by these."""
     used = np.zeros(ids.shape[1], bool)
     used[entry["row"]] = True
     entry = entry.copy()
     entry["row"] = (np.cumsum(used) - 1)[entry["row"]]
-    return np.array([used.sum(), done], "<i8").tobytes() + np.ascontiguousarray(ids[:, used]).astype("<i8").tobytes() + entry.tobytes()
+    return np.array([used.sum()], "<i8").tobytes() + np.ascontiguousarray(ids[:, used]).astype("<i8").tobytes() + entry.tobytes()
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, bool]:
-    n, done = np.frombuffer(blob, "<i8", 2)
-    ids = np.frombuffer(blob, "<i8", 2 * n, 16).reshape(2, n)
-    return ids, np.frombuffer(blob, CHECK, -1, 16 + 16 * int(n)), bool(done)
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(blob, "<i8", 1)[0])
+    return np.frombuffer(blob, "<i8", 2 * n, 8).reshape(2, n), np.frombuffer(blob, CHECK, -1, 8 + 16 * n)
 
 
-SPOT = "doc bigint, mark bigint, at int"
+SPOT = "doc bigint, mark bigint, begin int, stop int, h bigint"
 
 
 def _repeated(found: DataFrame) -> DataFrame:
-    """doc, mark, at of all anchors that several documents have."""
-
-    def spots(doc: np.ndarray, mark: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(mark), pa.array(at.astype(np.int32))], ["doc", "mark", "at"])
+    """doc, mark, begin, stop, h: covered ranges (h is null), and contexts that must be compared (by h)."""
+
+    def spots(doc, mark, begin, stop, h=None) -> pa.RecordBatch:
+        none = pa.nulls(len(doc), pa.int64()) if h is None else pa.array(h)
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(mark), pa.array(begin.astype(np.int32)), pa.array(stop.astype(np.int32)), none], ["doc", "mark", "begin", "stop", "h"])
+
+    def decided(doc: np.ndarray, mark: np.ndarray, h: np.ndarray, entry: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((doc, entry["c"], h))
+        h, doc, mark, entry = h[order], doc[order], mark[order], entry[order]
+        c = entry["c"]
+        new_h = np.concatenate([[True], h[1:] != h[:-1]])
+        new_c = new_h | np.concatenate([[True], c[1:] != c[:-1]])
+        at_h, at_c = np.flatnonzero(new_h), np.flatnonzero(new_c)
+        of_h, of_c = np.cumsum(new_h) - 1, np.cumsum(new_c) - 1
+        several = np.minimum.reduceat(doc, at_h) != np.maximum.reduceat(doc, at_h)
+        kinds = np.add.reduceat(new_c.astype(np.int64), at_h)
+        over = doc > doc[at_c][of_c]
+        begin = entry["at"].astype(np.int64) - BEFORE + entry["lo"]
+        stop = entry["at"].astype(np.int64) - BEFORE + entry["hi"]
+        if over.any():
+            # Neighbouring anchors' ranges of one document are one range.
+            who = np.flatnonzero(over)
+            key = np.lexsort((mark[who], doc[who]))
+            who = who[key]
+            row = np.cumsum(np.concatenate([[0], (doc[who][1:] != doc[who][:-1]) | (mark[who][1:] != mark[who][:-1])]))
+            r, b, e = _merged(row, begin[who], stop[who])
+            lead = who[np.concatenate([[0], np.flatnonzero(np.diff(row)) + 1])]
+            yield spots(doc[lead][r], mark[lead][r], b, e)
+        need = ~over & (several & (kinds > 1))[of_h]
+        yield spots(doc[need], mark[need], begin[need], stop[need], h[need])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, marks, entries = [], [], []
+        docs, marks, entries, parts = [], [], [], []
         for batch in batches:
-            for blob in batch.column(1):
-                ids, entry, done = _unpack(blob.as_py())
-                if done:
-                    yield spots(ids[0][entry["row"]], ids[1][entry["row"]], entry["at"])
-                else:
-                    docs.append(ids[0][entry["row"]])
-                    marks.append(ids[1][entry["row"]])
-                    entries.append(entry)
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if part < 0:
+                    yield spots(*np.frombuffer(blob.as_py(), "<i8").reshape(4, -1))
+                    continue
+                ids, entry = _unpack(blob.as_py())
+                docs.append(ids[0][entry["row"]])
+                marks.append(ids[1][entry["row"]])
+                entries.append(entry)
+                parts.append(np.full(len(entry), part, np.int64))
         if not docs:
             return
-        doc, mark, entry = np.concatenate(docs), np.concatenate(marks), np.concatenate(entries)
-        del docs, marks, entries
-        order = np.argsort(entry["h"], kind="stable")
-        h, doc, mark, at, sure = entry["h"][order], doc[order], mark[order], entry["at"][order], entry["sure"][order]
-        head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        run_of = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(h))))
-        several = (np.minimum.reduceat(doc, head) != np.maximum.reduceat(doc, head)) | (np.maximum.reduceat(sure, head) > 0)
-        keep = several[run_of] & (sure == 0)  # the sure ones have been told
-        yield spots(doc[keep], mark[keep], at[keep])
+        # A quarter of the anchors at a time.
+        for k in range(4):
+            own = [(e["h"] & 3) == k for e in entries]
+            doc, mark, part, entry = (np.concatenate([x[o] for x, o in zip(xs, own, strict=True)]) for xs in (docs, marks, parts, entries))
+            if len(doc):
+                yield from decided(doc, mark, part << 32 | entry["h"].astype(np.int64), entry)
 
     return spread(found, "part").mapInArrow(run, SPOT)
 
 
 # ---- contexts ------------------------------------------------------------------------------
 
-CONTEXT = "h bigint, c bigint, doc bigint, mark bigint, at int, begin int, stop int, bytes binary"
-_FOLD = mix64(np.arange(WIDTH, dtype=np.uint64) + np.uint64(11 << 40)) | np.uint64(1)
-_FOLD2 = mix64(np.arange(WIDTH, dtype=np.uint64) + np.uint64(13 << 40)) | np.uint64(1)
+CONTEXT = "h bigint, doc bigint, mark bigint, begin int, bytes binary"
 
 
 def _contexts(texts: DataFrame) -> DataFrame:
-    """Contexts at the given places (doc, mark, text, spots). Equal ones of a batch are one; where a
-    document isn't the smallest of those it is covered, which is said by null bytes and a null c."""
+    """The bytes of the ranges to compare (doc, mark, text, spots: begin, stop and h of each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, starts = utf8(batch.column(2))
+            whole = data.tobytes()
             spots = batch.column(3)
             count = np.diff(spots.offsets.to_numpy())
-            for lo, hi in chunks(np.diff(starts) + 400 * count, PIECE):
-                at = spots[lo:hi].flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                if not len(at):
-                    continue
-                row = np.repeat(np.arange(lo, hi), count[lo:hi])
-                begin = np.maximum(at - BEFORE, 0)
-                stop = np.minimum(at + LENGTH, starts[row + 1] - starts[row])
-                base = starts[row]
-                place = base[:, None] + at[:, None] - BEFORE + np.arange(WIDTH)
-                inside = (place >= (base + begin)[:, None]) & (place < (base + stop)[:, None])
-                got = np.where(inside, data[np.clip(place, 0, len(data) - 1)], 0).astype(np.uint8)
-                wide = got.astype(np.uint64) + inside
-                h = mix64((wide[:, BEFORE : BEFORE + K] * _FOLD[:K]).sum(1, dtype=np.uint64))
-                c = mix64((wide * _FOLD).sum(1, dtype=np.uint64)) ^ mix64(mix64((wide * wide + wide) @ _FOLD2))
-                doc, mark = batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row]
-                order = np.lexsort((at, doc, c))
-                head = np.concatenate([[True], c[order][1:] != c[order][:-1]])
-                least = doc[order][np.flatnonzero(head)][np.cumsum(head) - 1]
-                covered, first = np.empty(len(at), bool), np.empty(len(at), bool)
-                covered[order], first[order] = doc[order] > least, head
-                blobs = [got[i, begin[i] - at[i] + BEFORE : stop[i] - at[i] + BEFORE].tobytes() if first[i] else None for i in range(len(at))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(c.view(np.int64), mask=covered), pa.array(doc), pa.array(mark), *(pa.array(x.astype(np.int32)) for x in (at, begin, stop)), pa.array(blobs, pa.binary())],
-                    ["h", "c", "doc", "mark", "at", "begin", "stop", "bytes"],
-                )
+            flat = spots.flatten()
+            begin, stop, h = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+            row = np.repeat(np.arange(len(count)), count)
+            base = starts[row]
+            doc, mark = batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row]
+            for lo in range(0, len(row), 100_000):
+                part = slice(lo, lo + 100_000)
+                blobs = [whole[x:y] for x, y in zip((base + begin)[part].tolist(), (base + stop)[part].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(h[part]), pa.array(doc[part]), pa.array(mark[part]), pa.array(begin[part].astype(np.int32)), pa.array(blobs, pa.binary())], ["h", "doc", "mark", "begin", "bytes"])
 
     return texts.select("doc", "mark", "text", "spots").mapInArrow(run, CONTEXT)
 
@@ -238,7 +294,7 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
     key = np.lib.stride_tricks.as_strided(padded, (n, size), (step, step)).copy().view(">u8").ravel().astype(np.uint64)
     depth = size
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         sorted_key = key[order]
         rank = np.empty(n, np.uint64)
         rank[order] = np.cumsum(np.concatenate([[0], sorted_key[1:] != sorted_key[:-1]])).astype(np.uint64)
@@ -289,12 +345,14 @@ def covered_windows(contexts: list[bytes], docs: np.ndarray) -> list[np.ndarray]
     start = np.concatenate([[0], np.cumsum(size + 1)])
     text = np.ones(start[-1] + 1, np.int16)
     flat = np.frombuffer(b"\0".join([*contexts, b""]), np.uint8)
-    used, dense = np.unique(flat, return_inverse=True)
-    text[:-1] = dense.astype(np.int16) + 2
+    used = np.flatnonzero(np.bincount(flat, minlength=256))
+    dense = np.zeros(256, np.int16)
+    dense[used] = np.arange(len(used)) + 2
+    if len(used) < 250:
+        text, dense = text.astype(np.uint8), dense.astype(np.uint8)
+    text[:-1] = dense[flat]
     text[start[1:] - 1] = 1
     text[-1] = 0
-    if len(used) < 250:
-        text = text.astype(np.uint8)
     order, group = common_classes(text)
     owner = np.repeat(np.arange(len(contexts)), size + 1)
     valid = np.zeros(len(text), bool)
@@ -312,75 +370,49 @@ def covered_windows(contexts: list[bytes], docs: np.ndarray) -> list[np.ndarray]
     return [at[cut[i] : cut[i + 1]] - start[i] for i in range(len(contexts))]
 
 
-RANGE = "doc bigint, mark bigint, begin int, stop int"
-
-
 def _decide(contexts: DataFrame) -> DataFrame:
     """Covered ranges from contexts dealt and sorted by anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def flush(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            h, c, doc, mark, at, begin, stop = (rows.column(i).to_numpy() for i in range(7))
-            order = np.lexsort((doc, c, h))
-            head = np.concatenate([[True], (c[order][1:] != c[order][:-1]) | (h[order][1:] != h[order][:-1])])
-            kind = np.empty(len(c), np.int64)
-            kind[order] = np.cumsum(head) - 1
-            least = doc[order][head]
-            over = doc > least[kind]
-            out = [np.stack([doc[over], mark[over], begin[over], stop[over]])]
-            anchor = h[order][head]
-            mixed = np.zeros(len(anchor), bool)
-            if len(anchor) > 1:
-                near = anchor[1:] == anchor[:-1]
-                mixed[1:] |= near
-                mixed[:-1] |= near
-            if mixed.any():
-                text: dict[int, bytes] = {}
-                blobs = rows.column(7).to_pylist()
-                for k, b in zip(kind.tolist(), blobs, strict=True):
-                    if b is not None and mixed[k]:
-                        text[k] = b
-                kinds = np.array([k for k in sorted(text) if len(text[k]) >= LENGTH], np.int64)
-                if len(kinds):
-                    places = dict(zip(kinds.tolist(), covered_windows([text[k] for k in kinds.tolist()], least[kinds]), strict=True))
-                    for i in np.flatnonzero(~over & mixed[kind]).tolist():
-                        where = places.get(int(kind[i]))
-                        if where is not None and len(where):
-                            cut = np.flatnonzero(np.diff(where) > 1) + 1
-                            a, b = where[np.concatenate([[0], cut])], where[np.concatenate([cut - 1, [len(where) - 1]])] + LENGTH
-                            out.append(np.stack([np.full(len(a), doc[i]), np.full(len(a), mark[i]), begin[i] + a, begin[i] + b]))
+        def flush(rows: pa.Table) -> pa.RecordBatch:
+            doc, mark, begin = (rows.column(i).to_numpy() for i in (1, 2, 3))
+            places = covered_windows(rows.column(4).to_pylist(), doc)
+            out = [np.zeros((4, 0), np.int64)]
+            for i, where in enumerate(places):
+                if len(where):
+                    cut = np.flatnonzero(np.diff(where) > 1) + 1
+                    a, b = where[np.concatenate([[0], cut])], where[np.concatenate([cut - 1, [len(where) - 1]])] + LENGTH
+                    out.append(np.stack([np.full(len(a), doc[i]), np.full(len(a), mark[i]), begin[i] + a, begin[i] + b]))
             cols = np.concatenate(out, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int32))], ["doc", "mark", "begin", "stop"])
+            return pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int32))], ["doc", "mark", "begin", "stop"])
 
         total = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             held.append(batch)
-            total += batch.num_rows * WIDTH
-            if total < 2 * BLOCK:
+            total += batch.num_rows * LENGTH
+            if total < BLOCK:
                 continue
             rows = pa.Table.from_batches(held).combine_chunks()
             h = rows.column(0).to_numpy()
             last = np.flatnonzero(h != h[-1])
             if len(last):
-                yield from flush(rows.slice(0, int(last[-1]) + 1))
+                yield flush(rows.slice(0, int(last[-1]) + 1))
                 held = rows.slice(int(last[-1]) + 1).combine_chunks().to_batches()
-                total = sum(b.num_rows for b in held) * WIDTH
+                total = sum(b.num_rows for b in held) * LENGTH
         if held:
-            yield from flush(pa.Table.from_batches(held).combine_chunks())
+            yield flush(pa.Table.from_batches(held).combine_chunks())
 
-    cols = ("h", "c", "doc", "mark", "at", "begin", "stop", "bytes")
-    return spread(contexts.select(*cols), "h").sortWithinPartitions("h").mapInArrow(run, RANGE)
+    return spread(contexts.select("h", "doc", "mark", "begin", "bytes"), "h").sortWithinPartitions("h").mapInArrow(run, RANGE)
 
 
-def _by_window(contexts: DataFrame, texts: DataFrame) -> DataFrame:
+def _by_window(contexts: DataFrame) -> DataFrame:
     """Covered ranges at the hottest anchors: their windows meet by their own bytes."""
-    whole = contexts.join(texts.select("doc", "mark", F.encode("text", "utf-8").alias("t")), ["doc", "mark"])
-    rows = whole.filter(F.col("stop") - F.col("begin") >= LENGTH).select("doc", "mark", "t", F.explode(F.sequence("begin", F.col("stop") - LENGTH)).alias("begin")).distinct()
-    rows = rows.select("doc", "mark", "begin", F.substring("t", F.col("begin") + 1, F.lit(LENGTH)).alias("w"))
+    at = F.sequence(F.lit(0), F.octet_length("bytes") - LENGTH)
+    rows = contexts.select("doc", "mark", "begin", "bytes", F.explode(at).alias("o")).select("doc", "mark", (F.col("begin") + F.col("o")).alias("begin"), F.expr(f"substring(bytes, o + 1, {LENGTH})").alias("w")).distinct()
     least = rows.groupBy("w").agg(F.min("doc").alias("least"))
     return rows.join(least, "w").filter("doc > least").select("doc", "mark", "begin", (F.col("begin") + LENGTH).alias("stop"))
 
@@ -394,55 +426,39 @@ def cover(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """doc, n_bytes, n_removed, n_spans, kept (the bytes left) for every row."""
     scratch = Scratch(docs.sparkSession)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    base = docs.select(id_of(id_col).alias("doc"), text_of(text_col).alias("text"))
-    marked = base.withColumn("digest", F.unhex(F.sha2("text", 256)))
-    marks = scratch.save(marked.groupBy("digest").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "least"))
-    row = base.withColumn("mark", F.xxhash64("text"))
-    # The smallest id of each text, once; repeated rows of it are found again by id and mark.
-    copies = marked.join(marks, "digest").select("doc", F.xxhash64("text").alias("mark"), F.col("doc").alias("d"), "least").filter("doc <> least").select("doc", "mark").distinct()
-    copies = scratch.save(copies)
-    rep = row.join(copies, ["doc", "mark"], "left_anti")
-    spots = scratch.save(_repeated(_find(rep, parts)))
+    row = docs.select(id_of(id_col).alias("doc"), F.xxhash64(text_of(text_col)).alias("mark"), text_of(text_col).alias("text"))
+    spots = scratch.save(_repeated(_find(row, parts)))
     scratch.tidy()
-    listed = spots.groupBy("doc", "mark").agg(F.collect_set("at").alias("spots"))
+    listed = spots.filter("h is not null").groupBy("doc", "mark").agg(F.collect_list(F.struct("begin", "stop", "h")).alias("spots"))
     contexts = scratch.save(_contexts(row.join(listed, ["doc", "mark"])))
-    scratch.drop(spots)
     scratch.tidy()
-    covered = contexts.filter("c is null").select("doc", "mark", "begin", "stop")
-    rest = contexts.filter("c is not null")
-    sizes = rest.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("h")
-    sizes = scratch.save(sizes)
-    if sizes.limit(1).count():
-        hot = scratch.save(_by_window(rest.join(sizes, "h", "left_semi"), row))
-        ranges = covered.unionByName(_decide(rest.join(sizes, "h", "left_anti"))).unionByName(hot)
+    hot = scratch.save(contexts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("h"))
+    ranges = spots.filter("h is null").select("doc", "mark", "begin", "stop")
+    if hot.limit(1).count():
+        ranges = ranges.unionByName(_decide(contexts.join(hot, "h", "left_anti"))).unionByName(_by_window(contexts.join(hot, "h", "left_semi")))
     else:
-        ranges = covered.unionByName(_decide(rest))
-    ranges = scratch.save(ranges.distinct())
-    scratch.drop(contexts, sizes)
+        ranges = ranges.unionByName(_decide(contexts))
+    ranges = scratch.save(ranges)
+    scratch.drop(contexts, spots, hot)
     scratch.tidy()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            data, starts = utf8(batch.column(1))
+            found = batch.column(2)
             rows = []
-            for doc, text, least, found in zip(*batch.columns, strict=True):
-                data, found = np.frombuffer(text.as_py().encode(), np.uint8), found.as_py()
-                gone = np.zeros(len(data) + 2, np.int32)
-                if least.as_py() and len(data) >= LENGTH:
-                    gone[1:-1] = 1
-                elif found:
-                    np.add.at(gone, np.array([r["begin"] for r in found]) + 1, 1)
-                    np.add.at(gone, np.array([r["stop"] for r in found]) + 1, -1)
-                    gone = np.cumsum(gone)
-                off = gone[1 : len(data) + 1] > 0
+            for i, doc in enumerate(batch.column(0).to_pylist()):
+                mine, ranges = data[starts[i] : starts[i + 1]], found[i].as_py()
+                off = np.zeros(len(mine), bool)
+                for r in ranges or ():
+                    off[r["begin"] : r["stop"]] = True
                 spans = int(off[:1].sum() + np.count_nonzero(off[1:] & ~off[:-1]))
-                rows.append((doc.as_py(), len(data), int(off.sum()), spans, data[~off].tobytes()))
+                rows.append((doc, len(mine), int(off.sum()), spans, mine[~off].tobytes()))
             kinds = [pa.int64()] * 4 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(5)], ["doc", "n_bytes", "n_removed", "n_spans", "kept"])
 
     by_doc = ranges.groupBy("doc", "mark").agg(F.collect_list(F.struct("begin", "stop")).alias("found"))
-    told = by_doc.select("doc", "mark", "found", F.lit(False).alias("copy")).unionByName(copies.select("doc", "mark", F.lit(None).cast("array<struct<begin:int,stop:int>>").alias("found"), F.lit(True).alias("copy")))
-    told = told.groupBy("doc", "mark").agg(F.max("copy").alias("copy"), F.first("found", ignorenulls=True).alias("found"))
-    return row.join(told, ["doc", "mark"], "left").select("doc", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "found").mapInArrow(run, RESULT)
+    return row.join(by_doc, ["doc", "mark"], "left").select("doc", "text", "found").mapInArrow(run, RESULT)
 
 
 def op10_suffix(spark, sf_dir: str) -> DataFrame:
