@@ -137,33 +137,38 @@ FOUND = "doc_id bigint, items array<bigint>, distances array<bigint>, ends array
 
 def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", error_rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents' matches: doc_id, items, distances, ends; one row per document and item block."""
-    out = None
-    for block in _blocks(items, item_col, item_text, block_bytes):
-
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+    def matches(block: list[tuple[int, str]]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = Matcher(block, error_rate)
             for batch in batches:
                 hits = [m.search(normal(t.as_py() or "")) for t in batch.column(1)]
                 cols = [pa.array([[h[i] for h in x] for x in hits], pa.list_(pa.int64())) for i in range(3)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", "items", "distances", "ends"])
 
-        part = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, FOUND)
+        return run
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    out = None
+    for block in _blocks(items, item_col, item_text, block_bytes):
+        part = rows.mapInArrow(matches(block), FOUND)
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", error_rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents without a match, with all their columns; no join, one pass for each item block."""
-    out = docs
-    for block in _blocks(items, "item_id", "text", block_bytes):
-
+    def hits(block: list[tuple[int, str]]):
         @F.arrow_udf("boolean")
-        def hit(batches: Iterator[pa.Array], block=block) -> Iterator[pa.Array]:
+        def hit(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             m = Matcher(block, error_rate)
             for texts in batches:
                 yield pa.array([bool(m.search(normal(t.as_py() or ""))) for t in texts], pa.bool_())
 
-        out = out.filter(~hit(out[text_col]))
+        return hit
+
+    out = docs
+    for block in _blocks(items, "item_id", "text", block_bytes):
+        out = out.filter(~hits(block)(out[text_col]))
     return out
 
 
