@@ -275,7 +275,8 @@ def link(scratch: Scratch, members: DataFrame, about: DataFrame, texts: DataFram
         large = whole.filter("parts > 1")
         if large.limit(1).count():
             for deal in range(2, 2 + DEALS):
-                labels = components(scratch, links)
+                # Labels of the large groups alone: the others are done.
+                labels = components(scratch, links.join(large.select(F.col("rid").alias("a")), "a", "left_semi"))
                 known = large.join(labels.select(F.col("node").alias("rid"), "comp"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
                 if deal < 1 + DEALS:
                     dealt = known.withColumn("part", _part(deal))
