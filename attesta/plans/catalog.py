@@ -2,14 +2,386 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from ..functions import text as T
+from ..operators import anchors, cluster, evaluate, retrieval, risk, verdicts
 
+Q: dict = {}
+SQL: dict[str, str] = {}
 
-def queries():
-    return {}
 
+def read(spark, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-def oracle_sql():
-    return {}
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        Q[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return keep
+
+
+W = r"[\p{L}\p{N}_]+"
+FIRST_WORDS = 4
+
+# ---- text ----------------------------------------------------------------------------------
+
+
+@query("content_hash", r"SELECT doc_id, 'sha256:' || sha256(regexp_replace(text, '\r\n?', chr(10), 'g')) AS content_hash FROM documents")
+def content_hash(spark, d):
+    return read(spark, d, "documents").select("doc_id", T.content_hash(F.col("text")).alias("content_hash"))
+
+
+@query("normalize_text")
+def normalize_text(spark, d):
+    return read(spark, d, "pages").select("page_id", F.sha2(T.normalize(F.col("html")), 256).alias("normal_sha256"))
+
+
+_OLD, _NEW = "‘’‚‛“”„‟‐‑‒–—―−", "''" * 4 + '"' * 4 + "-" * 7
+
+
+@query("fold_text", rf"SELECT doc_id, sha256(trim(regexp_replace(replace(translate(text, '{_OLD}', '{_NEW}'), '…', '...'), '\s+', ' ', 'g'))) AS folded FROM documents")
+def fold_text(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.sha2(T.fold(F.col("text")), 256).alias("folded"))
+
+
+@query("verdict_ids", "SELECT event_id, 'v_' || substr(sha256(user_id::VARCHAR || '|' || event_type || '|verifier||'), 1, 16) AS verdict_id FROM events")
+def verdict_ids(spark, d):
+    return read(spark, d, "events").select("event_id", T.verdict_id(F.col("user_id"), F.col("event_type"), F.lit("verifier"), F.lit(None).cast("string"), F.lit("")).alias("verdict_id"))
+
+
+@query("canonical_url", r"""
+WITH u AS (SELECT page_id, regexp_replace(lower(trim(url)), '#.*$', '') AS u FROM pages),
+p AS (SELECT page_id, regexp_replace(regexp_extract(u, '^[a-z][a-z0-9+.-]*://([^/?]*)', 1), '^www\.', '') AS host,
+  rtrim(regexp_extract(u, '^[a-z][a-z0-9+.-]*://[^/?]*([^?]*)', 1), '/') AS path,
+  list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda x: regexp_matches(x, '^[^=]+=.') AND NOT regexp_matches(x, '^(utm_|fbclid|gclid|mc_|ref|ref_src|cmpid|igshid)'))) AS q FROM u)
+SELECT page_id, 'https://' || host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS canonical FROM p""")
+def canonical_url(spark, d):
+    return read(spark, d, "pages").select("page_id", T.canonical_url(F.col("url")).alias("canonical"))
+
+
+@query("key_terms", r"""
+SELECT item_id, array_to_string(list_transform(list_sort(list_transform(list_distinct(w), lambda x: {'p': list_position(w, x), 'x': x}))[1:8], lambda s: s.x), ' ') AS terms
+FROM (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[0-9A-Za-z가-힣]+'), lambda t: length(t) >= 3 AND t NOT IN ('the','a','an','of','to','in','on','for','and','or','is','are','was','were','be','by','with','that','this','it','its','as','at','all','any','under','from','into','real','time')) AS w FROM benchmark)""")
+def key_terms(spark, d):
+    return read(spark, d, "benchmark").select("item_id", F.array_join(T.key_terms(F.col("text")), " ").alias("terms"))
+
+
+@query("refutation_queries")
+def refutation_queries(spark, d):
+    return read(spark, d, "benchmark").select("item_id", F.posexplode(T.refutation_queries(F.col("text"))).alias("pos", "search"))
+
+
+@query("expanded_queries")
+def expanded_queries(spark, d):
+    return read(spark, d, "benchmark").select("item_id", F.posexplode(T.expand_query(F.col("text"))).alias("pos", "search"))
+
+
+@query("fetch_class", """
+SELECT page_id, CASE WHEN lower(html) LIKE '%captcha%' OR length(html) < 200 THEN 'captcha' WHEN lower(substr(html, 1, 500)) LIKE '%password%' OR lower(substr(html, 1, 500)) LIKE '%sign in%' THEN 'login'
+  WHEN lower(html) LIKE '%access denied%' OR lower(html) LIKE '%not found%' THEN 'error' WHEN length(html) >= 1000 THEN 'success' ELSE 'partial' END AS kind FROM pages""")
+def fetch_class(spark, d):
+    h, low = F.coalesce("html", F.lit("")), F.lower(F.coalesce("html", F.lit("")))
+    top = F.lower(F.substring(h, 1, 500))
+    kind = F.when(low.contains("captcha") | (F.char_length(h) < 200), "captcha").when(top.contains("password") | top.contains("sign in"), "login").when(low.contains("access denied") | low.contains("not found"), "error").when(F.char_length(h) >= 1000, "success").otherwise("partial")
+    return read(spark, d, "pages").select("page_id", kind.alias("kind"))
+
+
+@query("bylines", r"SELECT p_partkey, nullif(lower(trim(regexp_replace(trim(regexp_replace(trim(p_name), '\s+', ' ', 'g')), '(?i)^by ', ''))), '') AS byline FROM part")
+def bylines(spark, d):
+    return read(spark, d, "part").select("p_partkey", T.byline(F.col("p_name")).alias("byline"))
+
+
+# ---- risk ----------------------------------------------------------------------------------
+
+_RULE_SQL = ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{k}' END" for k, p in risk.RULES.items())
+
+
+@query("risk_rules", f"SELECT doc_id, array_to_string(list_filter([{_RULE_SQL}], lambda x: x IS NOT NULL), ',') AS rules, CASE WHEN len(list_filter([{_RULE_SQL}], lambda x: x IS NOT NULL)) > 0 THEN 'high' ELSE 'normal' END AS computed_risk FROM documents")
+def risk_rules(spark, d):
+    rules = risk.matched_rules(F.coalesce("text", F.lit("")))
+    return read(spark, d, "documents").select("doc_id", F.array_join(rules, ",").alias("rules"), F.when(F.size(rules) > 0, "high").otherwise("normal").alias("computed_risk"))
+
+
+@query("claim_atoms")
+def claim_atoms(spark, d):
+    return risk.classify(read(spark, d, "documents"), "doc_id", "text")
+
+
+# ---- anchors -------------------------------------------------------------------------------
+
+
+def cited(spark, d) -> DataFrame:
+    """item_id, doc_id, span, snapshot of documents that hold a benchmark passage's first words.
+
+    The first words are an equi-join key, so no pair without them is ever made; the passages are
+    grouped to distinct keys, and adaptive execution picks the join by their size.
+    """
+    doc = read(spark, d, "documents").select("doc_id", "text")
+    words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
+    items = read(spark, d, "benchmark").select("item_id", F.col("text").alias("span"), words.alias("w")).filter(F.size("w") >= FIRST_WORDS)
+    items = items.select("item_id", "span", F.array_join(F.slice("w", 1, FIRST_WORDS), " ").alias("k"))
+    keys = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - FIRST_WORDS + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, FIRST_WORDS), " "))
+    hits = doc.select("doc_id", words.alias("w")).select("doc_id", F.explode(F.array_distinct(keys)).alias("k")).join(items, "k").select("item_id", "span", "doc_id").distinct()
+    return hits.join(doc.withColumnRenamed("text", "snapshot"), "doc_id")
+
+
+@query("span_match", "SELECT b.item_id, d.doc_id, CAST(strpos(d.text, b.text) - 1 AS INTEGER) AS char_start FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
+def span_match(spark, d):
+    at = F.position(F.col("span"), F.col("snapshot"))
+    return cited(spark, d).filter(at > 0).select("item_id", "doc_id", (at - 1).cast("int").alias("char_start"))
+
+
+@query("anchored_spans")
+def anchored_spans(spark, d):
+    out = anchors.with_anchors(cited(spark, d).withColumn("claim", F.col("span")))
+    return out.select("item_id", "doc_id", "span_matched", "char_start", "char_end", "numeric_ok", "polarity_ok", F.array_join("referent_flags", ",").alias("referents"), "anchors_ok")
+
+
+@query("quantities")
+def quantities(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.explode(anchors.quantities("text")).alias("q")).select("doc_id", "q.cls", "q.val")
+
+
+# ---- independence --------------------------------------------------------------------------
+
+
+@query("fnv_words", rf"""
+WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{W}')) AS w FROM benchmark),
+h AS (SELECT w, list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(range(0, octet_length(encode(w))), lambda i: ('0x' || substr(hex(encode(w)), (2*i+1)::INT, 2))::UHUGEINT)), lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT) AS h FROM w)
+SELECT w, CAST(h AS VARCHAR) AS fnv FROM h""")
+def fnv_words(spark, d):
+    words = read(spark, d, "benchmark").select(F.explode(T.tokens(F.col("text"))).alias("w")).distinct()
+    h = cluster.fnv1a("w")
+    return words.select("w", F.when(h >= 0, h.cast("decimal(20,0)")).otherwise(h.cast("decimal(20,0)") + F.lit("18446744073709551616").cast("decimal(20,0)")).cast("decimal(20,0)").cast("string").alias("fnv"))
+
+
+@query("simhash_documents")
+def simhash_documents(spark, d):
+    return cluster.simhash(read(spark, d, "documents"), "doc_id", "text").select(F.col("node").alias("doc_id"), "bits")
+
+
+@query("near_pairs")
+def near_pairs(spark, d):
+    # Equal texts are one node: pairs are between different texts.
+    docs = read(spark, d, "documents").groupBy(F.xxhash64("text").alias("h"), "text").agg(F.min("doc_id").alias("doc_id"))
+    hashes = cluster.simhash(docs, "doc_id", "text").groupBy("bits").agg(F.min("node").alias("node"))
+    return cluster.near_pairs(hashes)
+
+
+@query("source_clusters")
+def source_clusters(spark, d):
+    pages = read(spark, d, "pages").select(F.col("page_id").alias("id"), "url", F.regexp_replace("html", "<[^>]*>", " ").alias("text"))
+    return cluster.partition(pages)
+
+
+@query("lexical_features", rf"""
+WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '{W}')) AS w FROM benchmark),
+f AS (SELECT item_id, w AS f FROM w UNION ALL SELECT item_id, substr(w, i::INT, 3) FROM (SELECT item_id, w, unnest(range(1, greatest(length(w) - 1, 1))) AS i FROM w WHERE length(w) >= 3)),
+c AS (SELECT item_id, ('0x' || right(sha1(f), 2))::INT AS bucket, count(*) AS n FROM f GROUP BY 1, 2)
+SELECT item_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY item_id)), 9) AS weight FROM c""")
+def lexical_features(spark, d):
+    return cluster.lexical_features(read(spark, d, "benchmark"), "item_id", "text").select(F.col("node").alias("item_id"), "bucket", F.round("weight", 9).alias("weight"))
+
+
+@query("similar_items")
+def similar_items(spark, d):
+    return cluster.cosine_pairs(cluster.lexical_features(read(spark, d, "benchmark"), "item_id", "text")).select("a", "b", F.bround("cosine", 4).alias("cosine"))
+
+
+@query("provenance_clusters", "SELECT doc_id AS source_id, printf('cl_%04d', dense_rank() OVER (ORDER BY m) - 1) AS cluster_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY coalesce(nullif(lower(trim(source)), ''), doc_id::VARCHAR)) AS m FROM documents)")
+def provenance_clusters(spark, d):
+    docs = read(spark, d, "documents")
+    own = docs.select(F.col("doc_id").alias("source_id"), F.col("doc_id").cast("string").alias("cluster_id"))
+    return cluster.refine(own, cluster.provenance_edges(docs, "doc_id", F.col("source"), F.lit(None).cast("string")))
+
+
+# ---- verdicts: claims, sources and labels are read off the events ---------------------------
+
+_VERDICTS = """v AS (SELECT user_id AS claim_id, event_id % 7 AS source_id, CASE WHEN event_id % 3 = 0 THEN 'panel' ELSE 'verifier' END AS producer,
+  CASE WHEN event_id % 5 = 0 THEN 'failed' ELSE 'done' END AS span_state, CASE event_id % 4 WHEN 0 THEN 'contradicts' WHEN 1 THEN 'neutral' ELSE 'entails' END AS label,
+  event_id % 6 <> 0 AS anchors_ok, event_id AS _ord FROM events)"""
+_EFFECTIVE = _VERDICTS + """, e AS (SELECT *, min(_ord) OVER (PARTITION BY claim_id, source_id) AS key_ord FROM v
+  QUALIFY row_number() OVER (PARTITION BY claim_id, source_id ORDER BY CASE producer WHEN 'panel' THEN 1 ELSE 0 END DESC, CASE span_state WHEN 'done' THEN 1 ELSE 0 END DESC, _ord) = 1)"""
+
+
+def raw_verdicts(spark, d) -> DataFrame:
+    e = F.col("event_id")
+    label = F.when(e % 4 == 0, "contradicts").when(e % 4 == 1, "neutral").otherwise("entails")
+    return read(spark, d, "events").select(F.col("user_id").alias("claim_id"), (e % 7).alias("source_id"), F.when(e % 3 == 0, "panel").otherwise("verifier").alias("producer"), F.when(e % 5 == 0, "failed").otherwise("done").alias("span_state"), label.alias("label"), (e % 6 != 0).alias("anchors_ok"), e.alias("_ord"))
+
+
+def raw_votes(spark, d) -> DataFrame:
+    e = F.col("event_id")
+    lens = F.when(e % 3 == 0, verdicts.LENSES[0]).when(e % 3 == 1, verdicts.LENSES[1]).otherwise(verdicts.LENSES[2])
+    return read(spark, d, "events").select(F.col("user_id").alias("claim_id"), lens.alias("lens"), F.when(e % 8 == 0, "bogus").when(e % 5 < 3, "entails").otherwise("contradicts").alias("vote"), F.when(e % 9 == 0, "failed").otherwise("done").alias("vote_state"), F.concat(F.lit("m"), (e % 2).cast("string")).alias("model_id"), e.alias("_ord"))
+
+
+@query("effective_verdicts", f"WITH {_EFFECTIVE} SELECT claim_id, source_id, producer, span_state, label, anchors_ok, _ord, key_ord FROM e")
+def effective_verdicts(spark, d):
+    return verdicts.effective_verdicts(raw_verdicts(spark, d))
+
+
+_VOTES = """v AS (SELECT user_id AS claim_id, CASE event_id % 3 WHEN 0 THEN 'refute' WHEN 1 THEN 'source_quality' ELSE 'numeric_consistency' END AS lens,
+  CASE WHEN event_id % 8 = 0 THEN 'bogus' WHEN event_id % 5 < 3 THEN 'entails' ELSE 'contradicts' END AS vote, CASE WHEN event_id % 9 = 0 THEN 'failed' ELSE 'done' END AS vote_state, 'm' || (event_id % 2) AS model_id, event_id AS _ord FROM events),
+l AS (SELECT *, vote IN ('entails', 'contradicts', 'neutral') AND vote_state <> 'failed' AS ok FROM v QUALIFY row_number() OVER (PARTITION BY claim_id, lens ORDER BY CASE WHEN vote_state = 'done' AND vote IN ('entails', 'contradicts', 'neutral') THEN 1 ELSE 0 END DESC, _ord DESC) = 1),
+a AS (SELECT claim_id, count(*) FILTER (ok)::INTEGER AS n_valid, count(DISTINCT model_id) FILTER (ok)::INTEGER AS n_models, count(*) FILTER (ok AND vote = 'entails') AS e, count(*) FILTER (ok AND vote = 'contradicts') AS c, count(*) FILTER (ok AND vote = 'neutral') AS n FROM l GROUP BY 1),
+p AS (SELECT claim_id, CASE WHEN n_valid < 3 THEN 'no_consensus' WHEN e >= 2 THEN 'entails' WHEN c >= 2 THEN 'contradicts' WHEN n >= 2 THEN 'neutral' ELSE 'no_consensus' END AS panel_consensus, n_valid, n_models, n_models >= 2 AS model_diverse FROM a)"""
+
+
+@query("panel_consensus", f"WITH {_VOTES} SELECT * FROM p")
+def panel_consensus(spark, d):
+    return verdicts.panel_consensus(raw_votes(spark, d)).drop("missing_lenses", "failed_lenses")
+
+
+def tuples(spark, d) -> DataFrame:
+    e = verdicts.effective_verdicts(raw_verdicts(spark, d))
+    label = verdicts.normalized_label(F.col("label"), F.col("span_state"), F.lit(None).cast("string"))
+    s = F.col("source_id")
+    return e.select("claim_id", "source_id", F.concat(F.lit("cl_"), (s % 3).cast("string")).alias("cluster_id"), F.when(s % 4 == 0, "a").when(s % 4 == 1, "B").otherwise("C").alias("grade"), label.alias("label"), "anchors_ok", "key_ord")
+
+
+_DECIDE = """t AS (SELECT claim_id, source_id, 'cl_' || (source_id % 3) AS cluster_id, source_id % 4 IN (0, 1) AS good, key_ord, CASE WHEN span_state = 'failed' OR NOT anchors_ok THEN 'neutral' ELSE label END AS eff FROM e),
+r AS (SELECT * FROM t WHERE eff = 'entails' QUALIFY row_number() OVER (PARTITION BY claim_id, cluster_id ORDER BY key_ord) = 1),
+k AS (SELECT claim_id, count(*)::INTEGER AS n, bool_or(good) AS graded, string_agg(source_id::VARCHAR, ',' ORDER BY key_ord) AS proof FROM r GROUP BY 1),
+g AS (SELECT claim_id, bool_or(eff = 'contradicts') AS con, bool_or(eff = 'contradicts' AND good) AS hard FROM t GROUP BY 1),
+j AS (SELECT g.claim_id, coalesce(k.n, 0) AS n, coalesce(k.graded, false) AS graded, coalesce(k.proof, '') AS proof, con, hard, {panel} AS agrees, {m2} AS m2, {shown} AS panel_consensus FROM g LEFT JOIN k USING (claim_id) {join}),
+o AS (SELECT *, CASE WHEN hard AND NOT agrees THEN 'ab_contradiction' WHEN n > 0 AND con AND NOT agrees THEN 'conflict' WHEN n >= 2 AND graded AND (NOT m2 OR agrees) THEN 'ok' WHEN n >= 2 AND graded THEN 'panel_no_consensus' ELSE 'insufficient_independent_entails' END AS reason FROM j)
+SELECT claim_id, CASE reason WHEN 'ab_contradiction' THEN 'refuted' WHEN 'ok' THEN 'verified' ELSE 'unresolved' END AS status, reason, n AS independent_entails, n > 0 AND con AS conflict, panel_consensus, proof AS proof_source_ids FROM o"""
+
+
+@query("decisions", f"WITH {_EFFECTIVE}, " + _DECIDE.format(panel="false", m2="false", shown="NULL::VARCHAR", join=""))
+def decisions(spark, d):
+    return verdicts.decide(tuples(spark, d))
+
+
+@query("decisions_with_panel", f"WITH {_EFFECTIVE}, {_VOTES.replace('v AS', 'v2 AS').replace('FROM v ', 'FROM v2 ')}, " + _DECIDE.format(panel="coalesce(p.panel_consensus = 'entails', false)", m2="true", shown="p.panel_consensus", join="LEFT JOIN p USING (claim_id)"))
+def decisions_with_panel(spark, d):
+    return verdicts.decide(tuples(spark, d), verdicts.panel_consensus(raw_votes(spark, d)))
+
+
+@query("routed_claims")
+def routed_claims(spark, d):
+    docs = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("claim_id"), "text")
+    found = decisions(spark, d).withColumn("claim_id", F.col("claim_id").cast("string"))
+    return verdicts.route(docs.select("claim_id"), risk.classify(docs), found)
+
+
+@query("registry_errors", "SELECT CAST(s_suppkey AS VARCHAR) AS source_id, 'bad grade' AS error FROM supplier WHERE s_nationkey % 7 >= 5")
+def registry_errors(spark, d):
+    rows = read(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.substring(F.lit("ABCDEFG"), (F.col("s_nationkey") % 7).cast("int") + 1, F.lit(1)).alias("quality_rating"), F.col("s_suppkey").alias("_ord"))
+    return verdicts.registry_errors(rows)
+
+
+# ---- retrieval -----------------------------------------------------------------------------
+
+_BM25 = rf"""
+WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '{W}') AS w FROM documents), s AS (SELECT count(*) AS n, avg(len(w)) AS a FROM t),
+x AS (SELECT doc_id, len(w) AS dl, unnest(w) AS t FROM t), tf AS (SELECT doc_id, dl, t, count(*) AS tf FROM x GROUP BY ALL), df AS (SELECT t, count(*) AS df FROM tf GROUP BY 1),
+q AS (SELECT DISTINCT item_id AS qid, unnest(regexp_extract_all(lower(text), '{W}')) AS t FROM benchmark),
+b AS (SELECT qid, doc_id AS doc, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a))) AS score FROM q JOIN tf USING (t) JOIN df USING (t), s GROUP BY 1, 2)
+SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc) AS INTEGER) AS rank, doc, round(score, 4) AS score FROM b QUALIFY rank <= 5"""
+
+
+def asked(spark, d):
+    return read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text"), read(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
+
+
+@query("bm25_top5", _BM25)
+def bm25_top5(spark, d):
+    return retrieval.top_k(retrieval.bm25(*asked(spark, d))).withColumn("score", F.round("score", 4))
+
+
+@query("retrieve_top5")
+def retrieve_top5(spark, d):
+    q, docs = asked(spark, d)
+    fq, fd = cluster.lexical_features(q, "qid", "text"), cluster.lexical_features(docs, "doc", "text")
+    cosine = fq.withColumnRenamed("node", "qid").join(fd.select(F.col("node").alias("doc"), "bucket", F.col("weight").alias("w2")), "bucket").groupBy("qid", "doc").agg(F.sum(F.col("weight") * F.col("w2")).alias("score"))
+    return retrieval.retrieve(q, docs, cosine)
+
+
+# ---- measures ------------------------------------------------------------------------------
+
+
+@query("kappa_labels", """
+WITH c AS (SELECT quality AS x, 1 - toxic AS y FROM labels), n AS (SELECT count(*) AS n, count(*) FILTER (x = y) AS s FROM c),
+m AS (SELECT sum(p * q) AS pq FROM (SELECT x AS v, count(*) AS p FROM c GROUP BY 1) JOIN (SELECT y AS v, count(*) AS q FROM c GROUP BY 1) USING (v))
+SELECT n, round_even(s / n, 4) AS observed, round_even(pq / (n * n), 4) AS expected, round_even((s / n - pq / (n * n)) / (1 - pq / (n * n)), 4) AS kappa FROM n, m""")
+def kappa_labels(spark, d):
+    return evaluate.kappa(read(spark, d, "labels").select(F.col("quality").alias("x"), (1 - F.col("toxic")).alias("y")))
+
+
+@query("confusion_by_language", """
+WITH r AS (SELECT lang AS stratum, quality = 1 AS gold, n_chars % 3 > 0 AS said FROM documents JOIN labels USING (doc_id)),
+c AS (SELECT stratum, count(*) AS n, count(*) FILTER (said AND gold) AS tp, count(*) FILTER (said AND NOT gold) AS fp, count(*) FILTER (NOT said AND gold) AS fn, count(*) FILTER (NOT said AND NOT gold) AS tn FROM r GROUP BY ROLLUP (stratum))
+SELECT *, round_even(tp / nullif(tp + fp, 0), 4) AS precision, round_even(tp / nullif(tp + fn, 0), 4) AS recall FROM c""")
+def confusion_by_language(spark, d):
+    rows = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id").select(F.col("lang").alias("stratum"), (F.col("quality") == 1).alias("gold"), (F.col("n_chars") % 3 > 0).alias("said"))
+    return evaluate.confusion(rows)
+
+
+@query("leaked_grams", """
+WITH b AS (SELECT item_id AS id, regexp_replace(text, '[^0-9A-Za-z가-힣%]', '', 'g') AS t FROM benchmark), d AS (SELECT regexp_replace(html, '[^0-9A-Za-z가-힣%]', '', 'g') AS t FROM pages),
+bg AS (SELECT DISTINCT id, substr(t, i::INT, 6) AS g FROM (SELECT id, t, unnest(range(1, length(t) - 4)) AS i FROM b)), dg AS (SELECT DISTINCT substr(t, i::INT, 6) AS g FROM (SELECT t, unnest(range(1, length(t) - 4)) AS i FROM d))
+SELECT b.id, count(dg.g) AS shared FROM b LEFT JOIN bg ON bg.id = b.id LEFT JOIN dg ON dg.g = bg.g GROUP BY 1""")
+def leaked_grams(spark, d):
+    return evaluate.leaks(read(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"), read(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("text")))
+
+
+@query("call_estimates", "SELECT c_custkey, least(greatest(round_even(c_nationkey * 2.5, 0)::BIGINT, 0), 120) AS verifier_calls, least(ceil(c_nationkey * 1.5)::BIGINT * 3, 90) AS panel_calls, round_even(c_nationkey * 2.5, 0) > 120 AS verifier_capped, ceil(c_nationkey * 1.5) * 3 > 90 AS panel_capped, greatest(1, least(c_nationkey, 3))::BIGINT AS concurrent FROM customer")
+def call_estimates(spark, d):
+    n = F.col("c_nationkey")
+    return read(spark, d, "customer").select("c_custkey", *[c.alias(k) for k, c in evaluate.estimate_calls(n, 2.5, 1.5).items()], evaluate.cap_concurrency(n).cast("long").alias("concurrent"))
+
+
+@query("unit_budget", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 40 AS granted FROM events")
+def unit_budget(spark, d):
+    return evaluate.unit_budget(read(spark, d, "events"), 40, "user_id", "event_id").select("event_id", "granted")
+
+
+@query("findings", """
+WITH f AS (SELECT user_id, event_id AS o, event_id % 11 = 0 AS r, event_id % 13 = 0 AS q, substr('ABC', (event_id % 3)::INT + 1, 1) AS g FROM events), h AS (SELECT *, (r OR q) AND g IN ('A', 'B') AS hit FROM f)
+SELECT user_id, CASE WHEN bool_or(hit) THEN 'contradicts' ELSE 'entails' END AS verdict, CASE WHEN bool_or(hit AND r) THEN 'refuted' WHEN bool_or(hit) THEN 'material_qualifier_omitted' ELSE 'no_contrary_evidence_found' END AS reason,
+ CASE WHEN bool_or(hit) THEN array_to_string(list_slice(list('s' || o ORDER BY o) FILTER (hit), 1, 3), '|') END AS summaries FROM h GROUP BY 1""")
+def findings(spark, d):
+    e = F.col("event_id")
+    rows = read(spark, d, "events").select("user_id", e.alias("_ord"), (e % 11 == 0).alias("refutes"), (e % 13 == 0).alias("qualifies"), F.substring(F.lit("ABC"), (e % 3).cast("int") + 1, F.lit(1)).alias("quality_rating"), F.concat(F.lit("s"), e.cast("string")).alias("summary"))
+    return evaluate.findings_verdict(rows, "user_id")
+
+
+@query("replay_plan", "SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN 'requery' WHEN doc_id % 7 = 0 THEN 'tamper' ELSE 'frozen' END AS action FROM documents")
+def replay_plan(spark, d):
+    docs = read(spark, d, "documents")
+    own, text = F.sha2(F.col("doc_id").cast("string"), 256), F.sha2("text", 256)
+    old = docs.select(F.col("doc_id").alias("id"), own.alias("claim_hash"), text.alias("source_hash"))
+    new = docs.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 5 == 0, "changed").otherwise(own).alias("claim_hash"), F.when(F.col("doc_id") % 7 == 0, "changed").otherwise(text).alias("source_hash"))
+    return evaluate.replay_plan(old, new)
+
+
+@query("grade_histogram", "SELECT substr('ABCD', (s_nationkey % 4)::INT + 1, 1) AS grade, count(*) AS n, repeat('█', count(*)::INT) AS bar FROM supplier GROUP BY 1")
+def grade_histogram(spark, d):
+    g = F.substring(F.lit("ABCD"), (F.col("s_nationkey") % 4).cast("int") + 1, F.lit(1))
+    return read(spark, d, "supplier").groupBy(g.alias("grade")).agg(F.count(F.lit(1)).alias("n")).withColumn("bar", F.expr("repeat('█', cast(n as int))"))
+
+
+@query("coverage_gap", "SELECT o_orderkey FROM orders WHERE o_totalprice > 200000 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def coverage_gap(spark, d):
+    high = read(spark, d, "orders").filter("o_totalprice > 200000").select("o_orderkey")
+    return high.join(read(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti")
+
+
+def flagship(spark, sf_dir: str) -> DataFrame:
+    return anchored_spans(spark, sf_dir)
+
+
+def queries() -> dict:
+    return dict(Q)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
