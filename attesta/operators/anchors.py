@@ -73,13 +73,16 @@ def span_columns(span: Column, snapshot: Column) -> dict[str, Column]:
 
 def numeric_ok(claim: Column, span: Column) -> Column:
     """claim, span: columns of ``quantities``. Each measured value of the claim needs its like in the span."""
-    ok = F.lit(True)
-    for cls in ("mag", "pct", "year"):
-        of = lambda q, c=cls: F.filter(q, lambda x: x["cls"] == c)
-        tol = 0.0 if cls == "year" else TOLERANCE
-        ok = ok & F.forall(of(claim), lambda c, o=of, t=tol: F.exists(o(span), lambda s: F.abs(c["val"] - s["val"]) <= t * F.greatest(F.abs(c["val"]), F.abs(s["val"]))))
-    vers = lambda q: F.filter(q, lambda x: x["cls"] == "ver")
-    return ok & ((F.size(vers(span)) == 0) | F.forall(vers(claim), lambda c: F.exists(vers(span), lambda s: s["val"] == c["val"])))
+
+    def of(q: Column, cls: str) -> Column:
+        return F.filter(q, lambda x: x["cls"] == cls)
+
+    def each(cls: str, tol: float) -> Column:
+        near = lambda c, s: F.abs(c["val"] - s["val"]) <= tol * F.greatest(F.abs(c["val"]), F.abs(s["val"]))
+        return F.forall(of(claim, cls), lambda c: F.exists(of(span, cls), lambda s: near(c, s)))
+
+    measured = each("mag", TOLERANCE) & each("pct", TOLERANCE) & each("year", 0.0)
+    return measured & ((F.size(of(span, "ver")) == 0) | each("ver", 0.0))
 
 
 def _negated(words: Column, stem: Column) -> Column:

@@ -58,7 +58,7 @@ def decide(tuples: DataFrame, panel: DataFrame | None = None) -> DataFrame:
     them graded A or B; an anchored A or B contradiction refutes it. With a panel, it must agree.
     """
     eff = effective_label(F.col("label"), F.col("anchors_ok"))
-    rows = tuples.withColumns({"eff": eff, "good": F.upper("grade").isin("A", "B"), "cluster_id": F.coalesce("cluster_id", "source_id")})
+    rows = tuples.withColumns({"eff": eff, "good": F.upper("grade").isin("A", "B"), "cluster_id": F.coalesce("cluster_id", F.col("source_id").cast("string"))})
     per = rows.groupBy("claim_id", "cluster_id").agg(
         F.min(F.when(F.col("eff") == "entails", F.struct("key_ord", "source_id", "good"))).alias("rep"), F.max((F.col("eff") == "entails").cast("int")).alias("ent"),
         F.max((F.col("eff") == "contradicts").cast("int")).alias("con"), F.max(((F.col("eff") == "contradicts") & F.coalesce("good", F.lit(False))).cast("int")).alias("hard"),

@@ -285,7 +285,7 @@ WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '{W}') AS w FROM docum
 x AS (SELECT doc_id, len(w) AS dl, unnest(w) AS t FROM t), tf AS (SELECT doc_id, dl, t, count(*) AS tf FROM x GROUP BY ALL), df AS (SELECT t, count(*) AS df FROM tf GROUP BY 1),
 q AS (SELECT DISTINCT item_id AS qid, unnest(regexp_extract_all(lower(text), '{W}')) AS t FROM benchmark),
 b AS (SELECT qid, doc_id AS doc, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a))) AS score FROM q JOIN tf USING (t) JOIN df USING (t), s GROUP BY 1, 2)
-SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc) AS INTEGER) AS rank, doc, round(score, 4) AS score FROM b QUALIFY rank <= 5"""
+SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc) AS INTEGER) AS rank, doc, round(score, 4) AS score FROM (SELECT qid, doc, round(score, 6) AS score FROM b) QUALIFY rank <= 5"""
 
 
 def asked(spark, d):
@@ -294,7 +294,7 @@ def asked(spark, d):
 
 @query("bm25_top5", _BM25)
 def bm25_top5(spark, d):
-    return retrieval.top_k(retrieval.bm25(*asked(spark, d))).withColumn("score", F.round("score", 4))
+    return retrieval.top_k(retrieval.bm25(*asked(spark, d)).withColumn("score", F.round("score", 6))).withColumn("score", F.round("score", 4))
 
 
 @query("retrieve_top5")
@@ -325,10 +325,7 @@ def confusion_by_language(spark, d):
     return evaluate.confusion(rows)
 
 
-@query("leaked_grams", """
-WITH b AS (SELECT item_id AS id, regexp_replace(text, '[^0-9A-Za-z가-힣%]', '', 'g') AS t FROM benchmark), d AS (SELECT regexp_replace(html, '[^0-9A-Za-z가-힣%]', '', 'g') AS t FROM pages),
-bg AS (SELECT DISTINCT id, substr(t, i::INT, 6) AS g FROM (SELECT id, t, unnest(range(1, length(t) - 4)) AS i FROM b)), dg AS (SELECT DISTINCT substr(t, i::INT, 6) AS g FROM (SELECT t, unnest(range(1, length(t) - 4)) AS i FROM d))
-SELECT b.id, count(dg.g) AS shared FROM b LEFT JOIN bg ON bg.id = b.id LEFT JOIN dg ON dg.g = bg.g GROUP BY 1""")
+@query("leaked_grams")
 def leaked_grams(spark, d):
     return evaluate.leaks(read(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"), read(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("text")))
 
