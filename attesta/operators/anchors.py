@@ -57,12 +57,15 @@ def read_quantities(text: str | None) -> list[tuple[str, float]]:
     return list(found)
 
 
-@F.arrow_udf(QUANTITIES)
-def quantities(texts: pa.Array) -> pa.Array:
+def _read_all(texts: pa.Array) -> pa.Array:
     shape = pa.list_(pa.struct([("cls", pa.string()), ("val", pa.float64())]))
     return pa.array([[{"cls": c, "val": v} for c, v in read_quantities(t)] for t in texts.to_pylist()], shape)
 
 
+def quantities(text: Column | str) -> Column:
+    return F.arrow_udf(_read_all, QUANTITIES)(text)
+
+
 def span_columns(span: Column, snapshot: Column) -> dict[str, Column]:
     """Place of a normalised span in a normalised snapshot."""
     at = F.when(span == "", F.lit(0)).otherwise(F.position(span, snapshot))

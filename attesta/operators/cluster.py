@@ -16,9 +16,7 @@ NEAR_BITS, DIMENSIONS, SIMILAR = 3, 256, 0.80
 OFFSET, PRIME = 0xCBF29CE484222325, 0x100000001B3
 
 
-@F.arrow_udf("bigint")
-def fnv1a(texts: pa.Array) -> pa.Array:
-    """FNV-1a as the bit pattern of a long: all words of a batch advance byte by byte together."""
+def _fnv1a(texts: pa.Array) -> pa.Array:
     raw = [t.encode() for t in texts.fill_null("").to_pylist()]
     size = np.array([len(b) for b in raw], np.int64)
     out = np.full(len(raw), OFFSET, np.uint64)
@@ -29,6 +27,11 @@ def fnv1a(texts: pa.Array) -> pa.Array:
     return pa.array(out.view(np.int64))
 
 
+def fnv1a(text: Column | str) -> Column:
+    """FNV-1a as the bit pattern of a long: all words of a batch advance byte by byte together."""
+    return F.arrow_udf(_fnv1a, "bigint")(text)
+
+
 def simhash(sources: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """node, bits: a bit is set where more word occurrences have it than not; no words: 0.
 

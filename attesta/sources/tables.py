@@ -30,7 +30,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, mode: str =
 
 def read_folder(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
     """path, text of every matching file below a folder."""
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def last_labels(rows: DataFrame) -> DataFrame:
@@ -104,8 +104,8 @@ def commit_run(spark: SparkSession, base: str, tables: dict[str, DataFrame], man
 
 def read_current(spark: SparkSession, base: str) -> tuple[dict, dict[str, DataFrame]]:
     """The committed manifest and tables, after checking signature, pointer and every table's hash."""
-    pointer = json.loads(spark.read.option("wholetext", True).text(f"{base}/CURRENT").first()[0])
-    manifest = json.loads(spark.read.option("wholetext", True).text(f"{base}/runs/{pointer['run_id']}/manifest.json").first()[0])
+    pointer = json.loads(spark.read.text(f"{base}/CURRENT", wholetext=True).first()[0])
+    manifest = json.loads(spark.read.text(f"{base}/runs/{pointer['run_id']}/manifest.json", wholetext=True).first()[0])
     if not verified(manifest) or manifest["signature"] != pointer["signature"]:
         raise ValueError("the committed run isn't what was signed")
     tables = {k: spark.read.parquet(f"{base}/runs/{pointer['run_id']}/{k}") for k in manifest["outputs"]}
