@@ -170,13 +170,13 @@ def _verified(rows: DataFrame, shingles: Callable, num: int, den: int) -> DataFr
 
         for batch in batches:
             out: list[tuple[int, int]] = []
-            for grp, part, rid, comp, text in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
+            for grp, part, rid, comp, own in zip(*(batch.column(i).to_pylist() for i in range(4)), shingles(batch.column(4)), strict=True):
                 if (grp, part) != now:
                     out += flush()
                     now, rids, comps, sets = (grp, part), [], [], []
                 rids.append(rid)
                 comps.append(comp)
-                sets.append(shingles(text.as_py()))
+                sets.append(own)
             yield _pairs(out)
         yield _pairs(flush())
 
@@ -255,7 +255,7 @@ def _everywhere(rows: DataFrame) -> DataFrame:
 def link(scratch: Scratch, members: DataFrame, about: DataFrame, texts: DataFrame, shingles: Callable, num: int, den: int, agree: Callable, more_edges: DataFrame | None = None) -> DataFrame | None:
     """Components (node, comp) of the members whose sets have a Jaccard similarity of num / den or more.
 
-    members: from ``buckets``. about: rid, size, sketch. texts: rid, text. more_edges: links that hold
+    members: from ``buckets``. about: rid, size, sketch. texts: rid, text. shingles: an Arrow array of texts to their sets. more_edges: links that hold
     without a check. None: no link at all.
     """
     rows = members.join(about, "rid").withColumn("part", _part(0))
