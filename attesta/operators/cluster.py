@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -9,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .graph import components, leaders
+from .graph import components, leaders_by_keys, pinned
 
 NEAR_BITS, DIMENSIONS, SIMILAR = 3, 256, 0.80
 #: FNV-1a of 64 bits.
@@ -51,27 +53,59 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def _masks(most: int) -> list[int]:
+    """Bit masks of which one is equal in any two patterns of at most ``most`` differing bits.
+
+    Of 2 * most blocks, most are without a difference; a mask keeps half of all bits, so few
+    patterns of a large table share one by chance.
+    """
+    edges = [64 * i // (2 * most) for i in range(2 * most + 1)]
+    blocks = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(edges, edges[1:])]
+    whole = [sum(c) for c in itertools.combinations(blocks, most)]
+    return [m - (1 << 64) if m >> 63 else m for m in whole]
+
+
+def near_bits(hashes: DataFrame, most: int = NEAR_BITS) -> DataFrame:
+    """scope, a, b: different patterns of one scope with at most ``most`` differing bits. hashes: scope, bits."""
+    held = hashes.select("scope", "bits").filter("bits <> 0").distinct()
+    parts = held.select("scope", "bits", F.posexplode(F.array(*[F.col("bits").bitwiseAND(F.lit(m)) for m in _masks(most)])).alias("part", "value"))
+    l, r = parts.alias("l"), parts.alias("r")
+    return l.join(r, ["scope", "part", "value"]).filter("l.bits < r.bits").filter(hamming(F.col("l.bits"), F.col("r.bits")) <= most).select("scope", F.col("l.bits").alias("a"), F.col("r.bits").alias("b")).distinct()
+
+
 def near_pairs(hashes: DataFrame, most: int = NEAR_BITS) -> DataFrame:
-    """a, b: pairs of at most three differing bits. One of four 16-bit bands must then be equal."""
-    bands = hashes.filter("bits <> 0").select("node", "bits", F.posexplode(F.array(*[F.shiftrightunsigned("bits", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(most + 1)])).alias("band", "value"))
-    l, r = bands.alias("l"), bands.alias("r")
-    return l.join(r, ["band", "value"]).filter("l.node < r.node").filter(hamming(F.col("l.bits"), F.col("r.bits")) <= most).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
+    """a, b: nodes (one per pattern) of at most three differing bits."""
+    close = near_bits(hashes.withColumn("scope", F.lit(0)), most)
+    name = lambda side: hashes.select(F.col("bits").alias(side), F.col("node").alias(f"n{side}"))
+    return close.join(name("a"), "a").join(name("b"), "b").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
 
 
 def labels(comp: DataFrame, col: str) -> DataFrame:
-    """source_id, cluster_id (cl_0000, ... in order of the least member)."""
-    roots = comp.select(col).distinct().orderBy(col)
-    numbered = roots.withColumn("n", F.row_number().over(W.orderBy(col)) - 1)
-    return comp.join(numbered, col).select(F.col("node").alias("source_id"), F.format_string("cl_%04d", F.col("n")).alias("cluster_id"))
+    """source_id, cluster_id (cl_0000, ... in order of the least member).
 
+    Roots are sorted over all partitions and numbered within each; a partition's offset is the
+    size of those before it, so no task sees more than its share.
+    """
+    roots = pinned(comp.select(col).distinct().orderBy(col).withColumn("part", F.spark_partition_id()))
+    size = roots.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
+    # One row per partition of the sort.
+    before = size.withColumn("before", F.sum("size").over(W.orderBy("part")) - F.col("size")).select("part", "before")
+    numbered = roots.join(F.broadcast(before), "part").withColumn("n", F.row_number().over(W.partitionBy("part").orderBy(col)) - 1 + F.col("before"))
+    return comp.join(numbered.select(col, "n"), col).select(F.col("node").alias("source_id"), F.format_string("cl_%04d", F.col("n")).alias("cluster_id"))
 
-def partition(sources: DataFrame, id_col: str = "id", url_col: str = "url", text_col: str = "text") -> DataFrame:
-    """Leader clusters: a source joins the first leader with its canonical URL or a near simhash."""
-    base = sources.select(F.col(id_col).alias("node"), F.col(url_col).alias("url"), F.col(text_col).alias("text"))
-    urls = base.select("node", F.when(F.coalesce("url", F.lit("")) != "", T.canonical_url(F.col("url"))).alias("u")).filter("u is not null")
-    same = urls.alias("l").join(urls.alias("r"), "u").filter("l.node < r.node").select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
-    edges = near_pairs(simhash(base, "node", "text")).union(same)
-    return labels(leaders(edges, base.select("node")), "leader")
+
+def partition(sources: DataFrame, id_col: str = "id", url_col: str = "url", text_col: str = "text", scope_col: str | None = None) -> DataFrame:
+    """Leader clusters: a source joins the first leader with its canonical URL or a near simhash.
+
+    With a scope, only sources of one scope meet. Null or empty URLs and texts match nothing.
+    """
+    scope = F.col(scope_col).cast("string") if scope_col else F.lit("")
+    base = sources.select(F.col(id_col).alias("node"), scope.alias("scope"), F.col(url_col).alias("url"), F.col(text_col).alias("text"))
+    urls = base.filter("coalesce(url, '') <> ''").select("node", F.concat_ws("\t", F.lit("u"), "scope", T.canonical_url(F.col("url"))).alias("key"))
+    hashes = pinned(simhash(base, "node", "text").filter("bits <> 0").join(base.select("node", "scope"), "node"))
+    name = lambda c: F.concat_ws("\t", F.lit("b"), "scope", F.col(c).cast("string")).alias(c)
+    own = urls.union(hashes.select("node", name("bits")))
+    return labels(leaders_by_keys(base, own, near_bits(hashes).select(name("a"), name("b"))), "leader")
 
 
 def lexical_features(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -85,10 +119,34 @@ def lexical_features(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def cosine_pairs(features: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """a, b, cosine of all pairs at or above a similarity, by an equi-join on buckets."""
-    l, r = features.alias("l"), features.alias("r")
-    dots = l.join(r, "bucket").filter("l.node < r.node").groupBy(F.col("l.node").alias("a"), F.col("r.node").alias("b")).agg(F.sum(F.col("l.weight") * F.col("r.weight")).alias("cosine"))
-    return dots.filter(F.col("cosine") >= least)
+    """a, b, cosine of all pairs at or above a similarity. features: node, bucket, weight, and scope if pairs stay in one.
+
+    Buckets are taken rarest first. What is left of a vector after its first buckets may be shorter
+    than the similarity asked for; two vectors that share none of these first buckets can't reach it.
+    So only first buckets are joined, and the pairs found are measured on whole vectors.
+    """
+    rows = features if "scope" in features.columns else features.withColumn("scope", F.lit(0))
+    rows = pinned(rows.select("scope", "node", "bucket", "weight"))
+    common = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("df"))
+    rest = W.partitionBy("node").orderBy(F.col("df").desc(), F.col("bucket").desc()).rowsBetween(W.unboundedPreceding, 0)
+    first = rows.join(F.broadcast(common), "bucket").withColumn("rest", F.sum(F.col("weight") * F.col("weight")).over(rest)).filter(F.col("rest") >= least * least - 1e-9)  # one row per bucket
+    l, r = first.alias("l"), first.alias("r")
+    found = l.join(r, ["scope", "bucket"]).filter("l.node < r.node").select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
+    dense = rows.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))
+    dense = dense.select("node", F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("v"))
+    both = found.join(dense.select(F.col("node").alias("a"), F.col("v").alias("va")), "a").join(dense.select(F.col("node").alias("b"), F.col("v").alias("vb")), "b")
+    dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return both.select("a", "b", dot.alias("cosine")).filter(F.col("cosine") >= least)
+
+
+def semantic_edges(sources: DataFrame, id_col: str, text_col: str, least: float = SIMILAR, scope_col: str | None = None) -> DataFrame:
+    """a, b: similar sources of a scope; equal texts are a star and measured once. Empty texts match nothing."""
+    scope = F.col(scope_col).cast("string") if scope_col else F.lit("")
+    base = sources.select(F.col(id_col).alias("b"), scope.alias("scope"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("text <> ''")
+    one = base.groupBy("scope", F.sha2("text", 256).alias("h")).agg(F.min("b").alias("a"), F.first("text").alias("text"))
+    star = base.select("b", "scope", F.sha2("text", 256).alias("h")).join(one.select("scope", "h", "a"), ["scope", "h"]).select("a", "b")
+    feats = lexical_features(one, "a", "text").join(one.select(F.col("a").alias("node"), "scope"), "node")
+    return star.union(cosine_pairs(feats, least).select("a", "b")).filter("a <> b")
 
 
 def refine(clusters: DataFrame, edges: DataFrame) -> DataFrame:
@@ -97,11 +155,22 @@ def refine(clusters: DataFrame, edges: DataFrame) -> DataFrame:
     return labels(components(star.union(edges.select("a", "b")), clusters.select(F.col("source_id").alias("node"))), "comp")
 
 
-def provenance_edges(sources: DataFrame, id_col: str, wire: Column, byline: Column) -> DataFrame:
-    """Edges between sources of the same wire or the same author; each group is a star."""
+def provenance_edges(sources: DataFrame, id_col: str, wire: Column, byline: Column, scope_col: str | None = None) -> DataFrame:
+    """Edges between sources of the same wire or the same author (of one scope); each group is a star."""
     out = None
+    scope = F.col(scope_col).cast("string") if scope_col else F.lit("")
     for key in (T.wire(wire), T.byline(byline)):
-        rows = sources.select(F.col(id_col).alias("b"), key.alias("k")).filter("k is not null")
-        part = rows.join(rows.groupBy("k").agg(F.min("b").alias("a")), "k").select("a", "b")
+        rows = sources.select(F.col(id_col).alias("b"), scope.alias("s"), key.alias("k")).filter("k is not null")
+        part = rows.join(rows.groupBy("s", "k").agg(F.min("b").alias("a")), ["s", "k"]).select("a", "b")
         out = part if out is None else out.union(part)
     return out.filter("a <> b").distinct()
+
+
+def compose(sources: DataFrame, scope_col: str | None = None, least: float = SIMILAR, similar=semantic_edges) -> DataFrame:
+    """source_id, cluster_id by text and URL, then similarity, then provenance. sources: id, url, text, wire, byline.
+
+    ``similar`` may be any function with the signature of ``semantic_edges``: another embedder's edges.
+    """
+    first = partition(sources, scope_col=scope_col)
+    second = refine(first, similar(sources, "id", "text", least, scope_col))
+    return refine(second, provenance_edges(sources, "id", F.col("wire"), F.col("byline"), scope_col))

@@ -51,3 +51,25 @@ def leaders(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         state = pinned(state.join(seen, "node", "left").select("node", choice.alias("leads")))
     own = down.join(state.filter("leads").select(F.col("node").alias("small")), "small").groupBy(F.col("big").alias("node")).agg(F.min("small").alias("leader"))
     return state.join(own, "node", "left").select("node", F.when(F.col("leads"), F.col("node")).otherwise(F.col("leader")).alias("leader"))
+
+
+def leaders_by_keys(nodes: DataFrame, own: DataFrame, near: DataFrame) -> DataFrame:
+    """``leaders`` where nodes are adjacent if they hold an equal key (own: node, key) or near ones (near: a, b).
+
+    Each round takes two minima per key instead of pairs of nodes, so a key that a third of all
+    nodes hold costs one row per node.
+    """
+    own = pinned(own.select("node", "key").distinct())
+    keys = own.select("key").distinct()
+    views = pinned(near.select(F.col("a").alias("key"), F.col("b").alias("seen")).union(near.select("b", "a")).union(keys.select("key", "key")).distinct())
+    state = pinned(nodes.select("node").distinct().withColumn("leads", F.lit(None).cast("boolean")))
+
+    def around() -> DataFrame:
+        held = own.join(state, "node").groupBy(F.col("key").alias("seen")).agg(F.min(F.when(F.col("leads"), F.col("node"))).alias("lead"), F.min(F.when(F.col("leads").isNull(), F.col("node"))).alias("open"))
+        viewed = views.join(held, "seen").groupBy("key").agg(F.min("lead").alias("lead"), F.min("open").alias("open"))
+        return own.join(viewed, "key").groupBy("node").agg(F.min("lead").alias("lead"), F.min("open").alias("open"))
+
+    while state.filter("leads is null").limit(1).count():
+        choice = F.when(F.col("leads").isNotNull(), F.col("leads")).when(F.col("lead") < F.col("node"), False).when(F.col("open").isNull() | (F.col("open") >= F.col("node")), True)
+        state = pinned(state.join(around(), "node", "left").select("node", choice.alias("leads")))
+    return state.join(around(), "node", "left").select("node", F.when(F.col("leads"), F.col("node")).otherwise(F.col("lead")).alias("leader"))
