@@ -12,7 +12,7 @@ LABELS, LENSES, VOTES = ["entails", "contradicts", "neutral"], ["refute", "sourc
 
 def normalized_label(label: Column, state: Column, reason: Column) -> Column:
     bad = F.coalesce(reason.isin("validation_error", "malformed_label"), F.lit(False))
-    return F.when(bad, "malformed").when(F.coalesce(state == "failed", F.lit(False)), "failed").otherwise(F.coalesce(label, F.lit("malformed")))
+    return F.when(bad, "malformed").when(F.coalesce(state == "failed", F.lit(False)), "failed").when(label.isin(LABELS), label).otherwise("malformed")
 
 
 def effective_label(normalized: Column, anchored: Column) -> Column:

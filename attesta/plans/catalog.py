@@ -377,8 +377,12 @@ def flagship(spark, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
+    from . import checks  # noqa: F401  adds its queries
+
     return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import checks  # noqa: F401  adds its queries
+
     return dict(SQL)
