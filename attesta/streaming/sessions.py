@@ -1,7 +1,10 @@
-"""Streaming forms: heartbeats with a time to live, and the best verdict of each pair as rows arrive."""
+"""Streaming forms: heartbeats with a time to live, the best verdict of each pair, a frozen set of sources, a running budget."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,3 +30,33 @@ def upsert_best(stream: DataFrame, path: str, fold):
         fold(both).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return stream.writeStream.foreachBatch(batch)
+
+
+def intake(stream: DataFrame, frozen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of sources in the frozen set (a table of ids), and rows that came too late for it. Both keep no state."""
+    ids = frozen.select("id").distinct()
+    return stream.join(ids, "id", "left_semi"), stream.join(ids, "id", "left_anti")
+
+
+def running_budget(requests: DataFrame, total: int, key: str, order: str, amount: str) -> DataFrame:
+    """key, order, granted, remaining as requests arrive: whole or not at all, one counter of state per key.
+
+    Rows of a micro-batch are taken in order; batches come as they come. Zero, less and null are
+    granted for nothing.
+    """
+    rows = requests.select(F.col(key).cast("string").alias("k"), F.col(order).cast("long").alias("o"), F.coalesce(F.col(amount), F.lit(0)).cast("long").alias("n"))
+
+    def take(k: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        left = state.get[0] if state.exists else total
+        batch = pd.concat(list(parts)).sort_values("o")
+        granted, remaining = [], []
+        for n in batch["n"]:
+            fits = n <= left or n <= 0
+            left -= max(int(n), 0) if fits else 0
+            granted.append(bool(fits))
+            remaining.append(left)
+        state.update((left,))
+        yield pd.DataFrame({"k": k[0], "o": batch["o"].to_numpy(), "granted": granted, "remaining": remaining})
+
+    done = rows.groupBy("k").applyInPandasWithState(take, "k string, o bigint, granted boolean, remaining bigint", "unspent bigint", "append", "NoTimeout")
+    return done.select(F.col("k").cast(requests.schema[key].dataType).alias(key), F.col("o").alias(order), "granted", "remaining")
