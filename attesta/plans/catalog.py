@@ -72,12 +72,23 @@ def key_terms(spark, d):
     return read(spark, d, "benchmark").select("item_id", F.array_join(T.key_terms(F.col("text")), " ").alias("terms"))
 
 
-@query("refutation_queries")
+_REFUTATIONS = ", ".join(f"k || ' {op}'" for op in ["exceptions OR limitations", *T.REFUTATIONS])
+_STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+
+
+@query("refutation_queries", rf"""
+WITH b AS (SELECT item_id, regexp_replace(trim(text), '\.+$', '') AS base FROM benchmark), w AS (SELECT item_id, base, list_filter(regexp_extract_all(lower(base), '[0-9A-Za-z가-힣]+'), lambda t: length(t) >= 3 AND t NOT IN ({_STOP})) AS w FROM b),
+k AS (SELECT item_id, base, array_to_string(list_transform(list_sort(list_transform(list_distinct(w), lambda x: {{'p': list_position(w, x), 'x': x}}))[1:8], lambda s: s.x), ' ') AS k FROM w),
+l AS (SELECT item_id, list_concat(CASE WHEN base <> '' THEN ['is it true that ' || base] ELSE [] END, CASE WHEN k <> '' THEN [{_REFUTATIONS}] ELSE [] END)[1:10] AS l FROM k)
+SELECT item_id, (i - 1)::INTEGER AS pos, l[i::INT] AS search FROM l, range(1, 11) r(i) WHERE i <= len(l)""")
 def refutation_queries(spark, d):
     return read(spark, d, "benchmark").select("item_id", F.posexplode(T.refutation_queries(F.col("text"))).alias("pos", "search"))
 
 
-@query("expanded_queries")
+@query("expanded_queries", rf"""
+WITH w AS (SELECT item_id, text, regexp_extract_all(lower(text), '{W}') AS w FROM benchmark), k AS (SELECT *, array_to_string(list_filter(w, lambda t: length(t) > 3), ' ') AS k FROM w),
+l AS (SELECT item_id, list_filter([text, CASE WHEN k <> '' AND k <> lower(text) THEN k END, CASE WHEN len(w) > 1 THEN '"' || text || '"' END], lambda x: x IS NOT NULL) AS l FROM k)
+SELECT item_id, (i - 1)::INTEGER AS pos, l[i::INT] AS search FROM l, range(1, 4) r(i) WHERE i <= len(l)""")
 def expanded_queries(spark, d):
     return read(spark, d, "benchmark").select("item_id", F.posexplode(T.expand_query(F.col("text"))).alias("pos", "search"))
 
@@ -161,12 +172,20 @@ def fnv_words(spark, d):
     return words.select("w", F.when(h >= 0, h.cast("decimal(20,0)")).otherwise(h.cast("decimal(20,0)") + F.lit("18446744073709551616").cast("decimal(20,0)")).cast("decimal(20,0)").cast("string").alias("fnv"))
 
 
-@query("simhash_documents")
+_SIMHASH = rf"""
+w AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{W}')) AS w FROM documents) GROUP BY ALL), v AS (SELECT DISTINCT w FROM w),
+h AS (SELECT w, list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(range(0, octet_length(encode(w))), lambda i: ('0x' || substr(hex(encode(w)), (2*i+1)::INT, 2))::UHUGEINT)), lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT) AS h FROM v),
+s AS (SELECT doc_id, i, sum(CASE WHEN (h::UBIGINT >> i::UBIGINT) % 2 = 1 THEN n ELSE -n END) AS s FROM w JOIN h USING (w), range(64) r(i) GROUP BY 1, 2),
+u AS (SELECT doc_id, sum(CASE WHEN s > 0 THEN power(2, i)::HUGEINT ELSE 0 END)::HUGEINT AS u FROM s GROUP BY 1),
+b AS (SELECT doc_id, CASE WHEN u >= 9223372036854775808::HUGEINT THEN u - 18446744073709551616::HUGEINT ELSE coalesce(u, 0) END::BIGINT AS bits FROM documents LEFT JOIN u USING (doc_id))"""
+
+
+@query("simhash_documents", f"WITH {_SIMHASH} SELECT doc_id, bits FROM b")
 def simhash_documents(spark, d):
     return cluster.simhash(read(spark, d, "documents"), "doc_id", "text").select(F.col("node").alias("doc_id"), "bits")
 
 
-@query("near_pairs")
+@query("near_pairs", f"WITH {_SIMHASH}, p AS (SELECT bits, min(doc_id) AS node FROM b WHERE bits <> 0 GROUP BY 1) SELECT x.node AS a, y.node AS b FROM p x JOIN p y ON x.node < y.node AND bit_count(xor(x.bits, y.bits)) <= 3")
 def near_pairs(spark, d):
     # Equal texts are one node: pairs are between different texts.
     docs = read(spark, d, "documents").groupBy(F.xxhash64("text").alias("h"), "text").agg(F.min("doc_id").alias("doc_id"))
@@ -325,7 +344,10 @@ def confusion_by_language(spark, d):
     return evaluate.confusion(rows)
 
 
-@query("leaked_grams")
+@query("leaked_grams", """
+WITH t AS (SELECT item_id, regexp_replace(text, '[^0-9A-Za-z가-힣%]', '', 'g') AS t FROM benchmark), m AS (SELECT DISTINCT item_id, substr(t, i::INT, 6) AS g FROM (SELECT item_id, t, unnest(range(1, greatest(length(t) - 4, 1))) AS i FROM t)),
+p AS (SELECT regexp_replace(html, '[^0-9A-Za-z가-힣%]', '', 'g') AS t FROM pages), s AS (SELECT DISTINCT substr(t, i::INT, 6) AS g FROM (SELECT t, unnest(range(1, greatest(length(t) - 4, 1))) AS i FROM p))
+SELECT item_id AS id, count(s.g) AS shared FROM benchmark LEFT JOIN m USING (item_id) LEFT JOIN s USING (g) GROUP BY 1""")
 def leaked_grams(spark, d):
     return evaluate.leaks(read(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"), read(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("text")))
 
