@@ -97,4 +97,4 @@ def route(claims: DataFrame, risk: DataFrame, decisions: DataFrame) -> DataFrame
     rows = claims.join(parents, "claim_id", "left").join(decisions.select("claim_id", F.col("status").alias("s"), F.col("reason").alias("r")), "claim_id", "left")
     high = F.coalesce(F.col("computed_risk") == "high", F.lit(False))
     split = ~F.coalesce("atomic", F.lit(True))
-    return rows.select("claim_id", F.when(~high, "cite_write").when(split, "unresolved").otherwise(F.coalesce("s", F.lit("unresolved"))).alias("status"), F.when(~high, "low_risk").when(split, "needs_atomization").otherwise(F.coalesce("r", F.lit("missing"))).alias("reason"))
+    return rows.select("claim_id", F.when(~high, "cite_write").when(split, "unresolved").otherwise(F.coalesce("s", F.lit("unresolved"))).alias("status"), F.when(~high, "non_high_risk").when(split, "needs_atomization").otherwise(F.coalesce("r", F.lit("missing"))).alias("reason"))
