@@ -7,7 +7,8 @@ pass over a document finds every possible place. Each place is verified with Mye
 distance, which finds the item anywhere in the window around the hit. Nothing else decides.
 
 Items are a stated query set: they are read in blocks of at most ``block_bytes`` bytes, and every
-block runs over all documents, so an automaton's size is bounded however many items there are.
+block runs over all documents, so an automaton's size is bounded however many items there are. In
+``search`` a task has all items' texts but one automaton at a time.
 Null or empty texts and items match nothing. Repeated documents: one row each. Equal normal forms
 count once, under their smallest item id. Documents are whole; a long one only takes longer.
 """
@@ -25,6 +26,8 @@ from .common import table
 
 ERROR_RATE = 0.08
 BLOCK_BYTES = 16 << 20
+#: Bytes of documents that a task holds while several blocks search them.
+HELD_BYTES = 64 << 20
 _GAP = re.compile(r"[\W_]+")
 
 
@@ -136,23 +139,45 @@ FOUND = "doc_id bigint, items array<bigint>, distances array<bigint>, ends array
 
 
 def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", error_rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents' matches: doc_id, items, distances, ends; one row per document and item block."""
-    def matches(block: list[tuple[int, str]]):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m = Matcher(block, error_rate)
-            for batch in batches:
-                hits = [m.search(normal(t.as_py() or "")) for t in batch.column(1)]
-                cols = [pa.array([[h[i] for h in x] for x in hits], pa.list_(pa.int64())) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", "items", "distances", "ends"])
+    """The documents' matches: doc_id, items, distances, ends; one row per document, whatever the number of blocks."""
+    blocks = list(_blocks(items, item_col, item_text, block_bytes))
 
-        return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if len(blocks) == 1:
+            m = Matcher(blocks[0], error_rate)
+            for batch in batches:
+                yield found(batch.column(0), [m.search(normal(t.as_py() or "")) for t in batch.column(1)])
+            return
+        # One automaton at a time: every block searches the rows held, then they go out.
+        for held in gathered(batches):
+            texts = [[normal(t.as_py() or "") for t in batch.column(1)] for batch in held]
+            hits = [[[] for _ in x] for x in texts]
+            for block in blocks:
+                m = None  # the last one goes before the next is built
+                m = Matcher(block, error_rate)
+                for x, h in zip(texts, hits, strict=True):
+                    for i, t in enumerate(x):
+                        h[i] += m.search(t)
+            for batch, h in zip(held, hits, strict=True):
+                yield found(batch.column(0), [sorted(x) for x in h])
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= HELD_BYTES:
+                yield held
+                held, size = [], 0
+        if held:
+            yield held
+
+    def found(docs: pa.Array, hits: list) -> pa.RecordBatch:
+        cols = [pa.array([[h[i] for h in x] for x in hits], pa.list_(pa.int64())) for i in range(3)]
+        return pa.RecordBatch.from_arrays([docs, *cols], ["doc_id", "items", "distances", "ends"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out = None
-    for block in _blocks(items, item_col, item_text, block_bytes):
-        part = rows.mapInArrow(matches(block), FOUND)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return rows.mapInArrow(run, FOUND)
 
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", error_rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:

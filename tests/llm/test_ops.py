@@ -181,6 +181,21 @@ def test_decontam(spark):
     assert decontam.clean(d, b.limit(0)).count() == 5
 
 
+def test_decontam_blocks(spark, tmp_path, monkeypatch):
+    r = random.Random(3)
+    item = [" ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(12)) for _ in range(6)]
+    docs = [(1, f"x {item[5]} y {item[0]} z {item[3]}"), (2, item[4]), (2, item[4]), (None, item[1]), (None, "clean"), (3, "clean"), (4, None), (5, "")]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    # Item 2 has two texts that end up in different blocks.
+    spark.createDataFrame([(9, item[0]), (2, item[1]), (7, item[2]), (1, item[3]), (5, item[4]), (2, item[5])], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = lambda: sorted(map(repr, decontam.op5_decontam(spark, str(tmp_path)).collect()))
+    want = rows()
+    assert len(want) == len(docs) and any("items=[1, 2, 9]" in x for x in want)
+    monkeypatch.setattr(decontam.search, "__defaults__", (*decontam.search.__defaults__[:-1], 100))
+    monkeypatch.setattr(decontam, "HELD_BYTES", 1, raising=False)
+    assert rows() == want
+
+
 def test_warc(spark):
     rows = [(3, "http://a", "same"), (1, "http://b", "same"), (2, "http://c", None), (4, "http://d", ""), (1, "http://e", "same"), (5, None, "é")]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
