@@ -62,6 +62,14 @@ def test_neardup(docs):
     assert neardup.groups(docs.limit(0), 85, 100, 3).count() == 0
 
 
+@pytest.mark.parametrize("n", range(6))
+def test_sets_of_few_words(n):
+    for texts in ([" ".join("abcdef"[:n])], [*"abcdef"[:n]]):
+        data = "".join(texts).encode()
+        sets = neardup.sets_of(np.frombuffer(data, np.uint8), np.cumsum([0, *map(len, texts)]), 5)
+        assert [len(s) for s in sets] == [int(bool(t)) + (t == "a b c d e f") for t in texts]
+
+
 def test_blocks_of_large_groups(docs, monkeypatch):
     want = {(r["doc"], r["component"]) for r in neardup.groups(docs, 60, 100, 3).collect()}
     monkeypatch.setattr(linking, "GROUP_BYTES", 1500)
