@@ -82,6 +82,19 @@ def back_to_id(name: str) -> Column:
     return F.when(F.col(name) == NO_ID, F.lit(None).cast("long")).otherwise(F.col(name))
 
 
+def once(docs: DataFrame, blank: str) -> DataFrame:
+    """The documents with one row of those that share both id and text; texts of blank characters alone stay."""
+    key = [id_of().alias("__id"), F.xxhash64("text").alias("__a"), F.xxhash64(F.lit(1), "text").alias("__b")]
+    names = ["__id", "__a", "__b"]
+    again = docs.filter(F.trim("text", F.lit(blank)) != "").groupBy(*key).count().filter("count > 1").select(*names)
+    again = Scratch(docs.sparkSession).save(again)
+    if not again.limit(1).count():
+        return docs
+    keyed = docs.select("*", *key)
+    one = keyed.join(again, names, "left_semi").dropDuplicates(names)
+    return keyed.join(again, names, "left_anti").unionByName(one).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def spread(df: DataFrame, *cols: str) -> DataFrame:
     """Deal rows by key to as many tasks as the session has shuffle partitions."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)

@@ -70,6 +70,22 @@ def test_sets_of_few_words(n):
         assert [len(s) for s in sets] == [int(bool(t)) + (t == "a b c d e f") for t in texts]
 
 
+def test_rows_without_own_ids(spark):
+    r = random.Random(9)
+    a, b, c, d, e = (" ".join("".join(r.choice("abcdefgh") for _ in range(7)) for _ in range(30)) for _ in range(5))
+    rows = [(1, a), (None, a), (None, b), (None, b), (None, c), (7, d), (7, e), (8, d), (None, None), (None, None), (9, "\n"), (9, "\n")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    want = sorted([(1, a), (None, b), (None, c), (7, d), (7, e), (None, None), (None, None), (9, "\n"), (9, "\n")], key=repr)
+    assert sorted(map(tuple, neardup.one_of_each(df).collect()), key=repr) == want
+    assert sorted(map(tuple, lines.drop_lines(df).collect()), key=repr) == want
+    kept = {(x["doc_id"], x["n_shingles"], x["component_id"], x["kept"]) for x in neardup.groups(df, 80, 100, 5).select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept").filter("n > 0").collect()}
+    assert kept == {(1, 26, 1, True), (2**63 - 1, 26, 1, False), (2**63 - 1, 26, 2**63 - 1, True), (7, 26, 7, True), (8, 26, 7, False)}
+    mixed = spark.createDataFrame([(None, f"{a}\n{b}"), (None, f"{a}\n{c}"), (0, a)], "doc_id bigint, text string")
+    assert sorted(x["text"] for x in lines.drop_lines(mixed).collect()) == sorted([a, b, c])
+    twice = spark.createDataFrame([(None, f"{a}\n{b}"), (None, f"{c}\n{d}"), (0, b)], "doc_id bigint, text string")
+    assert sorted(x["text"] for x in lines.drop_lines(twice).collect()) == sorted([a, b, f"{c}\n{d}"])
+
+
 def test_blocks_of_large_groups(docs, monkeypatch):
     want = {(r["doc"], r["component"]) for r in neardup.groups(docs, 60, 100, 3).collect()}
     monkeypatch.setattr(linking, "GROUP_BYTES", 1500)
