@@ -2,55 +2,44 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TEMP: list[str] = []
+from ..sources.scratch import Scratch
 
 
 def pinned(df: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder (a temporary one where the session names none)."""
-    spark: SparkSession = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if base is None:
-        if not _TEMP:
-            _TEMP.append("file://" + tempfile.mkdtemp(prefix="attesta-"))
-        base = _TEMP[0]
-    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """The rows as a table in the shared folder."""
+    return Scratch(df.sparkSession).save(df)
+
 
+def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """node, comp: the least node reachable over edges (a, b); nodes without edges are their own.
 
-def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, comp: the least node reachable over edges (a, b); nodes without edges are their own."""
-    both = pinned(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct())
-    labels = pinned(nodes.select("node", F.col("node").alias("comp")).distinct())
+    Each node takes the least label among its neighbours, then the label of its label (pointer
+    jumping), until nothing changes. Minima are pre-aggregated before each shuffle, and the joins on a
+    popular label are plain equi-joins that adaptive execution can split.
+    """
+    scratch = Scratch(edges.sparkSession)
+    one = edges.filter("a <> b").select("a", "b")
+    both = scratch.save(one.union(one.select("b", "a")).distinct())
+    start = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp"))
+    labels = scratch.save(start)
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
-        step = labels.join(near, "node", "left").select("node", F.col("comp").alias("old"), F.least("comp", F.coalesce("m", "comp")).alias("mid"))
+        step = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("mid"))
         up = labels.select(F.col("node").alias("mid"), F.col("comp").alias("up"))
-        new = pinned(step.join(up, "mid").select("node", "old", F.least("mid", "up").alias("comp")))
+        new = scratch.save(step.join(up, "mid").select("node", "old", F.least("mid", "up").alias("comp")))
+        changed = new.filter("old <> comp").limit(1).count()
+        scratch.drop(labels)
         labels = new.select("node", "comp")
-        if not new.filter("old <> comp").limit(1).count():
-            return labels
-
-
-def leaders(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, leader: in node order, each joins its least adjacent leader or else becomes one.
-
-    A node is a leader if no smaller neighbour is; decided in rounds until all are.
-    """
-    down = pinned(edges.select(F.least("a", "b").alias("small"), F.greatest("a", "b").alias("big")).filter("small <> big").distinct())
-    state = pinned(nodes.select("node").distinct().join(down.select(F.col("big").alias("node")).distinct().withColumn("has", F.lit(True)), "node", "left").select("node", F.when(F.col("has").isNull(), True).alias("leads")))
-    while state.filter("leads is null").limit(1).count():
-        seen = down.join(state.withColumnRenamed("node", "small"), "small").groupBy(F.col("big").alias("node")).agg(F.max("leads").alias("any"), F.max(F.col("leads").isNull()).alias("open"))
-        choice = F.when(F.col("leads").isNotNull(), F.col("leads")).when(F.col("any"), False).when(~F.col("open"), True)
-        state = pinned(state.join(seen, "node", "left").select("node", choice.alias("leads")))
-    own = down.join(state.filter("leads").select(F.col("node").alias("small")), "small").groupBy(F.col("big").alias("node")).agg(F.min("small").alias("leader"))
-    return state.join(own, "node", "left").select("node", F.when(F.col("leads"), F.col("node")).otherwise(F.col("leader")).alias("leader"))
+        labels._attesta_path = new._attesta_path
+        if not changed:
+            break
+    scratch.drop(both)
+    if nodes is None:
+        return labels
+    return nodes.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
 
 
 def leaders_by_keys(nodes: DataFrame, own: DataFrame, near: DataFrame) -> DataFrame:

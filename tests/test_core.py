@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions import text as T
 from attesta.operators import anchors, cluster, evaluate, risk, verdicts
-from attesta.operators.graph import components, leaders
+from attesta.operators.graph import components, leaders_by_keys
 from attesta.sources import tables
 
 
@@ -56,7 +56,9 @@ def test_fnv_and_graph(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (5, 6)], "a bigint, b bigint")
     nodes = spark.createDataFrame([(i,) for i in range(1, 8)], "node bigint")
     assert {tuple(r) for r in components(edges, nodes).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (6, 5), (7, 7)}
-    assert {tuple(r) for r in leaders(edges, nodes).collect()} == {(1, 1), (2, 1), (3, 3), (4, 4), (5, 5), (6, 5), (7, 7)}
+    # Each node's key is itself, so near keys are edges.
+    got = leaders_by_keys(nodes, nodes.select("node", F.col("node").alias("key")), edges)
+    assert {tuple(r) for r in got.collect()} == {(1, 1), (2, 1), (3, 3), (4, 4), (5, 5), (6, 5), (7, 7)}
 
 
 def test_decisions(spark):
