@@ -6,64 +6,15 @@ Only the named columns of an input are read, so extra columns with any names are
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Scratch
+
 #: Stands for a null id inside the operators: it sorts last.
 NO_ID = 2**63 - 1
-#: Rows of an Arrow batch.
-BATCH_ROWS = 2500
-_OWN_DIR: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _OWN_DIR:
-        _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="attesta-"))
-    return _OWN_DIR[0]
-
-
-class Scratch:
-    """Tables written to the shared folder: they cut lineage and survive the loss of executors."""
-
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark = spark
-        self.base = f"{shared_dir(spark)}/attesta-{uuid.uuid4().hex}"
-        self.count = 0
-        # Batches of whole texts: fewer rows keep a Python worker's memory small.
-        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-    def save(self, df: DataFrame) -> DataFrame:
-        self.count += 1
-        path = f"{self.base}/{self.count}"
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._attesta_path = path
-        return out
-
-    def drop(self, *tables: DataFrame | None) -> None:
-        """Delete tables that no later step reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for df in tables:
-            path = getattr(df, "_attesta_path", None)
-            if path:
-                where = jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(conf).delete(where, True)
-
-    def tidy(self) -> None:
-        """Let the driver's cleaner drop the shuffle files of finished steps now, not at some later GC."""
-        gc.collect()
-        self.spark._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,8 +35,8 @@ def back_to_id(name: str) -> Column:
 
 def once(docs: DataFrame, blank: str) -> DataFrame:
     """The documents with one row of those that share both id and text; texts of blank characters alone stay."""
-    key = [id_of().alias("__id"), F.xxhash64("text").alias("__a"), F.xxhash64(F.lit(1), "text").alias("__b")]
-    names = ["__id", "__a", "__b"]
+    names = named(docs, "id", "a", "b")
+    key = [c.alias(n) for c, n in zip((id_of(), F.xxhash64("text"), F.xxhash64(F.lit(1), "text")), names, strict=True)]
     again = docs.filter(F.trim("text", F.lit(blank)) != "").groupBy(*key).count().filter("count > 1").select(*names)
     again = Scratch(docs.sparkSession).save(again)
     if not again.limit(1).count():
@@ -95,9 +46,24 @@ def once(docs: DataFrame, blank: str) -> DataFrame:
     return keyed.join(again, names, "left_anti").unionByName(one).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def spread(df: DataFrame, *cols: str) -> DataFrame:
     """Deal rows by key to as many tasks as the session has shuffle partitions."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+    return df.repartition(partitions(df), *cols)
+
+
+def named(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, or longer ones where the table has columns of these names."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def chunks(sizes: np.ndarray, limit: int):

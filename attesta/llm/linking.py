@@ -1,21 +1,27 @@
 """Linked groups of near copies without listing all pairs of a group.
 
 ``link`` takes the members of band buckets and returns the connected components of all exactly
-verified links, in three steps:
+verified links, in these steps:
 
 1. In each bucket, members are compared by their sketches; one that agrees with members of another
    group proposes one of them and joins that group. So a bucket of n near copies proposes about n
    pairs. Distributed union-find turns the proposals into coarse groups: a superset of the links.
-2. Each coarse group gets the whole texts of its members. A member's set is compared exactly with
+2. A hot bucket (over ``BLOCK`` members) is compared in blocks, each with the bucket's first member,
+   so a large group of near copies is one coarse group by now. Where a hot bucket still holds
+   several coarse groups, its members meet again under every pair of such buckets that they share;
+   a pair of near copies nearly always shares two bands, and chance does so rarely. Buckets of
+   pairs that are hot in turn, and still hold several groups, are crossed: all members outside the
+   largest group meet all others, block by block. So only a pair that shares hot buckets alone, and
+   of these just one, is left out; in all other cases the result doesn't depend on ``BLOCK``.
+3. Each coarse group gets the whole texts of its members. A member's set is compared exactly with
    those of all members that are in another component by then; links merge components, and only
    merging links are written. A group of copies takes one comparison each, and no pair is skipped
    unless its two members are already in one component.
-3. A coarse group of more than ``GROUP_BYTES`` is dealt to several tasks by a hash of the member.
-   Every ``DEALS`` rounds deal anew and join the components. At last each task also gets all members
-   outside the group's largest-labelled component, so pairs of different tasks are compared too.
+4. A coarse group of more than ``GROUP_BYTES`` is dealt to several tasks by a hash of the member,
+   twice, and then crossed in the same way, so pairs of different tasks are compared too.
 
-Buckets of more than ``BLOCK`` members are dealt to tasks as well, each with the bucket's smallest
-member. Tables between steps are in the shared folder; nothing but counts reaches the driver.
+No task holds more than one block of a group. Tables between steps are in the shared folder; nothing
+but counts reaches the driver.
 """
 
 from __future__ import annotations
@@ -24,38 +30,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, spread
+from ..operators.graph import components
+from .common import Scratch, partitions, spread
 
 BLOCK = 4096
 GROUP_BYTES = 4 << 20
-DEALS = 2
-
-
-def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
-    """node, comp (smallest node of its component) for every node of the edges (a, b), both longs.
-
-    Each node takes the least label among its neighbours, then the label of its label (pointer
-    jumping), until nothing changes. Minima are pre-aggregated before each shuffle, and the joins on a
-    popular label are plain equi-joins that adaptive execution can split.
-    """
-    one = edges.filter("a <> b").select("a", "b")
-    both = scratch.save(one.union(one.select("b", "a")).distinct())
-    labels = scratch.save(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")))
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
-        new = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("mid"))
-        roots = labels.select(F.col("node").alias("mid"), F.col("comp").alias("up"))
-        new = scratch.save(new.join(roots, "mid").select("node", "old", F.least("mid", "up").alias("comp")))
-        changed = new.filter("old <> comp").limit(1).count()
-        scratch.drop(labels)
-        labels = new.select("node", "comp")
-        labels._attesta_path = new._attesta_path
-        if not changed:
-            scratch.drop(both)
-            return labels
+#: Band entries that a task sorts at a time.
+SHARE = 1 << 20
 
 
 def propose(rids: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, first: np.ndarray, agree: Callable, num: int, den: int) -> list[tuple[int, int]]:
@@ -138,7 +122,8 @@ def exact_links(sets: list[np.ndarray], label: np.ndarray, num: int, den: int) -
     label = label.copy()
     out = []
     for i in range(len(sets)):
-        others = np.flatnonzero((label != label[i]) & (np.minimum(size, size[i]) * den >= np.maximum(size, size[i]) * num))
+        rest, n = label[i + 1 :], size[i + 1 :]
+        others = i + 1 + np.flatnonzero((rest != label[i]) & (np.minimum(n, size[i]) * den >= np.maximum(n, size[i]) * num))
         if not len(others) or not size[i]:
             continue
         mine = code[first[i] : first[i + 1]]
@@ -187,109 +172,186 @@ def _verified(rows: DataFrame, shingles: Callable, num: int, den: int) -> DataFr
 ENTRY = np.dtype([("bucket", "<u8"), ("offset", "<u4")])
 
 
-def pack_bands(bands: np.ndarray, rids: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
-    """part, blob: (bucket, rid) pairs dealt out by bucket; bands has a row of buckets for each rid."""
+def shares(df: DataFrame, entries: int) -> int:
+    """How many shares so many band entries are dealt to: ``SHARE`` in each, one for each shuffle partition at least."""
+    return max(partitions(df), -(-entries // SHARE))
+
+
+def pack_bands(bands: np.ndarray, rids: np.ndarray, shares: int) -> Iterator[pa.RecordBatch]:
+    """share, blob: (bucket, rid) entries dealt out by bucket; bands has a row of buckets for each rid."""
     high = rids >> 32  # ids of one writing task differ in their low halves only
     for own in np.unique(high):
         bucket = np.ascontiguousarray(bands[high == own]).view(np.uint64).ravel()
-        to = (bucket % np.uint64(parts)).astype(np.int32)
+        to = (bucket % np.uint64(shares)).astype(np.int32)
         order = np.argsort(to, kind="stable")
         entry = np.empty(len(bucket), ENTRY)
         entry["bucket"], entry["offset"] = bucket[order], np.repeat(rids[high == own].astype(np.uint32), bands.shape[1])[order]
-        cut = np.searchsorted(to[order], np.arange(parts + 1))
-        full = np.flatnonzero(np.diff(cut)).tolist()
+        to = to[order]
+        first = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, np.int64)
         head = np.int64(own << 32).tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([head + entry[cut[p] : cut[p + 1]].tobytes() for p in full], pa.binary())], ["part", "blob"])
+        cuts = zip(first.tolist(), [*first[1:].tolist(), len(to)], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(to[first], pa.int32()), pa.array([head + entry[a:b].tobytes() for a, b in cuts], pa.binary())], ["share", "blob"])
 
 
-def packed_buckets(scratch: Scratch, blobs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """As ``buckets``, from packed bands: a task sorts the twelve-byte entries of its share."""
+class Members:
+    """The members of one share's buckets, in blocks; entries may come in any number of pieces."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, rid = [], []
-        for batch in batches:
-            for blob in batch.column(1):
-                blob = blob.as_py()
-                entry = np.frombuffer(blob, ENTRY, -1, 8)
-                bucket.append(entry["bucket"])
-                rid.append(entry["offset"].astype(np.int64) + np.frombuffer(blob, "<i8", 1)[0])
-        if not bucket:
+    def __init__(self, block: int) -> None:
+        self.block, self.bucket, self.rid, self.size, self.limit = block, [], [], 0, 4 * SHARE
+        self.out: dict[int, tuple[int, int]] = {}  # of hot buckets: blocks so far, and the first member
+
+    def add(self, bucket: np.ndarray, rid: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.bucket.append(bucket)
+        self.rid.append(rid)
+        self.size += len(rid)
+        if self.size > self.limit:  # a hot bucket's members need not wait for the others
+            yield from self.give(False)
+            self.limit = max(4 * SHARE, 2 * self.size)
+
+    def give(self, last: bool) -> Iterator[pa.RecordBatch]:
+        """bucket, part, rid, hot of buckets with two members or more; before the last entries, of hot ones alone."""
+        if not self.rid:
             return
-        bucket, rid = np.concatenate(bucket), np.concatenate(rid)
-        order = np.argsort(bucket)
+        bucket, rid = np.concatenate(self.bucket), np.concatenate(self.rid)
+        order = np.lexsort((rid, bucket))
         bucket, rid = bucket[order], rid[order]
-        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        n = np.diff(np.append(first, len(bucket)))
-        lead = np.minimum.reduceat(rid, first)
-        keep = np.repeat(n > 1, n)
-        cols = [bucket.view(np.int64)[keep], np.repeat(-(-n // block), n)[keep].astype(np.int32), np.repeat(lead, n)[keep], rid[keep]]
+        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(rid) else np.zeros(0, np.int64)
+        n = np.diff(np.append(first, len(rid)))
+        known = np.array([b in self.out for b in bucket[first].tolist()], bool) if self.out else np.zeros(len(first), bool)
+        hot = known | (n > self.block)
+        go = (n > 1) | known if last else n > self.block
+        base = np.zeros(len(first), np.int64)
+        extra: list[tuple[int, int, int]] = []
+        for i in np.flatnonzero(hot & go).tolist():
+            b, blocks = int(bucket[first[i]]), -(-int(n[i]) // self.block)
+            base[i], lead = self.out.get(b, (0, int(rid[first[i]])))
+            extra += [(b, p, lead) for p in range(int(base[i]), int(base[i]) + blocks) if p]
+            self.out[b] = (int(base[i]) + blocks, lead)
+        each = np.repeat(go, n)
+        part = np.repeat(base, n) + (np.arange(len(rid)) - np.repeat(first, n)) // self.block
+        more = np.array(extra, np.uint64).reshape(-1, 3)
+        cols = [np.concatenate([bucket[each], more[:, 0]]).view(np.int64), np.concatenate([part[each], more[:, 1].astype(np.int64)]).astype(np.int32), np.concatenate([rid[each], more[:, 2].astype(np.int64)]), np.concatenate([np.repeat(hot, n)[each], np.ones(len(more), bool)])]
         for lo in range(0, len(cols[0]), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 100_000]) for c in cols], ["bucket", "parts", "lead", "rid"])
-
-    out = scratch.save(spread(blobs, "part").mapInArrow(run, "bucket bigint, parts int, lead bigint, rid bigint"))
-    scratch.tidy()
-    return out
+            yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 100_000]) for c in cols], ["bucket", "part", "rid", "hot"])
+        self.bucket, self.rid = [bucket[~each]], [rid[~each]]
+        self.size = len(self.rid[0])
 
 
-def buckets(scratch: Scratch, bands: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Members of buckets with at least two: bucket, parts, lead, rid (a saved table).
+def buckets(scratch: Scratch, blobs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """bucket, part, rid, hot: members of buckets with at least two, from packed bands (a saved table).
 
-    bands: bucket, rid, without repeats. lead is the bucket's smallest member. One exchange serves
-    both the counts, which are partial sums of longs, and the rows.
+    Shares come to a task one after the other, sorted by Spark, so a task holds one share; members of a
+    bucket that is larger still leave in blocks as they come.
     """
-    dealt = spread(bands.select("bucket", "rid"), "bucket")
-    many = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("lead")).filter("n > 1")
-    out = scratch.save(dealt.join(many.hint("merge"), "bucket").select("bucket", F.ceil(F.col("n") / block).cast("int").alias("parts"), "lead", "rid"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, Members(block)
+        for batch in batches:
+            for share, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if share != now:
+                    yield from held.give(True)
+                    now, held = share, Members(block)
+                blob = blob.as_py()
+                entry = np.frombuffer(blob, ENTRY, -1, 8)
+                yield from held.add(entry["bucket"], entry["offset"].astype(np.int64) + np.frombuffer(blob, "<i8", 1)[0])
+        yield from held.give(True)
+
+    out = scratch.save(spread(blobs, "share").sortWithinPartitions("share").mapInArrow(run, "bucket bigint, part int, rid bigint, hot boolean"))
     scratch.tidy()
     return out
 
 
-def _part(salt: int):
-    return F.pmod(F.xxhash64("rid", F.lit(salt)), F.col("parts")).cast("int")
+def _part(parts: str | Column, salt: int) -> Column:
+    return F.pmod(F.xxhash64("rid", F.lit(salt)), parts).cast("int")
 
 
-def _everywhere(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+def _every(parts: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
 
 
-def link(scratch: Scratch, members: DataFrame, about: DataFrame, texts: DataFrame, shingles: Callable, num: int, den: int, agree: Callable, more_edges: DataFrame | None = None) -> DataFrame | None:
+def crossed(rows: DataFrame, key: str, size: Column, limit: int) -> DataFrame:
+    """The rows of each group once more, as parts in which every two members of different components meet.
+
+    The group's largest component needs no comparison inside. All others are dealt to ``outer`` blocks
+    and each of these meets every block of the whole group; a block has ``limit`` of size, or one row.
+    rows: key, rid, comp and whatever else.
+    """
+    sums = rows.groupBy(key, "comp").agg(F.sum(size).alias("s"))
+    most = sums.groupBy(key).agg(F.max(F.struct("s", "comp")).alias("m"), F.sum("s").alias("s"))
+    blocks = lambda s: F.ceil(s / limit).cast("int")
+    known = rows.join(most.select(key, F.col("m.comp").alias("main"), blocks(F.col("s")).alias("inner"), blocks(F.col("s") - F.col("m.s")).alias("outer")).filter("outer > 0"), key)
+    a, b = F.col("a"), F.col("b")
+    whole = known.withColumn("b", _part("inner", 1)).withColumn("a", _every("outer"))
+    odd = known.filter("comp <> main").withColumn("a", _part("outer", 2)).withColumn("b", _every("inner"))
+    return whole.unionByName(odd.select(*whole.columns)).withColumn("part", a * F.col("inner") + b).drop("a", "b", "main", "inner", "outer").dropDuplicates([key, "part", "rid"])
+
+
+def _several(rows: DataFrame, key: str) -> DataFrame:
+    """Groups of more than one component, with their sizes n."""
+    return rows.groupBy(key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").select(key, "n")
+
+
+def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return rows.withColumn("comp", F.col("rid"))
+    return rows.join(labels.select(F.col("node").alias("rid"), "comp"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
+
+
+def _some(df: DataFrame) -> bool:
+    return bool(df.limit(1).count())
+
+
+def _coarse(scratch: Scratch, members: DataFrame, about: DataFrame, agree: Callable, num: int, den: int, block: int) -> DataFrame | None:
+    """Labels (node, comp) of all members that agree with another one."""
+    found = scratch.save(_proposals(members.join(about, "rid"), agree, num, den))
+    labels = components(found) if _some(found) else None
+    hot = members.filter("hot")
+    if not _some(hot):
+        return labels
+    # Once more under every pair of hot buckets that aren't of one group.
+    named = scratch.save(_labelled(hot.select("bucket", "rid").distinct(), labels))
+    mine = named.join(_several(named, "bucket"), "bucket", "left_semi").groupBy("rid", "comp").agg(F.sort_array(F.collect_set("bucket")).alias("own"))  # a band each at most
+    both = F.flatten(F.transform("own", lambda x, i: F.transform(F.slice("own", i + 2, F.size("own")), lambda y: F.xxhash64(x, y))))
+    pairs = scratch.save(mine.select("rid", "comp", F.explode(both).alias("bucket")))
+    again = pairs.join(_several(pairs, "bucket"), "bucket").withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
+    leads = again.filter("parts > 1").groupBy("bucket", "parts").agg(F.min("rid").alias("rid")).withColumn("part", _every("parts"))
+    dealt = again.withColumn("part", _part("parts", 0)).select("bucket", "part", "rid").unionByName(leads.select("bucket", "part", "rid")).distinct()
+    more = scratch.save(found.unionByName(_proposals(dealt.join(about, "rid"), agree, num, den)))
+    if not _some(more):
+        return None
+    labels = components(more)
+    large = scratch.save(_labelled(again.filter("parts > 1").select("bucket", "rid"), labels))
+    if _some(_several(large, "bucket")):
+        rest = crossed(large, "bucket", F.lit(1), block).select("bucket", "part", "rid")
+        labels = components(more.unionByName(_proposals(rest.join(about, "rid"), agree, num, den)))
+    scratch.drop(found, named, pairs, more, large)
+    return labels
+
+
+def link(scratch: Scratch, members: DataFrame, about: DataFrame, texts: DataFrame, shingles: Callable, num: int, den: int, agree: Callable, block: int = BLOCK) -> DataFrame | None:
     """Components (node, comp) of the members whose sets have a Jaccard similarity of num / den or more.
 
-    members: from ``buckets``. about: rid, size, sketch. texts: rid, text. shingles: an Arrow array of texts to their sets. more_edges: links that hold
-    without a check. None: no link at all.
+    members: from ``buckets``. about: rid, size, sketch. texts: rid, text. shingles: an Arrow array of
+    texts to their sets. None: no link at all.
     """
-    rows = members.join(about, "rid").withColumn("part", _part(0))
-    leads = _everywhere(rows.filter("parts > 1 and rid = lead")).filter(F.col("part") != _part(0))
-    proposed = scratch.save(_proposals(rows.unionByName(leads), agree, num, den))
-    if more_edges is not None:
-        kept = scratch.save(more_edges.select("a", "b"))
-    coarse = components(scratch, proposed) if proposed.limit(1).count() else None
-    scratch.drop(proposed)
-    labels, links = None, None
-    if coarse is not None:
-        whole = coarse.select(F.col("node").alias("rid"), F.col("comp").alias("grp")).join(texts, "rid")
-        sizes = whole.groupBy("grp").agg(F.ceil(F.sum(F.octet_length("text").cast("long") + 64) / GROUP_BYTES).cast("int").alias("parts"))
-        whole = scratch.save(whole.join(sizes, "grp").select("grp", "parts", "rid", "text"))
-        one = _verified(whole.withColumn("part", _part(1)).withColumn("comp", F.col("rid")), shingles, num, den)
-        links = scratch.save(one)
-        large = whole.filter("parts > 1")
-        if large.limit(1).count():
-            for deal in range(2, 2 + DEALS):
-                # Labels of the large groups alone: the others are done.
-                labels = components(scratch, links.join(large.select(F.col("rid").alias("a")), "a", "left_semi"))
-                known = large.join(labels.select(F.col("node").alias("rid"), "comp"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
-                if deal < 1 + DEALS:
-                    dealt = known.withColumn("part", _part(deal))
-                else:
-                    # The component of most members stays dealt; all others go to every part.
-                    counts = known.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("n"))
-                    main = counts.groupBy("grp").agg(F.max(F.struct("n", "comp")).alias("m")).select("grp", F.col("m.comp").alias("main"))
-                    known = known.join(main, "grp")
-                    dealt = known.filter("comp = main").withColumn("part", _part(deal)).unionByName(_everywhere(known.filter("comp <> main")))
-                more = scratch.save(links.unionByName(_verified(dealt, shingles, num, den)).distinct())
-                scratch.drop(links, labels)
-                links = more
-        scratch.drop(whole, coarse)
-    if more_edges is not None:
-        links = kept if links is None else links.unionByName(kept)
-    return components(scratch, links) if links is not None and links.limit(1).count() else None
+    coarse = _coarse(scratch, members, about, agree, num, den, block)
+    if coarse is None:
+        return None
+    weight = F.octet_length("text").cast("long") + 64
+    whole = coarse.select(F.col("node").alias("rid"), F.col("comp").alias("grp")).join(texts, "rid")
+    sizes = whole.groupBy("grp").agg(F.ceil(F.sum(weight) / GROUP_BYTES).cast("int").alias("parts"))
+    whole = scratch.save(whole.join(sizes, "grp").select("grp", "parts", "rid", "text"))
+    links = scratch.save(_verified(whole.withColumn("part", _part("parts", 1)).withColumn("comp", F.col("rid")), shingles, num, den))
+    large = whole.filter("parts > 1")
+    if _some(large):
+        ids = large.select(F.col("rid").alias("a"))
+        for deal in (2, None):
+            # Labels of the large groups alone: the others are done.
+            own = links.join(ids, "a", "left_semi")
+            known = _labelled(large, components(own) if _some(own) else None)
+            dealt = known.withColumn("part", _part("parts", deal)) if deal else crossed(known, "grp", weight, GROUP_BYTES)
+            more = scratch.save(links.unionByName(_verified(dealt, shingles, num, den)).distinct())
+            scratch.drop(links)
+            links = more
+    scratch.drop(whole)
+    return components(links) if _some(links) else None
