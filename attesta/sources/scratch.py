@@ -68,6 +68,10 @@ class Scratch:
                 fs.delete(where, True)
 
     def tidy(self) -> None:
-        """Let the driver's cleaner drop the shuffle files of finished steps now, not at some later GC."""
+        """Let the driver's cleaner drop the shuffle files of finished steps now, not at some later GC.
+
+        Listeners hold on to the last query that ran, so a query of no rows goes first.
+        """
+        self.spark.range(0).collect()
         gc.collect()
         self.spark._jvm.System.gc()
