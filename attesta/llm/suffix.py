@@ -4,25 +4,34 @@ A byte goes if it lies in a string of ``LENGTH`` bytes that also starts in a doc
 
 1. Anchors: of the ``K``-byte strings in each window of LENGTH bytes, those with the least hash. Equal
    windows have equal anchors, so strings that repeat meet at an anchor. An anchor's context is the
-   union of the windows that chose it. Of equal contexts in one input piece only the smallest
-   document's is sent (packed arrays, dealt out by anchor); the others are covered.
-2. Where all contexts of an anchor meet, those of one document alone are done with, equal ones cover
-   all but their smallest document, and contexts that differ at one anchor are fetched as bytes.
-3. These are laid out as one text per block, its suffixes are sorted, and intervals of the BWT are
-   extended backward, breadth first: each interval found first sets one entry of the longest common
-   prefixes, by increasing value, and the expansion stops at LENGTH. Entries still unset part no
-   strings of LENGTH bytes, so the runs between set entries are the classes of equal windows.
-4. Covered ranges are joined back to the texts.
-
-An anchor with over ``HOT`` differing contexts is not gathered: its windows are grouped by their own
-bytes with partial aggregation instead, which spreads and pre-aggregates them.
+   union of the windows that chose it. Of equal contexts in one input piece (their bytes are compared
+   there) only the smallest document's is sent on, in packed arrays dealt out by anchor.
+2. Where all contexts of an anchor meet, those of one document alone are done with. Equal ones claim
+   to be covered by the next smaller document that has them; contexts that differ at one anchor are
+   asked for. Both are fetched from the texts as bytes, a document's neighbouring claims as one range.
+3. Contexts that differ are laid out as one text per block, its suffixes are sorted, and intervals of
+   the BWT are extended backward, breadth first: each interval found first sets one entry of the
+   longest common prefixes, by increasing value, and the expansion stops at LENGTH. Entries still unset
+   part no strings of LENGTH bytes, so the runs between set entries are the classes of equal windows.
+4. Covered ranges are joined back to the texts. A claim is compared there byte by byte with what its
+   source sent; should a hash ever have lied, the job fails and asks for another ``seed``.
+
+So hashes propose and bytes decide: a removed byte was in a range equal, byte by byte, to one of a
+smaller document (copied passages in their inner parts), or in a class of the interval expansion
+(their edges, and everything that differs nearby).
+
+An anchor with over ``HOT`` contexts is split before the expansion: of equal contexts those of the
+smallest document stay, and their windows are dealt out anew by their next anchor (the next larger
+hash in the window), again and again while groups are over ``HOT``. Equal windows stay together.
 
 Nulls: a null text is empty, a null id sorts after all others. Rows with equal ids don't cover each
-other. Texts shorter than LENGTH keep everything. Nothing is cut: long texts are whole.
+other. Texts shorter than LENGTH keep everything. Nothing is cut: long texts are whole. An empty table
+gives an empty result, and other columns are not read.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, back_to_id, chunks, id_of, mix64, spread, table, text_of, utf8
+from .common import Scratch, back_to_id, chunks, id_of, mix64, partitions, spread, table, text_of, utf8
 
 LENGTH = 50
 K = 16
@@ -40,6 +49,8 @@ HOT = 20000
 PIECE = 2 << 20
 FLUSH = 16 << 20
 BLOCK = 1 << 20
+#: Bytes of text whose anchors a task sorts at a time.
+SHARE = 12 << 20
 
 
 # ---- anchors -------------------------------------------------------------------------------
@@ -74,7 +85,12 @@ def _masks() -> tuple[np.ndarray, np.ndarray]:
 _FROM, _UNTIL = _masks()
 
 
-def anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def strings(first: np.ndarray, second: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hashes of K-byte strings, from their two words."""
+    return mix64(first * np.uint64(0xD6E8FEB86659FD93) ^ mix64(second + np.uint64(seed)))
+
+
+def anchors(data: np.ndarray, starts: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All anchors of a batch of texts: hash, hash of the context, place, and the context's range."""
     n = len(data) - K + 1
     width = LENGTH - K + 1
@@ -83,7 +99,7 @@ def anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
         return none.astype(np.uint64), none.astype(np.uint64), none, none, none
     padded = np.concatenate([np.zeros(BEFORE, np.uint8), data, np.zeros(WIDTH + 16, np.uint8)])
     word = _word(padded, 0, len(padded) - 8)  # from BEFORE bytes ahead of each place on
-    h = mix64(word[BEFORE : BEFORE + n] * np.uint64(0xD6E8FEB86659FD93) ^ mix64(word[BEFORE + 8 : BEFORE + 8 + n]))
+    h = strings(word[BEFORE : BEFORE + n], word[BEFORE + 8 : BEFORE + 8 + n], seed)
     low = _slide(h, width, np.minimum)
     # Windows that reach into the next text don't count.
     size = np.diff(starts)
@@ -109,13 +125,13 @@ def anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     begin = np.maximum(np.maximum(at - width + 1, 0), first[r])
     stop = np.minimum(np.minimum(at, len(low) - 1), last[r]) + LENGTH
     lo, hi = begin - at + BEFORE, stop - at + BEFORE
-    c = mix64((lo * 256 + hi).astype(np.uint64))
+    c = mix64((lo * 256 + hi + (seed << 16)).astype(np.uint64))
     for k in range(_WORDS):
         c = mix64(c ^ (word[at + 8 * k] & _FROM[lo, k] & _UNTIL[hi, k]) * _ODD[k])
     return mine, c, at, begin, stop
 
 
-CHECK = np.dtype([("h", "<u4"), ("c", "<u8"), ("row", "<u4"), ("at", "<u4"), ("lo", "u1"), ("hi", "u1")])
+ENTRY = np.dtype([("h", "<u4"), ("c", "<u8"), ("row", "<u4"), ("at", "<u4"), ("lo", "u1"), ("hi", "u1")])
 RANGE = "doc bigint, mark bigint, begin int, stop int"
 
 
@@ -132,53 +148,67 @@ def _merged(row: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[np.nd
     return row[at], begin[at], np.maximum.reduceat(stop, at)
 
 
-def _find(docs: DataFrame, parts: int) -> DataFrame:
-    """part, blob: packed anchors of each input piece, dealt out by hash; part -1: ranges covered already."""
+def _same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Are the contexts around places a and b of one text equal?"""
+    padded = np.concatenate([np.zeros(BEFORE, np.uint8), data, np.zeros(8 * _WORDS, np.uint8)])
+    word = np.ndarray((len(padded) - 7,), np.uint64, padded, strides=(1,))
+    out = np.ones(len(a), bool)
+    for k in range(_WORDS):
+        out &= ((word[a + 8 * k] ^ word[b + 8 * k]) & _FROM[lo, k] & _UNTIL[hi, k]) == 0
+    return out
+
 
-    def flush(ids: np.ndarray, found: list[tuple]) -> pa.RecordBatch:
+def _find(docs: DataFrame, shares: int, seed: int = 0) -> DataFrame:
+    """share, blob: packed anchors of each input piece, dealt out by hash; share below 0: ranges covered already."""
+
+    def flush(ids: np.ndarray, starts: np.ndarray, data: np.ndarray, found: list[tuple]) -> pa.RecordBatch:
         h, c, row, at, lo, hi = (np.concatenate([f[i] for f in found]) for i in range(6))
         doc = ids[0][row]
         order = np.lexsort((doc, c))
         head = np.concatenate([[True], c[order][1:] != c[order][:-1]])[: len(c)]
-        least = doc[order][head][np.cumsum(head) - 1]
-        over = doc[order] > least
-        gone = order[over]
-        out_parts, blobs = [], []
+        first = order[head][np.cumsum(head) - 1]  # of each context's class: one of the smallest document
+        over = doc[order] > doc[first]
+        one, rep = order[over], first[over]
+        over[np.flatnonzero(over)[~((lo[one] == lo[rep]) & (hi[one] == hi[rep]) & _same_bytes(data, at[one], at[rep], lo[one], hi[one]))]] = False
+        gone, stay = order[over], order[~over]
+        place = at - starts[row]
+        out_shares, blobs = [], []
         if len(gone):
-            r, b, e = _merged(row[gone], at[gone].astype(np.int64) - BEFORE + lo[gone], at[gone].astype(np.int64) - BEFORE + hi[gone])
-            out_parts.append(-1 - int(c[0] % np.uint64(parts)))
+            r, b, e = _merged(row[gone], place[gone] - BEFORE + lo[gone], place[gone] - BEFORE + hi[gone])
+            out_shares.append(-1 - int(c[0] % np.uint64(shares)))
             blobs.append(np.stack([ids[0][r], ids[1][r], b, e]).astype("<i8").tobytes())
-        stay = order[~over]
-        entry = np.zeros(len(stay), CHECK)
-        entry["h"], entry["c"], entry["row"], entry["at"], entry["lo"], entry["hi"] = h[stay] >> np.uint64(32), c[stay], row[stay], at[stay], lo[stay], hi[stay]
-        to = ((h[stay] & np.uint64(0xFFFFFFFF)) % np.uint64(parts)).astype(np.int64)
+        entry = np.zeros(len(stay), ENTRY)
+        entry["h"], entry["c"], entry["row"], entry["at"], entry["lo"], entry["hi"] = h[stay] >> np.uint64(32), c[stay], row[stay], place[stay], lo[stay], hi[stay]
+        to = ((h[stay] & np.uint64(0xFFFFFFFF)) % np.uint64(shares)).astype(np.int64)
         order = np.lexsort((row[stay], to))
         entry, to = entry[order], to[order]
-        cut = np.searchsorted(to, np.arange(parts + 1))
-        for p in np.flatnonzero(np.diff(cut)).tolist():
-            out_parts.append(p)
-            blobs.append(_pack(ids, entry[cut[p] : cut[p + 1]]))
-        return pa.RecordBatch.from_arrays([pa.array(out_parts, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
+        edge = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, np.int64)
+        for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(to)], strict=True):
+            out_shares.append(int(to[a]))
+            blobs.append(_pack(ids, entry[a:b]))
+        return pa.RecordBatch.from_arrays([pa.array(out_shares, pa.int32()), pa.array(blobs, pa.binary())], ["share", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, found, rows, held = [], [], 0, 0
+        ids, begins, texts, found, rows, held = [], [], [], [], 0, 0
         for batch in batches:
             data, starts = utf8(batch.column(2))
-            for lo, hi in chunks(np.diff(starts), PIECE):
-                bounds = starts[lo : hi + 1] - starts[lo]
-                h, c, at, begin, stop = anchors(data[starts[lo] : starts[hi]], bounds)
+            for a, b in chunks(np.diff(starts), PIECE):
+                bounds = starts[a : b + 1] - starts[a]
+                piece = data[starts[a] : starts[b]]
+                h, c, at, begin, stop = anchors(piece, bounds, seed)
                 row = np.searchsorted(bounds, at, "right") - 1
-                place = (at - bounds[row]).astype(np.uint32)
-                found.append((h, c, (row + rows).astype(np.uint32), place, (begin - at + BEFORE).astype(np.uint8), (stop - at + BEFORE).astype(np.uint8)))
-                ids.append(np.stack([batch.column(0)[lo:hi].to_numpy(), batch.column(1)[lo:hi].to_numpy()]))
-                rows, held = rows + hi - lo, held + int(bounds[-1])
+                found.append((h, c, (row + rows).astype(np.uint32), at + held, (begin - at + BEFORE).astype(np.uint8), (stop - at + BEFORE).astype(np.uint8)))
+                ids.append(np.stack([batch.column(0)[a:b].to_numpy(), batch.column(1)[a:b].to_numpy()]))
+                begins.append(bounds[:-1] + held)
+                texts.append(piece)
+                rows, held = rows + b - a, held + int(bounds[-1])
                 if held >= FLUSH:
-                    yield flush(np.concatenate(ids, 1), found)
-                    ids, found, rows, held = [], [], 0, 0
+                    yield flush(np.concatenate(ids, 1), np.concatenate(begins), np.concatenate(texts), found)
+                    ids, begins, texts, found, rows, held = [], [], [], [], 0, 0
         if found:
-            yield flush(np.concatenate(ids, 1), found)
+            yield flush(np.concatenate(ids, 1), np.concatenate(begins), np.concatenate(texts), found)
 
-    return docs.select("doc", "mark", "text").mapInArrow(run, "part int, blob binary")
+    return docs.select("doc", "mark", "text").mapInArrow(run, "share int, blob binary")
 
 
 def _pack(ids: np.ndarray, entry: np.ndarray) -> bytes:
@@ -190,68 +220,92 @@ def _pack(ids: np.ndarray, entry: np.ndarray) -> bytes:
     return np.array([used.sum()], "<i8").tobytes() + np.ascontiguousarray(ids[:, used]).astype("<i8").tobytes() + entry.tobytes()
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = int(np.frombuffer(blob, "<i8", 1)[0])
-    return np.frombuffer(blob, "<i8", 2 * n, 8).reshape(2, n), np.frombuffer(blob, CHECK, -1, 8 + 16 * n)
+    ids, entry = np.frombuffer(blob, "<i8", 2 * n, 8).reshape(2, n), np.frombuffer(blob, ENTRY, -1, 8 + 16 * n)
+    return ids[0][entry["row"]], ids[1][entry["row"]], entry
 
 
-SPOT = "doc bigint, mark bigint, begin int, stop int, h bigint"
+SPOT = "doc bigint, mark bigint, begin int, stop int, h bigint, to_doc bigint, to_mark bigint, to_begin int"
+_SPOT_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
 
 
-def _repeated(found: DataFrame) -> DataFrame:
-    """doc, mark, begin, stop, h: covered ranges (h is null), and contexts that must be compared (by h)."""
+def _spots(*cols: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    n = len(cols[0])
+    for lo in range(0, n, 100_000):
+        part = [pa.nulls(min(100_000, n - lo), k) if c is None else pa.array(c[lo : lo + 100_000].astype(k.to_pandas_dtype())) for c, k in zip(cols, _SPOT_KINDS, strict=True)]
+        yield pa.RecordBatch.from_arrays(part, [x.split()[0] for x in SPOT.split(", ")])
+
 
-    def spots(doc, mark, begin, stop, h=None) -> pa.RecordBatch:
-        none = pa.nulls(len(doc), pa.int64()) if h is None else pa.array(h)
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(mark), pa.array(begin.astype(np.int32)), pa.array(stop.astype(np.int32)), none], ["doc", "mark", "begin", "stop", "h"])
+class Anchors:
+    """The anchors of one share; ``give`` says what its contexts come to."""
 
-    def decided(doc: np.ndarray, mark: np.ndarray, h: np.ndarray, entry: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((doc, entry["c"], h))
-        h, doc, mark, entry = h[order], doc[order], mark[order], entry[order]
-        c = entry["c"]
+    def __init__(self, share: int) -> None:
+        self.share, self.held, self.size, self.limit = share << 32, [], 0, 4 * SHARE // 16
+        self.hot = np.zeros(0, np.uint32)
+
+    def add(self, doc: np.ndarray, mark: np.ndarray, entry: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append((doc, mark, entry))
+        self.size += len(doc)
+        if self.size > self.limit:  # contexts of hot anchors need not wait: their bytes are asked for anyway
+            h, n = np.unique(np.concatenate([e["h"] for _, _, e in self.held]), return_counts=True)
+            self.hot = np.union1d(self.hot, h[n > HOT]).astype(np.uint32)
+            doc, mark, entry = (np.concatenate([x[i] for x in self.held]) for i in range(3))
+            out = np.isin(entry["h"], self.hot)
+            yield from self._asked(doc[out], mark[out], entry[out])
+            self.held, self.size = [(doc[~out], mark[~out], entry[~out])], int((~out).sum())
+            self.limit = max(self.limit, 2 * self.size)
+
+    def _asked(self, doc: np.ndarray, mark: np.ndarray, entry: np.ndarray) -> Iterator[pa.RecordBatch]:
+        base = entry["at"].astype(np.int64) - BEFORE
+        return _spots(doc, mark, base + entry["lo"], base + entry["hi"], self.share | entry["h"].astype(np.int64), None, None, None)
+
+    def give(self) -> Iterator[pa.RecordBatch]:
+        if not self.size:
+            return
+        doc, mark, entry = (np.concatenate([x[i] for x in self.held]) for i in range(3))
+        order = np.lexsort((doc, entry["c"], entry["h"]))
+        doc, mark, entry = doc[order], mark[order], entry[order]
+        h, c = entry["h"], entry["c"]
         new_h = np.concatenate([[True], h[1:] != h[:-1]])
         new_c = new_h | np.concatenate([[True], c[1:] != c[:-1]])
-        at_h, at_c = np.flatnonzero(new_h), np.flatnonzero(new_c)
-        of_h, of_c = np.cumsum(new_h) - 1, np.cumsum(new_c) - 1
+        new_d = new_c | np.concatenate([[True], doc[1:] != doc[:-1]])
+        at_h, at_c, at_d = np.flatnonzero(new_h), np.flatnonzero(new_c), np.flatnonzero(new_d)
+        of_h, of_c, of_d = np.cumsum(new_h) - 1, np.cumsum(new_c) - 1, np.cumsum(new_d) - 1
         several = np.minimum.reduceat(doc, at_h) != np.maximum.reduceat(doc, at_h)
         kinds = np.add.reduceat(new_c.astype(np.int64), at_h)
-        over = doc > doc[at_c][of_c]
-        begin = entry["at"].astype(np.int64) - BEFORE + entry["lo"]
-        stop = entry["at"].astype(np.int64) - BEFORE + entry["hi"]
-        if over.any():
-            # Neighbouring anchors' ranges of one document are one range.
-            who = np.flatnonzero(over)
-            key = np.lexsort((mark[who], doc[who]))
-            who = who[key]
-            row = np.cumsum(np.concatenate([[0], (doc[who][1:] != doc[who][:-1]) | (mark[who][1:] != mark[who][:-1])]))
-            r, b, e = _merged(row, begin[who], stop[who])
-            lead = who[np.concatenate([[0], np.flatnonzero(np.diff(row)) + 1])]
-            yield spots(doc[lead][r], mark[lead][r], b, e)
-        need = ~over & (several & (kinds > 1))[of_h]
-        yield spots(doc[need], mark[need], begin[need], stop[need], h[need])
+        hot = np.isin(h, self.hot)
+        over = (doc > doc[at_c][of_c]) & ~hot
+        base = entry["at"].astype(np.int64) - BEFORE
+        # The source of a claim: the last context of the next smaller document in its class.
+        who = np.flatnonzero(over)
+        src = at_d[of_d[who]] - 1
+        yield from _spots(doc[src], mark[src], (base + entry["lo"])[src], (base + entry["hi"])[src], None, doc[who], mark[who], (base + entry["lo"])[who])
+        need = ~over & ((several & (kinds > 1))[of_h] | hot)
+        yield from self._asked(doc[need], mark[need], entry[need])
+
+
+def _repeated(found: DataFrame) -> DataFrame:
+    """Ranges covered already (h and to_doc are null); contexts to compare (h); contexts that claim to
+    equal a larger document's (to_doc, to_mark, to_begin: that one's place).
+
+    Shares come to a task one after the other, sorted by Spark, so a task holds one share.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, marks, entries, parts = [], [], [], []
+        now, held = None, Anchors(0)
         for batch in batches:
-            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if part < 0:
-                    yield spots(*np.frombuffer(blob.as_py(), "<i8").reshape(4, -1))
+            for share, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if share < 0:
+                    yield from _spots(*np.frombuffer(blob.as_py(), "<i8").reshape(4, -1), None, None, None, None)
                     continue
-                ids, entry = _unpack(blob.as_py())
-                docs.append(ids[0][entry["row"]])
-                marks.append(ids[1][entry["row"]])
-                entries.append(entry)
-                parts.append(np.full(len(entry), part, np.int64))
-        if not docs:
-            return
-        # A quarter of the anchors at a time.
-        for k in range(4):
-            own = [(e["h"] & 3) == k for e in entries]
-            doc, mark, part, entry = (np.concatenate([x[o] for x, o in zip(xs, own, strict=True)]) for xs in (docs, marks, parts, entries))
-            if len(doc):
-                yield from decided(doc, mark, part << 32 | entry["h"].astype(np.int64), entry)
+                if share != now:
+                    yield from held.give()
+                    now, held = share, Anchors(share)
+                yield from held.add(*_unpack(blob.as_py()))
+        yield from held.give()
 
-    return spread(found, "part").mapInArrow(run, SPOT)
+    return spread(found, "share").sortWithinPartitions("share").mapInArrow(run, SPOT)
 
 
 # ---- contexts ------------------------------------------------------------------------------
@@ -259,8 +313,15 @@ def _repeated(found: DataFrame) -> DataFrame:
 CONTEXT = "h bigint, doc bigint, mark bigint, begin int, bytes binary"
 
 
+def _context_rows(h: np.ndarray | None, doc: np.ndarray, mark: np.ndarray, begin: np.ndarray, whole: bytes, lo: np.ndarray, hi: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(doc), 50_000):
+        p = slice(at, at + 50_000)
+        blobs = [whole[x:y] for x, y in zip(lo[p].tolist(), hi[p].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(blobs), pa.int64()) if h is None else pa.array(h[p]), pa.array(doc[p]), pa.array(mark[p]), pa.array(begin[p].astype(np.int32)), pa.array(blobs, pa.binary())], ["h", "doc", "mark", "begin", "bytes"])
+
+
 def _contexts(texts: DataFrame) -> DataFrame:
-    """The bytes of the ranges to compare (doc, mark, text, spots: begin, stop and h of each)."""
+    """Bytes of the spots (doc, mark, text, spots): contexts to compare, and claims (h is null) at the place they are for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,18 +330,60 @@ def _contexts(texts: DataFrame) -> DataFrame:
             spots = batch.column(3)
             count = np.diff(spots.offsets.to_numpy())
             flat = spots.flatten()
-            begin, stop, h = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+            begin, stop, h, to_doc, to_mark, to_begin = (flat.field(i).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(6))
+            claim = flat.field(3).is_valid().to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(len(count)), count)
             base = starts[row]
-            doc, mark = batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row]
-            for lo in range(0, len(row), 100_000):
-                part = slice(lo, lo + 100_000)
-                blobs = [whole[x:y] for x, y in zip((base + begin)[part].tolist(), (base + stop)[part].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(h[part]), pa.array(doc[part]), pa.array(mark[part]), pa.array(begin[part].astype(np.int32)), pa.array(blobs, pa.binary())], ["h", "doc", "mark", "begin", "bytes"])
+            i = np.flatnonzero(~claim)
+            yield from _context_rows(h[i], batch.column(0).to_numpy()[row[i]], batch.column(1).to_numpy()[row[i]], begin[i], whole, (base + begin)[i], (base + stop)[i])
+            # A text's claims for one other text at one distance are joined where they overlap or touch.
+            i = np.flatnonzero(claim)
+            if len(i):
+                key = np.stack([row, to_doc, to_mark, to_begin - begin])[:, i]
+                order = np.lexsort(key)
+                i, key = i[order], key[:, order]
+                group = np.cumsum(np.concatenate([[0], (key[:, 1:] != key[:, :-1]).any(0)]))
+                g, lo, hi = _merged(group, begin[i], stop[i])
+                lead = i[np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))][g]
+                yield from _context_rows(None, to_doc[lead], to_mark[lead], lo + (to_begin - begin)[lead], whole, base[lead] + lo, base[lead] + hi)
 
     return texts.select("doc", "mark", "text", "spots").mapInArrow(run, CONTEXT)
 
 
+def _sub_contexts(contexts: DataFrame, level: int) -> DataFrame:
+    """The contexts' windows once more, dealt by the next larger anchor (number ``level`` from the least) as well."""
+    width = LENGTH - K + 1
+
+    def split(blobs: list[bytes], h: np.ndarray) -> tuple[np.ndarray, ...]:
+        size = np.array([len(b) for b in blobs])
+        start = np.concatenate([[0], np.cumsum(size)])
+        data = np.frombuffer(b"".join(blobs) + bytes(16), np.uint8)
+        word = _word(data, 0, len(data) - 7)
+        string = strings(word[:-8], word[8:])
+        many = size - LENGTH + 1
+        owner = np.repeat(np.arange(len(blobs)), many)
+        offset = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        seen = np.sort(string[(start[owner] + offset)[:, None] + np.arange(width)], 1)
+        rank = np.cumsum(np.concatenate([np.zeros((len(seen), 1), np.int64), seen[:, 1:] != seen[:, :-1]], 1), 1)
+        value = seen[np.arange(len(seen)), np.argmax(rank >= np.minimum(level, rank[:, -1])[:, None], 1)]
+        cut = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])]))
+        last = np.append(cut[1:], len(owner)) - 1
+        key = mix64(h[owner[cut]].view(np.uint64) ^ mix64(value[cut] + np.uint64(level))).view(np.int64)
+        return key, owner[cut], offset[cut], offset[last] + LENGTH
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                blobs = part.column(4).to_pylist()
+                h, owner, lo, hi = split(blobs, part.column(0).to_numpy())
+                cols = [c.to_numpy()[owner] for c in part.columns[1:4]]
+                out = [blobs[i][a:b] for i, a, b in zip(owner.tolist(), lo.tolist(), hi.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(cols[0]), pa.array(cols[1]), pa.array((cols[2] + lo).astype(np.int32)), pa.array(out, pa.binary())], ["h", "doc", "mark", "begin", "bytes"])
+
+    return contexts.select("h", "doc", "mark", "begin", "bytes").mapInArrow(run, CONTEXT)
+
+
 # ---- the transform -------------------------------------------------------------------------
 
 
@@ -409,12 +512,20 @@ def _decide(contexts: DataFrame) -> DataFrame:
     return spread(contexts.select("h", "doc", "mark", "begin", "bytes"), "h").sortWithinPartitions("h").mapInArrow(run, RANGE)
 
 
-def _by_window(contexts: DataFrame) -> DataFrame:
-    """Covered ranges at the hottest anchors: their windows meet by their own bytes."""
-    at = F.sequence(F.lit(0), F.octet_length("bytes") - LENGTH)
-    rows = contexts.select("doc", "mark", "begin", "bytes", F.explode(at).alias("o")).select("doc", "mark", (F.col("begin") + F.col("o")).alias("begin"), F.expr(f"substring(bytes, o + 1, {LENGTH})").alias("w")).distinct()
-    least = rows.groupBy("w").agg(F.min("doc").alias("least"))
-    return rows.join(least, "w").filter("doc > least").select("doc", "mark", "begin", (F.col("begin") + LENGTH).alias("stop"))
+def _compared(scratch: Scratch, contexts: DataFrame, hot: int) -> DataFrame:
+    """Covered ranges of all contexts; groups of over ``hot`` are split first, by anchor after anchor."""
+    ranges, level = [], 0
+    while True:
+        # After K-byte string number 34 a window has no other; what is left are windows of the same strings.
+        large = scratch.save(contexts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("h")) if level < LENGTH - K else None
+        if large is None or not large.limit(1).count():
+            return functools.reduce(DataFrame.unionByName, ranges, _decide(contexts))
+        level += 1
+        ranges.append(_decide(contexts.join(large, "h", "left_anti")))
+        many = contexts.join(large, "h", "left_semi")
+        known = scratch.save(many.join(many.groupBy("h", "bytes").agg(F.min("doc").alias("least")), ["h", "bytes"]))
+        ranges.append(known.filter("doc > least").select("doc", "mark", "begin", (F.col("begin") + F.octet_length("bytes")).alias("stop")))
+        contexts = scratch.save(_sub_contexts(known.filter("doc = least"), level))
 
 
 # ---- the whole -----------------------------------------------------------------------------
@@ -422,24 +533,21 @@ def _by_window(contexts: DataFrame) -> DataFrame:
 RESULT = "doc bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
 
 
-def cover(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cover(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, seed: int = 0) -> DataFrame:
     """doc, n_bytes, n_removed, n_spans, kept (the bytes left) for every row."""
     scratch = Scratch(docs.sparkSession)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     row = docs.select(id_of(id_col).alias("doc"), F.xxhash64(text_of(text_col)).alias("mark"), text_of(text_col).alias("text"))
-    spots = scratch.save(_repeated(_find(row, parts)))
+    total = row.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    spots = scratch.save(_repeated(_find(row, max(partitions(docs), -(-total // SHARE)), seed)))
     scratch.tidy()
-    listed = spots.filter("h is not null").groupBy("doc", "mark").agg(F.collect_list(F.struct("begin", "stop", "h")).alias("spots"))
-    contexts = scratch.save(_contexts(row.join(listed, ["doc", "mark"])))
+    listed = spots.filter("h is not null or to_doc is not null").groupBy("doc", "mark").agg(F.collect_list(F.struct("begin", "stop", "h", "to_doc", "to_mark", "to_begin")).alias("spots"))
+    fetched = scratch.save(_contexts(row.join(listed, ["doc", "mark"])))
+    done = scratch.save(spots.filter("h is null and to_doc is null").select("doc", "mark", "begin", "stop"))
+    scratch.drop(spots)
     scratch.tidy()
-    hot = scratch.save(contexts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("h"))
-    ranges = spots.filter("h is null").select("doc", "mark", "begin", "stop")
-    if hot.limit(1).count():
-        ranges = ranges.unionByName(_decide(contexts.join(hot, "h", "left_anti"))).unionByName(_by_window(contexts.join(hot, "h", "left_semi")))
-    else:
-        ranges = ranges.unionByName(_decide(contexts))
-    ranges = scratch.save(ranges)
-    scratch.drop(contexts, spots, hot)
+    found = scratch.save(_compared(scratch, fetched.filter("h is not null"), hot))
+    ranges = done.unionByName(found).withColumn("bytes", F.lit(None).cast("binary"))
+    claims = fetched.filter("h is null").select("doc", "mark", "begin", (F.col("begin") + F.octet_length("bytes")).alias("stop"), "bytes")
     scratch.tidy()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -448,16 +556,19 @@ def cover(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             found = batch.column(2)
             rows = []
             for i, doc in enumerate(batch.column(0).to_pylist()):
-                mine, ranges = data[starts[i] : starts[i + 1]], found[i].as_py()
+                mine = data[starts[i] : starts[i + 1]]
                 off = np.zeros(len(mine), bool)
-                for r in ranges or ():
+                whole = mine.tobytes() if found[i].is_valid else b""
+                for r in found[i].as_py() or ():
+                    if r["bytes"] is not None and whole[r["begin"] : r["stop"]] != r["bytes"]:
+                        raise ValueError(f"two contexts of document {doc} have one hash: run again with another seed")
                     off[r["begin"] : r["stop"]] = True
                 spans = int(off[:1].sum() + np.count_nonzero(off[1:] & ~off[:-1]))
                 rows.append((doc, len(mine), int(off.sum()), spans, mine[~off].tobytes()))
             kinds = [pa.int64()] * 4 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(5)], ["doc", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    by_doc = ranges.groupBy("doc", "mark").agg(F.collect_list(F.struct("begin", "stop")).alias("found"))
+    by_doc = ranges.unionByName(claims).groupBy("doc", "mark").agg(F.collect_list(F.struct("begin", "stop", "bytes")).alias("found"))
     return row.join(by_doc, ["doc", "mark"], "left").select("doc", "text", "found").mapInArrow(run, RESULT)
 
 

@@ -121,10 +121,9 @@ def brute_cover(rows):
 
 
 @pytest.mark.parametrize("hot", [suffix.HOT, 2])
-def test_suffix(docs, monkeypatch, hot):
-    monkeypatch.setattr(suffix, "HOT", hot)
+def test_suffix(docs, hot):
     rows = [(2**63 - 1 if i is None else i, t) for i, t, *_ in corpus()]
-    assert sorted(tuple(r) for r in suffix.cover(docs).collect()) == [(*r[:4], bytearray(r[4])) for r in brute_cover(rows)]
+    assert sorted(tuple(r) for r in suffix.cover(docs, hot=hot).collect()) == [(*r[:4], bytearray(r[4])) for r in brute_cover(rows)]
     assert suffix.cover(docs.limit(0)).count() == 0
 
 
