@@ -8,8 +8,12 @@ gathered in one task; joining a perspective's segments in ``position`` order giv
 
 Order is turn, then role, then text (nulls first). Null role: ``unknown``; null text: empty; rows with
 a null conversation id form one conversation. Equal rows are kept: they are counted, placed side by
-side and told apart by position only. Names are ASCII letters, digits, ``_`` and ``-``; other
-characters become ``_``, so a name cannot break out of its header.
+side and told apart by position only. Names are ASCII letters, digits, ``_`` and ``-``; a role with
+other characters gets ``_`` for each and a hash of itself at the end, so it neither breaks out of its
+header nor shares a name with another. ``<|im_`` in a text becomes ``<\\|im_``: a turn can't forge a
+header. An empty table gives an empty result, and other columns are not read. Texts of any length are
+whole. Positions are summed by blocks of ``BLOCK_TURNS`` turn numbers; turns of one number (or none)
+are one block, which a task sorts on disk where need be and never holds.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ from .common import table
 #: Turns in one block: positions are summed by block first, then inside each block.
 BLOCK_TURNS = 256
 HEAD, MID, TAIL = "<|im_start|>", "\n", "<|im_end|>\n"
+#: What starts a mark, and how a text's own is spelled.
+MARK, SPELLED = "<|im_", "<\\|im_"
 
 
 def _null_safe(a: Column, b: Column) -> Column:
@@ -33,7 +39,7 @@ def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     """conv_id, perspective, position, turn, speaker, role, name, segment, char_start, char_end, mask."""
     rows = (
         turns.select(
-            F.col(conv).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit("unknown")).alias("speaker"), F.coalesce(F.col(text), F.lit("")).alias("text")
+            F.col(conv).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit("unknown")).alias("speaker"), F.replace(F.coalesce(F.col(text), F.lit("")), F.lit(MARK), F.lit(SPELLED)).alias("text")
         )
         .groupBy("conv_id", "turn", "speaker", "text")
         .agg(F.count(F.lit(1)).alias("times"))
@@ -44,7 +50,8 @@ def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     speakers = blocks.select("conv_id", F.col("speaker").alias("perspective")).distinct()
     # Length of a segment beside its text: assistants and users have headers of fixed and of name length.
     is_own = F.col("speaker") == F.col("perspective")
-    name = F.regexp_replace("speaker", "[^A-Za-z0-9_-]", "_")
+    clean = F.regexp_replace("speaker", "[^A-Za-z0-9_-]", "_")
+    name = F.when(clean == F.col("speaker"), clean).otherwise(F.concat(clean, F.lit("-"), F.substring(F.md5("speaker"), 1, 8)))
     frame = len(HEAD + MID + TAIL)
     extra = F.when(is_own, F.lit(frame + len("assistant"))).otherwise(F.char_length(name) + frame + len("user name="))
     b, s = blocks.alias("b"), speakers.alias("s")
@@ -80,11 +87,11 @@ def op4_chat(spark, sf_dir: str) -> DataFrame:
 
 OP4_SQL = r"""
 WITH t AS (
-  SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations
+  SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|im_', '<\|im_') AS text FROM conversations
 ), p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t
 ), s AS (
   SELECT t.conv_id, p.perspective, t.turn, t.speaker, t.text, t.speaker = p.perspective AS mask,
-         regexp_replace(t.speaker, '[^A-Za-z0-9_-]', '_', 'g') AS clean
+         regexp_replace(t.speaker, '[^A-Za-z0-9_-]', '_', 'g') || CASE WHEN regexp_matches(t.speaker, '[^A-Za-z0-9_-]') THEN '-' || substr(md5(t.speaker), 1, 8) ELSE '' END AS clean
   FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
 ), r AS (
   SELECT *, CASE WHEN mask THEN '<|im_start|>assistant' || chr(10) || text || '<|im_end|>' || chr(10)

@@ -6,11 +6,17 @@ edits. It is split into k + 1 pieces; k edits leave at least one piece whole, so
 pass over a document finds every possible place. Each place is verified with Myers' bit-parallel
 distance, which finds the item anywhere in the window around the hit. Nothing else decides.
 
-Items are a stated query set: they are read in blocks of at most ``block_bytes`` bytes, and every
-block runs over all documents, so an automaton's size is bounded however many items there are. In
-``search`` a task has all items' texts but one automaton at a time.
-Null or empty texts and items match nothing. Repeated documents: one row each. Equal normal forms
-count once, under their smallest item id. Documents are whole; a long one only takes longer.
+An item with k = 0 (up to 12 characters by default) must stand between word edges, for a short word is
+part of many others; longer items may start and end anywhere.
+
+Items are a stated query set: they are read in blocks of at most ``block_bytes`` bytes, each a
+broadcast of its own, and every block runs over all documents, so an automaton's size is bounded however
+many items there are. A task has one block at a time: with several it holds ``HELD_BYTES`` of documents
+and lets every block search them.
+Null or empty texts and items match nothing; items without an id are left out. Items of one normal form
+are searched once and all named. Repeated documents: one row each. Documents are whole; a long one only
+takes longer. An empty table of documents gives an empty result, one of items no match. ``clean`` keeps
+all columns; ``search`` reads no others.
 """
 
 from __future__ import annotations
@@ -19,6 +25,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,18 +79,20 @@ def myers(masks: dict[str, int], m: int, text: str) -> tuple[int, int]:
 
 
 class Matcher:
-    """One block of items, ready to search texts."""
+    """One block of items (their ids and normal form), ready to search texts."""
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float) -> None:
+    def __init__(self, items: list[tuple[list[int], str]], error_rate: float) -> None:
         import ahocorasick
 
         self.items = []
         self.auto = ahocorasick.Automaton()
         by_piece: dict[str, list] = {}
-        for item, text in items:
-            n, k = len(text), int(error_rate * len(text))
-            at = len(self.items)
-            self.items.append((item, text, k, masks_of(text)))
+        for ids, text in items:
+            k = int(error_rate * len(text))
+            if not k:
+                text = f" {text} "
+            n, at = len(text), len(self.items)
+            self.items.append((ids, text, k, masks_of(text)))
             for lo, hi in pieces(n, k):
                 by_piece.setdefault(text[lo:hi], []).append((at, hi))
         for piece, spots in by_piece.items():
@@ -93,6 +102,7 @@ class Matcher:
 
     def search(self, text: str) -> list[tuple[int, int, int]]:
         """(item id, least distance, end of that match in the normal form), one for each item found."""
+        text = f" {text} " if text else ""
         found: dict[int, tuple[int, int]] = {}
         tried: dict[int, list[tuple[int, int]]] = {}
         for last, spots in self.auto.iter(text) if self.items and text else ():
@@ -113,26 +123,63 @@ class Matcher:
                 tried.setdefault(at, []).append((lo, up))
                 if best <= k and (at not in found or (best, lo + end) < found[at]):
                     found[at] = (best, lo + end)
-        return sorted((self.items[at][0], d, end) for at, (d, end) in found.items())
+        # The blank before the text doesn't count, nor the one after an item without errors.
+        return sorted((i, d, min(end, len(text) - 1) - (1 if self.items[at][2] else 2 - (end == len(text)))) for at, (d, end) in found.items() for i in self.items[at][0])
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    """Normalised items in blocks of bounded size, streamed to the driver one at a time."""
+Block = list[tuple[list[int], str]]
+
+
+def _blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[Broadcast]:
+    """Normalised items in blocks of bounded size. The driver has one at a time."""
 
     @F.arrow_udf("string")
     def norm(texts: pa.Array) -> pa.Array:
         return pa.array([normal(t or "") for t in texts.to_pylist()], pa.string())
 
     rows = items.select(F.col(id_col).cast("long").alias("item"), norm(F.col(text_col)).alias("text")).filter("item is not null and text != ''")
-    rows = rows.groupBy("text").agg(F.min("item").alias("item")).orderBy("item")
-    block, size = [], 0
+    rows = rows.groupBy("text").agg(F.sort_array(F.collect_set("item")).alias("items")).orderBy(F.col("items")[0])
+    out, block, size = [], [], 0
     for r in rows.toLocalIterator():
         if block and size + len(r["text"]) > block_bytes:
-            yield block
+            out.append(items.sparkSession.sparkContext.broadcast(block))
             block, size = [], 0
-        block.append((r["item"], r["text"]))
+        block.append((list(r["items"]), r["text"]))
         size += len(r["text"])
-    yield block
+    return [*out, items.sparkSession.sparkContext.broadcast(block)]
+
+
+def _matched(batches: Iterator[pa.RecordBatch], column: int, blocks: list[Broadcast], error_rate: float) -> Iterator[tuple[pa.RecordBatch, list[list]]]:
+    """Each batch with its rows' matches."""
+    if len(blocks) == 1:
+        m = Matcher(blocks[0].value, error_rate)
+        for batch in batches:
+            yield batch, [m.search(normal(t.as_py() or "")) for t in batch.column(column)]
+        return
+    # One automaton at a time: every block searches the rows held, then they go out.
+    for held in _gathered(batches):
+        texts = [[normal(t.as_py() or "") for t in batch.column(column)] for batch in held]
+        hits = [[[] for _ in x] for x in texts]
+        for block in blocks:
+            m = None  # the last one goes before the next is built
+            m = Matcher(block.value, error_rate)
+            vars(block).pop("_value", None)  # nor is its list kept: it is read again from the worker's file
+            for x, h in zip(texts, hits, strict=True):
+                for i, t in enumerate(x):
+                    h[i] += m.search(t)
+        yield from zip(held, [[sorted(x) for x in h] for h in hits], strict=True)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= HELD_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 FOUND = "doc_id bigint, items array<bigint>, distances array<bigint>, ends array<bigint>"
@@ -140,61 +187,26 @@ FOUND = "doc_id bigint, items array<bigint>, distances array<bigint>, ends array
 
 def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", error_rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents' matches: doc_id, items, distances, ends; one row per document, whatever the number of blocks."""
-    blocks = list(_blocks(items, item_col, item_text, block_bytes))
+    blocks = _blocks(items, item_col, item_text, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if len(blocks) == 1:
-            m = Matcher(blocks[0], error_rate)
-            for batch in batches:
-                yield found(batch.column(0), [m.search(normal(t.as_py() or "")) for t in batch.column(1)])
-            return
-        # One automaton at a time: every block searches the rows held, then they go out.
-        for held in gathered(batches):
-            texts = [[normal(t.as_py() or "") for t in batch.column(1)] for batch in held]
-            hits = [[[] for _ in x] for x in texts]
-            for block in blocks:
-                m = None  # the last one goes before the next is built
-                m = Matcher(block, error_rate)
-                for x, h in zip(texts, hits, strict=True):
-                    for i, t in enumerate(x):
-                        h[i] += m.search(t)
-            for batch, h in zip(held, hits, strict=True):
-                yield found(batch.column(0), [sorted(x) for x in h])
-
-    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
-        held, size = [], 0
-        for batch in batches:
-            held.append(batch)
-            size += batch.nbytes
-            if size >= HELD_BYTES:
-                yield held
-                held, size = [], 0
-        if held:
-            yield held
-
-    def found(docs: pa.Array, hits: list) -> pa.RecordBatch:
-        cols = [pa.array([[h[i] for h in x] for x in hits], pa.list_(pa.int64())) for i in range(3)]
-        return pa.RecordBatch.from_arrays([docs, *cols], ["doc_id", "items", "distances", "ends"])
+        for batch, hits in _matched(batches, 1, blocks, error_rate):
+            cols = [pa.array([[h[i] for h in x] for x in hits], pa.list_(pa.int64())) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", "items", "distances", "ends"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, FOUND)
 
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", error_rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents without a match, with all their columns; no join, one pass for each item block."""
-    def hits(block: list[tuple[int, str]]):
-        @F.arrow_udf("boolean")
-        def hit(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            m = Matcher(block, error_rate)
-            for texts in batches:
-                yield pa.array([bool(m.search(normal(t.as_py() or ""))) for t in texts], pa.bool_())
-
-        return hit
-
-    out = docs
-    for block in _blocks(items, "item_id", "text", block_bytes):
-        out = out.filter(~hits(block)(out[text_col]))
-    return out
+    """The documents without a match, with all their columns; one pass, no join."""
+    blocks, at = _blocks(items, "item_id", "text", block_bytes), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, hits in _matched(batches, at, blocks, error_rate):
+            yield batch.filter(pa.array([not h for h in hits], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op5_decontam(spark, sf_dir: str) -> DataFrame:

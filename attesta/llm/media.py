@@ -7,7 +7,9 @@ it never looks at the payload. ``samples`` joins the bytes that the sample table
 
 Nulls and empty texts: payload is padded to at least one frame, so every row has a valid file.
 A file that cannot be parsed gives a row with ``error`` set and the other columns null; it never
-fails the job. Very long rows are handled one at a time, so memory is bounded by one file.
+fails the job. Rows go in Arrow batches (64 MiB of texts, or one longer text, by Spark's default), and
+a task holds one batch with its files. Repeated rows get equal files, an empty table gives an empty
+result. Other columns stay; where one has the name of a new column, that one is named with ``_`` before.
 """
 
 from __future__ import annotations
@@ -19,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import named, table
 
 FRAME = 192
 TIMESCALE = 600
 FRAME_TICKS = 20
 GOP = 12
 FRAMES_PER_CHUNK = 64
+#: Payloads beyond this have 64-bit sizes and offsets.
+LARGEST = (1 << 32) - (1 << 26)
 CONTAINERS = (b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"mvex", b"moof", b"traf", b"udta")
 
 
@@ -65,6 +69,7 @@ def mux(payload: bytes) -> bytes:
     if not runs or last != FRAMES_PER_CHUNK:
         runs.append((chunks, last, 1))
     keys = range(1, frames + 1, GOP)
+    wide = len(data) > LARGEST
     tables = lambda start: box(
         b"stbl",
         full(b"stsd", struct.pack(">I", 1), entry),
@@ -72,7 +77,7 @@ def mux(payload: bytes) -> bytes:
         full(b"stss", struct.pack(f">I{len(keys)}I", len(keys), *keys)),
         full(b"stsc", struct.pack(">I", len(runs)), *(struct.pack(">3I", *r) for r in runs)),
         full(b"stsz", struct.pack(">II", FRAME, frames)),
-        full(b"stco", struct.pack(f">I{chunks}I", chunks, *(start + i * FRAMES_PER_CHUNK * FRAME for i in range(chunks)))),
+        full(b"co64" if wide else b"stco", struct.pack(f">I{chunks}{'Q' if wide else 'I'}", chunks, *(start + i * FRAMES_PER_CHUNK * FRAME for i in range(chunks)))),
     )
     dinf = box(b"dinf", full(b"dref", struct.pack(">I", 1), full(b"url ", flags=1)))
 
@@ -80,8 +85,8 @@ def mux(payload: bytes) -> bytes:
         minf = box(b"minf", full(b"vmhd", bytes(8), flags=1), dinf, tables(start))
         return box(b"moov", mvhd, box(b"trak", tkhd, box(b"mdia", mdhd, hdlr, minf)))
 
-    start = len(ftyp) + len(moov(0)) + 8
-    return ftyp + moov(start) + box(b"mdat", data)
+    start = len(ftyp) + len(moov(0)) + (16 if wide else 8)
+    return ftyp + moov(start) + (struct.pack(">I4sQ", 1, b"mdat", 16 + len(data)) + data if wide else box(b"mdat", data))
 
 
 # ---- reading -------------------------------------------------------------------------------
@@ -240,7 +245,7 @@ def with_media(df: DataFrame, text_col: str, media_col: str = "media") -> DataFr
     def write(texts: pa.Array) -> pa.Array:
         return pa.array([mux((t or "").encode()) for t in texts.to_pylist()], pa.binary())
 
-    return df.withColumn(media_col, write(F.col(text_col)))
+    return df.select("*", write(F.col(text_col)).alias(named(df, media_col)[0]))
 
 
 def with_probe(df: DataFrame, media_col: str = "media", probe_col: str = "probe", payload: bool = False) -> DataFrame:
@@ -251,11 +256,11 @@ def with_probe(df: DataFrame, media_col: str = "media", probe_col: str = "probe"
     def read(media: pa.Array) -> pa.Array:
         return pa.array([probe_one(m.as_py(), payload) for m in media], pa.struct(fields))
 
-    return df.withColumn(probe_col, read(F.col(media_col)))
+    return df.select("*", read(F.col(media_col)).alias(named(df, probe_col)[0]))
 
 
 def op1_media(spark, sf_dir: str) -> DataFrame:
-    """Every document as an ISO media file, read back through its sample tables."""
+    """Every document as an ISO media file, read back through its sample tables; codec, duration and keyframe byte ranges."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     out = with_probe(with_media(docs, "text"), payload=True)
     p = F.col("probe")
@@ -268,4 +273,5 @@ def op1_media(spark, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.octet_length(p["payload"]).cast("long").alias("payload_bytes"), F.sha2(p["payload"], 256).alias("payload_sha256"),
         F.crc32(F.substring(p["payload"], -16, 16)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"),
+        F.trim(p["codec"]).alias("codec"), (p["duration"] / p["timescale"]).alias("seconds"), p["keyframes"].alias("keyframes"),
     )

@@ -2,10 +2,16 @@
 
 A document's ids, with the end id, are cut into full pieces of ``limit`` and then into the powers of
 two of what is left, largest first. A piece is a sequence of its own: it never crosses documents and,
-its length being a power of two, needs no padding. Batches take equal lengths from one ``bucket``.
-
-Null or empty text: the end id alone. Repeated rows: packed once each. A piece's ``sequence_id`` is
-its input task and its number there: unique and the same on a retry, without any shuffle.
+its length being a power of two, needs no padding. Equal lengths share a ``bucket`` (the power), and
+each bucket's sequences are numbered into batches of ``batch_ids`` ids, which training draws from one
+bucket at a time; ``write_buckets`` stores a folder for each bucket. A batch is filled within one
+input task, so no shuffle is needed; its last batch may be short.
+
+Null or empty text: the end id alone. Repeated rows: packed once each. Long texts are whole; a task holds
+one at a time beside 4 MiB of others. An empty table gives an empty result; other columns are not read.
+A piece's ``sequence_id`` and its batch are its input task and its number there: unique and the same on a
+retry. Marks of the vocabulary in a text (``<|endoftext|>``) are plain text, as its README says to read
+them: a document can't forge an end.
 """
 
 from __future__ import annotations
@@ -26,7 +32,9 @@ LIMIT = 2048
 END_ID = 1
 #: Up to here (Latin letters) both libraries class characters alike; other texts go to `tokenizers`.
 LATIN = "ɏ"
-PACKED = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, bucket int"
+#: Ids of a batch.
+BATCH_IDS = 1 << 16
+PACKED = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, bucket int, batch_id bigint"
 
 
 def cut(n: int, limit: int) -> list[int]:
@@ -55,13 +63,14 @@ class Encoder:
         return self.fast.encode_ordinary(text)
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, end_id: int = END_ID, model: str | None = None, ranks: str | None = None, with_ids: bool = False) -> DataFrame:
-    """One row per piece; with_ids adds the ids themselves. model, ranks: the vocabulary's files."""
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, end_id: int = END_ID, model: str | None = None, ranks: str | None = None, with_ids: bool = False, batch_ids: int = BATCH_IDS) -> DataFrame:
+    """One row per piece; a batch is one batch_id of one bucket; with_ids adds the ids themselves. model, ranks: the vocabulary's files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(model, ranks)
         base = TaskContext.get().partitionId() << 40
         made = 0
+        filled = [0] * limit.bit_length()  # of each bucket: sequences so far
         for batch in batches:
             sizes = np.array([len(t) for t in batch.column(1).to_pylist()], np.int64)
             for lo, hi in chunks(sizes, 1 << 22):
@@ -71,8 +80,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit:
                     ids = np.array([*encode(text), end_id], "<u4")
                     at = 0
                     for n in cut(len(ids), limit):
-                        piece = ids[at : at + n]
-                        rows.append((doc, at, n, zlib.crc32(piece.tobytes()), len(ids), base + made, 0, n.bit_length() - 1))
+                        piece, bucket = ids[at : at + n], n.bit_length() - 1
+                        rows.append((doc, at, n, zlib.crc32(piece.tobytes()), len(ids), base + made, 0, bucket, base + filled[bucket] // max(1, batch_ids // n)))
+                        filled[bucket] += 1
                         if with_ids:
                             kept.append(piece)
                         at, made = at + n, made + 1
@@ -88,6 +98,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, shape)
 
 
+def write_buckets(packed: DataFrame, path: str) -> None:
+    """Stores the pieces (with their ids) by bucket, each file's rows by batch."""
+    packed.sortWithinPartitions("bucket", "batch_id", "sequence_id").write.partitionBy("bucket").parquet(path)
+
+
 def op3_packing(spark, sf_dir: str) -> DataFrame:
-    """All documents in sequences of at most 2048 ids."""
-    return pack(table(spark, sf_dir, "documents")).drop("bucket")
+    """All documents in sequences of at most 2048 ids, equal lengths in one bucket."""
+    return pack(table(spark, sf_dir, "documents"))
