@@ -6,7 +6,9 @@ A byte goes if it lies in a string of ``LENGTH`` bytes that also starts in a doc
    windows have equal anchors, so strings that repeat meet at an anchor. An anchor's context is the
    union of the windows that chose it. Of equal contexts in one input piece (their bytes are compared
    there) only the smallest document's is sent on, in packed arrays dealt out by anchor.
-2. Where all contexts of an anchor meet, those of one document alone are done with. Equal ones claim
+2. Where all contexts of an anchor meet, those of one document alone are done with, and those that share
+   no side of the anchor with another document: a window of LENGTH bytes has half of what surrounds
+   its anchor on one side, so equal windows are equal there. Equal contexts claim
    to be covered by the next smaller document that has them; contexts that differ at one anchor are
    asked for. Both are fetched from the texts as bytes, a document's neighbouring claims as one range.
 3. Contexts that differ are laid out as one text per block, its suffixes are sorted, and intervals of
@@ -90,13 +92,14 @@ def strings(first: np.ndarray, second: np.ndarray, seed: int = 0) -> np.ndarray:
     return mix64(first * np.uint64(0xD6E8FEB86659FD93) ^ mix64(second + np.uint64(seed)))
 
 
-def anchors(data: np.ndarray, starts: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All anchors of a batch of texts: hash, hash of the context, place, and the context's range."""
+def anchors(data: np.ndarray, starts: np.ndarray, seed: int = 0) -> tuple[np.ndarray, ...]:
+    """All anchors of a batch of texts: hash, hash of the context, place, the context's range, and hashes
+    of the SIDE bytes before and after the anchor (0: the context doesn't hold so many)."""
     n = len(data) - K + 1
     width = LENGTH - K + 1
     if n < width:
         none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none.astype(np.uint64), none, none, none, none.astype(np.uint16), none.astype(np.uint16)
     padded = np.concatenate([np.zeros(BEFORE, np.uint8), data, np.zeros(WIDTH + 16, np.uint8)])
     word = _word(padded, 0, len(padded) - 8)  # from BEFORE bytes ahead of each place on
     h = strings(word[BEFORE : BEFORE + n], word[BEFORE + 8 : BEFORE + 8 + n], seed)
@@ -128,10 +131,17 @@ def anchors(data: np.ndarray, starts: np.ndarray, seed: int = 0) -> tuple[np.nda
     c = mix64((lo * 256 + hi + (seed << 16)).astype(np.uint64))
     for k in range(_WORDS):
         c = mix64(c ^ (word[at + 8 * k] & _FROM[lo, k] & _UNTIL[hi, k]) * _ODD[k])
-    return mine, c, at, begin, stop
 
+    def side(first: int, there: np.ndarray) -> np.ndarray:
+        x = mix64(word[at + first] * _ODD[0] ^ word[at + first + 8] * _ODD[1] ^ word[at + first + SIDE - 8] * _ODD[2])
+        return np.where(there, x % np.uint64(65535) + np.uint64(1), np.uint64(0)).astype(np.uint16)
 
-ENTRY = np.dtype([("h", "<u4"), ("c", "<u8"), ("row", "<u4"), ("at", "<u4"), ("lo", "u1"), ("hi", "u1")])
+    return mine, c, at, begin, stop, side(BEFORE - SIDE, lo <= BEFORE - SIDE), side(BEFORE + K, hi >= BEFORE + K + SIDE)
+
+
+ENTRY = np.dtype([("h", "<u4"), ("c", "<u8"), ("row", "<u4"), ("at", "<u4"), ("lo", "u1"), ("hi", "u1"), ("left", "<u2"), ("right", "<u2")])
+#: A window has so many bytes on one side of its anchor at least.
+SIDE = -(-BEFORE // 2)
 RANGE = "doc bigint, mark bigint, begin int, stop int"
 
 
@@ -162,7 +172,7 @@ def _find(docs: DataFrame, shares: int, seed: int = 0) -> DataFrame:
     """share, blob: packed anchors of each input piece, dealt out by hash; share below 0: ranges covered already."""
 
     def flush(ids: np.ndarray, starts: np.ndarray, data: np.ndarray, found: list[tuple]) -> pa.RecordBatch:
-        h, c, row, at, lo, hi = (np.concatenate([f[i] for f in found]) for i in range(6))
+        h, c, row, at, lo, hi, left, right = (np.concatenate([f[i] for f in found]) for i in range(8))
         doc = ids[0][row]
         order = np.lexsort((doc, c))
         head = np.concatenate([[True], c[order][1:] != c[order][:-1]])[: len(c)]
@@ -179,6 +189,7 @@ def _find(docs: DataFrame, shares: int, seed: int = 0) -> DataFrame:
             blobs.append(np.stack([ids[0][r], ids[1][r], b, e]).astype("<i8").tobytes())
         entry = np.zeros(len(stay), ENTRY)
         entry["h"], entry["c"], entry["row"], entry["at"], entry["lo"], entry["hi"] = h[stay] >> np.uint64(32), c[stay], row[stay], place[stay], lo[stay], hi[stay]
+        entry["left"], entry["right"] = left[stay], right[stay]
         to = ((h[stay] & np.uint64(0xFFFFFFFF)) % np.uint64(shares)).astype(np.int64)
         order = np.lexsort((row[stay], to))
         entry, to = entry[order], to[order]
@@ -195,9 +206,9 @@ def _find(docs: DataFrame, shares: int, seed: int = 0) -> DataFrame:
             for a, b in chunks(np.diff(starts), PIECE):
                 bounds = starts[a : b + 1] - starts[a]
                 piece = data[starts[a] : starts[b]]
-                h, c, at, begin, stop = anchors(piece, bounds, seed)
+                h, c, at, begin, stop, left, right = anchors(piece, bounds, seed)
                 row = np.searchsorted(bounds, at, "right") - 1
-                found.append((h, c, (row + rows).astype(np.uint32), at + held, (begin - at + BEFORE).astype(np.uint8), (stop - at + BEFORE).astype(np.uint8)))
+                found.append((h, c, (row + rows).astype(np.uint32), at + held, (begin - at + BEFORE).astype(np.uint8), (stop - at + BEFORE).astype(np.uint8), left, right))
                 ids.append(np.stack([batch.column(0)[a:b].to_numpy(), batch.column(1)[a:b].to_numpy()]))
                 begins.append(bounds[:-1] + held)
                 texts.append(piece)
@@ -237,6 +248,19 @@ def _spots(*cols: np.ndarray | None) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(part, [x.split()[0] for x in SPOT.split(", ")])
 
 
+def _met(h: np.ndarray, side: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Has another document the same side at the same anchor?"""
+    if not len(h):
+        return np.zeros(0, bool)
+    order = np.lexsort((doc, side, h))
+    h, side, doc = h[order], side[order], doc[order]
+    head = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (side[1:] != side[:-1])]))
+    last = np.append(head[1:], len(h)) - 1
+    out = np.empty(len(h), bool)
+    out[order] = np.repeat((doc[head] != doc[last]) & (side[head] > 0), last - head + 1)
+    return out
+
+
 class Anchors:
     """The anchors of one share; ``give`` says what its contexts come to."""
 
@@ -282,6 +306,9 @@ class Anchors:
         src = at_d[of_d[who]] - 1
         yield from _spots(doc[src], mark[src], (base + entry["lo"])[src], (base + entry["hi"])[src], None, doc[who], mark[who], (base + entry["lo"])[who])
         need = ~over & ((several & (kinds > 1))[of_h] | hot)
+        # Equal windows are equal on one side of the anchor: what no other document has on either is done with.
+        i = np.flatnonzero(need & ~hot)
+        need[i] = _met(h[i], entry["left"][i], doc[i]) | _met(h[i], entry["right"][i], doc[i])
         yield from self._asked(doc[need], mark[need], entry[need])
 
 
