@@ -48,11 +48,11 @@ K = 16
 BEFORE = LENGTH - K
 WIDTH = BEFORE + LENGTH
 HOT = 20000
-PIECE = 2 << 20
-FLUSH = 16 << 20
+PIECE = 1 << 20
+FLUSH = 8 << 20
 BLOCK = 1 << 20
 #: Bytes of text whose anchors a task sorts at a time.
-SHARE = 12 << 20
+SHARE = 8 << 20
 
 
 # ---- anchors -------------------------------------------------------------------------------
@@ -171,8 +171,11 @@ def _same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, lo: np.ndarray,
 def _find(docs: DataFrame, shares: int, seed: int = 0) -> DataFrame:
     """share, blob: packed anchors of each input piece, dealt out by hash; share below 0: ranges covered already."""
 
-    def flush(ids: np.ndarray, starts: np.ndarray, data: np.ndarray, found: list[tuple]) -> pa.RecordBatch:
+    def flush(ids: list[np.ndarray], begins: list[np.ndarray], texts: list[np.ndarray], found: list[tuple]) -> pa.RecordBatch:
         h, c, row, at, lo, hi, left, right = (np.concatenate([f[i] for f in found]) for i in range(8))
+        ids, starts, data = np.concatenate(ids, 1), np.concatenate(begins), np.concatenate(texts)
+        texts.clear()
+        found.clear()
         doc = ids[0][row]
         order = np.lexsort((doc, c))
         head = np.concatenate([[True], c[order][1:] != c[order][:-1]])[: len(c)]
@@ -181,6 +184,7 @@ def _find(docs: DataFrame, shares: int, seed: int = 0) -> DataFrame:
         one, rep = order[over], first[over]
         over[np.flatnonzero(over)[~((lo[one] == lo[rep]) & (hi[one] == hi[rep]) & _same_bytes(data, at[one], at[rep], lo[one], hi[one]))]] = False
         gone, stay = order[over], order[~over]
+        del data, order, head, first, one, rep
         place = at - starts[row]
         out_shares, blobs = [], []
         if len(gone):
@@ -191,6 +195,7 @@ def _find(docs: DataFrame, shares: int, seed: int = 0) -> DataFrame:
         entry["h"], entry["c"], entry["row"], entry["at"], entry["lo"], entry["hi"] = h[stay] >> np.uint64(32), c[stay], row[stay], place[stay], lo[stay], hi[stay]
         entry["left"], entry["right"] = left[stay], right[stay]
         to = ((h[stay] & np.uint64(0xFFFFFFFF)) % np.uint64(shares)).astype(np.int64)
+        del h, left, right, lo, hi, at, place
         order = np.lexsort((row[stay], to))
         entry, to = entry[order], to[order]
         edge = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, np.int64)
@@ -214,10 +219,10 @@ def _find(docs: DataFrame, shares: int, seed: int = 0) -> DataFrame:
                 texts.append(piece)
                 rows, held = rows + b - a, held + int(bounds[-1])
                 if held >= FLUSH:
-                    yield flush(np.concatenate(ids, 1), np.concatenate(begins), np.concatenate(texts), found)
+                    yield flush(ids, begins, texts, found)
                     ids, begins, texts, found, rows, held = [], [], [], [], 0, 0
         if found:
-            yield flush(np.concatenate(ids, 1), np.concatenate(begins), np.concatenate(texts), found)
+            yield flush(ids, begins, texts, found)
 
     return docs.select("doc", "mark", "text").mapInArrow(run, "share int, blob binary")
 
@@ -288,6 +293,7 @@ class Anchors:
         if not self.size:
             return
         doc, mark, entry = (np.concatenate([x[i] for x in self.held]) for i in range(3))
+        self.held.clear()
         order = np.lexsort((doc, entry["c"], entry["h"]))
         doc, mark, entry = doc[order], mark[order], entry[order]
         h, c = entry["h"], entry["c"]
