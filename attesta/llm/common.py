@@ -55,6 +55,11 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
     return df.repartition(partitions(df), *cols)
 
 
+def in_turn(df: DataFrame, share: str) -> DataFrame:
+    """Deal numbered shares to the tasks in turn, so that all get as many; each task has them one after the other."""
+    return df.repartitionById(partitions(df), share).sortWithinPartitions(share)
+
+
 def named(df: DataFrame, *wanted: str) -> list[str]:
     """The wanted names, or longer ones where the table has columns of these names."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import Scratch, partitions, spread
+from .common import Scratch, in_turn, partitions, spread
 
 BLOCK = 4096
 GROUP_BYTES = 4 << 20
@@ -215,6 +215,8 @@ class Members:
         bucket, rid = np.concatenate(self.bucket), np.concatenate(self.rid)
         order = np.lexsort((rid, bucket))
         bucket, rid = bucket[order], rid[order]
+        again = np.concatenate([[False], (bucket[1:] == bucket[:-1]) & (rid[1:] == rid[:-1])])[: len(rid)]
+        bucket, rid = bucket[~again], rid[~again]
         first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(rid) else np.zeros(0, np.int64)
         n = np.diff(np.append(first, len(rid)))
         known = np.array([b in self.out for b in bucket[first].tolist()], bool) if self.out else np.zeros(len(first), bool)
@@ -256,7 +258,7 @@ def buckets(scratch: Scratch, blobs: DataFrame, block: int = BLOCK) -> DataFrame
                 yield from held.add(entry["bucket"], entry["offset"].astype(np.int64) + np.frombuffer(blob, "<i8", 1)[0])
         yield from held.give(True)
 
-    out = scratch.save(spread(blobs, "share").sortWithinPartitions("share").mapInArrow(run, "bucket bigint, part int, rid bigint, hot boolean"))
+    out = scratch.save(in_turn(blobs, "share").mapInArrow(run, "bucket bigint, part int, rid bigint, hot boolean"))
     scratch.tidy()
     return out
 
@@ -310,17 +312,26 @@ def _coarse(scratch: Scratch, members: DataFrame, about: DataFrame, agree: Calla
         return labels
     # Once more under every pair of hot buckets that aren't of one group.
     named = scratch.save(_labelled(hot.select("bucket", "rid").distinct(), labels))
-    mine = named.join(_several(named, "bucket"), "bucket", "left_semi").groupBy("rid", "comp").agg(F.sort_array(F.collect_set("bucket")).alias("own"))  # a band each at most
+    mixed = scratch.save(_several(named, "bucket"))
+    if not _some(mixed):
+        return labels
+    mine = named.join(mixed, "bucket", "left_semi").groupBy("rid", "comp").agg(F.sort_array(F.collect_set("bucket")).alias("own"))  # a band each at most
     both = F.flatten(F.transform("own", lambda x, i: F.transform(F.slice("own", i + 2, F.size("own")), lambda y: F.xxhash64(x, y))))
     pairs = scratch.save(mine.select("rid", "comp", F.explode(both).alias("bucket")))
-    again = pairs.join(_several(pairs, "bucket"), "bucket").withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
+    shared = scratch.save(_several(pairs, "bucket").withColumn("parts", F.ceil(F.col("n") / block).cast("int")))
+    if not _some(shared):
+        return labels
+    again = pairs.join(shared, "bucket")
     leads = again.filter("parts > 1").groupBy("bucket", "parts").agg(F.min("rid").alias("rid")).withColumn("part", _every("parts"))
     dealt = again.withColumn("part", _part("parts", 0)).select("bucket", "part", "rid").unionByName(leads.select("bucket", "part", "rid")).distinct()
     more = scratch.save(found.unionByName(_proposals(dealt.join(about, "rid"), agree, num, den)))
     if not _some(more):
         return None
     labels = components(more)
-    large = scratch.save(_labelled(again.filter("parts > 1").select("bucket", "rid"), labels))
+    large = again.filter("parts > 1").select("bucket", "rid")
+    if not _some(large):
+        return labels
+    large = scratch.save(_labelled(large, labels))
     if _some(_several(large, "bucket")):
         rest = crossed(large, "bucket", F.lit(1), block).select("bucket", "part", "rid")
         labels = components(more.unionByName(_proposals(rest.join(about, "rid"), agree, num, den)))

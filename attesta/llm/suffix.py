@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, back_to_id, chunks, id_of, mix64, partitions, spread, table, text_of, utf8
+from .common import Scratch, back_to_id, chunks, id_of, in_turn, mix64, partitions, spread, table, text_of, utf8
 
 LENGTH = 50
 K = 16
@@ -338,7 +338,7 @@ def _repeated(found: DataFrame) -> DataFrame:
                 yield from held.add(*_unpack(blob.as_py()))
         yield from held.give()
 
-    return spread(found, "share").sortWithinPartitions("share").mapInArrow(run, SPOT)
+    return in_turn(found, "share").mapInArrow(run, SPOT)
 
 
 # ---- contexts ------------------------------------------------------------------------------
