@@ -52,6 +52,11 @@ def content_hash(text: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(canonical_text(text), 256))
 
 
+def claim_text_hash(text: Column) -> Column:
+    """The text as it is, unlike ``content_hash``."""
+    return F.concat(F.lit("sha256:"), F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
 def verdict_id(*parts: Column) -> Column:
     joined = F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
     return F.concat(F.lit("v_"), F.substring(F.sha2(joined, 256), 1, 16))

@@ -12,7 +12,7 @@ from ..functions import text as T
 
 #: Words before a number that make it a label, units and scales after it, tolerance.
 LABEL_WORDS = "version ver article art section sec chapter ch clause paragraph para rule figure fig table item no number rfc iso ieee part step phase tier level grade type class page vol volume edition appendix annex".split()
-UNITS = "percent bn billion million trillion thousand m k b t usd eur gbp krw won dollar dollars euro euros pound pounds kg km mph ghz mhz hhz mb gb tb degree degrees year years month months day days hour hours people case cases death deaths pt pts bps".split()
+UNITS = "usd eur gbp krw won dollar dollars euro euros pound pounds kg km mph ghz mhz mb gb tb degree degrees year years month months day days hour hours people case cases death deaths pt pts bps".split()
 SCALES = {"bn": 1e9, "b": 1e9, "billion": 1e9, "m": 1e6, "mm": 1e6, "million": 1e6, "k": 1e3, "thousand": 1e3, "tn": 1e12, "t": 1e12, "trillion": 1e12}
 SCALE_WORDS = "bn billion mm million thousand trillion b m k t".split()
 TOLERANCE = 0.0005
@@ -25,8 +25,11 @@ REFERENTS = [
     ("margin", ["gross"], ["net"]),
 ]
 _NUMBER = re.compile(r"\d[\d,]*(?:\.\d+)?")
-_LEFT = re.compile(rf"(?P<money>[$€£¥₩]\s*$)|(?P<label>(?:{'|'.join(LABEL_WORDS)})\.?\s*$)", re.I)
+_LABEL = re.compile(rf"(?:{'|'.join(LABEL_WORDS)})\.?$", re.I)
+_LONGEST = max(map(len, LABEL_WORDS)) + 1
 _RIGHT = re.compile(rf"\s*(?:(?P<pct>%|(?:percent|pct|퍼센트)\b)|(?P<scale>{'|'.join(SCALE_WORDS)})\b|(?P<unit>°|(?:{'|'.join(UNITS)})\b))", re.I)
+#: The older measure's units: percent and scales (no mm, no pct) among them.
+_RIGHT_OLD = re.compile(rf"\s*(?:[%°]|(?:percent|bn|billion|million|trillion|thousand|m|k|b|t|{'|'.join(UNITS)})\b)", re.I)
 QUANTITIES = "array<struct<cls:string,val:double>>"
 
 
@@ -34,19 +37,22 @@ def read_quantities(text: str | None) -> list[tuple[str, float]]:
     """(class, value) of each number that states something: pct, mag, year or ver."""
     found = {}
     for m in _NUMBER.finditer(text or ""):
-        digits = m.group().replace(",", "")
-        left, right = text[max(0, m.start() - 24) : m.start()], text[m.end() : m.end() + 24]
-        after, before = _RIGHT.match(right), _LEFT.search(left)
+        digits, start = m.group().replace(",", ""), m.start()
+        edge = start  # the end of what stands before the number and its blanks, however many
+        while edge and text[edge - 1].isspace():
+            edge -= 1
+        before, after = text[max(0, edge - _LONGEST) : edge], _RIGHT.match(text, m.end())
+        money, label = before[-1:] in tuple("$€£¥₩"), _LABEL.search(before)
         value, kind = float(digits), None
-        glued = bool(left) and (left[-1] in "/-#" or left[-1].isalpha())
+        glued = start > 0 and (text[start - 1] in "/-#" or text[start - 1].isalpha())
         if after and after["pct"]:
             kind = "pct"
-        elif after or (before and before["money"]):
+        elif after or money:
             kind = "mag"
             value *= SCALES[after["scale"].lower()] if after and after["scale"] else 1
         elif "." in digits:
             kind = "ver"
-        elif glued or (before and before["label"]):
+        elif glued or label:
             continue
         elif re.fullmatch("1[89]\\d\\d|20\\d\\d", digits):
             kind = "year"
@@ -57,6 +63,33 @@ def read_quantities(text: str | None) -> list[tuple[str, float]]:
     return list(found)
 
 
+def number_set(text: str | None, salient: bool = False) -> list[str]:
+    """The numbers of a text as written, without commas, in order; salient: those that state something.
+
+    The older measure, kept beside ``read_quantities``: no scale and no class. A decimal, a year and a
+    number with a unit or currency count anywhere; other numbers need two digits and no label.
+    """
+    found = {}
+    for m in _NUMBER.finditer(text or ""):
+        digits, start = m.group().replace(",", ""), m.start()
+        edge = start
+        while edge and text[edge - 1].isspace():
+            edge -= 1
+        before = text[max(0, edge - _LONGEST) : edge]
+        marked = "." in digits or _RIGHT_OLD.match(text, m.end()) or before[-1:] in tuple("$€£¥₩") or re.fullmatch("1[89]\\d\\d|20\\d\\d", digits)
+        named = start > 0 and (text[start - 1] in "/-#" or text[start - 1].isalpha()) or _LABEL.search(before)
+        if not salient or marked or (not named and len(digits) > 1):
+            found[digits] = None
+    return list(found)
+
+
+def numbers(text: Column | str, salient: bool = False) -> Column:
+    def read(texts: pa.Array) -> pa.Array:
+        return pa.array([number_set(t, salient) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    return F.arrow_udf(read, "array<string>")(text)
+
+
 def _read_all(texts: pa.Array) -> pa.Array:
     shape = pa.list_(pa.struct([("cls", pa.string()), ("val", pa.float64())]))
     return pa.array([[{"cls": c, "val": v} for c, v in read_quantities(t)] for t in texts.to_pylist()], shape)

@@ -16,14 +16,21 @@ LEVELS_DOWN = {"no_date": 2, "broken_citations": 1}
 LEAST_GRADE = {"definitive_claim": "B", "statistics": "C", "expert_opinion": "C", "background": "D", "prediction": "C"}
 
 
-def build_verdicts(raw: DataFrame, claims: DataFrame, sources: DataFrame) -> DataFrame:
+def of_high_risk(raw: DataFrame, risk: DataFrame) -> DataFrame:
+    """The raw verdicts on high-risk claims (an atom's row counts as well): only these are anchored."""
+    return raw.join(risk.filter("computed_risk = 'high'").select("claim_id").distinct(), "claim_id", "left_semi")
+
+
+def build_verdicts(raw: DataFrame, claims: DataFrame, sources: DataFrame, risk: DataFrame | None = None) -> DataFrame:
     """Verdicts with anchors. raw: claim_id, source_id, label, evidence_span, span_state, model_id, prompt_hash;
     claims: claim_id, text; sources: source_id, quality_rating, content_hash, snapshot.
 
+    With risk (claim_id, computed_risk), only high-risk claims' verdicts are built, and before any text is read.
     Only pairs of a known claim and source come out (``unknown_pairs`` has the rest). An unknown
     label is a failed, malformed verdict. Anchors are read where the state is done; else they don't
     hold, and the polarity counts as fine.
     """
+    raw = raw if risk is None else of_high_risk(raw, risk)
     rows = raw.join(claims.select("claim_id", F.col("text").alias("claim")), "claim_id").join(sources.select("source_id", "quality_rating", "content_hash", "snapshot"), "source_id")
     known = F.coalesce(F.col("label").isin(LABELS), F.lit(False))
     state = F.when(known, F.col("span_state")).otherwise("failed")

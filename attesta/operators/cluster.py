@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -34,19 +36,27 @@ def fnv1a(text: Column | str) -> Column:
     return F.arrow_udf(_fnv1a, "bigint")(text)
 
 
+def _simhash(words: pa.Array) -> pa.Array:
+    size = np.diff(words.offsets.to_numpy())
+    flat = words.flatten().dictionary_encode()
+    out = np.zeros(len(size), np.uint64)
+    if len(flat):
+        hashes = np.asarray(_fnv1a(flat.dictionary)).view(np.uint64)
+        code = flat.indices.to_numpy()
+        some = np.flatnonzero(size)
+        first = np.concatenate([[0], np.cumsum(size)])[:-1][some]
+        for bit in range(64):
+            sign = ((hashes >> np.uint64(bit)) & np.uint64(1)).astype(np.int64) * 2 - 1
+            out[some] |= (np.add.reduceat(sign[code], first) > 0).astype(np.uint64) << np.uint64(bit)
+    return pa.array(out.view(np.int64))
+
+
 def simhash(sources: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """node, bits: a bit is set where more word occurrences have it than not; no words: 0.
 
-    Words are counted per source first and hashed once per distinct word.
+    One pass without a shuffle: a batch's distinct words are hashed once.
     """
-    words = sources.select(F.col(id_col).alias("node"), F.explode(T.tokens(F.col(text_col))).alias("w")).groupBy("node", "w").agg(F.count(F.lit(1)).alias("n"))
-    hashes = words.select("w").distinct().withColumn("h", fnv1a("w"))
-    sums = [F.sum(F.when(F.getbit("h", F.lit(b)) == 1, F.col("n")).otherwise(-F.col("n"))).alias(f"b{b}") for b in range(64)]
-    bits = words.join(hashes, "w").groupBy("node").agg(*sums)
-    value = F.lit(0).cast("long")
-    for b in range(64):
-        value = value.bitwiseOR(F.when(F.col(f"b{b}") > 0, F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
-    return sources.select(F.col(id_col).alias("node")).distinct().join(bits.select("node", value.alias("bits")), "node", "left").select("node", F.coalesce("bits", F.lit(0)).alias("bits"))
+    return sources.select(F.col(id_col).alias("node"), F.arrow_udf(_simhash, "bigint")(T.tokens(F.col(text_col))).alias("bits"))
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -74,10 +84,13 @@ def near_bits(hashes: DataFrame, most: int = NEAR_BITS) -> DataFrame:
 
 
 def near_pairs(hashes: DataFrame, most: int = NEAR_BITS) -> DataFrame:
-    """a, b: nodes (one per pattern) of at most three differing bits."""
-    close = near_bits(hashes.withColumn("scope", F.lit(0)), most)
-    name = lambda side: hashes.select(F.col("bits").alias(side), F.col("node").alias(f"n{side}"))
-    return close.join(name("a"), "a").join(name("b"), "b").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
+    """a, b of at most ``most`` differing bits: the least nodes of two patterns, and a pattern's least node with each of its others."""
+    rows = pinned(hashes.select("node", "bits").filter("bits <> 0"))
+    least = pinned(rows.groupBy("bits").agg(F.min("node").alias("node")))
+    same = rows.join(least.select("bits", F.col("node").alias("a")), "bits").filter("node <> a").select("a", F.col("node").alias("b"))
+    close = near_bits(least.withColumn("scope", F.lit(0)), most)
+    name = lambda side: least.select(F.col("bits").alias(side), F.col("node").alias(f"n{side}"))
+    return close.join(name("a"), "a").join(name("b"), "b").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).unionByName(same)
 
 
 def labels(comp: DataFrame, col: str) -> DataFrame:
@@ -118,6 +131,20 @@ def lexical_features(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return counts.join(norm, "node").select("node", "bucket", (F.col("n") / F.col("len")).alias("weight"))
 
 
+def _embed(texts: list[str]) -> np.ndarray:
+    """Vectors of unit length: counts of words and letter triples in hashed buckets; no words: zero."""
+    out = np.zeros((len(texts), DIMENSIONS))
+    seen: dict[str, int] = {}
+    for i, text in enumerate(texts):
+        for w in re.findall(r"\w+", text.lower()):
+            for f in (w, *(w[j : j + 3] for j in range(len(w) - 2))):
+                at = seen.get(f)
+                if at is None:
+                    at = seen[f] = hashlib.sha1(f.encode()).digest()[-1]
+                out[i, at] += 1
+    return out / np.maximum(np.sqrt((out * out).sum(1, keepdims=True)), 1e-300)
+
+
 def cosine_pairs(features: DataFrame, least: float = SIMILAR) -> DataFrame:
     """a, b, cosine of all pairs at or above a similarity. features: node, bucket, weight, and scope if pairs stay in one.
 

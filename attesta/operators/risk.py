@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,10 +15,10 @@ MONTHS = "jan(uary)?|feb(ruary)?|mar(ch)?|apr(il)?|may|jun(e)?|jul(y)?|aug(ust)?
 VERBS = "ban(s|ned)?|bar(s|red)?|prohibit(ed|s)?|restrict(s|ed|ing)?|block(s|ed)?|require[ds]?|caused?|led to|results? in|increased?|decreased?|reduced?|ruled?|overturn(ed|s)?|uph(eld|olds?)|struck|legaliz(ed|es)?|mandate[ds]?|acquired?|merged?|fined?|approved?|rejected?|found|sued?|convicted?"
 KOREAN_VERBS = "(금지|허용|의무화|인수|합병|판결|벌금|승인|기각)(했|한|함|됐|된)"
 RULES = {
-    "number": f"{L}[0-9]([0-9,.]*[0-9])?{R}",
-    "percent": rf"(?i)[0-9]+(\.[0-9]+)?\s?%|{L}(percent|퍼센트){R}",
+    "number": rf"{L}\p{{Nd}}([\p{{Nd}},.]*\p{{Nd}})?{R}",
+    "percent": rf"(?i)\p{{Nd}}+(\.\p{{Nd}}+)?\s?%|{L}(percent|퍼센트){R}",
     "currency": f"(?i)[$€£¥₩]|{L}(usd|eur|gbp|krw|won|dollars?|euros?|원|달러){R}",
-    "date": f"(?i){L}([0-9]{{4}}|[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2,4}}|{MONTHS}){R}",
+    "date": rf"(?i){L}(\p{{Nd}}{{4}}|\p{{Nd}}{{1,2}}/\p{{Nd}}{{1,2}}/\p{{Nd}}{{2,4}}|{MONTHS}){R}",
     "claim_verb": f"(?i){L}({VERBS}){R}|{KOREAN_VERBS}",
 }
 COORDINATORS = r"(?i),?\s+and\s+also\s+|,?\s+as\s+well\s+as\s+|,?\s+and\s+|;\s+|,?\s+그리고\s+|,?\s+또한\s+|\s+및\s+"
@@ -46,6 +49,12 @@ def atoms_struct(text: Column) -> Column:
     return F.struct(F.when(safe, own).otherwise(whole).alias("atoms"), single.alias("atomic"), (~single & ~safe).alias("needs_atomization"))
 
 
+def rules_hash() -> str:
+    """A digest of all rules, so that a run can pin them apart from the code."""
+    body = json.dumps({"rules": RULES, "coordinators": COORDINATORS}, sort_keys=True, ensure_ascii=False)
+    return "sha256:" + hashlib.sha256(body.encode()).hexdigest()
+
+
 def classify(claims: DataFrame, id_col: str = "claim_id", text_col: str = "text") -> DataFrame:
     """One row per claim, and one per atom of a safely split claim (``<id>__a<n>``)."""
     base = claims.select(F.col(id_col).cast("string").alias("claim_id"), F.col(text_col).alias("text"), atoms_struct(F.col(text_col)).alias("s"))

@@ -38,53 +38,56 @@ def query_errors(text: Column) -> Column:
     A required part counts as missing only where the part around it is there. JSON null is missing;
     what doesn't parse, or isn't an object, has the one fault ``(root): object``.
     """
-    doc = F.try_parse_json(text)
-    at = lambda p: F.try_variant_get(doc, "$." + p, "variant")
+    # The lambda binds the parsed document, so it is parsed once.
+    return F.transform(F.array(F.try_parse_json(text)), _faults)[0]
+
+
+def _faults(doc: Column) -> Column:
+    at = lambda p, kind="variant": F.try_variant_get(doc, "$." + p, kind)
     kind = lambda p: F.schema_of_variant(at(p))
     there = lambda p: F.coalesce(kind(p) != "VOID", F.lit(False))
     is_a = lambda p, k: F.coalesce(kind(p).startswith(k), F.lit(False))
-    string = lambda p: F.get_json_object(text, "$." + p)
     tests = []
     for p in REQUIRED:
         around = p.rpartition(".")[0]
         tests.append(F.when((is_a(around, "OBJECT") if around else F.lit(True)) & ~there(p), F.lit(f"{p}: required")))
     for p, words in ALLOWED.items():
-        tests.append(F.when(there(p) & ~(is_a(p, "STRING") & string(p).isin(words.split())), F.lit(f"{p}: value")))
+        tests.append(F.when(there(p) & ~(is_a(p, "STRING") & at(p, "string").isin(words.split())), F.lit(f"{p}: value")))
     for p, (lo, hi) in TEXT_SIZES.items():
-        tests.append(F.when(there(p) & ~(is_a(p, "STRING") & F.char_length(string(p)).between(lo, hi)), F.lit(f"{p}: length")))
+        tests.append(F.when(there(p) & ~(is_a(p, "STRING") & F.char_length(at(p, "string")).between(lo, hi)), F.lit(f"{p}: length")))
     for p, (lo, hi) in LIST_SIZES.items():
-        tests.append(F.when(there(p) & ~(is_a(p, "ARRAY") & F.json_array_length(string(p)).between(lo, hi)), F.lit(f"{p}: items")))
+        tests.append(F.when(there(p) & ~(is_a(p, "ARRAY") & F.size(at(p, "array<variant>")).between(lo, hi)), F.lit(f"{p}: items")))
     types = "constraints.sources.required_types"
-    listed = F.from_json(string(types), "array<string>")
-    tests.append(F.when(is_a(types, "ARRAY") & ~F.forall(listed, lambda x: F.coalesce(x.isin(SOURCE_TYPES.split()), F.lit(False))), F.lit(f"{types}: value")))
+    tests.append(F.when(is_a(types, "ARRAY") & ~F.forall(at(types, "array<string>"), lambda x: F.coalesce(x.isin(SOURCE_TYPES.split()), F.lit(False))), F.lit(f"{types}: value")))
     whole = lambda p: is_a(p, "BIGINT") | is_a(p, "DECIMAL")
     for p, n in LEAST.items():
-        tests.append(F.when(there(p) & ~(whole(p) & (F.try_variant_get(doc, "$." + p, "double") >= n)), F.lit(f"{p}: range")))
+        tests.append(F.when(there(p) & ~(whole(p) & (at(p, "double") >= n)), F.lit(f"{p}: range")))
     for p, n in MOST.items():
-        tests.append(F.when(there(p) & ~(whole(p) & (F.try_variant_get(doc, "$." + p, "double") <= n)), F.lit(f"{p}: range")))
+        tests.append(F.when(there(p) & ~(whole(p) & (at(p, "double") <= n)), F.lit(f"{p}: range")))
     root = F.coalesce(F.schema_of_variant(doc).startswith("OBJECT"), F.lit(False))
     return F.when(root, F.array_compact(F.array(*tests))).otherwise(F.array(F.lit("(root): object")))
 
 
-def budget(requests: DataFrame, total: int, key: str, order: str, amount: str) -> DataFrame:
+def budget(requests: DataFrame, total: int, key: str, order: str, amount: str, returned: str | None = None) -> DataFrame:
     """key, order, granted, remaining of requests of any size, taken in turn: one is granted whole or not at all.
 
-    Zero, less and null are granted for nothing. What a later request gets depends on all before it,
+    Zero, less and null are granted for nothing. Rows with ``returned`` give their amount back, up to the
+    total. What a later request gets depends on all before it,
     so one key's requests pass one task in order; they stream through it, sorted on disk where need
     be, and only the counter is kept.
     """
-    rows = requests.select(F.col(key).cast("string").alias("k"), F.col(order).cast("long").alias("o"), F.coalesce(F.col(amount), F.lit(0)).cast("long").alias("n"))
+    rows = requests.select(F.col(key).cast("string").alias("k"), F.col(order).cast("long").alias("o"), F.coalesce(F.col(amount), F.lit(0)).cast("long").alias("n"), (F.coalesce(F.col(returned), F.lit(False)) if returned else F.lit(False)).alias("back"))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, left = object(), total
         for batch in batches:
             granted, remaining = [], []
             keys = batch.column("k")
-            for k, n in zip(keys.to_pylist(), batch.column("n").to_pylist()):
+            for k, n, back in zip(keys.to_pylist(), batch.column("n").to_pylist(), batch.column("back").to_pylist(), strict=True):
                 if k != now:
                     now, left = k, total
-                fits = n <= left or n <= 0
-                left -= max(n, 0) if fits else 0
+                fits = back or n <= left or n <= 0
+                left = min(total, left + max(n, 0)) if back else left - max(n, 0) if fits else left
                 granted.append(fits)
                 remaining.append(left)
             yield pa.RecordBatch.from_arrays([keys, batch.column("o"), pa.array(granted, pa.bool_()), pa.array(remaining, pa.int64())], ["k", "o", "granted", "remaining"])
@@ -112,6 +115,15 @@ def lock_outcome(held: Column, mine: Column, same_process: Column, alive: Column
     return {"granted": refused.isNull(), "outcome": F.coalesce(refused, F.when(~held, "acquired").when(same_process, "reacquired").otherwise("reclaimed"))}
 
 
+def holder_may(held: Column, mine: Column) -> Column:
+    """May the asker refresh the heartbeat, or let go of the lock? Only who holds it."""
+    return F.coalesce(held & mine, F.lit(False))
+
+
+def is_stale(held: Column, age: Column, ttl: float = TTL) -> Column:
+    return F.coalesce(held & (age > ttl), F.lit(False))
+
+
 def session_status(sessions: DataFrame) -> DataFrame:
     """session_id, next_phase, state, done, of: the first phase that isn't completed. sessions: session_id, phase, state.
 

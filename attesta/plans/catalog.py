@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import anchors, cluster, evaluate, retrieval, risk, verdicts
+from ..operators import anchors, cluster, evaluate, passages, retrieval, risk, verdicts
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -27,7 +27,8 @@ def query(name: str, sql: str | None = None):
 
 
 W = r"[\p{L}\p{N}_]+"
-FIRST_WORDS = 4
+
+_OLD, _NEW = "‘’‚‛“”„‟‐‑‒–—―−", "''" * 4 + '"' * 4 + "-" * 7
 
 # ---- text ----------------------------------------------------------------------------------
 
@@ -37,12 +38,18 @@ def content_hash(spark, d):
     return read(spark, d, "documents").select("doc_id", T.content_hash(F.col("text")).alias("content_hash"))
 
 
-@query("normalize_text")
+#: The normal form in SQL, for texts of which compatibility forms and entities change nothing but ligatures.
+_FOLDED = rf"trim(regexp_replace(replace(translate({{0}}, '{_OLD}', '{_NEW}'), '…', '...'), '\s+', ' ', 'g'))"
+_UNESCAPED = "html"
+for _k, _v in {"&quot;": '"', "&copy;": "©", "&middot;": "·", "&amp;": "&"}.items():  # all that the pages have
+    _UNESCAPED = f"replace({_UNESCAPED}, '{_k}', '{_v}')"
+
+
+@query("normalize_text", f"SELECT page_id, sha256({_FOLDED.format(_UNESCAPED)}) AS normal_sha256 FROM pages")
 def normalize_text(spark, d):
     return read(spark, d, "pages").select("page_id", F.sha2(T.normalize(F.col("html")), 256).alias("normal_sha256"))
 
 
-_OLD, _NEW = "‘’‚‛“”„‟‐‑‒–—―−", "''" * 4 + '"' * 4 + "-" * 7
 
 
 @query("fold_text", rf"SELECT doc_id, sha256(trim(regexp_replace(replace(translate(text, '{_OLD}', '{_NEW}'), '…', '...'), '\s+', ' ', 'g'))) AS folded FROM documents")
@@ -93,14 +100,15 @@ def expanded_queries(spark, d):
     return read(spark, d, "benchmark").select("item_id", F.posexplode(T.expand_query(F.col("text"))).alias("pos", "search"))
 
 
-@query("fetch_class", """
-SELECT page_id, CASE WHEN lower(html) LIKE '%captcha%' OR length(html) < 200 THEN 'captcha' WHEN lower(substr(html, 1, 500)) LIKE '%password%' OR lower(substr(html, 1, 500)) LIKE '%sign in%' THEN 'login'
-  WHEN lower(html) LIKE '%access denied%' OR lower(html) LIKE '%not found%' THEN 'error' WHEN length(html) >= 1000 THEN 'success' ELSE 'partial' END AS kind FROM pages""")
+_HAS = lambda where, words: "(" + " OR ".join(f"contains({where}, '{w}')" for w in words) + ")"
+
+
+@query("fetch_class", rf"""
+WITH p AS (SELECT page_id, html, lower(html) AS low, lower(substr(html, 1, 500)) AS top, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(html), '(?s)<script[^>]*>.*?</script>', '', 'g'), '(?s)<style[^>]*>.*?</style>', '', 'g'), '(?s)<noscript[^>]*>.*?</noscript>', '', 'g'), '(?s)<head[^>]*>.*?</head>', '', 'g'), '<[^>]*>', '', 'g')) AS bare FROM pages)
+SELECT page_id, CASE WHEN {_HAS('low', ['<noscript>', '<div id="root"></div>'])} AND bare = '' THEN 'empty' WHEN {_HAS('low', ['captcha', 'verify', 'robot', '보안 인증'])} OR length(html) < 200 THEN 'captcha'
+  WHEN {_HAS('top', ['login', 'sign in', '로그인', 'password'])} THEN 'login' WHEN {_HAS('low', ['404', 'not found', 'access denied'])} THEN 'error' WHEN length(html) >= 1000 AND {_HAS('low', ['the', 'und'])} THEN 'success' ELSE 'partial' END AS kind FROM p""")
 def fetch_class(spark, d):
-    h, low = F.coalesce("html", F.lit("")), F.lower(F.coalesce("html", F.lit("")))
-    top = F.lower(F.substring(h, 1, 500))
-    kind = F.when(low.contains("captcha") | (F.char_length(h) < 200), "captcha").when(top.contains("password") | top.contains("sign in"), "login").when(low.contains("access denied") | low.contains("not found"), "error").when(F.char_length(h) >= 1000, "success").otherwise("partial")
-    return read(spark, d, "pages").select("page_id", kind.alias("kind"))
+    return read(spark, d, "pages").select("page_id", passages.fetch_class(F.col("html"), ["the", "und"]).alias("kind"))
 
 
 @query("bylines", r"SELECT p_partkey, nullif(lower(trim(regexp_replace(trim(regexp_replace(trim(p_name), '\s+', ' ', 'g')), '(?i)^by ', ''))), '') AS byline FROM part")
@@ -119,7 +127,22 @@ def risk_rules(spark, d):
     return read(spark, d, "documents").select("doc_id", F.array_join(rules, ",").alias("rules"), F.when(F.size(rules) > 0, "high").otherwise("normal").alias("computed_risk"))
 
 
-@query("claim_atoms")
+def _risky(x: str) -> str:
+    return "(" + " OR ".join(f"regexp_matches({x}, '{p}')" for p in risk.RULES.values()) + ")"
+
+
+_VERB = f"(({risk.VERBS}){risk.R}|{risk.KOREAN_VERBS})"
+_ATOMS = rf"""a0 AS (SELECT doc_id::VARCHAR AS claim_id, trim(coalesce(text, ''), ' ') AS t, coalesce(text, '') AS text FROM documents),
+a1 AS (SELECT *, list_filter(list_transform(regexp_split_to_array(t, '{risk.COORDINATORS}'), lambda x: trim(x, ' ')), lambda x: x <> '') AS parts, trim(regexp_extract(t, '(?is)^(.*?){risk.L}{_VERB}', 1), ' ') AS subject FROM a0),
+a2 AS (SELECT *, list_transform(parts, lambda x, i: CASE WHEN i > 1 AND subject <> '' AND regexp_matches(x, '(?i)^{_VERB}') THEN subject || ' ' || x ELSE x END) AS own FROM a1),
+a3 AS (SELECT *, len(list_filter(own, lambda x: {_risky('x')})) AS risky FROM a2),
+a4 AS (SELECT claim_id, text, own, len(parts) < 2 OR risky < 2 AS atomic, len(parts) >= 2 AND risky >= 2 AND risky < len(own) AS needs FROM a3)"""
+_TOLD = lambda x: "array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches({x}, '{p}') THEN '{k}' END" for k, p in risk.RULES.items()) + "], lambda y: y IS NOT NULL), ',')"
+
+
+@query("claim_atoms", f"""WITH {_ATOMS}, x AS (SELECT claim_id, text AS told, atomic, needs, NULL::VARCHAR AS atomized_from, NULL::VARCHAR AS atom_text FROM a4
+ UNION ALL SELECT claim_id || '__a' || (i - 1), own[i], true, false, claim_id, own[i] FROM (SELECT *, unnest(range(1, len(own) + 1))::INT AS i FROM a4 WHERE NOT atomic AND NOT needs))
+SELECT claim_id, CASE WHEN {_TOLD('told')} = '' THEN 'normal' ELSE 'high' END AS computed_risk, {_TOLD('told')} AS rules, atomic, needs AS needs_atomization, atomized_from, atom_text FROM x""")
 def claim_atoms(spark, d):
     return risk.classify(read(spark, d, "documents"), "doc_id", "text")
 
@@ -127,34 +150,40 @@ def claim_atoms(spark, d):
 # ---- anchors -------------------------------------------------------------------------------
 
 
-def cited(spark, d) -> DataFrame:
-    """item_id, doc_id, span, snapshot of documents that hold a benchmark passage's first words.
-
-    The first words are an equi-join key, so no pair without them is ever made; the passages are
-    grouped to distinct keys, and adaptive execution picks the join by their size.
-    """
-    doc = read(spark, d, "documents").select("doc_id", "text")
-    words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
-    items = read(spark, d, "benchmark").select("item_id", F.col("text").alias("span"), words.alias("w")).filter(F.size("w") >= FIRST_WORDS)
-    items = items.select("item_id", "span", F.array_join(F.slice("w", 1, FIRST_WORDS), " ").alias("k"))
-    keys = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - FIRST_WORDS + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, FIRST_WORDS), " "))
-    hits = doc.select("doc_id", words.alias("w")).select("doc_id", F.explode(F.array_distinct(keys)).alias("k")).join(items, "k").select("item_id", "span", "doc_id").distinct()
-    return hits.join(doc.withColumnRenamed("text", "snapshot"), "doc_id")
+def cited(spark, d, form=lambda c: c) -> DataFrame:
+    """item_id, doc_id, span, snapshot of the documents that hold a benchmark passage, both in a form."""
+    return passages.holding(read(spark, d, "documents").select("doc_id", "text"), read(spark, d, "benchmark"), form)
 
 
 @query("span_match", "SELECT b.item_id, d.doc_id, CAST(strpos(d.text, b.text) - 1 AS INTEGER) AS char_start FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def span_match(spark, d):
     at = F.position(F.col("span"), F.col("snapshot"))
-    return cited(spark, d).filter(at > 0).select("item_id", "doc_id", (at - 1).cast("int").alias("char_start"))
+    return cited(spark, d).select("item_id", "doc_id", (at - 1).cast("int").alias("char_start"))
 
 
-@query("anchored_spans")
+_ANCHORED = f"WITH p AS (SELECT item_id, doc_id, {_FOLDED.format('b.text')} AS s, {_FOLDED.format('d.text')} AS t FROM benchmark b, documents d WHERE contains({_FOLDED.format('d.text')}, {_FOLDED.format('b.text')}))"
+
+
+@query("anchored_spans", f"{_ANCHORED} SELECT item_id, doc_id, true AS span_matched, (strpos(t, s) - 1)::INTEGER AS char_start, (strpos(t, s) - 1 + length(s))::INTEGER AS char_end, true AS numeric_ok, true AS polarity_ok, '' AS referents, true AS anchors_ok FROM p")
 def anchored_spans(spark, d):
-    out = anchors.with_anchors(cited(spark, d).withColumn("claim", F.col("span")))
+    # A passage is its own claim: its numbers and negations agree with themselves.
+    out = anchors.with_anchors(cited(spark, d, T.normalize).withColumn("claim", F.col("span")))
     return out.select("item_id", "doc_id", "span_matched", "char_start", "char_end", "numeric_ok", "polarity_ok", F.array_join("referent_flags", ",").alias("referents"), "anchors_ok")
 
 
-@query("quantities")
+_LABELS = "|".join(anchors.LABEL_WORDS)
+_SCALED = " ".join(f"WHEN '{k}' THEN {v:.0f}" for k, v in anchors.SCALES.items())
+_QUANTITIES = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(text, '\d[\d,]*(?:\.\d+)?') AS n, regexp_split_to_array(text, '\d[\d,]*(?:\.\d+)?') AS s FROM documents),
+x AS (SELECT doc_id, replace(n[i], ',', '') AS n, s[i] AS l, s[i + 1] || coalesce(n[i + 1], '') AS r FROM (SELECT *, unnest(range(1, len(n) + 1))::INT AS i FROM d)),
+y AS (SELECT *, n::DOUBLE AS v, regexp_matches(r, '(?i)^\s*(%|(percent|pct|퍼센트)([^\p{{L}}\p{{N}}_]|$))') AS pct, lower(regexp_extract(r, '(?i)^\s*({'|'.join(anchors.SCALE_WORDS)})([^\p{{L}}\p{{N}}_]|$)', 1)) AS scale,
+ regexp_matches(r, '(?i)^\s*(°|({'|'.join(anchors.UNITS)})([^\p{{L}}\p{{N}}_]|$))') AS unit, regexp_matches(l, '[$€£¥₩]\s*$') AS money, regexp_matches(l, '(?i)({_LABELS})\.?\s*$') OR regexp_matches(l, '[-/#\p{{L}}]$') AS named FROM x),
+z AS (SELECT doc_id, CASE WHEN pct THEN 'pct' WHEN scale <> '' OR unit OR money THEN 'mag' WHEN contains(n, '.') THEN 'ver' WHEN named THEN NULL WHEN regexp_full_match(n, '1[89]\d\d|20\d\d') THEN 'year' WHEN length(n) > 1 THEN 'mag' END AS cls,
+ round(CASE WHEN NOT pct AND scale <> '' THEN v * CASE scale {_SCALED} END ELSE v END, 6) AS val FROM y)
+SELECT DISTINCT doc_id, cls, val FROM z WHERE cls IS NOT NULL"""
+
+
+@query("quantities", _QUANTITIES)
 def quantities(spark, d):
     return read(spark, d, "documents").select("doc_id", F.explode(anchors.quantities("text")).alias("q")).select("doc_id", "q.cls", "q.val")
 
@@ -185,15 +214,26 @@ def simhash_documents(spark, d):
     return cluster.simhash(read(spark, d, "documents"), "doc_id", "text").select(F.col("node").alias("doc_id"), "bits")
 
 
-@query("near_pairs", f"WITH {_SIMHASH}, p AS (SELECT bits, min(doc_id) AS node FROM b WHERE bits <> 0 GROUP BY 1) SELECT x.node AS a, y.node AS b FROM p x JOIN p y ON x.node < y.node AND bit_count(xor(x.bits, y.bits)) <= 3")
+@query("near_pairs", f"""WITH {_SIMHASH}, o AS (SELECT min(doc_id) AS doc_id FROM documents GROUP BY text), n AS (SELECT doc_id AS node, bits FROM b JOIN o USING (doc_id) WHERE bits <> 0), p AS (SELECT bits, min(node) AS node FROM n GROUP BY 1)
+SELECT x.node AS a, y.node AS b FROM p x JOIN p y ON x.node < y.node AND bit_count(xor(x.bits, y.bits)) <= 3 UNION ALL SELECT p.node, n.node FROM n JOIN p USING (bits) WHERE n.node > p.node""")
 def near_pairs(spark, d):
     # Equal texts are one node: pairs are between different texts.
     docs = read(spark, d, "documents").groupBy(F.xxhash64("text").alias("h"), "text").agg(F.min("doc_id").alias("doc_id"))
-    hashes = cluster.simhash(docs, "doc_id", "text").groupBy("bits").agg(F.min("node").alias("node"))
-    return cluster.near_pairs(hashes)
+    return cluster.near_pairs(cluster.simhash(docs, "doc_id", "text"))
 
 
-@query("source_clusters")
+_URLS = SQL["canonical_url"].replace("SELECT page_id, 'https://'", "SELECT page_id AS id, 'https://'")
+_CLUSTERS = rf"""
+WITH RECURSIVE documents AS (SELECT page_id AS doc_id, regexp_replace(html, '<[^>]*>', ' ', 'g') AS text FROM pages), {_SIMHASH},
+n AS (SELECT u.id, u.canonical, nullif(b.bits, 0) AS bits, row_number() OVER (ORDER BY u.id) AS i FROM ({_URLS}) u JOIN b ON b.doc_id = u.id),
+near AS (SELECT x.i, list(y.i) AS before FROM n x JOIN n y ON y.i < x.i AND (x.canonical = y.canonical OR bit_count(xor(x.bits, y.bits)) <= 3) GROUP BY 1),
+walk(i, leaders, own) AS (SELECT 0::BIGINT, []::BIGINT[], 0::BIGINT UNION ALL
+ SELECT w.i + 1, CASE WHEN len(list_intersect(w.leaders, coalesce(near.before, []))) > 0 THEN w.leaders ELSE list_append(w.leaders, w.i + 1) END, coalesce(list_min(list_intersect(w.leaders, coalesce(near.before, []))), w.i + 1)
+ FROM walk w LEFT JOIN near ON near.i = w.i + 1 WHERE w.i < (SELECT count(*) FROM n))
+SELECT n.id AS source_id, printf('cl_%04d', dense_rank() OVER (ORDER BY own) - 1) AS cluster_id FROM walk JOIN n USING (i)"""
+
+
+@query("source_clusters", _CLUSTERS)
 def source_clusters(spark, d):
     pages = read(spark, d, "pages").select(F.col("page_id").alias("id"), "url", F.regexp_replace("html", "<[^>]*>", " ").alias("text"))
     return cluster.partition(pages)
@@ -208,9 +248,15 @@ def lexical_features(spark, d):
     return cluster.lexical_features(read(spark, d, "benchmark"), "item_id", "text").select(F.col("node").alias("item_id"), "bucket", F.round("weight", 9).alias("weight"))
 
 
-@query("similar_items")
-def similar_items(spark, d):
-    return cluster.cosine_pairs(cluster.lexical_features(read(spark, d, "benchmark"), "item_id", "text")).select("a", "b", F.bround("cosine", 4).alias("cosine"))
+@query("similar_names", rf"""
+WITH ns AS (SELECT min(p_partkey) AS id, p_name AS text FROM part GROUP BY 2), w AS (SELECT id, unnest(regexp_extract_all(lower(text), '{W}')) AS w FROM ns),
+f AS (SELECT id, w AS f FROM w UNION ALL SELECT id, substr(w, i::INT, 3) FROM (SELECT id, w, unnest(range(1, greatest(length(w) - 1, 1))) AS i FROM w WHERE length(w) >= 3)),
+c AS (SELECT id, ('0x' || right(sha1(f), 2))::INT AS bucket, count(*) AS n FROM f GROUP BY 1, 2), v AS (SELECT id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS weight FROM c)
+SELECT x.id AS a, y.id AS b, round_even(round(sum(x.weight * y.weight), 9), 4) AS cosine FROM v x JOIN v y USING (bucket) WHERE x.id < y.id GROUP BY 1, 2 HAVING sum(x.weight * y.weight) >= 0.6 - 1e-9""")
+def similar_names(spark, d):
+    # Equal names are one node.
+    names = read(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("id"))
+    return cluster.cosine_pairs(cluster.lexical_features(names, "id", "p_name"), 0.6 - 1e-9).select("a", "b", F.bround(F.round("cosine", 9), 4).alias("cosine"))
 
 
 @query("provenance_clusters", "SELECT doc_id AS source_id, printf('cl_%04d', dense_rank() OVER (ORDER BY m) - 1) AS cluster_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY coalesce(nullif(lower(trim(source)), ''), doc_id::VARCHAR)) AS m FROM documents)")
@@ -265,29 +311,74 @@ def tuples(spark, d) -> DataFrame:
     return e.select("claim_id", "source_id", F.concat(F.lit("cl_"), (s % 3).cast("string")).alias("cluster_id"), F.when(s % 4 == 0, "a").when(s % 4 == 1, "B").otherwise("C").alias("grade"), label.alias("label"), "anchors_ok", "key_ord")
 
 
-_DECIDE = """t AS (SELECT claim_id, source_id, 'cl_' || (source_id % 3) AS cluster_id, source_id % 4 IN (0, 1) AS good, key_ord, CASE WHEN span_state = 'failed' OR NOT anchors_ok THEN 'neutral' ELSE label END AS eff FROM e),
+_DECIDE = """t AS (SELECT claim_id, source_id, 'cl_' || (source_id % 3) AS cluster_id, substr('ABCC', (source_id % 4)::INT + 1, 1) AS g, source_id % 4 IN (0, 1) AS good, key_ord, CASE WHEN span_state = 'failed' OR NOT anchors_ok THEN 'neutral' ELSE label END AS eff FROM e),
 r AS (SELECT * FROM t WHERE eff = 'entails' QUALIFY row_number() OVER (PARTITION BY claim_id, cluster_id ORDER BY key_ord) = 1),
-k AS (SELECT claim_id, count(*)::INTEGER AS n, bool_or(good) AS graded, string_agg(source_id::VARCHAR, ',' ORDER BY key_ord) AS proof FROM r GROUP BY 1),
-g AS (SELECT claim_id, bool_or(eff = 'contradicts') AS con, bool_or(eff = 'contradicts' AND good) AS hard FROM t GROUP BY 1),
-j AS (SELECT g.claim_id, coalesce(k.n, 0) AS n, coalesce(k.graded, false) AS graded, coalesce(k.proof, '') AS proof, con, hard, {panel} AS agrees, {m2} AS m2, {shown} AS panel_consensus FROM g LEFT JOIN k USING (claim_id) {join}),
-o AS (SELECT *, CASE WHEN hard AND NOT agrees THEN 'ab_contradiction' WHEN n > 0 AND con AND NOT agrees THEN 'conflict' WHEN n >= 2 AND graded AND (NOT m2 OR agrees) THEN 'ok' WHEN n >= 2 AND graded THEN 'panel_no_consensus' ELSE 'insufficient_independent_entails' END AS reason FROM j)
-SELECT claim_id, CASE reason WHEN 'ab_contradiction' THEN 'refuted' WHEN 'ok' THEN 'verified' ELSE 'unresolved' END AS status, reason, n AS independent_entails, n > 0 AND con AS conflict, panel_consensus, proof AS proof_source_ids FROM o"""
+k AS (SELECT claim_id, count(*)::INTEGER AS n, bool_or(good) AS graded, string_agg(source_id::VARCHAR, ',' ORDER BY key_ord) AS proof, string_agg(g, ',' ORDER BY key_ord) AS grades FROM r GROUP BY 1),
+c AS (SELECT claim_id, string_agg(source_id::VARCHAR, ',' ORDER BY key_ord) FILTER (eff = 'contradicts' AND good) AS hard, bool_or(eff = 'contradicts') AS con FROM t GROUP BY 1),
+j AS (SELECT c.claim_id, coalesce(k.n, 0) AS n, coalesce(k.graded, false) AS graded, proof, grades, con, hard, {panel} AS agrees, {m2} AS m2, {shown} AS panel_consensus FROM c LEFT JOIN k USING (claim_id) {join}),
+d1 AS (SELECT claim_id, 'refuted' AS status, 'ab_contradiction' AS reason FROM j WHERE hard IS NOT NULL AND NOT agrees),
+d2 AS (SELECT claim_id, 'unresolved' AS status, 'conflict' AS reason FROM j WHERE n > 0 AND con AND NOT agrees AND claim_id NOT IN (SELECT claim_id FROM d1)),
+d3 AS (SELECT claim_id, 'verified' AS status, 'ok' AS reason FROM j WHERE n >= 2 AND graded AND (NOT m2 OR agrees) AND claim_id NOT IN (SELECT claim_id FROM d1 UNION SELECT claim_id FROM d2)),
+d4 AS (SELECT claim_id, 'unresolved' AS status, CASE WHEN m2 AND NOT agrees AND n >= 2 AND graded THEN 'panel_no_consensus' ELSE 'insufficient_independent_entails' END AS reason FROM j WHERE claim_id NOT IN (SELECT claim_id FROM d1 UNION SELECT claim_id FROM d2 UNION SELECT claim_id FROM d3)),
+o AS (SELECT * FROM (SELECT * FROM d1 UNION ALL SELECT * FROM d2 UNION ALL SELECT * FROM d3 UNION ALL SELECT * FROM d4) JOIN j USING (claim_id))
+SELECT claim_id, status, reason, CASE WHEN reason IN ('ab_contradiction', 'conflict') THEN 0 ELSE n END AS independent_entails, reason = 'conflict' AS conflict, false AS coverage_degraded, panel_consensus,
+ CASE WHEN status = 'verified' THEN proof ELSE '' END AS proof_source_ids, CASE WHEN status = 'verified' THEN grades ELSE '' END AS proof_grades, CASE WHEN status = 'refuted' THEN hard END AS refuted_by FROM o"""
+
+
+def told(decided: DataFrame) -> DataFrame:
+    """Lists as text."""
+    return decided.withColumns({c: F.array_join(c, ",") for c in ("proof_source_ids", "proof_grades", "refuted_by")})
 
 
 @query("decisions", f"WITH {_EFFECTIVE}, " + _DECIDE.format(panel="false", m2="false", shown="NULL::VARCHAR", join=""))
 def decisions(spark, d):
-    return verdicts.decide(tuples(spark, d))
+    return told(verdicts.decide(tuples(spark, d)))
 
 
-@query("decisions_with_panel", f"WITH {_EFFECTIVE}, {_VOTES.replace('v AS', 'v2 AS').replace('FROM v ', 'FROM v2 ')}, " + _DECIDE.format(panel="coalesce(p.panel_consensus = 'entails', false)", m2="true", shown="p.panel_consensus", join="LEFT JOIN p USING (claim_id)"))
+_VOTED = f"WITH {_EFFECTIVE}, {_VOTES.replace('v AS', 'v2 AS').replace('FROM v ', 'FROM v2 ')}, " + _DECIDE.format(panel="coalesce(p.panel_consensus = 'entails', false)", m2="true", shown="p.panel_consensus", join="LEFT JOIN p USING (claim_id)")
+
+
+@query("decisions_with_panel", _VOTED)
 def decisions_with_panel(spark, d):
-    return verdicts.decide(tuples(spark, d), verdicts.panel_consensus(raw_votes(spark, d)))
+    return told(verdicts.decide(tuples(spark, d), verdicts.panel_consensus(raw_votes(spark, d))))
+
+
+# Claims 0 to 199 of which some have no verdict, a fifth is low-risk and some are compounds.
+_RUN = f"""c AS (SELECT i AS claim_id, i % 5 <> 2 AS high, i % 11 <> 5 AS atomic FROM range(0, 200) r(i)), d AS ({_VOTED})
+SELECT claim_id, CASE WHEN NOT high THEN 'cite_write' WHEN NOT atomic THEN 'unresolved' ELSE coalesce(status, 'unresolved') END AS status, CASE WHEN NOT high THEN 'non_high_risk' WHEN NOT atomic THEN 'needs_atomization' ELSE coalesce(reason, 'missing') END AS reason,
+ CASE WHEN high AND atomic THEN coalesce(independent_entails, 0) ELSE 0 END AS independent_entails, high AND atomic AND coalesce(conflict, false) AS conflict, false AS coverage_degraded, CASE WHEN high AND atomic THEN coalesce(d.panel_consensus, p2.panel_consensus) END AS panel_consensus,
+ CASE WHEN high AND atomic THEN coalesce(proof_source_ids, '') ELSE '' END AS proof_source_ids, CASE WHEN high AND atomic THEN coalesce(proof_grades, '') ELSE '' END AS proof_grades, CASE WHEN high AND atomic THEN refuted_by END AS refuted_by, high AS high_risk
+FROM c LEFT JOIN d USING (claim_id) LEFT JOIN (WITH {_VOTES} SELECT * FROM p) p2 USING (claim_id)"""
 
 
-@query("routed_claims")
+def validated_run(spark, d) -> dict[str, DataFrame]:
+    s, i = F.col("source_id"), F.col("id")
+    ids = spark.range(7).withColumn("_ord", i)
+    name = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    sources = ids.select(i.cast("string").alias("id"), F.when(i % 4 == 0, " a").when(i % 4 == 1, "B").otherwise("C").alias("quality_rating"), name("h", i).alias("content_hash"), "_ord")
+    claims = spark.range(200).select(i.alias("claim_id"), name("t", i).alias("claim_text_hash"))
+    risk_rows = spark.range(200).select(i.alias("claim_id"), F.when(i % 5 != 2, "high").otherwise("normal").alias("computed_risk"), (i % 11 != 5).alias("atomic"), F.lit(None).cast("string").alias("atomized_from"))
+    raw = raw_verdicts(spark, d).withColumns({"verdict_id": name("v", F.col("_ord")), "source_id": s.cast("string"), "fail_reason": F.lit(None).cast("string"), "snapshot_hash": name("h", s), "source_grade": F.when(F.col("_ord") % 2 == 0, F.when(s % 4 == 0, "A").when(s % 4 == 1, "b").otherwise("C")), "claim_text_hash": name("t", F.col("claim_id"))})
+    clusters = ids.select(i.cast("string").alias("source_id"), name("cl_", i % 3).alias("cluster_id"))
+    return verdicts.validate(sources, claims, risk_rows, raw, clusters, verdicts.panel_consensus(raw_votes(spark, d)))
+
+
+@query("validated_claims", f"WITH {_RUN}")
+def validated_claims(spark, d):
+    return told(validated_run(spark, d)["decided"])
+
+
+@query("validated_outcome", f"WITH x AS (WITH {_RUN}) SELECT 0::BIGINT AS errors, count(*) FILTER (status = 'verified' AND high_risk) AS verified, CASE WHEN count(*) FILTER (status = 'verified' AND high_risk) = 0 THEN 1 ELSE 0 END AS exit FROM x")
+def validated_outcome(spark, d):
+    return validated_run(spark, d)["outcome"]
+
+
+@query("routed_claims", f"""WITH {_ATOMS}, d AS (WITH {_EFFECTIVE}, {_DECIDE.format(panel="false", m2="false", shown="NULL::VARCHAR", join="")})
+SELECT a.claim_id, CASE WHEN {_TOLD('text')} = '' THEN 'cite_write' WHEN NOT atomic THEN 'unresolved' ELSE coalesce(d.status, 'unresolved') END AS status, CASE WHEN {_TOLD('text')} = '' THEN 'non_high_risk' WHEN NOT atomic THEN 'needs_atomization' ELSE coalesce(d.reason, 'missing') END AS reason
+FROM a4 a LEFT JOIN d ON d.claim_id::VARCHAR = a.claim_id""")
 def routed_claims(spark, d):
     docs = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("claim_id"), "text")
-    found = decisions(spark, d).withColumn("claim_id", F.col("claim_id").cast("string"))
+    found = verdicts.decide(tuples(spark, d)).withColumn("claim_id", F.col("claim_id").cast("string"))
     return verdicts.route(docs.select("claim_id"), risk.classify(docs), found)
 
 
@@ -302,26 +393,39 @@ def registry_errors(spark, d):
 _BM25 = rf"""
 WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '{W}') AS w FROM documents), s AS (SELECT count(*) AS n, avg(len(w)) AS a FROM t),
 x AS (SELECT doc_id, len(w) AS dl, unnest(w) AS t FROM t), tf AS (SELECT doc_id, dl, t, count(*) AS tf FROM x GROUP BY ALL), df AS (SELECT t, count(*) AS df FROM tf GROUP BY 1),
-q AS (SELECT DISTINCT item_id AS qid, unnest(regexp_extract_all(lower(text), '{W}')) AS t FROM benchmark),
-b AS (SELECT qid, doc_id AS doc, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a))) AS score FROM q JOIN tf USING (t) JOIN df USING (t), s GROUP BY 1, 2)
-SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc) AS INTEGER) AS rank, doc, round(score, 4) AS score FROM (SELECT qid, doc, round(score, 6) AS score FROM b) QUALIFY rank <= 5"""
+q AS (SELECT DISTINCT qid, unnest(regexp_extract_all(lower(text), '{W}')) AS t FROM forms),
+b AS (SELECT qid, doc_id AS doc, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a))) AS score FROM q JOIN tf USING (t) JOIN df USING (t), s GROUP BY 1, 2)"""
 
 
 def asked(spark, d):
     return read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text"), read(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
 
 
-@query("bm25_top5", _BM25)
+@query("bm25_top5", _BM25.replace("WITH t", "WITH forms AS (SELECT item_id AS qid, text FROM benchmark), t", 1) + "SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc) AS INTEGER) AS rank, doc, round(score, 4) AS score FROM (SELECT qid, doc, round(score, 9) AS score FROM b) QUALIFY rank <= 5")
 def bm25_top5(spark, d):
-    return retrieval.top_k(retrieval.bm25(*asked(spark, d)).withColumn("score", F.round("score", 6))).withColumn("score", F.round("score", 4))
-
-
-@query("retrieve_top5")
+    return retrieval.bm25(*asked(spark, d)).withColumn("score", F.round(F.round("score", 9), 4))
+
+
+_FEATURES = rf"""@p_w AS (SELECT id, unnest(regexp_extract_all(lower(text), '{W}')) AS w FROM @table),
+@p_f AS (SELECT id, w AS f FROM @p_w UNION ALL SELECT id, substr(w, i::INT, 3) FROM (SELECT id, w, unnest(range(1, greatest(length(w) - 1, 1))) AS i FROM @p_w WHERE length(w) >= 3)),
+@p_c AS (SELECT id, ('0x' || right(sha1(f), 2))::INT AS bucket, count(*) AS n FROM @p_f GROUP BY 1, 2),
+@p_v AS (SELECT id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS weight FROM @p_c)"""
+
+
+@query("retrieve_top5", rf"""
+WITH k AS (SELECT item_id, text, array_to_string(list_filter(regexp_extract_all(lower(text), '{W}'), lambda t: length(t) > 3), ' ') AS k FROM benchmark),
+forms AS (SELECT 2 * item_id AS qid, item_id, text FROM k UNION ALL SELECT 2 * item_id + 1, item_id, k FROM k WHERE k <> '' AND k <> lower(text)),
+{_BM25.split("WITH ", 1)[1]}, qs AS (SELECT qid AS id, text FROM forms), ds AS (SELECT doc_id AS id, text FROM documents), {_FEATURES.replace('@p_', 'of_q').replace('@table', 'qs')}, {_FEATURES.replace('@p_', 'of_d').replace('@table', 'ds')},
+cos AS (SELECT x.id AS qid, y.id AS doc, sum(x.weight * y.weight) AS c FROM of_qv x JOIN of_dv y USING (bucket) GROUP BY 1, 2),
+g AS (SELECT f.qid, f.item_id, d.doc_id AS doc, coalesce(b.score, 0) AS l, coalesce(cos.c, 0) AS c FROM forms f CROSS JOIN documents d LEFT JOIN b ON b.qid = f.qid AND b.doc = d.doc_id LEFT JOIN cos ON cos.qid = f.qid AND cos.doc = d.doc_id),
+h AS (SELECT *, min(l) OVER p AS l0, max(l) OVER p AS l1, min(c) OVER p AS c0, max(c) OVER p AS c1 FROM g WINDOW p AS (PARTITION BY qid)),
+y AS (SELECT item_id, doc, greatest(0, max(0.5 * CASE WHEN c1 > c0 THEN (c - c0) / (c1 - c0) ELSE 0 END + 0.5 * CASE WHEN l1 > l0 THEN (l - l0) / (l1 - l0) ELSE 0 END)) AS hybrid FROM h GROUP BY 1, 2),
+qq AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '{W}')) AS w FROM benchmark), dd AS (SELECT doc_id AS doc, list_distinct(regexp_extract_all(lower(text), '{W}')) AS w FROM documents),
+z AS (SELECT item_id AS qid, doc, hybrid, len(list_intersect(qq.w, dd.w)) / greatest(len(qq.w), 1) AS rerank FROM y JOIN qq USING (item_id) JOIN dd USING (doc)),
+r AS (SELECT *, round(0.7 * rerank + 0.3 * hybrid, 9) AS score FROM z)
+SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc) AS INTEGER) AS rank, doc, round_even(score, 4) AS score, round_even(round(hybrid, 9), 4) AS hybrid, round_even(round(rerank, 9), 4) AS rerank FROM r QUALIFY rank <= 5""")
 def retrieve_top5(spark, d):
-    q, docs = asked(spark, d)
-    fq, fd = cluster.lexical_features(q, "qid", "text"), cluster.lexical_features(docs, "doc", "text")
-    cosine = fq.withColumnRenamed("node", "qid").join(fd.select(F.col("node").alias("doc"), "bucket", F.col("weight").alias("w2")), "bucket").groupBy("qid", "doc").agg(F.sum(F.col("weight") * F.col("w2")).alias("score"))
-    return retrieval.retrieve(q, docs, cosine)
+    return retrieval.retrieve(*asked(spark, d))
 
 
 # ---- measures ------------------------------------------------------------------------------
@@ -384,8 +488,7 @@ def replay_plan(spark, d):
 
 @query("grade_histogram", "SELECT substr('ABCD', (s_nationkey % 4)::INT + 1, 1) AS grade, count(*) AS n, repeat('█', count(*)::INT) AS bar FROM supplier GROUP BY 1")
 def grade_histogram(spark, d):
-    g = F.substring(F.lit("ABCD"), (F.col("s_nationkey") % 4).cast("int") + 1, F.lit(1))
-    return read(spark, d, "supplier").groupBy(g.alias("grade")).agg(F.count(F.lit(1)).alias("n")).withColumn("bar", F.expr("repeat('█', cast(n as int))"))
+    return passages.grade_histogram(read(spark, d, "supplier"), F.substring(F.lit("ABCD"), (F.col("s_nationkey") % 4).cast("int") + 1, F.lit(1)))
 
 
 @query("coverage_gap", "SELECT o_orderkey FROM orders WHERE o_totalprice > 200000 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")

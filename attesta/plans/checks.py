@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import bindings, gate, probes, runs
 from ..sources import tables
-from .catalog import _DECIDE, _RULE_SQL, cited, query, read
+from .catalog import _ANCHORED, _DECIDE, _RULE_SQL, cited, query, read
 
 
 def name(prefix: str, number):
@@ -96,9 +97,11 @@ def lens_models(spark, d):
 # ---- bindings ------------------------------------------------------------------------------
 
 
-@query("built_verdicts")
+@query("built_verdicts", f"""{_ANCHORED}, r AS (SELECT 'c' || item_id AS claim_id, 'src_' || doc_id AS source_id, item_id % 7 <> 0 AS known, CASE WHEN item_id % 7 = 0 OR item_id % 9 = 0 THEN 'failed' ELSE 'done' END AS state, CASE WHEN item_id % 5 = 0 THEN 'neutral' ELSE 'entails' END AS label, b.text AS span, d.text AS snap, s, t FROM p JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id))
+SELECT 'v_' || substr(sha256(claim_id || '|' || source_id || '|verifier|m|p|' || span), 1, 16) AS verdict_id, claim_id, source_id, CASE WHEN known THEN label END AS label, state AS span_state, CASE WHEN NOT known THEN 'malformed_label' END AS fail_reason, state = 'done' AS span_matched,
+ CASE WHEN state = 'done' THEN strpos(t, s)::INTEGER - 1 ELSE -1 END AS char_start, CASE WHEN state = 'done' THEN (strpos(t, s) - 1 + length(s))::INTEGER ELSE -1 END AS char_end, state = 'done' AS numeric_ok, true AS polarity_ok, state = 'done' AS anchors_ok, '' AS referents, 'B' AS source_grade, sha256(snap) AS snapshot_hash FROM r""")
 def built_verdicts(spark, d):
-    rows = cited(spark, d)
+    rows = cited(spark, d, T.normalize)
     i = F.col("item_id")
     label = F.when(i % 7 == 0, "maybe").when(i % 5 == 0, "neutral").otherwise("entails")
     raw = rows.select(name("c", i).alias("claim_id"), name("src_", F.col("doc_id")).alias("source_id"), label.alias("label"), F.col("span").alias("evidence_span"), F.when(i % 9 == 0, "failed").otherwise("done").alias("span_state"), F.lit("m").alias("model_id"), F.lit("p").alias("prompt_hash"))

@@ -4,28 +4,70 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from .scratch import Scratch
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, mode: str = "strict") -> tuple[DataFrame, DataFrame]:
-    """Rows and errors (line, raw). strict: bad lines are errors; lenient: they are dropped; raising: the read fails.
+def _fs(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
-    ``_ord`` keeps file order: the byte-ordered position of the line, by file and row index.
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Is there a file or folder at a path, or one that matches a pattern?"""
+    fs, where = _fs(spark, path)
+    return bool(fs.globStatus(where))
+
+
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1), _ord (over all files, in order of their names), value of every line, blank ones too.
+
+    Lines of one split follow each other in one partition, so a line's place in its split is known from
+    the row's number; one small row per split (its first number and how many) gives the rest.
     """
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    splits = rows.groupBy("file", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    place = splits.select("file", "block", "first", earlier(W.partitionBy("file").orderBy("block")).alias("in_file"), earlier(W.orderBy("file", "block")).alias("in_all"))
+    at = F.col("id") - F.col("first")
+    return rows.join(place, ["file", "block"]).select("file", (at + F.col("in_file") + 1).alias("line"), (at + F.col("in_all")).alias("_ord"), "value")
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, mode: str = "strict", missing: str = "error") -> tuple[DataFrame, DataFrame]:
+    """Rows with ``_ord`` (their place in file order), and errors (file, line, raw).
+
+    strict: bad lines are errors; lenient: they are dropped; raising: the read fails. Blank lines count
+    as places, not as rows. missing: ``none`` makes an absent file an empty table.
+    """
+    nothing = spark.createDataFrame([], "file string, line bigint, raw string")
+    if missing == "none" and not exists(spark, path):
+        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("_ord", T.LongType())])), nothing
     full = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("_ord")).filter(F.trim("value") != "")
     options = {"mode": "FAILFAST" if mode == "raising" else "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    parsed = lines.select("_ord", "value", F.from_json("value", schema if mode == "raising" else full, options).alias("r"))
+    parsed = lines(spark, path).filter(F.trim("value") != "").select("file", "line", "_ord", "value", F.from_json("value", schema if mode == "raising" else full, options).alias("r"))
     if mode == "raising":
-        return parsed.select("r.*", "_ord"), spark.createDataFrame([], "_ord bigint, raw string")
+        return parsed.select("r.*", "_ord"), nothing
     good = parsed.filter(F.col("r._corrupt").isNull()).select("r.*", "_ord").drop("_corrupt")
-    bad = parsed.filter(F.col("r._corrupt").isNotNull()).select("_ord", F.col("value").alias("raw"))
-    return good, bad if mode == "strict" else bad.limit(0)
+    bad = parsed.filter(F.col("r._corrupt").isNotNull()).select("file", "line", F.col("value").alias("raw"))
+    return good, bad if mode == "strict" else nothing
+
+
+def read_document(spark: SparkSession, path: str, schema: T.StructType, default: list | None = None) -> DataFrame:
+    """The records of one JSON document (an array or an object); the default where it is missing or isn't JSON."""
+    other = spark.createDataFrame(default or [], schema)
+    if not exists(spark, path):
+        return other
+    full = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
+    rows = spark.read.schema(full).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path).cache()
+    broken = rows.filter(F.col("_corrupt").isNotNull()).limit(1).count()
+    return other if broken else rows.drop("_corrupt")
 
 
 def read_folder(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
@@ -33,20 +75,128 @@ def read_folder(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame
     return spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+def read_body(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
+    """One row: the texts below a folder, in order of their paths, joined by line breaks. A report's size, no corpus."""
+    if not exists(spark, path):
+        return spark.createDataFrame([("",)], "text string")
+    parts = F.sort_array(F.collect_list(F.struct("path", "text")))
+    return read_folder(spark, path, glob).agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("text"))
+
+
+def read_labels(spark: SparkSession, glob: str, schema: T.StructType) -> DataFrame:
+    """labeler, unit_id, label from files named labeler_<name>.jsonl; the last row of each labeler and unit."""
+    full = lines(spark, glob).filter(F.trim("value") != "").select(F.regexp_extract("file", r"labeler_([^/]*)\.jsonl$", 1).alias("labeler"), "_ord", F.from_json("value", schema).alias("r"))
+    return last_labels(full.select("labeler", "_ord", "r.*"))
+
+
+def file_hashes(spark: SparkSession, paths: dict[str, str]) -> dict[str, str | None]:
+    """Name to SHA-256 of a file's bytes, null for absent files; files are hashed by the executors."""
+    there = {k: p for k, p in paths.items() if exists(spark, p)}
+    out: dict[str, str | None] = dict.fromkeys(paths)
+    for name, path in there.items():  # few files, named by the caller
+        out[name] = "sha256:" + spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()[0]
+    return out
+
+
+def freeze_bench(spark: SparkSession, paths: dict[str, str], frozen_at: str | None = None) -> dict:
+    """A signed manifest of a benchmark's files."""
+    manifest = {"frozen_at": frozen_at, "files": file_hashes(spark, paths)}
+    return manifest | {"signature": sign(manifest)["signature"]}
+
+
+def bench_drift(spark: SparkSession, manifest: dict, paths: dict[str, str]) -> list[str]:
+    """What no longer is as it was frozen."""
+    out = [] if sign(manifest)["signature"] == manifest.get("signature") else ["signature"]
+    now, then = file_hashes(spark, paths), manifest.get("files", {})
+    return out + sorted(k for k in {*now, *then} if now.get(k) != then.get(k))
+
+
+def write_jsonl(df: DataFrame, path: str) -> None:
+    """JSON lines at a path, seen by readers as a whole: written beside it, then renamed over it."""
+    spark = df.sparkSession
+    fs, _ = _fs(spark, path)
+    beside, old = f"{path}.{uuid.uuid4().hex}", f"{path}.old"
+    df.write.json(beside)
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
+    if fs.exists(jvm_path(path)):
+        fs.delete(jvm_path(old), True)
+        fs.rename(jvm_path(path), jvm_path(old))
+    fs.rename(jvm_path(beside), jvm_path(path))
+    fs.delete(jvm_path(old), True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, replaced as a whole."""
+    fs, where = _fs(spark, path)
+    beside = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(beside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    kinds = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    over = spark.sparkContext._gateway.new_array(kinds, 1)
+    over[0] = kinds.OVERWRITE
+    spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(beside), fs.makeQualified(where), over)
+
+
 def last_labels(rows: DataFrame) -> DataFrame:
     """labeler, unit_id, label: the last row of each labeler (named by its file) and unit."""
-    from pyspark.sql import Window as W
-
     last = W.partitionBy("labeler", "unit_id").orderBy(F.col("_ord").desc())
     return rows.withColumn("_rn", F.row_number().over(last)).filter("_rn = 1").drop("_rn")
 
 
+def resolve_text(sources: DataFrame, raw: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """The sources with found_text and text_error: the inline text (an empty one too), else that at raw_path, else at snapshot_path.
+
+    raw, snapshots: path, text. A path that is named and has no file is an error, whatever comes after it.
+    """
+    named = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    rows = sources.join(raw.select(F.col("path").alias("raw_path"), F.col("text").alias("__raw")), "raw_path", "left").join(snapshots.select(F.col("path").alias("snapshot_path"), F.col("text").alias("__snap")), "snapshot_path", "left")
+    text = F.when(F.col("text").isNotNull(), F.col("text")).when(named("raw_path"), F.col("__raw")).when(named("snapshot_path"), F.col("__snap"))
+    where = F.when(named("raw_path"), F.concat(F.lit("raw_path points at missing file: "), "raw_path")).when(named("snapshot_path"), F.concat(F.lit("snapshot_path points at missing file: "), "snapshot_path")).otherwise("no text and no path")
+    return rows.withColumns({"found_text": text, "text_error": F.when(text.isNull(), where)}).select(*[F.col(c) for c in sources.columns], "found_text", "text_error")
+
+
 def freeze(sources: DataFrame, text_col: str = "text") -> DataFrame:
     """Canonical text, its hash and version 1 of each source; the inline text goes."""
     text = X.canonical_text(F.coalesce(text_col, F.lit("")))
     return sources.withColumns({"snapshot_text": text, "content_hash": F.concat(F.lit("sha256:"), F.sha2(text, 256)), "snapshot_version": F.lit(1)}).drop(text_col)
 
 
+def freeze_session(sources: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Freezes sources (id, text, content_hash, _ord) below a path: the sources with their hashes, and errors (id, error).
+
+    A source whose stored snapshot still has its hash is left as it is; new and changed ones are added
+    as a further part of the table, and the last part of an id counts. Missing and repeated ids are
+    errors and aren't frozen, nor is a source without any text.
+    """
+    spark = sources.sparkSession
+    blank = F.coalesce("id", F.lit("")) == ""
+    rows = sources.withColumn("rn", F.row_number().over(W.partitionBy("id").orderBy("_ord")))
+    kind = F.when(blank, "missing id").when(F.col("rn") > 1, "duplicate id")
+    good = rows.filter(~blank & (F.col("rn") == 1)).drop("rn")
+    shape = "id string, snapshot_text string, snapshot_hash string, part bigint"
+    before = spark.read.schema(shape).parquet(path) if exists(spark, path) else spark.createDataFrame([], shape)
+    stored = before.groupBy("id").agg(F.max(F.struct("part", "snapshot_hash", "snapshot_text")).alias("s"))
+    stored = stored.select("id", F.col("s.snapshot_hash").alias("stored_hash"), X.content_hash(F.col("s.snapshot_text")).alias("true_hash"))
+    both = good.join(stored, "id", "left")
+    intact = F.coalesce((F.col("content_hash") == F.col("true_hash")), F.lit(False))
+    fresh = freeze(both.filter(~intact & F.col("text").isNotNull()).drop("content_hash", "stored_hash", "true_hash"))
+    errors = rows.select("id", kind.alias("error")).unionByName(both.select("id", F.when(~intact & F.col("text").isNull(), "no text").alias("error"))).filter("error is not null")
+    kept = both.filter(intact).drop("text", "stored_hash", "true_hash").withColumn("snapshot_version", F.lit(1))
+    out = Scratch(spark).save(kept.unionByName(fresh.drop("snapshot_text").select(*kept.columns)))
+    errors = Scratch(spark).save(errors)
+    new = fresh.select("id", "snapshot_text", F.col("content_hash").alias("snapshot_hash"))
+    if new.limit(1).count():
+        part = (before.agg(F.max("part")).first()[0] or 0) + 1
+        new.withColumn("part", F.lit(part).cast("long")).write.mode("append").parquet(path)
+    return out, errors
+
+
+def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """id, snapshot_text as last frozen below a path."""
+    return spark.read.parquet(path).groupBy("id").agg(F.max(F.struct("part", "snapshot_text")).alias("s")).select("id", "s.snapshot_text")
+
+
 def snapshot_errors(sources: DataFrame, snapshots: DataFrame) -> DataFrame:
     """id, error: snapshots that are missing or no longer have their hash."""
     both = sources.select("id", "content_hash").join(snapshots.select("id", "snapshot_text"), "id", "left")
@@ -81,32 +231,45 @@ def publishable(manifest: dict | None) -> bool:
     return bool(manifest) and verified(manifest) and not manifest.get("superseded_by")
 
 
+def manifest_of(spark: SparkSession, base: str, run_id: str) -> dict | None:
+    where = f"{base}/runs/{run_id}/manifest.json"
+    return json.loads(spark.read.text(where, wholetext=True).first()[0]) if exists(spark, where) else None
+
+
 def commit_run(spark: SparkSession, base: str, tables: dict[str, DataFrame], manifest: dict) -> dict:
-    """Writes tables below runs/<id>/, then moves the pointer file CURRENT; readers see all or nothing."""
+    """Writes tables beside, renames the folder to runs/<id>, then replaces the pointer file CURRENT by one rename.
+
+    Readers see the run before or this one, never none. A run that is there already is not written
+    again: its id is its content. The run that CURRENT pointed to is marked as superseded.
+    """
     signed = sign(manifest | {"outputs": {k: table_hash(v) for k, v in sorted(tables.items())}})
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    path = lambda *p: jvm.org.apache.hadoop.fs.Path("/".join([base, *p]))
-    fs = path().getFileSystem(conf)
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet("/".join([base, "runs", signed["run_id"], name]))
-
-    def put(where, text: str) -> None:
-        out = fs.create(where, True)
-        out.write(bytearray(text.encode()))
-        out.close()
-
-    put(path("runs", signed["run_id"], "manifest.json"), json.dumps(signed, sort_keys=True, indent=2))
-    put(path("CURRENT.new"), json.dumps({"run_id": signed["run_id"], "signature": signed["signature"]}))
-    fs.delete(path("CURRENT"), False)
-    fs.rename(path("CURRENT.new"), path("CURRENT"))
+    run_id = signed["run_id"]
+    fs, target = _fs(spark, f"{base}/runs/{run_id}")
+    if not exists(spark, f"{base}/runs/{run_id}/manifest.json"):
+        staging = f"{base}/runs/.staging-{uuid.uuid4().hex}"
+        for name, df in tables.items():
+            df.write.parquet(f"{staging}/{name}")
+        write_text(spark, f"{staging}/manifest.json", json.dumps(signed, sort_keys=True, indent=2))
+        fs.rename(_fs(spark, staging)[1], target)
+    before = json.loads(spark.read.text(f"{base}/CURRENT", wholetext=True).first()[0])["run_id"] if exists(spark, f"{base}/CURRENT") else run_id
+    write_text(spark, f"{base}/CURRENT", json.dumps({"run_id": run_id, "signature": signed["signature"]}))
+    old = manifest_of(spark, base, before) if before != run_id else None
+    if old:
+        write_text(spark, f"{base}/runs/{before}/manifest.json", json.dumps(old | {"superseded_by": run_id}, sort_keys=True, indent=2))
     return signed
 
 
+def assert_publishable(spark: SparkSession, base: str, run_id: str) -> None:
+    """Raises ValueError unless the run is there, is what was signed, and none came after it."""
+    if not publishable(manifest_of(spark, base, run_id)):
+        raise ValueError(f"run {run_id} is missing, not what was signed, or superseded")
+
+
 def read_current(spark: SparkSession, base: str) -> tuple[dict, dict[str, DataFrame]]:
     """The committed manifest and tables, after checking signature, pointer and every table's hash."""
     pointer = json.loads(spark.read.text(f"{base}/CURRENT", wholetext=True).first()[0])
     manifest = json.loads(spark.read.text(f"{base}/runs/{pointer['run_id']}/manifest.json", wholetext=True).first()[0])
-    if not verified(manifest) or manifest["signature"] != pointer["signature"]:
+    if not verified(manifest) or manifest["signature"] != pointer["signature"] or manifest["run_id"] != pointer["run_id"]:
         raise ValueError("the committed run isn't what was signed")
     tables = {k: spark.read.parquet(f"{base}/runs/{pointer['run_id']}/{k}") for k in manifest["outputs"]}
     for k, df in tables.items():

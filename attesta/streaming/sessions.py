@@ -20,7 +20,7 @@ def upsert_best(stream: DataFrame, path: str, fold):
     """A writer that keeps fold(all rows so far) of an append-only stream as a table at path.
 
     Every batch is written beside the last table and read back from its own folder, so a batch that
-    is replayed gives the same result.
+    is replayed gives the same result; of the earlier ones only the last is kept.
     """
 
     def batch(rows: DataFrame, epoch: int) -> None:
@@ -28,6 +28,8 @@ def upsert_best(stream: DataFrame, path: str, fold):
         before = None if epoch == 0 else spark.read.parquet(f"{path}/epoch={epoch - 1}")
         both = rows if before is None else before.unionByName(rows)
         fold(both).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/epoch={epoch - 2}")
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
     return stream.writeStream.foreachBatch(batch)
 

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from attesta.operators import cluster, retrieval, risk, verdicts
@@ -10,16 +11,11 @@ DOCS = {1: "red barn on the hill", 2: "the red red fox", 3: "a quiet harbour tow
 ASKED = {"a": "red fox", "b": "barn", "c": "nothing here matches"}
 
 
-def test_retrieve(spark):
+def plain(alpha=0.5):
+    """The same, computed over all pairs in plain Python."""
     words = {k: v.replace(",", "").split() for k, v in DOCS.items()}
     mean = sum(map(len, words.values())) / len(words)
-    docs, asked = spark.createDataFrame(list(DOCS.items()), "doc int, text string"), spark.createDataFrame(list(ASKED.items()), "qid string, text string")
-    feats = {}
-    for r in cluster.lexical_features(docs, "doc", "text").collect():
-        feats.setdefault(r["node"], {})[r["bucket"]] = r["weight"]
-    fq = {}
-    for r in cluster.lexical_features(asked, "qid", "text").collect():
-        fq.setdefault(r["node"], {})[r["bucket"]] = r["weight"]
+    vec = dict(zip([*ASKED.values(), *DOCS.values()], cluster._embed([*ASKED.values(), *DOCS.values()]), strict=True))
 
     def bm25(q, d):
         score = 0.0
@@ -28,19 +24,44 @@ def test_retrieve(spark):
             score += math.log(1 + (len(words) - n + 0.5) / (n + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(words[d]) / mean)) if tf else 0
         return score
 
-    cosine = {(q, d): sum(w * feats.get(d, {}).get(b, 0) for b, w in fq[q].items()) for q in ASKED for d in DOCS}
-    rows = [(q, d, c) for (q, d), c in cosine.items()]
-    got = retrieval.retrieve(asked, docs, spark.createDataFrame(rows, "qid string, doc int, score double"), k=3)
-    want = []
+    def scale(v):
+        return {d: (x - min(v.values())) / (max(v.values()) - min(v.values())) if max(v.values()) > min(v.values()) else 0.0 for d, x in v.items()}
+
+    out = {}
     for q, text in ASKED.items():
-        scale = lambda v: {d: (x - min(v.values())) / (max(v.values()) - min(v.values())) if max(v.values()) > min(v.values()) else 0.0 for d, x in v.items()}
-        lex, sem = scale({d: bm25(text, d) for d in DOCS}), scale({d: cosine[q, d] for d in DOCS})
+        key = " ".join(t for t in text.split() if len(t) > 3)
+        hybrid = dict.fromkeys(DOCS, 0.0)
+        for form in dict.fromkeys([text, key]) if key else [text]:
+            own = cluster._embed([form])[0]
+            lex, sem = scale({d: bm25(form, d) for d in DOCS}), scale({d: float(own @ vec[t]) for d, t in DOCS.items()})
+            hybrid = {d: max(hybrid[d], alpha * sem[d] + (1 - alpha) * lex[d]) for d in DOCS}
         cover = {d: len(set(text.split()) & set(words[d])) / len(set(text.split())) for d in DOCS}
-        final = {d: 0.7 * cover[d] + 0.3 * (0.5 * sem[d] + 0.5 * lex[d]) for d in DOCS}
-        want += [(q, i + 1, d, final[d]) for i, d in enumerate(sorted(DOCS, key=lambda d: (-round(final[d], 12), d))[:3])]
-    rows = sorted(tuple(r) for r in got.collect())
-    assert [r[:3] for r in rows] == [w[:3] for w in want]
-    assert all(abs(r[3] - w[3]) <= 0.5e-4 + 1e-9 for r, w in zip(rows, want))
+        out[q] = {d: (0.7 * cover[d] + 0.3 * hybrid[d], hybrid[d], cover[d]) for d in DOCS}
+    return out
+
+
+def frames(spark):
+    return spark.createDataFrame(list(ASKED.items()), "qid string, text string"), spark.createDataFrame(list(DOCS.items()), "doc int, text string").repartition(3)
+
+
+def test_retrieve(spark):
+    asked, docs = frames(spark)
+    want = []
+    for q, scores in plain().items():
+        want += [(q, i + 1, d, *scores[d]) for i, d in enumerate(sorted(DOCS, key=lambda d: (-round(scores[d][0], 9), d))[:3])]
+    for block in (retrieval.BLOCK, 1):
+        rows = sorted(tuple(r) for r in retrieval.retrieve(asked, docs, k=3, block=block).collect())
+        assert [r[:3] for r in rows] == [w[:3] for w in want]
+        assert all(abs(a - b) <= 0.5e-4 + 1e-9 for r, w in zip(rows, want, strict=True) for a, b in zip(r[3:], w[3:], strict=True))
+    assert retrieval.retrieve(asked.limit(0), docs).count() == 0
+
+
+def test_reranker_and_embedder(spark):
+    asked, docs = frames(spark)
+    got = retrieval.retrieve(asked, docs, k=1, reranker=lambda queries, texts: np.array([[float("harbour" in t)] * len(queries) for t in texts])).collect()
+    assert {r["doc"] for r in got} == {3} and all(r["rerank"] == 1.0 for r in got)
+    same = retrieval.retrieve(asked, docs, k=2, embedder=cluster._embed).collect()
+    assert sorted(map(tuple, same)) == sorted(map(tuple, retrieval.retrieve(asked, docs, k=2).collect()))
 
 
 def test_route(spark):
