@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import bindings, gate, probes, runs
 from ..sources import tables
-from .catalog import _ANCHORED, _DECIDE, _RULE_SQL, cited, query, read
+from .catalog import _ANCHORED, _DECIDE, _FEATURES, _RULE_SQL, _SIMHASH, cited, query, read
 
 
 def name(prefix: str, number):
@@ -211,7 +211,19 @@ def ranked_causes(spark, d):
     return probes.ranked_causes(leak_causes(spark, d))
 
 
-@query("independence_probe")
+_PROBE = rf"""
+WITH RECURSIVE {_SIMHASH}, ds AS (SELECT doc_id AS id, text FROM documents), {_FEATURES.replace('@p_', 'of_').replace('@table', 'ds')},
+x AS (SELECT doc_id, (doc_id // 4) AS s, bits, doc_id % 2 = 0 AS a, CASE WHEN doc_id % 9 = 0 THEN nullif(lower(trim(source)), '') END AS wire FROM documents JOIN b USING (doc_id)),
+cosine AS (SELECT p.id AS m, q.id AS n FROM of_v p JOIN of_v q ON p.bucket = q.bucket AND p.id // 4 = q.id // 4 AND p.id <> q.id GROUP BY 1, 2 HAVING sum(p.weight * q.weight) >= 0.8),
+link AS (SELECT m.doc_id AS m, n.doc_id AS n FROM x m JOIN x n ON m.s = n.s AND m.doc_id <> n.doc_id AND (m.wire = n.wire OR (m.bits <> 0 AND n.bits <> 0 AND bit_count(xor(m.bits, n.bits)) <= 3)) UNION SELECT m, n FROM cosine),
+reach(n, m) AS (SELECT doc_id, doc_id FROM x UNION SELECT r.n, l.n FROM reach r JOIN link l ON l.m = r.m),
+c AS (SELECT n AS doc_id, min(m) AS c FROM reach GROUP BY 1),
+rep AS (SELECT s, c, arg_min(a, doc_id::VARCHAR) AS good FROM x JOIN c USING (doc_id) GROUP BY 1, 2),
+n AS (SELECT s, count(*) AS n_clusters, bool_or(good) AS graded FROM rep GROUP BY 1), k AS (SELECT s, count(*) AS n_sources FROM x GROUP BY 1)
+SELECT s AS scenario_id, CASE WHEN s % 2 = 0 THEN 'collapse' ELSE 'separate' END AS kind, n_sources, n_clusters, CASE WHEN s % 2 = 0 THEN n_clusters = 1 ELSE n_clusters = n_sources END AS ok, n_clusters >= 2 AND graded AS would_verify FROM n JOIN k USING (s)"""
+
+
+@query("independence_probe", _PROBE)
 def independence_probe(spark, d):
     i = F.col("doc_id")
     source = F.struct(i.cast("string").alias("id"), F.when(i % 2 == 0, "A").otherwise("C").alias("grade"), F.concat(F.lit("https://example.com/"), i.cast("string")).alias("url"), "text", F.when(i % 9 == 0, F.col("source")).alias("wire"), F.lit(None).cast("string").alias("byline"))

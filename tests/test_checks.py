@@ -28,17 +28,29 @@ WRONG = [
     ("version", "The server needs SSL 3.1 now.", "entails", refs("the server needs SSL 3.0", "needs SSL 3.0"), None, "anchor:numeric"),
     ("quote", "Smoking is prohibited in parks.", "contradicts", refs("smoking is prohibited in parks", "smoking in parks is prohibited"), None, "panel:contradicts"),
     ("scope", "Data center sales were $5 billion.", "contradicts", refs("total sales were $5 billion", "total sales of $5 billion"), None, "panel:contradicts"),
-    ("copied", "Smoking is prohibited in parks.", "entails", refs("smoking is prohibited", "prohibited in parks", clusters=("c1", "c1")), None, "independence:lt2_clusters"),
+    ("risk_ratio", "The pill halves heart attacks, a relative risk cut of 50%.", "contradicts", refs("an absolute risk cut of 50%", "the absolute risk fell by 50%"), None, "panel:contradicts"),
     ("no_panel", "Data center sales were $5 billion.", None, refs("total sales were $5 billion", "total sales of $5 billion"), "panel_necessity", None),
+    ("quote_no_panel", "Smoking is prohibited in parks.", None, refs("smoking is prohibited in parks", "smoking in parks is prohibited"), "panel_necessity", None),
 ]
 TRUE = [
     ("plain", "Smoking is prohibited in parks.", "entails", refs("smoking is prohibited in parks", "prohibited in parks"), True, None),
     ("rounded", "Sales were $130.5 billion.", "entails", refs("sales of $130,497 million", "$130.5 billion in sales"), True, None),
+    ("tolerance", "Exports reached $400.1 million.", "entails", refs("exports of $400.1 million", "$400,000 thousand of exports"), True, None),
+    ("year", "The dam opened in 1994.", "entails", refs("the dam opened in 1994", "opened in 1994"), True, None),
+    ("percent", "Rents rose 9% in 2023.", "entails", refs("rents rose 9 percent in 2023", "in 2023 rents rose by 9%"), True, None),
+    ("label", "Rule 12 bars open fires.", "entails", refs("the rule bars open fires", "bars open fires"), True, None),
+    ("code", "RFC 1149 allows pigeons.", "entails", refs("this memo allows pigeons", "allows pigeons"), True, None),
+    ("attached", "HTTP/2 requires framing.", "entails", refs("the protocol requires framing", "requires framing"), True, None),
+    ("negative", "The permit must not be sold.", "entails", refs("the permit must not be sold", "permits must not be sold"), True, None),
+    ("quotes", "The board ruled it was unfair.", "entails", refs("the board ruled it was “unfair”", "ruled: “unfair”"), True, None),
+    ("scaled", "The city has 2.5 million people.", "entails", refs("2.5 million people live in the city", "2,500 thousand people live there"), True, None),
+    ("third_source", "Smoking is prohibited.", "entails", refs("smoking is prohibited", "is prohibited", grades="CA"), True, None),
     ("version_left_out", "SSL 3.1 drops old ciphers.", "entails", refs("the protocol drops old ciphers", "drops old ciphers"), True, None),
     ("one_source", "Smoking is prohibited in parks.", "entails", refs("smoking is prohibited in parks"), False, "independence:lt2_clusters"),
     ("same_cluster", "Smoking is prohibited.", "entails", refs("smoking is prohibited", "smoking is prohibited", clusters=("c1", "c1")), False, "independence:lt2_clusters"),
     ("paraphrase", "Smoking is prohibited.", "entails", refs("smokers are banned", "smoking is prohibited", snapshots=["No smokers.", "smoking is prohibited"]), False, "anchor:span"),
     ("split_panel", "Smoking is prohibited.", "no_consensus", refs("smoking is prohibited", "is prohibited"), False, "panel:no_consensus"),
+    ("far_negation", "Fishing without a permit is prohibited here.", "entails", refs("no person may fish; a permit is needed, not prohibited", "not prohibited with a permit"), False, "anchor:polarity"),
     ("grades", "Smoking is prohibited.", "entails", refs("smoking is prohibited", "is prohibited", grades="CC"), False, "independence:no_ab_grade"),
 ]
 
@@ -54,14 +66,14 @@ def test_wrong_claims_are_blocked(spark):
     assert {k: r["cause"] for k, r in got.items()} == {r[0]: r[5] for r in WRONG}
     assert got["no_panel"]["status"] == "verified" and got["scope"]["referent"] and not got["quote"]["referent"]
     rates = {r["group"]: (r["n"], r["leaked"], r["leak_rate"]) for r in probes.leak_summary(found, df).collect()}
-    assert rates == {"headline": (10, 0, 0.0), "demo": (1, 1, 1.0)}
-    assert [r["cause"] for r in probes.ranked_causes(found).collect()] == ["anchor:numeric", "panel:contradicts", "anchor:polarity", "anchor:span", "independence:lt2_clusters"]
+    assert rates == {"headline": (10, 0, 0.0), "demo": (2, 2, 1.0)}
+    assert [r["cause"] for r in probes.ranked_causes(found).collect()] == ["anchor:numeric", "panel:contradicts", "anchor:polarity", "anchor:span"]
 
 
 def test_true_claims_pass(spark):
     df, found = probe(spark, TRUE, "headline boolean")
     assert {r["claim_id"]: r["cause"] for r in found.collect()} == {r[0]: r[5] for r in TRUE}
-    assert {r["headline"]: (r["verified"], r["n"]) for r in probes.recall_summary(found, df).collect()} == {True: (3, 3), False: (0, 5)}
+    assert {r["headline"]: (r["verified"], r["n"]) for r in probes.recall_summary(found, df).collect()} == {True: (13, 13), False: (0, 6)}
 
 
 def test_independence(spark):
@@ -72,6 +84,8 @@ def test_independence(spark):
         ("copy", "collapse", [("1", "A", "https://x.com/1", body, None, None), ("2", "B", "https://y.com/1", body, None, None), ("3", "C", "https://z.com/1", body, None, None)], True),
         ("wire", "collapse", [("1", "B", "https://x.com/2", a, "Reuters", None), ("2", "B", "https://y.com/2", b, " reuters ", None)], True),
         ("author", "collapse", [("1", "B", "https://x.com/3", a, None, "By Ann Lee"), ("2", "B", "https://y.com/3", b, None, "ann  lee")], True),
+        ("reworded_wire", "collapse", [("1", "B", "https://x.com/6", a, "AP", None), ("2", "C", "https://y.com/6", b, "AP", None)], True),
+        ("text_and_comment", "separate", [("1", "A", "https://x.com/7", body, None, None), ("2", "B", "https://y.com/7", b, None, "Bo Ek")], True),
         ("apart", "separate", [("1", "A", "https://x.com/4", a, "AP", "x"), ("2", "B", "https://y.com/4", b, "Reuters", "y")], True),
         ("missed", "collapse", [("1", "A", "https://x.com/5", a, None, None), ("2", "A", "https://y.com/5", b, None, None)], False),
         ("empty", "separate", [("1", "A", None, None, None, None), ("2", "C", "", "", None, None)], True),
@@ -80,7 +94,10 @@ def test_independence(spark):
     found = probes.independence(df).cache()
     assert {r["scenario_id"]: r["ok"] for r in found.collect()} == {r[0]: r[3] for r in rows}
     assert {r["scenario_id"]: r["would_verify"] for r in found.collect()}["apart"]
-    assert {r["kind"]: (r["n"], r["failed"], r["manufactured"]) for r in probes.independence_summary(found).collect()} == {"collapse": (5, 1, 1), "separate": (2, 0, 0)}
+    assert {r["kind"]: (r["n"], r["failed"], r["manufactured"]) for r in probes.independence_summary(found).collect()} == {"collapse": (6, 1, 1), "separate": (3, 0, 0)}
+    # Without the demonstration and the blank rows: as published.
+    told = probes.independence_summary(found.filter("scenario_id not in ('missed', 'empty')")).collect()
+    assert {r["kind"]: (r["n"], r["failed"]) for r in told} == {"collapse": (5, 0), "separate": (2, 0)}
 
     def all_alike(sources, id_col, text_col, least, scope_col):
         one = sources.groupBy(scope_col).agg(F.min(id_col).alias("a"))
