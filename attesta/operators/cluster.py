@@ -134,14 +134,23 @@ def lexical_features(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _embed(texts: list[str]) -> np.ndarray:
     """Vectors of unit length: counts of words and letter triples in hashed buckets; no words: zero."""
     out = np.zeros((len(texts), DIMENSIONS))
-    seen: dict[str, int] = {}
+    seen: dict[str, list[int]] = {}  # a word's buckets: its own and its triples'
+    known: dict[str, int] = {}
+
+    def bucket(f: str) -> int:
+        at = known.get(f)
+        if at is None:
+            at = known[f] = hashlib.sha1(f.encode()).digest()[-1]
+        return at
+
     for i, text in enumerate(texts):
+        flat: list[int] = []
         for w in re.findall(r"\w+", text.lower()):
-            for f in (w, *(w[j : j + 3] for j in range(len(w) - 2))):
-                at = seen.get(f)
-                if at is None:
-                    at = seen[f] = hashlib.sha1(f.encode()).digest()[-1]
-                out[i, at] += 1
+            own = seen.get(w)
+            if own is None:
+                own = seen[w] = [bucket(w), *(bucket(w[j : j + 3]) for j in range(len(w) - 2))]
+            flat += own
+        out[i] = np.bincount(np.array(flat, np.int64), minlength=DIMENSIONS)
     return out / np.maximum(np.sqrt((out * out).sum(1, keepdims=True)), 1e-300)
 
 

@@ -108,6 +108,13 @@ def top_k(scores: DataFrame, k: int = 5, col: str = "score") -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _dealt(docs: DataFrame) -> DataFrame:
+    """The documents in as many partitions as there are cores, where their files have fewer splits than that."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    docs = docs.select("doc", "text")
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+
+
 def _blocks(queries: DataFrame, block: int) -> Iterator[list]:
     held = []
     for r in queries.select("qid", "text").orderBy("qid").toLocalIterator():
@@ -131,7 +138,7 @@ def _united(parts: list[DataFrame], empty: str, docs: DataFrame) -> DataFrame:
 def bm25(queries: DataFrame, docs: DataFrame, k: int = 5, block: int = BLOCK) -> DataFrame:
     """qid, rank, doc, score: the best k documents of each query, those without a common word last. queries: qid, text; docs: doc, text."""
     n, mean, df = statistics(queries, docs)
-    parts = []
+    docs, parts = _dealt(docs), []
     for some in _blocks(queries, block):
         def score(texts: list[str], s=Scorer([t for _, t in some], n, mean, df, None)) -> list[np.ndarray]:
             return [s.bm25(*s.counts(texts))]
@@ -150,7 +157,7 @@ def retrieve(queries: DataFrame, docs: DataFrame, k: int = 5, alpha: float = 0.5
     the queries and a list of texts to a matrix of texts by queries.
     """
     embed = embedder or cluster._embed
-    docs = docs.select("doc", "text")
+    docs = _dealt(docs)
     forms = T.expand_query(F.coalesce("text", F.lit(""))) if expand else F.array(F.coalesce("text", F.lit("")))
     wide = queries.select("qid", "text", forms.alias("forms"))
     n, mean, df = statistics(queries, docs)
