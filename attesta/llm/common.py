@@ -33,11 +33,16 @@ def back_to_id(name: str) -> Column:
     return F.when(F.col(name) == NO_ID, F.lit(None).cast("long")).otherwise(F.col(name))
 
 
+def has_words(text: Column, blank: str) -> Column:
+    """Whether there is anything but blank characters; trimming at the left stops at the first one."""
+    return F.ltrim(text, F.lit(blank)) != ""
+
+
 def once(docs: DataFrame, blank: str) -> DataFrame:
     """The documents with one row of those that share both id and text; texts of blank characters alone stay."""
     names = named(docs, "id", "a", "b")
     key = [c.alias(n) for c, n in zip((id_of(), F.xxhash64("text"), F.xxhash64(F.lit(1), "text")), names, strict=True)]
-    again = docs.filter(F.trim("text", F.lit(blank)) != "").groupBy(*key).count().filter("count > 1").select(*names)
+    again = docs.filter(has_words(F.col("text"), blank)).groupBy(*key).count().filter("count > 1").select(*names)
     again = Scratch(docs.sparkSession).save(again)
     if not again.limit(1).count():
         return docs

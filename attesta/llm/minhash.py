@@ -18,13 +18,19 @@ def signatures(hashes: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
     x = (hashes >> np.uint64(32)).astype(np.uint32)
     out = np.empty((len(first) - 1, k), np.uint32)
     step = 1 << 16
+    mixed = np.empty(step, np.uint32)
     # In pieces that stay in the cache; each piece ends with a set, unless one set is longer.
     lo = 0
     while lo < len(first) - 1:
         hi = max(lo + 1, int(np.searchsorted(first, first[lo] + step, "right")) - 1)
         part, at = x[first[lo] : first[hi]], (first[lo:hi] - first[lo]).astype(np.intp)
+        if len(part) > len(mixed):
+            mixed = np.empty(len(part), np.uint32)
+        now = mixed[: len(part)]
         for i in range(k):
-            out[lo:hi, i] = np.minimum.reduceat(part * a[i] + b[i], at)
+            np.multiply(part, a[i], out=now)
+            np.add(now, b[i], out=now)
+            out[lo:hi, i] = np.minimum.reduceat(now, at)
         lo = hi
     return out
 
