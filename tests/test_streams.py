@@ -45,10 +45,26 @@ def test_sessions(run):
 
 def test_upsert_best(spark, tmp_path):
     schema = "claim_id string, source_id string, producer string, span_state string, _ord bigint"
-    for rows in ([("c", "s", "verifier", "failed", 1)], [("c", "s", "verifier", "done", 2), ("c", "t", "panel", "done", 3)]):
+    batches = [[("c", "s", "verifier", "failed", 1), ("d", "s", "verifier", "done", 5)], [("c", "s", "verifier", "done", 2), ("c", "t", "panel", "done", 3)], [("c", "s", "verifier", "done", 4)]]
+    for i, rows in enumerate(batches):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    fold = lambda rows: verdicts.effective_verdicts(rows).drop("key_ord")
-    query = sessions.upsert_best(stream, f"{tmp_path}/best", fold).option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).start()
-    assert query.awaitTermination(120)
-    assert {(r["source_id"], r["span_state"], r["_ord"]) for r in spark.read.parquet(f"{tmp_path}/best/epoch=1").collect()} == {("s", "done", 2), ("t", "done", 3)}
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        fold = lambda rows: verdicts.effective_verdicts(rows).drop("key_ord")
+        query = sessions.upsert_best(stream, f"{tmp_path}/best", fold, ["claim_id"], 4).option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).start()
+        assert query.awaitTermination(120)
+        if i == 1:
+            second = {(r["claim_id"], r["source_id"], r["_ord"]) for r in sessions.best(spark, f"{tmp_path}/best").collect()}
+    assert second == {("c", "s", 2), ("c", "t", 3), ("d", "s", 5)}
+    every = spark.createDataFrame([r for rows in batches for r in rows], schema)
+    got = sessions.best(spark, f"{tmp_path}/best")
+    assert sorted(map(tuple, got.select("claim_id", "source_id", "_ord").collect())) == sorted(map(tuple, fold(every).select("claim_id", "source_id", "_ord").collect()))
+    # A replay of the last batch needs the one before it, and no other.
+    assert sessions.best(spark, f"{tmp_path}/best", 1).where("claim_id = 'c'").count() == 2
+    # The other claim's bucket is as the first batch wrote it, unless both share one.
+    of = {r["claim_id"]: r["b"] for r in every.selectExpr("claim_id", "pmod(xxhash64(claim_id), 4) as b").distinct().collect()}
+    folders = {p.name: sorted(int(x.name.partition("=")[2]) for x in p.glob("bucket=*")) for p in (tmp_path / "best").glob("epoch=*")}
+    assert of["d"] in folders["epoch=0"] or of["c"] == of["d"]
+    assert of["c"] not in folders["epoch=0"]
+    # A batch that was cut off isn't read.
+    (tmp_path / "best" / "epoch=2" / "_SUCCESS").unlink()
+    assert {(r["source_id"], r["_ord"]) for r in sessions.best(spark, f"{tmp_path}/best").where("claim_id = 'c'").collect()} == {("s", 2), ("t", 3)}
