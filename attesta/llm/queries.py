@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import OP4_SQL, op4_chat
 from .decontam import op5_decontam
+from .divergence import OP13_SQL, op13_divergence
 from .lines import op2_lines
 from .media import op1_media
 from .neardup import op7_neardup
@@ -14,8 +15,8 @@ from .suffix import op10_suffix
 from .urls import op9_urls
 from .warc import OP6_SQL, op6_warc
 
-QUERIES = {f.__name__: f for f in (op1_media, op2_lines, op3_packing, op4_chat, op5_decontam, op6_warc, op7_neardup, op8_quality, op9_urls, op10_suffix)}
+QUERIES = {f.__name__: f for f in (op1_media, op2_lines, op3_packing, op4_chat, op5_decontam, op6_warc, op7_neardup, op8_quality, op9_urls, op10_suffix, op13_divergence)}
 
 #: The others' results can't be had from SQL: a binary container, tokenizers, edit distances at any place
 #: of a text, trained models. ``tests/llm`` holds these queries against brute force.
-ORACLE_SQL = {"op2_lines": OP2_SQL, "op4_chat": OP4_SQL, "op6_warc": OP6_SQL, "op7_neardup": OP7_SQL, "op10_suffix": OP10_SQL}
+ORACLE_SQL = {"op2_lines": OP2_SQL, "op4_chat": OP4_SQL, "op6_warc": OP6_SQL, "op7_neardup": OP7_SQL, "op10_suffix": OP10_SQL, "op13_divergence": OP13_SQL}
