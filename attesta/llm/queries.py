@@ -7,6 +7,7 @@ from .decontam import op5_decontam
 from .divergence import OP13_SQL, op13_divergence
 from .lines import op2_lines
 from .media import op1_media
+from .mixing import op12_mixing
 from .neardup import op7_neardup
 from .oracles import OP2_SQL, OP7_SQL, OP10_SQL
 from .packing import op3_packing
@@ -15,7 +16,7 @@ from .suffix import op10_suffix
 from .urls import op9_urls
 from .warc import OP6_SQL, op6_warc
 
-QUERIES = {f.__name__: f for f in (op1_media, op2_lines, op3_packing, op4_chat, op5_decontam, op6_warc, op7_neardup, op8_quality, op9_urls, op10_suffix, op13_divergence)}
+QUERIES = {f.__name__: f for f in (op1_media, op2_lines, op3_packing, op4_chat, op5_decontam, op6_warc, op7_neardup, op8_quality, op9_urls, op10_suffix, op12_mixing, op13_divergence)}
 
 #: The others' results can't be had from SQL: a binary container, tokenizers, edit distances at any place
 #: of a text, trained models. ``tests/llm`` holds these queries against brute force.
