@@ -12,12 +12,13 @@ from .neardup import op7_neardup
 from .oracles import OP2_SQL, OP7_SQL, OP10_SQL
 from .packing import op3_packing
 from .quality import op8_quality
+from .repair import OP11_SQL, op11_repair
 from .suffix import op10_suffix
 from .urls import op9_urls
 from .warc import OP6_SQL, op6_warc
 
-QUERIES = {f.__name__: f for f in (op1_media, op2_lines, op3_packing, op4_chat, op5_decontam, op6_warc, op7_neardup, op8_quality, op9_urls, op10_suffix, op12_mixing, op13_divergence)}
+QUERIES = {f.__name__: f for f in (op1_media, op2_lines, op3_packing, op4_chat, op5_decontam, op6_warc, op7_neardup, op8_quality, op9_urls, op10_suffix, op11_repair, op12_mixing, op13_divergence)}
 
 #: The others' results can't be had from SQL: a binary container, tokenizers, edit distances at any place
 #: of a text, trained models. ``tests/llm`` holds these queries against brute force.
-ORACLE_SQL = {"op2_lines": OP2_SQL, "op4_chat": OP4_SQL, "op6_warc": OP6_SQL, "op7_neardup": OP7_SQL, "op10_suffix": OP10_SQL, "op13_divergence": OP13_SQL}
+ORACLE_SQL = {"op2_lines": OP2_SQL, "op4_chat": OP4_SQL, "op6_warc": OP6_SQL, "op7_neardup": OP7_SQL, "op10_suffix": OP10_SQL, "op11_repair": OP11_SQL, "op13_divergence": OP13_SQL}
