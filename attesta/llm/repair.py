@@ -232,9 +232,10 @@ def repair(turns: DataFrame, ids: DataFrame | None = None, piece: int = PIECE, f
     scratch = Scratch(turns.sparkSession)
     outline = scratch.save(outlined(turns))
     found = scratch.save(edits(outline, piece, fan)).alias("f")
-    span = F.try_add(F.try_subtract(F.max("turn"), F.min("turn")), F.lit(1).cast("long"))
+    wide = lambda c: c.cast("decimal(20,0)")
+    missing = (wide(F.max("turn")) - wide(F.min("turn")) + 1 - wide(F.count("turn"))).try_cast("bigint")
     # Distinct turns by conversation and turn first, so that no conversation is in one task.
-    gaps = outline.groupBy("conv_id", "turn").agg(F.lit(1).alias("one")).groupBy("conv_id").agg(span.alias("span"), F.count("turn").alias("turns")).select("conv_id", F.when(F.col("turns") == 0, 0).otherwise(F.try_subtract("span", "turns")).alias("gaps")).alias("g")
+    gaps = outline.groupBy("conv_id", "turn").agg(F.lit(1).alias("one")).groupBy("conv_id").agg(F.when(F.count("turn") == 0, 0).otherwise(missing).alias("gaps")).alias("g")
     sha = digests(repaired(turns, outline, found)).alias("h")
     every = (turns if ids is None else ids).select(F.col("conv_id").cast("long").alias("conv_id")).distinct().alias("c")
     on = lambda x: F.col("c.conv_id").eqNullSafe(F.col(f"{x}.conv_id"))
