@@ -261,7 +261,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     drawn = spark.range(0, shards, 1, tasks).mapInArrow(draw, "shard bigint, place bigint, source_no int, pass int, block bigint, n bigint")
     low = F.col("block") * block_words
     start, end = F.greatest("begin", low), F.least(F.col("begin") + F.col("size"), low + F.col("n"))
-    spans = pieces.join(drawn, ["source_no", "block"]).select("shard", "place", "source_no", "pass", "block", "doc_id", "h", "begin", (start - F.col("begin")).alias("from_word"), (end - start).alias("n_words")).filter("n_words > 0")
+    # Spark reckons a map's result as large as its input, here the numbers of the shards, and would broadcast it.
+    spans = pieces.join(drawn.hint("merge"), ["source_no", "block"]).select("shard", "place", "source_no", "pass", "block", "doc_id", "h", "begin", (start - F.col("begin")).alias("from_word"), (end - start).alias("n_words")).filter("n_words > 0")
     return Mix(placed, spans)
 
 
