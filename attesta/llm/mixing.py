@@ -44,7 +44,7 @@ BLOCK_WORDS = 256
 SHARD_BLOCKS = 4096
 SEED = 12
 #: Texts whose places are summed in one task.
-BUCKET_ROWS = 1 << 16
+BUCKET_ROWS = 1 << 12
 #: numpy's hypergeometric draws take populations below this.
 LARGEST_POPULATION = 10**9
 
