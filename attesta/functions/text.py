@@ -124,16 +124,33 @@ def source_text(*choices: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in choices], F.lit(""))
 
 
+def _unquoted(part: Column) -> Column:
+    """A query's key or value: ``+`` is a blank, escapes are UTF-8; a percent sign that starts no escape stays."""
+    return F.url_decode(F.regexp_replace(part, "%(?![0-9a-fA-F]{2})", "%25"))
+
+
+def _quoted(part: Column) -> Column:
+    return F.replace(F.replace(F.url_encode(part), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def canonical_url(url: Column) -> Column:
-    """One spelling of a page's address: https, lower case, no www., trackers or fragment, keys sorted."""
-    u = F.regexp_replace(F.lower(F.trim(F.coalesce(url, F.lit("")))), "#.*$", "")
-    host = F.regexp_replace(F.regexp_extract(u, "^[a-z][a-z0-9+.-]*://([^/?]*)", 1), r"^www\.", "")
-    path = F.rtrim(F.regexp_extract(u, r"^[a-z][a-z0-9+.-]*://[^/?]*([^?]*)", 1), F.lit("/"))
-    query = F.regexp_extract(u, r"\?(.*)$", 1)
-    tracked = "^(" + "|".join(TRACKING) + ")"
-    pairs = F.array_sort(F.filter(F.split(query, "&"), lambda p: p.rlike("^[^=]+=.") & ~p.rlike(tracked)))
-    tail = F.when(F.size(pairs) > 0, F.concat(F.lit("?"), F.array_join(pairs, "&"))).otherwise(F.lit(""))
-    return F.concat(F.lit("https://"), host, F.when(path == "", "/").otherwise(path), tail)
+    """One spelling of a page's address: https, lower case, no www., trackers or fragment; keys and values sorted, in one escaping.
+
+    Null and empty: empty. Without a scheme the whole is a path, which stays apart from any host's; ``//`` alone
+    starts a host. Keys without a value go.
+    """
+    u = F.translate(F.regexp_replace(F.lower(F.coalesce(url, F.lit(""))), r"(?U)^[\s\x00-\x1F]+|\s+$", ""), "\t\r\n", "")
+    rest = F.regexp_replace(u, "^[a-z][a-z0-9+.-]*:", "")
+    host = F.regexp_replace(F.regexp_extract(rest, "^//([^/?#]*)", 1), r"^www\.", "")
+    tail = F.regexp_replace(F.regexp_replace(rest, "^//[^/?#]*", ""), "(?s)#.*$", "")
+    bare = F.rtrim(F.regexp_extract(tail, r"^[^?]*", 0), F.lit("/"))
+    path = F.when(bare == "", "/").otherwise(bare)
+    given = F.filter(F.split(F.regexp_extract(tail, r"(?s)\?(.*)$", 1), "&"), lambda p: p.rlike("(?s)^[^=]*=."))
+    pairs = F.transform(given, lambda p: F.struct(_unquoted(F.regexp_extract(p, "^[^=]*", 0)).alias("k"), _unquoted(F.regexp_extract(p, "(?s)^[^=]*=(.*)$", 1)).alias("v")))
+    kept = F.array_sort(F.filter(pairs, lambda p: ~p["k"].rlike("^(" + "|".join(TRACKING) + ")")))
+    query = F.array_join(F.transform(kept, lambda p: F.concat(_quoted(p["k"]), F.lit("="), _quoted(p["v"]))), "&")
+    start = F.when((host != "") | path.startswith("/"), "https://").otherwise("https:")
+    return F.when(F.coalesce(url, F.lit("")) == "", "").otherwise(F.concat(start, host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
 
 
 def citations(body: Column) -> Column:

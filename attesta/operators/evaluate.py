@@ -58,11 +58,22 @@ def cap_concurrency(n: Column) -> Column:
     return F.greatest(F.lit(1), F.least(n, F.lit(MAX_CONCURRENT)))
 
 
-def findings_verdict(findings: DataFrame, key: str) -> DataFrame:
-    """neutral without findings; contradicts with a graded refutation or qualification; else entails."""
-    hit = (F.col("refutes") | F.col("qualifies")) & (F.coalesce("quality_rating", F.lit("")).isin("A", "B", ""))
-    agg = findings.groupBy(key).agg(F.max(hit).alias("hit"), F.max(hit & F.col("refutes")).alias("ref"), F.array_join(F.slice(F.transform(F.sort_array(F.collect_list(F.when(hit, F.struct("_ord", "summary")))), lambda x: x["summary"]), 1, 3), "|").alias("first_three"))
-    return agg.select(key, F.when(F.col("hit"), "contradicts").otherwise("entails").alias("verdict"), F.when(F.col("ref"), "refuted").when(F.col("hit"), "material_qualifier_omitted").otherwise("no_contrary_evidence_found").alias("reason"), F.when(F.col("hit"), F.col("first_three")).alias("summaries"))
+def findings_verdict(findings: DataFrame, key: str, keys: DataFrame | None = None) -> DataFrame:
+    """contradicts with a refutation or qualification of grade A or B (of either case) or without a grade, else entails.
+
+    ``keys`` has the claims that must be there: neutral without a finding. Null flags are false.
+    """
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    refutes = yes(F.col("refutes"))
+    hit = (refutes | yes(F.col("qualifies"))) & F.upper(F.coalesce("quality_rating", F.lit(""))).isin("A", "B", "")
+    summaries = F.transform(F.slice(F.sort_array(F.collect_list(F.when(hit, F.struct("_ord", F.coalesce("summary", F.lit("")).alias("summary"))))), 1, 3), lambda x: x["summary"])
+    agg = findings.groupBy(key).agg(F.max(hit).alias("hit"), F.max(hit & refutes).alias("ref"), F.array_join(summaries, "|").alias("first_three"))
+    if keys is not None:
+        agg = keys.select(key).distinct().alias("k").join(agg.alias("a"), F.col(f"k.{key}").eqNullSafe(F.col(f"a.{key}")), "left").select(f"k.{key}", "hit", "ref", "first_three")
+    none = F.col("hit").isNull()
+    verdict = F.when(none, "neutral").when(F.col("hit"), "contradicts").otherwise("entails")
+    reason = F.when(none, "no_contrary_search").when(F.col("ref"), "refuted").when(F.col("hit"), "material_qualifier_omitted").otherwise("no_contrary_evidence_found")
+    return agg.select(key, verdict.alias("verdict"), reason.alias("reason"), F.when(F.col("hit"), F.col("first_three")).alias("summaries"))
 
 
 def unit_budget(requests: DataFrame, total: int, key: str, order: str) -> DataFrame:
@@ -72,9 +83,27 @@ def unit_budget(requests: DataFrame, total: int, key: str, order: str) -> DataFr
     return requests.withColumn("granted", F.row_number().over(W.partitionBy(key).orderBy(order)) <= total)
 
 
-def replay_plan(old: DataFrame, new: DataFrame) -> DataFrame:
-    """id, action: frozen while hashes agree, requery where the claim's or source's changed, tamper where only the stored one did."""
-    both = old.alias("o").join(new.alias("n"), "id", "left")
-    changed = ~F.col("o.claim_hash").eqNullSafe(F.col("n.claim_hash"))
-    source = ~F.col("o.source_hash").eqNullSafe(F.col("n.source_hash"))
-    return both.select("id", F.when(changed, "requery").when(source, "tamper").otherwise("frozen").alias("action"))
+def _last(rows: DataFrame, *keys: str) -> DataFrame:
+    """The last row (by _ord, where the table has it) of each key."""
+    rest = [c for c in rows.columns if c not in keys]
+    order = F.col("_ord") if "_ord" in rows.columns else F.lit(0)
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*")
+
+
+def replay_plan(refs: DataFrame, verdicts: DataFrame, claims: DataFrame, sources: DataFrame) -> DataFrame:
+    """The refs with action and reason: what a second run may take from the first.
+
+    refs: claim_id, source_id and any others. verdicts: claim_id, source_id, _ord, producer, claim_text_hash,
+    snapshot_hash; the last one of a pair by a verifier (or by nobody named) holds. claims: claim_id,
+    claim_text_hash. sources: source_id, content_hash. frozen: both hashes are as they were; requery: no verdict, or
+    the claim has another text now; tamper: only the stored source changed. What isn't there has a null hash.
+    """
+    held = _last(verdicts.filter("coalesce(producer, 'verifier') = 'verifier'").select("claim_id", "source_id", "_ord", "claim_text_hash", "snapshot_hash"), "claim_id", "source_id").withColumn("_judged", F.lit(True))
+    now = _last(claims, "claim_id").select("claim_id", F.col("claim_text_hash").alias("_claim"))
+    kept = _last(sources, "source_id").select("source_id", F.col("content_hash").alias("_source"))
+    both = refs.join(held, ["claim_id", "source_id"], "left").join(now, "claim_id", "left").join(kept, "source_id", "left")
+    claim, source = F.col("claim_text_hash").eqNullSafe(F.col("_claim")), F.col("snapshot_hash").eqNullSafe(F.col("_source"))
+    none = F.col("_judged").isNull()
+    action = F.when(none | ~claim, "requery").when(source, "frozen").otherwise("tamper")
+    reason = F.when(none, "no_verdict").when(~claim, "claim_changed").when(~source, "snapshot_changed")
+    return both.select(*refs.columns, action.alias("action"), reason.alias("reason"))

@@ -1,9 +1,10 @@
-"""Hybrid retrieval of a stated query set: BM25, embeddings, coverage, top k.
+"""Retrieval of a stated query set: BM25 by an inverted index, hybrids with embeddings and coverage, top k.
 
-Queries go to the tasks in blocks of ``BLOCK``; documents stream past them, so no pair of a query and a
-document is ever shuffled, and a frequent word is no key. A pass over the documents gives document
-frequencies, another the range of each score for each query, a third the best k of each task, which
-are merged. Ties go to the smaller document; scores are compared to nine places.
+``bm25`` asks an index (see ``index``). A hybrid scales cosines by their range over all documents, and an
+embedding has no zero to leave out, so ``retrieve`` streams the documents past blocks of ``BLOCK`` queries: no
+pair is shuffled. A pass gives document frequencies, another the range of each score, a third the
+best k of each task, which are merged. A task holds the texts that each asked word is in, and scores of
+``ROWS`` documents. Ties go to the smaller document; scores are compared to nine places.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
-from . import cluster
+from . import cluster, index
 
 K1, B = 1.5, 0.75
 BLOCK = 2000
@@ -42,36 +43,42 @@ def statistics(queries: DataFrame, docs: DataFrame) -> tuple[int, float, dict[st
 
 
 class Scorer:
-    """Scores of a batch of documents for a block of texts: matrices of documents by texts."""
+    """Scores of a batch of documents for a block of texts, through the texts that each word is in."""
 
     def __init__(self, texts: list[str], n: int, mean: float, df: dict[str, int], embed: Callable | None) -> None:
-        sets = [sorted(set(words(t))) for t in texts]
+        sets = [set(words(t)) for t in texts]
         self.at = {t: i for i, t in enumerate(sorted(set().union(*sets)))}
         self.idf = np.array([np.log(1 + (n - df.get(t, 0) + 0.5) / (df.get(t, 0) + 0.5)) for t in self.at])
-        self.has = np.zeros((len(texts), len(self.at)))
-        for i, s in enumerate(sets):
-            self.has[i, [self.at[t] for t in s]] = 1
-        self.size = np.maximum(self.has.sum(1), 1)
+        pairs = np.array(sorted((self.at[t], i) for i, s in enumerate(sets) for t in s), np.int64).reshape(-1, 2)
+        self.first, self.texts = np.searchsorted(pairs[:, 0], np.arange(len(self.at) + 1)), pairs[:, 1]
+        self.size = np.maximum(np.bincount(self.texts, minlength=len(texts)), 1)
         self.mean, self.embed = mean, embed
         self.vectors = embed(texts) if embed else None
 
-    def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        tf, length = np.zeros((len(texts), len(self.at))), np.zeros((len(texts), 1))
+    def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Document, asked word and its number of occurrences; the length of each document."""
+        found, length = [], np.zeros(len(texts))
         for i, text in enumerate(texts):
             w = words(text)
             length[i] = len(w)
-            for t, c in Counter(x for x in w if x in self.at).items():
-                tf[i, self.at[t]] = c
-        return tf, length
+            found += [(i, self.at[t], c) for t, c in Counter(x for x in w if x in self.at).items()]
+        return *np.array(found, np.int64).reshape(-1, 3).T, length
 
-    def bm25(self, tf: np.ndarray, length: np.ndarray) -> np.ndarray:
-        return (self.idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / self.mean))) @ self.has.T
+    def _spread(self, doc: np.ndarray, word: np.ndarray, part: np.ndarray, docs: int) -> np.ndarray:
+        """Sums of the parts that documents give to the texts with their words."""
+        n = self.first[word + 1] - self.first[word]
+        at = np.repeat(self.first[word] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        wide = len(self.size)
+        return np.bincount(np.repeat(doc, n) * wide + self.texts[at], np.repeat(part, n), docs * wide).reshape(docs, wide).astype(np.float64)  # of nothing it is whole
+
+    def bm25(self, doc: np.ndarray, word: np.ndarray, tf: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return self._spread(doc, word, self.idf[word] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / self.mean)), len(length))
 
     def cosine(self, texts: list[str]) -> np.ndarray:
         return self.embed(texts) @ self.vectors.T
 
-    def coverage(self, tf: np.ndarray) -> np.ndarray:
-        return (tf > 0).astype(float) @ self.has.T / self.size
+    def coverage(self, doc: np.ndarray, word: np.ndarray, tf: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return self._spread(doc, word, np.ones(len(doc)), len(length)) / self.size
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
@@ -108,13 +115,6 @@ def top_k(scores: DataFrame, k: int = 5, col: str = "score") -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _dealt(docs: DataFrame) -> DataFrame:
-    """The documents in as many partitions as there are cores, where their files have fewer splits than that."""
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    docs = docs.select("doc", "text")
-    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
-
-
 def _blocks(queries: DataFrame, block: int) -> Iterator[list]:
     held = []
     for r in queries.select("qid", "text").orderBy("qid").toLocalIterator():
@@ -135,17 +135,13 @@ def _united(parts: list[DataFrame], empty: str, docs: DataFrame) -> DataFrame:
     return out
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int = 5, block: int = BLOCK) -> DataFrame:
-    """qid, rank, doc, score: the best k documents of each query, those without a common word last. queries: qid, text; docs: doc, text."""
-    n, mean, df = statistics(queries, docs)
-    docs, parts = _dealt(docs), []
-    for some in _blocks(queries, block):
-        def score(texts: list[str], s=Scorer([t for _, t in some], n, mean, df, None)) -> list[np.ndarray]:
-            return [s.bm25(*s.counts(texts))]
+def bm25(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
+    """qid, rank, doc, score: the best k documents of each query, those without a common word last. queries: qid, text; docs: doc, text.
 
-        parts.append(_best(docs, [q for q, _ in some], queries.schema["qid"].dataType, score, k, ["score"]))
-    shape = f"qid {queries.schema['qid'].dataType.simpleString()}, doc {docs.schema['doc'].dataType.simpleString()}, score double"
-    return top_k(_united(parts, shape, docs), k).select("qid", "rank", "doc", "score")
+    Only postings of the queries' words are made; ``index.build`` and ``index.best`` keep an index for many searches.
+    """
+    words = queries.select(F.explode(T.tokens(F.coalesce("text", F.lit("")))).alias("token"))
+    return index.best(index.build(docs, words), queries, k)
 
 
 def retrieve(queries: DataFrame, docs: DataFrame, k: int = 5, alpha: float = 0.5, embedder: Callable | None = None, reranker: Callable | None = None, expand: bool = True, block: int = BLOCK) -> DataFrame:
@@ -157,7 +153,6 @@ def retrieve(queries: DataFrame, docs: DataFrame, k: int = 5, alpha: float = 0.5
     the queries and a list of texts to a matrix of texts by queries.
     """
     embed = embedder or cluster._embed
-    docs = _dealt(docs)
     forms = T.expand_query(F.coalesce("text", F.lit(""))) if expand else F.array(F.coalesce("text", F.lit("")))
     wide = queries.select("qid", "text", forms.alias("forms"))
     n, mean, df = statistics(queries, docs)
@@ -174,7 +169,7 @@ def retrieve(queries: DataFrame, docs: DataFrame, k: int = 5, alpha: float = 0.5
             for _, texts in _texts(batches):
                 both = [s.bm25(*s.counts(texts)), s.cosine(texts)]
                 cols = [x for m in both for x in (m.min(0), m.max(0))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(s.has))), *map(pa.array, cols)], ["v", "b0", "b1", "c0", "c1"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(s.size))), *map(pa.array, cols)], ["v", "b0", "b1", "c0", "c1"])
 
         ends = docs.mapInArrow(span, "v bigint, b0 double, b1 double, c0 double, c1 double").groupBy("v").agg(F.min("b0"), F.max("b1"), F.min("c0"), F.max("c1"))
         ends = np.array(sorted(tuple(r) for r in ends.collect())).reshape(-1, 5)[:, 1:]  # one row per form
@@ -189,7 +184,7 @@ def retrieve(queries: DataFrame, docs: DataFrame, k: int = 5, alpha: float = 0.5
             hybrid = np.zeros((len(texts), len(names)))
             for v, q in enumerate(owner.tolist()):
                 hybrid[:, q] = np.maximum(hybrid[:, q], mixed[:, v])
-            rerank = reranker(names, texts) if reranker else plain.coverage(plain.counts(texts)[0])
+            rerank = reranker(names, texts) if reranker else plain.coverage(*plain.counts(texts))
             return [0.7 * rerank + 0.3 * hybrid, hybrid, rerank]
 
         parts.append(_best(docs, [q for q, _ in some], queries.schema["qid"].dataType, score, k, ["score", "hybrid", "rerank"]))

@@ -62,12 +62,16 @@ def verdict_ids(spark, d):
     return read(spark, d, "events").select("event_id", T.verdict_id(F.col("user_id"), F.col("event_type"), F.lit("verifier"), F.lit(None).cast("string"), F.lit("")).alias("verdict_id"))
 
 
+#: Over URLs in which each percent sign starts an escape of UTF-8, as DuckDB's own function demands.
 @query("canonical_url", r"""
-WITH u AS (SELECT page_id, regexp_replace(lower(trim(url)), '#.*$', '') AS u FROM pages),
-p AS (SELECT page_id, regexp_replace(regexp_extract(u, '^[a-z][a-z0-9+.-]*://([^/?]*)', 1), '^www\.', '') AS host,
-  rtrim(regexp_extract(u, '^[a-z][a-z0-9+.-]*://[^/?]*([^?]*)', 1), '/') AS path,
-  list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda x: regexp_matches(x, '^[^=]+=.') AND NOT regexp_matches(x, '^(utm_|fbclid|gclid|mc_|ref|ref_src|cmpid|igshid)'))) AS q FROM u)
-SELECT page_id, 'https://' || host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS canonical FROM p""")
+WITH u AS (SELECT page_id, url, regexp_replace(translate(trim(lower(coalesce(url, '')), chr(9) || chr(10) || chr(13) || ' '), chr(9) || chr(10) || chr(13), ''), '^[a-z][a-z0-9+.-]*:', '') AS r FROM pages),
+t AS (SELECT page_id, url, regexp_replace(regexp_extract(r, '^//([^/?#]*)', 1), '^www\.', '') AS host, regexp_replace(regexp_replace(r, '^//[^/?#]*', ''), '#.*$', '') AS t FROM u),
+p AS (SELECT page_id, url, host, coalesce(nullif(rtrim(regexp_extract(t, '^[^?]*'), '/'), ''), '/') AS path,
+  list_sort(list_filter(list_transform(list_filter(string_split(regexp_extract(t, '\?(.*)$', 1), '&'), lambda x: regexp_matches(x, '^[^=]*=.')),
+    lambda x: {'k': url_decode(replace(regexp_extract(x, '^[^=]*'), '+', ' ')), 'v': url_decode(replace(regexp_extract(x, '^[^=]*=(.*)$', 1), '+', ' '))}),
+    lambda x: NOT regexp_matches(x.k, '^(utm_|fbclid|gclid|mc_|ref|ref_src|cmpid|igshid)'))) AS q FROM t),
+e AS (SELECT *, array_to_string(list_transform(q, lambda x: replace(url_encode(x.k), '%20', '+') || '=' || replace(url_encode(x.v), '%20', '+')), '&') AS query FROM p)
+SELECT page_id, CASE WHEN coalesce(url, '') = '' THEN '' ELSE CASE WHEN host <> '' OR path LIKE '/%' THEN 'https://' ELSE 'https:' END || host || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS canonical FROM e""")
 def canonical_url(spark, d):
     return read(spark, d, "pages").select("page_id", T.canonical_url(F.col("url")).alias("canonical"))
 
@@ -222,7 +226,7 @@ def near_pairs(spark, d):
     return cluster.near_pairs(cluster.simhash(docs, "doc_id", "text"))
 
 
-_URLS = SQL["canonical_url"].replace("SELECT page_id, 'https://'", "SELECT page_id AS id, 'https://'")
+_URLS = SQL["canonical_url"].replace("SELECT page_id, CASE", "SELECT page_id AS id, CASE")
 _CLUSTERS = rf"""
 WITH RECURSIVE documents AS (SELECT page_id AS doc_id, regexp_replace(html, '<[^>]*>', ' ', 'g') AS text FROM pages), {_SIMHASH},
 n AS (SELECT u.id, u.canonical, nullif(b.bits, 0) AS bits, row_number() OVER (ORDER BY u.id) AS i FROM ({_URLS}) u JOIN b ON b.doc_id = u.id),
@@ -467,23 +471,43 @@ def unit_budget(spark, d):
     return evaluate.unit_budget(read(spark, d, "events"), 40, "user_id", "event_id").select("event_id", "granted")
 
 
-@query("findings", """
-WITH f AS (SELECT user_id, event_id AS o, event_id % 11 = 0 AS r, event_id % 13 = 0 AS q, substr('ABC', (event_id % 3)::INT + 1, 1) AS g FROM events), h AS (SELECT *, (r OR q) AND g IN ('A', 'B') AS hit FROM f)
-SELECT user_id, CASE WHEN bool_or(hit) THEN 'contradicts' ELSE 'entails' END AS verdict, CASE WHEN bool_or(hit AND r) THEN 'refuted' WHEN bool_or(hit) THEN 'material_qualifier_omitted' ELSE 'no_contrary_evidence_found' END AS reason,
- CASE WHEN bool_or(hit) THEN array_to_string(list_slice(list('s' || o ORDER BY o) FILTER (hit), 1, 3), '|') END AS summaries FROM h GROUP BY 1""")
+_GRADES = "['A', 'b', 'C', 'a', '', NULL]"
+
+
+@query("findings", f"""
+WITH f AS (SELECT user_id, event_id AS o, event_id % 11 = 0 AS r, CASE WHEN event_id % 17 <> 0 THEN event_id % 13 = 0 END AS q, {_GRADES}[(event_id % 6)::INT + 1] AS g FROM events WHERE event_id % 3 = 0),
+h AS (SELECT *, coalesce(r OR q, false) AND coalesce(upper(g), '') IN ('A', 'B', '') AS hit FROM f),
+a AS (SELECT user_id, bool_or(hit) AS hit, bool_or(hit AND r) AS ref, array_to_string(list_slice(list('s' || o ORDER BY o) FILTER (hit), 1, 3), '|') AS s FROM h GROUP BY 1)
+SELECT k.user_id, CASE WHEN a.user_id IS NULL THEN 'neutral' WHEN hit THEN 'contradicts' ELSE 'entails' END AS verdict,
+ CASE WHEN a.user_id IS NULL THEN 'no_contrary_search' WHEN ref THEN 'refuted' WHEN hit THEN 'material_qualifier_omitted' ELSE 'no_contrary_evidence_found' END AS reason, CASE WHEN hit THEN s END AS summaries
+FROM (SELECT DISTINCT user_id FROM events) k LEFT JOIN a USING (user_id)""")
 def findings(spark, d):
     e = F.col("event_id")
-    rows = read(spark, d, "events").select("user_id", e.alias("_ord"), (e % 11 == 0).alias("refutes"), (e % 13 == 0).alias("qualifies"), F.substring(F.lit("ABC"), (e % 3).cast("int") + 1, F.lit(1)).alias("quality_rating"), F.concat(F.lit("s"), e.cast("string")).alias("summary"))
-    return evaluate.findings_verdict(rows, "user_id")
+    events = read(spark, d, "events")
+    grades = F.array(*[F.lit(g) for g in ("A", "b", "C", "a", "", None)])
+    rows = events.filter(e % 3 == 0).select("user_id", e.alias("_ord"), (e % 11 == 0).alias("refutes"), F.when(e % 17 != 0, e % 13 == 0).alias("qualifies"), grades[(e % 6).cast("int")].alias("quality_rating"), F.concat(F.lit("s"), e.cast("string")).alias("summary"))
+    return evaluate.findings_verdict(rows, "user_id", events.select("user_id"))
+
 
+#: Claims are users, sources are 97: refs, verdicts (of three producers, the last one of a pair holds), claims and sources with what they are now.
+_REPLAY = """
+WITH e AS (SELECT event_id, user_id AS c, event_id % 97 AS s FROM events),
+v AS (SELECT c, s, event_id, md5(c || 'x' || CASE WHEN event_id % 19 = 0 THEN 1 ELSE 0 END) AS ch, md5(s || 'y' || CASE WHEN event_id % 23 = 0 THEN 1 ELSE 0 END) AS sh FROM e WHERE event_id % 5 <> 1 AND event_id % 4 < 3),
+l AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY c, s ORDER BY event_id DESC) = 1),
+r AS (SELECT e.event_id, e.c, e.s, l.event_id IS NOT NULL AS judged, ch IS NOT DISTINCT FROM CASE WHEN e.c % 31 <> 0 THEN md5(e.c || 'x0') END AS ch, sh IS NOT DISTINCT FROM md5(e.s || 'y' || CASE WHEN e.s % 29 = 0 THEN 1 ELSE 0 END) AS sh FROM e LEFT JOIN l USING (c, s))
+SELECT event_id, c AS claim_id, s AS source_id, CASE WHEN NOT judged OR NOT ch THEN 'requery' WHEN sh THEN 'frozen' ELSE 'tamper' END AS action,
+ CASE WHEN NOT judged THEN 'no_verdict' WHEN NOT ch THEN 'claim_changed' WHEN NOT sh THEN 'snapshot_changed' END AS reason FROM r"""
 
-@query("replay_plan", "SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN 'requery' WHEN doc_id % 7 = 0 THEN 'tamper' ELSE 'frozen' END AS action FROM documents")
+
+@query("replay_plan", _REPLAY)
 def replay_plan(spark, d):
-    docs = read(spark, d, "documents")
-    own, text = F.sha2(F.col("doc_id").cast("string"), 256), F.sha2("text", 256)
-    old = docs.select(F.col("doc_id").alias("id"), own.alias("claim_hash"), text.alias("source_hash"))
-    new = docs.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 5 == 0, "changed").otherwise(own).alias("claim_hash"), F.when(F.col("doc_id") % 7 == 0, "changed").otherwise(text).alias("source_hash"))
-    return evaluate.replay_plan(old, new)
+    e = F.col("event_id")
+    rows = read(spark, d, "events").select("event_id", F.col("user_id").alias("claim_id"), (e % 97).alias("source_id"))
+    digest = lambda c, mark, stale: F.md5(F.concat(F.col(c).cast("string"), F.lit(mark), F.when(stale, "1").otherwise("0")))
+    said = rows.filter(e % 5 != 1).select("claim_id", "source_id", e.alias("_ord"), F.when(e % 4 == 3, "panel").when(e % 4 == 2, "verifier").alias("producer"), digest("claim_id", "x", e % 19 == 0).alias("claim_text_hash"), digest("source_id", "y", e % 23 == 0).alias("snapshot_hash"))
+    claims = rows.select("claim_id").distinct().select("claim_id", F.when(F.col("claim_id") % 31 != 0, F.md5(F.concat(F.col("claim_id").cast("string"), F.lit("x0")))).alias("claim_text_hash"))
+    sources = rows.select("source_id").distinct().select("source_id", digest("source_id", "y", F.col("source_id") % 29 == 0).alias("content_hash"))
+    return evaluate.replay_plan(rows, said, claims, sources)
 
 
 @query("grade_histogram", "SELECT substr('ABCD', (s_nationkey % 4)::INT + 1, 1) AS grade, count(*) AS n, repeat('█', count(*)::INT) AS bar FROM supplier GROUP BY 1")
