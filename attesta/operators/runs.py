@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .evaluate import estimate_calls
+from .graph import pinned
 
 #: Tokens of a call, prices of a million tokens, seconds that a heartbeat holds.
 TOKENS = {"verifier_in": 600 + 60 + 1200, "verifier_out": 250, "panel_in": 700 + 1500, "panel_out": 300}
@@ -68,32 +70,106 @@ def _faults(doc: Column) -> Column:
     return F.when(root, F.array_compact(F.array(*tests))).otherwise(F.array(F.lit("(root): object")))
 
 
-def budget(requests: DataFrame, total: int, key: str, order: str, amount: str, returned: str | None = None) -> DataFrame:
-    """key, order, granted, remaining of requests of any size, taken in turn: one is granted whole or not at all.
+class Spending:
+    """What some requests in turn make of any amount that is left before them: pieces of the range 0..total.
+
+    From its start on, a piece gives the amount plus ``add`` (or ``add`` alone, where it is ``fixed``), and says
+    whether a request was denied.
+    """
+
+    def __init__(self, total: int) -> None:
+        self.total, self.pieces = total, [(0, 0, False, False)]  # start, add, fixed, denied
+
+    def take(self, n: int, back: bool) -> None:
+        if n <= 0:
+            return
+        out, ends = [], [p[0] for p in self.pieces[1:]] + [self.total + 1]
+        for (start, add, fixed, denied), end in zip(self.pieces, ends, strict=True):
+            if back:
+                low, high = (start, add + n, fixed, denied), (self.total, True, denied)
+                at = self.total - n - add + 1  # from here on the total is reached
+            else:
+                low, high = (start, add, fixed, True), (add - n, fixed, denied)
+                at = n - add
+            if fixed:  # one value, on one side
+                at = start if (add + n > self.total if back else add >= n) else end
+            if at > start:
+                out.append(low)
+            if at < end:
+                out.append((max(at, start), *high))
+        self.pieces = [p for i, p in enumerate(out) if not i or p[1:] != out[i - 1][1:]]
+
+    def after(self, left: int) -> tuple[int, bool]:
+        _, add, fixed, denied = self.pieces[bisect.bisect_right(self.pieces, left, key=lambda p: p[0]) - 1]
+        return (add if fixed else left + add), denied
+
+
+def budget(requests: DataFrame, total: int, key: str, order: str, amount: str, returned: str | None = None, tasks: int | None = None) -> DataFrame:
+    """key, order, granted, remaining, exhausted of requests of any size, taken in turn: one is granted whole or not at all.
 
     Zero, less and null are granted for nothing. Rows with ``returned`` give their amount back, up to the
-    total. What a later request gets depends on all before it,
-    so one key's requests pass one task in order; they stream through it, sorted on disk where need
-    be, and only the counter is kept.
+    total. exhausted: a request was denied, this one or one before it. Rows that share key and order go by amount.
+
+    Rows are dealt by ranges of key and order, so a key with a third of all requests is in many tasks. Where a key is in
+    several, each of them first says what it makes of any amount (``Spending``, at most one piece for each unit of the
+    total); those are applied in order of the ranges, and each task then starts with what is left for it.
     """
     rows = requests.select(F.col(key).cast("string").alias("k"), F.col(order).cast("long").alias("o"), F.coalesce(F.col(amount), F.lit(0)).cast("long").alias("n"), (F.coalesce(F.col(returned), F.lit(False)) if returned else F.lit(False)).alias("back"))
+    dealt = rows.repartitionByRange(tasks, "k", "o") if tasks else rows.repartitionByRange("k", "o")
+    rows = pinned(dealt.withColumn("part", F.spark_partition_id()))
+    shares = pinned(rows.select("part", "k").distinct())
+    split = shares.groupBy("k").agg(F.count(F.lit(1)).alias("parts")).filter("parts > 1").select(F.col("k").alias("j"))
+    in_order = lambda df: df.repartition("part").sortWithinPartitions("part", "k", "o", "n", "back")
+
+    def say(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, None
+        shape = pa.schema([("part", pa.int32()), ("k", pa.string()), ("pieces", pa.list_(pa.struct([("start", pa.int64()), ("add", pa.int64()), ("fixed", pa.bool_()), ("denied", pa.bool_())])))])
+
+        def row() -> pa.RecordBatch:
+            pieces = [dict(zip(("start", "add", "fixed", "denied"), p, strict=True)) for p in held.pieces]
+            return pa.RecordBatch.from_pylist([{"part": now[0], "k": now[1], "pieces": pieces}], shape)
+
+        for batch in batches:
+            for part, k, n, back in zip(*(batch.column(c).to_pylist() for c in ("part", "k", "n", "back")), strict=True):
+                if (part, k) != now:
+                    if held:
+                        yield row()
+                    now, held = (part, k), Spending(total)
+                held.take(n, back)
+        if held:
+            yield row()
+
+    said = in_order(rows.join(split, F.col("k").eqNullSafe(F.col("j")), "left_semi")).mapInArrow(say, "part int, k string, pieces array<struct<start:bigint,add:bigint,fixed:boolean,denied:boolean>>")
+
+    def follow(parts: pa.Table) -> pa.Table:
+        left, out, out_of, held = total, [], False, Spending(total)
+        for r in sorted(parts.to_pylist(), key=lambda r: r["part"]):
+            out.append({"part": r["part"], "k": r["k"], "left": left, "out": out_of})
+            held.pieces = [(p["start"], p["add"], p["fixed"], p["denied"]) for p in r["pieces"]]
+            left, denied = held.after(left)
+            out_of = out_of or denied
+        return pa.Table.from_pylist(out, pa.schema([("part", pa.int32()), ("k", pa.string()), ("left", pa.int64()), ("out", pa.bool_())]))
+
+    starts = said.groupBy("k").applyInArrow(follow, "part int, k string, left bigint, out boolean").alias("s")
+    r = rows.alias("r")
+    begun = r.join(starts, (F.col("r.part") == F.col("s.part")) & F.col("r.k").eqNullSafe(F.col("s.k")), "left").select("r.*", F.coalesce("left", F.lit(total)).cast("long").alias("left"), F.coalesce("out", F.lit(False)).alias("out"))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, left = object(), total
+        now, left, out_of = None, total, False
         for batch in batches:
-            granted, remaining = [], []
-            keys = batch.column("k")
-            for k, n, back in zip(keys.to_pylist(), batch.column("n").to_pylist(), batch.column("back").to_pylist(), strict=True):
-                if k != now:
-                    now, left = k, total
+            done: list[tuple] = []
+            for part, k, n, back, start, out in zip(*(batch.column(c).to_pylist() for c in ("part", "k", "n", "back", "left", "out")), strict=True):
+                if (part, k) != now:
+                    now, left, out_of = (part, k), start, out
                 fits = back or n <= left or n <= 0
                 left = min(total, left + max(n, 0)) if back else left - max(n, 0) if fits else left
-                granted.append(fits)
-                remaining.append(left)
-            yield pa.RecordBatch.from_arrays([keys, batch.column("o"), pa.array(granted, pa.bool_()), pa.array(remaining, pa.int64())], ["k", "o", "granted", "remaining"])
+                out_of = out_of or not fits
+                done.append((fits, left, out_of))
+            granted, remaining, exhausted = zip(*done, strict=True) if done else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("o"), pa.array(granted, pa.bool_()), pa.array(remaining, pa.int64()), pa.array(exhausted, pa.bool_())], ["k", "o", "granted", "remaining", "exhausted"])
 
-    done = rows.repartition("k").sortWithinPartitions("k", "o").mapInArrow(take, "k string, o bigint, granted boolean, remaining bigint")
-    return done.select(F.col("k").cast(requests.schema[key].dataType).alias(key), F.col("o").alias(order), "granted", "remaining")
+    done = in_order(begun).mapInArrow(take, "k string, o bigint, granted boolean, remaining bigint, exhausted boolean")
+    return done.select(F.col("k").cast(requests.schema[key].dataType).alias(key), F.col("o").alias(order), "granted", "remaining", "exhausted")
 
 
 def estimate_run(high_risk: Column, per_claim: float = 2.0, share: float = 1.0, price_in: float = PRICE_IN, price_out: float = PRICE_OUT) -> dict[str, Column]:

@@ -475,24 +475,24 @@ _GRADES = "['A', 'b', 'C', 'a', '', NULL]"
 
 
 @query("findings", f"""
-WITH f AS (SELECT user_id, event_id AS o, event_id % 11 = 0 AS r, CASE WHEN event_id % 17 <> 0 THEN event_id % 13 = 0 END AS q, {_GRADES}[(event_id % 6)::INT + 1] AS g FROM events WHERE event_id % 3 = 0),
+WITH f AS (SELECT user_id, event_id AS o, event_id % 11 = 0 AS r, CASE WHEN event_id % 17 <> 0 THEN event_id % 13 = 0 END AS q, {_GRADES}[(event_id % 6)::INT + 1] AS g FROM events),
 h AS (SELECT *, coalesce(r OR q, false) AND coalesce(upper(g), '') IN ('A', 'B', '') AS hit FROM f),
 a AS (SELECT user_id, bool_or(hit) AS hit, bool_or(hit AND r) AS ref, array_to_string(list_slice(list('s' || o ORDER BY o) FILTER (hit), 1, 3), '|') AS s FROM h GROUP BY 1)
-SELECT k.user_id, CASE WHEN a.user_id IS NULL THEN 'neutral' WHEN hit THEN 'contradicts' ELSE 'entails' END AS verdict,
+SELECT k.c_custkey AS user_id, CASE WHEN a.user_id IS NULL THEN 'neutral' WHEN hit THEN 'contradicts' ELSE 'entails' END AS verdict,
  CASE WHEN a.user_id IS NULL THEN 'no_contrary_search' WHEN ref THEN 'refuted' WHEN hit THEN 'material_qualifier_omitted' ELSE 'no_contrary_evidence_found' END AS reason, CASE WHEN hit THEN s END AS summaries
-FROM (SELECT DISTINCT user_id FROM events) k LEFT JOIN a USING (user_id)""")
+FROM customer k LEFT JOIN a ON a.user_id = k.c_custkey""")
 def findings(spark, d):
     e = F.col("event_id")
     events = read(spark, d, "events")
     grades = F.array(*[F.lit(g) for g in ("A", "b", "C", "a", "", None)])
-    rows = events.filter(e % 3 == 0).select("user_id", e.alias("_ord"), (e % 11 == 0).alias("refutes"), F.when(e % 17 != 0, e % 13 == 0).alias("qualifies"), grades[(e % 6).cast("int")].alias("quality_rating"), F.concat(F.lit("s"), e.cast("string")).alias("summary"))
-    return evaluate.findings_verdict(rows, "user_id", events.select("user_id"))
+    rows = events.select("user_id", e.alias("_ord"), (e % 11 == 0).alias("refutes"), F.when(e % 17 != 0, e % 13 == 0).alias("qualifies"), grades[(e % 6).cast("int")].alias("quality_rating"), F.concat(F.lit("s"), e.cast("string")).alias("summary"))
+    return evaluate.findings_verdict(rows, "user_id", read(spark, d, "customer").select(F.col("c_custkey").alias("user_id")))
 
 
 #: Claims are users, sources are 97: refs, verdicts (of three producers, the last one of a pair holds), claims and sources with what they are now.
 _REPLAY = """
-WITH e AS (SELECT event_id, user_id AS c, event_id % 97 AS s FROM events),
-v AS (SELECT c, s, event_id, md5(c || 'x' || CASE WHEN event_id % 19 = 0 THEN 1 ELSE 0 END) AS ch, md5(s || 'y' || CASE WHEN event_id % 23 = 0 THEN 1 ELSE 0 END) AS sh FROM e WHERE event_id % 5 <> 1 AND event_id % 4 < 3),
+WITH e AS (SELECT event_id, user_id AS c, event_id % 97 AS s, event_type AS t FROM events),
+v AS (SELECT c, s, event_id, md5(c || 'x' || CASE WHEN event_id % 19 = 0 THEN 1 ELSE 0 END) AS ch, md5(s || 'y' || CASE WHEN event_id % 23 = 0 THEN 1 ELSE 0 END) AS sh FROM e WHERE t <> 'view' AND event_id % 4 < 3),
 l AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY c, s ORDER BY event_id DESC) = 1),
 r AS (SELECT e.event_id, e.c, e.s, l.event_id IS NOT NULL AS judged, ch IS NOT DISTINCT FROM CASE WHEN e.c % 31 <> 0 THEN md5(e.c || 'x0') END AS ch, sh IS NOT DISTINCT FROM md5(e.s || 'y' || CASE WHEN e.s % 29 = 0 THEN 1 ELSE 0 END) AS sh FROM e LEFT JOIN l USING (c, s))
 SELECT event_id, c AS claim_id, s AS source_id, CASE WHEN NOT judged OR NOT ch THEN 'requery' WHEN sh THEN 'frozen' ELSE 'tamper' END AS action,
@@ -502,12 +502,12 @@ SELECT event_id, c AS claim_id, s AS source_id, CASE WHEN NOT judged OR NOT ch T
 @query("replay_plan", _REPLAY)
 def replay_plan(spark, d):
     e = F.col("event_id")
-    rows = read(spark, d, "events").select("event_id", F.col("user_id").alias("claim_id"), (e % 97).alias("source_id"))
+    rows = read(spark, d, "events").select("event_id", F.col("user_id").alias("claim_id"), (e % 97).alias("source_id"), "event_type")
     digest = lambda c, mark, stale: F.md5(F.concat(F.col(c).cast("string"), F.lit(mark), F.when(stale, "1").otherwise("0")))
-    said = rows.filter(e % 5 != 1).select("claim_id", "source_id", e.alias("_ord"), F.when(e % 4 == 3, "panel").when(e % 4 == 2, "verifier").alias("producer"), digest("claim_id", "x", e % 19 == 0).alias("claim_text_hash"), digest("source_id", "y", e % 23 == 0).alias("snapshot_hash"))
+    said = rows.filter("event_type <> 'view'").select("claim_id", "source_id", e.alias("_ord"), F.when(e % 4 == 3, "panel").when(e % 4 == 2, "verifier").alias("producer"), digest("claim_id", "x", e % 19 == 0).alias("claim_text_hash"), digest("source_id", "y", e % 23 == 0).alias("snapshot_hash"))
     claims = rows.select("claim_id").distinct().select("claim_id", F.when(F.col("claim_id") % 31 != 0, F.md5(F.concat(F.col("claim_id").cast("string"), F.lit("x0")))).alias("claim_text_hash"))
     sources = rows.select("source_id").distinct().select("source_id", digest("source_id", "y", F.col("source_id") % 29 == 0).alias("content_hash"))
-    return evaluate.replay_plan(rows, said, claims, sources)
+    return evaluate.replay_plan(rows.drop("event_type"), said, claims, sources)
 
 
 @query("grade_histogram", "SELECT substr('ABCD', (s_nationkey % 4)::INT + 1, 1) AS grade, count(*) AS n, repeat('█', count(*)::INT) AS bar FROM supplier GROUP BY 1")

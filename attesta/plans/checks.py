@@ -280,15 +280,25 @@ def gold_score(spark, d):
 # ---- sessions ------------------------------------------------------------------------------
 
 
-@query("budget_requests", """
-WITH RECURSIVE r AS (SELECT user_id, event_id, event_id % 4 AS n, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
-f AS (SELECT user_id, event_id, i, true AS granted, 30 - n AS remaining FROM r WHERE i = 1
- UNION ALL SELECT r.user_id, r.event_id, r.i, r.n = 0 OR r.n <= f.remaining, f.remaining - CASE WHEN r.n <= f.remaining THEN r.n ELSE 0 END FROM f JOIN r ON r.user_id = f.user_id AND r.i = f.i + 1)
-SELECT user_id, event_id, granted, remaining FROM f""")
+#: By user, and all events under one key.
+_BUDGET = """
+r AS (SELECT g, event_id, n, row_number() OVER (PARTITION BY g ORDER BY event_id) AS i FROM q),
+f AS (SELECT g, event_id, i, true AS granted, t - n AS remaining, false AS exhausted FROM r, (SELECT {total} AS t) WHERE i = 1
+ UNION ALL SELECT r.g, r.event_id, r.i, r.n = 0 OR r.n <= f.remaining, f.remaining - CASE WHEN r.n <= f.remaining THEN r.n ELSE 0 END, exhausted OR (r.n > f.remaining) FROM f JOIN r ON r.g = f.g AND r.i = f.i + 1)"""
+
+
+@query("budget_requests", f"WITH RECURSIVE q AS (SELECT user_id AS g, event_id, event_id % 4 AS n FROM events), {_BUDGET.format(total=30)} SELECT g AS user_id, event_id, granted, remaining, exhausted FROM f")
 def budget_requests(spark, d):
     return runs.budget(read(spark, d, "events").withColumn("n", F.col("event_id") % 4), 30, "user_id", "event_id", "n")
 
 
+@query("budget_one_key", f"WITH RECURSIVE q AS (SELECT CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id % 5 END AS g, event_id, event_id % 7 AS n FROM events), {_BUDGET.format(total=4001)} SELECT g, event_id, granted, remaining, exhausted FROM f")
+def budget_one_key(spark, d):
+    e = F.col("event_id")
+    rows = read(spark, d, "events").select(F.when(e % 3 == 0, F.lit(0).cast("long")).otherwise(F.col("user_id") % 5).alias("g"), "event_id", (e % 7).alias("n"))
+    return runs.budget(rows, 4001, "g", "event_id", "n", tasks=8)
+
+
 @query("run_estimates", """
 WITH c AS (SELECT c_custkey, least(c_nationkey * 2, 120) AS v, least(c_nationkey * 3, 90) AS p FROM customer), t AS (SELECT *, v * 1860 + p * 2200 AS i, v * 250 + p * 300 AS o FROM c)
 SELECT c_custkey, v::BIGINT AS verifier_calls, p::BIGINT AS panel_calls, i::BIGINT AS input_tokens, o::BIGINT AS output_tokens, (i + o)::BIGINT AS total_tokens, round_even(i / 1e6 * 3 + o / 1e6 * 15, 4) AS usd FROM t""")

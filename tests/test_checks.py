@@ -234,6 +234,41 @@ def test_budget_in_turn(spark):
     assert {(r["k"], r["i"]): (r["granted"], r["remaining"]) for r in runs.budget(df, 40, "k", "i", "n").collect()} == want
 
 
+@pytest.mark.parametrize("tasks", [1, 7])
+def test_budget_of_one_hot_key(spark, tasks):
+    rng = random.Random(tasks)
+    rows = [("hot", i, rng.choice([0, 1, 2, 5, 11, 30]), rng.random() < 0.2) for i in range(300)] + [(None, i, 3, False) for i in range(40)] + [(f"k{i}", i, 7, False) for i in range(50)]
+    want, state = {}, {}
+    for k, i, n, back in rows:
+        left, out = state.get(k, (60, False))
+        ok = back or n <= left
+        left = min(60, left + n) if back else left - n if ok else left
+        state[k] = (left, out or not ok)
+        want[k, i] = (ok, *state[k])
+    df = spark.createDataFrame(rows, "k string, i bigint, n int, back boolean").repartition(5)
+    got = runs.budget(df, 60, "k", "i", "n", "back", tasks=tasks)
+    assert {(r["k"], r["i"]): (r["granted"], r["remaining"], r["exhausted"]) for r in got.collect()} == want
+
+
+def test_spending_is_the_requests_in_turn():
+    rng = random.Random(3)
+    for _ in range(300):
+        total = rng.randint(0, 40)
+        held, done = runs.Spending(total), []
+        for _ in range(rng.randint(0, 25)):
+            n, back = rng.randint(-1, 15), rng.random() < 0.3
+            held.take(n, back)
+            done.append((n, back))
+        assert len(held.pieces) <= total + 1
+        for left in range(total + 1):
+            now, denied = left, False
+            for n, back in done:
+                if n > 0:
+                    denied |= not back and n > now
+                    now = min(total, now + n) if back else now - n if n <= now else now
+            assert held.after(left) == (now, denied)
+
+
 def test_agreement_and_score(spark):
     rows = [("x", 1, "a"), ("x", 2, "b"), ("y", 1, "a"), ("y", 2, "b"), ("z", 1, "a"), ("z", 2, "a")]
     pairs, low = probes.agreement(spark.createDataFrame(rows, "labeler string, unit_id int, label string"))
