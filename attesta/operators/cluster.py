@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .graph import components, leaders_by_keys, pinned
+from .graph import components, forest, leaders_by_keys, pinned
 
 NEAR_BITS, DIMENSIONS, SIMILAR = 3, 256, 0.80
 #: FNV-1a of 64 bits.
@@ -202,6 +202,40 @@ def provenance_edges(sources: DataFrame, id_col: str, wire: Column, byline: Colu
     return out.filter("a <> b").distinct()
 
 
+def _named_by_least(clusters: DataFrame) -> DataFrame:
+    """node, comp: the clusters by their least member."""
+    return clusters.select(F.col("source_id").alias("node"), F.min("source_id").over(W.partitionBy("cluster_id")).alias("comp"))
+
+
+def semantic_merges(clusters: DataFrame, sources: DataFrame, id_col: str, text_col: str, least: float = SIMILAR, scope_col: str | None = None) -> DataFrame:
+    """a, b, cosine (four places): the merges that a walk over all similar pairs, in order of their ids, would add to the clusters.
+
+    Of two groups of equal texts only the pairs with the smallest id of all can be merges: any other
+    one closes a circle of smaller ones.
+    """
+    scope = F.col(scope_col).cast("string") if scope_col else F.lit("")
+    base = pinned(sources.select(F.col(id_col).alias("id"), scope.alias("scope"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("text <> ''").withColumn("h", F.sha2("text", 256)))
+    one = base.groupBy("scope", "h").agg(F.min("id").alias("a"), F.first("text").alias("text"))
+    held = pinned(base.join(one.select("scope", "h", "a"), ["scope", "h"]).select(F.col("a").alias("first"), "id"))
+    close = cosine_pairs(lexical_features(one, "a", "text").join(one.select(F.col("a").alias("node"), "scope"), "node"), least)
+    empty = base.join(lexical_features(one, "a", "text").select(F.col("node").alias("id")).distinct(), "id", "left_anti").select("id")
+    same = held.join(empty.select(F.col("id").alias("first")), "first", "left_anti").filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("cosine"))
+    pairs = close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("first"), "cosine").join(held, "first").select("a", F.col("id").alias("b"), "cosine")
+    return forest(same.union(pairs).select("a", "b", F.bround(F.round("cosine", 9), 4).alias("cosine")), _named_by_least(clusters))
+
+
+def provenance_merges(clusters: DataFrame, sources: DataFrame, id_col: str, wire: Column, byline: Column, scope_col: str | None = None) -> DataFrame:
+    """a, b, signal, key: the merges by wire, then by author, in order of each group's first id and its others."""
+    scope = F.col(scope_col).cast("string") if scope_col else F.lit("")
+    out = None
+    for signal, key in (("wire", T.wire(wire)), ("byline", T.byline(byline))):
+        rows = sources.select(F.col(id_col).alias("b"), scope.alias("s"), key.alias("key")).filter("key is not null")
+        part = rows.join(rows.groupBy("s", "key").agg(F.min("b").alias("a")), ["s", "key"]).filter("a <> b").select("a", "b", F.lit(signal).alias("signal"), "key")
+        out = part if out is None else out.union(part)
+    merged = forest(out.withColumn("turn", F.when(F.col("signal") == "wire", 0).otherwise(1)), _named_by_least(clusters), "turn")
+    return merged.drop("turn")
+
+
 def compose(sources: DataFrame, scope_col: str | None = None, least: float = SIMILAR, similar=semantic_edges) -> DataFrame:
     """source_id, cluster_id by text and URL, then similarity, then provenance. sources: id, url, text, wire, byline.
 

@@ -62,3 +62,32 @@ def leaders_by_keys(nodes: DataFrame, own: DataFrame, near: DataFrame) -> DataFr
         choice = F.when(F.col("leads").isNotNull(), F.col("leads")).when(F.col("lead") < F.col("node"), False).when(F.col("open").isNull() | (F.col("open") >= F.col("node")), True)
         state = pinned(state.join(around(), "node", "left").select("node", choice.alias("leads")))
     return state.join(around(), "node", "left").select("node", F.when(F.col("leads"), F.col("node")).otherwise(F.col("lead")).alias("leader"))
+
+
+def forest(edges: DataFrame, labels: DataFrame, *order: str) -> DataFrame:
+    """The edges that a walk over all edges in this order would merge two components by; labels: node, comp before it.
+
+    edges: a, b, the columns of order (which with a and b leave no tie) and any others. Borůvka rounds: each
+    component takes its first edge to another one, in this order; those edges are the walk's own, since the
+    order is total, and at least halve the number of components. Edges within a component go.
+    """
+    spark = edges.sparkSession
+    scratch = Scratch(spark)
+    rank = F.struct(*order, "a", "b").alias("_rank")
+    ends = lambda e, l: e.join(l.select(F.col("node").alias("a"), F.col("comp").alias("_ca")), "a").join(l.select(F.col("node").alias("b"), F.col("comp").alias("_cb")), "b").filter("_ca <> _cb")
+    left = scratch.save(ends(edges.withColumn("_rank", rank), labels))
+    names, chosen = edges.columns, []
+    while left.limit(1).count():
+        both = left.select(F.col("_ca").alias("c"), "_rank").union(left.select(F.col("_cb").alias("c"), "_rank"))
+        first = both.groupBy("c").agg(F.min("_rank").alias("_rank")).select("_rank").distinct()
+        mine = scratch.save(left.join(first, "_rank", "left_semi"))
+        chosen.append(mine.select(*names))
+        up = scratch.save(components(mine.select(F.col("_ca").alias("a"), F.col("_cb").alias("b"))).toDF("_c", "_root"))
+        moved = left.join(up.select(F.col("_c").alias("_ca"), F.col("_root").alias("_ra")), "_ca", "left").join(up.select(F.col("_c").alias("_cb"), F.col("_root").alias("_rb")), "_cb", "left")
+        moved = moved.select(*names, "_rank", F.coalesce("_ra", "_ca").alias("_ca"), F.coalesce("_rb", "_cb").alias("_cb")).filter("_ca <> _cb")
+        old, left = left, scratch.save(moved)
+        scratch.drop(old, up)
+    out = edges.limit(0)
+    for part in chosen:
+        out = out.unionByName(part)
+    return out

@@ -108,6 +108,12 @@ def agreement(labels: DataFrame, threshold: float = 0.7) -> tuple[DataFrame, Dat
     return pairs, low.join(F.broadcast(unlike)).select("min_kappa", "mean_kappa", gate.alias("gate"), "n_disagreements")  # one row each
 
 
+def disagreements(labels: DataFrame) -> DataFrame:
+    """unit_id, labels (a map of labeler to label) of the units that have different labels: each labeler there is at odds with some other."""
+    units = labels.groupBy("unit_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("labeler", "label")))).alias("labels"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    return units.filter("lo <> hi").select("unit_id", "labels")
+
+
 def gold_status(gold: DataFrame, sources: DataFrame, anchored: DataFrame, clusters: DataFrame) -> DataFrame:
     """claim_id, status by the same rules from people's labels, without a panel.
 

@@ -38,17 +38,19 @@ def latest_votes(votes: DataFrame) -> DataFrame:
 
 
 def panel_consensus(votes: DataFrame) -> DataFrame:
-    """claim_id, panel_consensus, n_valid, n_models, model_diverse, missing_lenses, failed_lenses."""
+    """claim_id, panel_consensus, n_valid, n_models, model_diverse, missing_lenses, failed_lenses, and votes and vote_models, maps with an entry for each lens (null: none)."""
     valid = F.coalesce(F.col("vote").isin(VOTES), F.lit(False)) & ~F.coalesce(F.col("vote_state") == "failed", F.lit(False))
     rows = latest_votes(votes).filter(F.col("lens").isin(LENSES)).withColumn("ok", valid)
     per = [F.max(F.when(F.col("lens") == x, F.col("ok").cast("int"))).alias(f"l_{x}") for x in LENSES]
+    said = [F.max(F.when(F.col("lens") == x, F.col(c))).alias(f"{c}_{x}") for c in ("vote", "model_id") for x in LENSES]  # one row per lens
     tally = [F.sum((F.col("ok") & (F.col("vote") == v)).cast("int")).alias(f"v_{v}") for v in VOTES]
-    agg = rows.groupBy("claim_id").agg(*per, *tally, F.sum(F.col("ok").cast("int")).cast("int").alias("n_valid"), F.count_distinct(F.when(F.col("ok"), F.col("model_id"))).cast("int").alias("n_models"))
+    agg = rows.groupBy("claim_id").agg(*per, *said, *tally, F.sum(F.col("ok").cast("int")).cast("int").alias("n_valid"), F.count_distinct(F.when(F.col("ok"), F.col("model_id"))).cast("int").alias("n_models"))
     named = lambda test: F.array_join(F.array_compact(F.array(*[F.when(test(F.col(f"l_{x}")), F.lit(x)) for x in LENSES])), ",")
+    by_lens = lambda c: F.create_map(*[y for x in LENSES for y in (F.lit(x), F.col(f"{c}_{x}"))])
     top = F.lit("no_consensus")
     for v in reversed(VOTES):
         top = F.when(F.col(f"v_{v}") >= 2, v).otherwise(top)
-    return agg.select("claim_id", F.when(F.col("n_valid") < 3, "no_consensus").otherwise(top).alias("panel_consensus"), "n_valid", "n_models", (F.col("n_models") >= 2).alias("model_diverse"), named(lambda c: c.isNull()).alias("missing_lenses"), named(lambda c: c == 0).alias("failed_lenses"))
+    return agg.select("claim_id", F.when(F.col("n_valid") < 3, "no_consensus").otherwise(top).alias("panel_consensus"), "n_valid", "n_models", (F.col("n_models") >= 2).alias("model_diverse"), named(lambda c: c.isNull()).alias("missing_lenses"), named(lambda c: c == 0).alias("failed_lenses"), by_lens("vote").alias("votes"), by_lens("model_id").alias("vote_models"))
 
 
 DECIDED = "status reason independent_entails conflict coverage_degraded panel_consensus proof_source_ids proof_grades refuted_by".split()

@@ -305,7 +305,26 @@ p AS (SELECT claim_id, CASE WHEN n_valid < 3 THEN 'no_consensus' WHEN e >= 2 THE
 
 @query("panel_consensus", f"WITH {_VOTES} SELECT * FROM p")
 def panel_consensus(spark, d):
-    return verdicts.panel_consensus(raw_votes(spark, d)).drop("missing_lenses", "failed_lenses")
+    return verdicts.panel_consensus(raw_votes(spark, d)).drop("missing_lenses", "failed_lenses", "votes", "vote_models")
+
+
+def _of_lenses(value: str) -> str:
+    return "array_to_string([" + ", ".join(f"'{x}=' || coalesce(max({value}) FILTER (lens = '{x}'), '-')" for x in verdicts.LENSES) + "], ';')"
+
+
+def _lenses_where(test: str) -> str:
+    return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {test.format(x)} THEN '{x}' END" for x in verdicts.LENSES) + "], lambda x: x IS NOT NULL), ',')"
+
+
+#: Claims of a user are 97, so that most have few votes: lenses are missing or failed.
+@query("panel_rows", f"""WITH {_VOTES.replace("user_id AS claim_id", "user_id * 100 + event_id % 97 AS claim_id", 1)},
+o AS (SELECT claim_id, {_of_lenses("vote")} AS votes, {_of_lenses("model_id")} AS vote_models, {_lenses_where("count(*) FILTER (lens = '{}') = 0")} AS missing_lenses, {_lenses_where("count(*) FILTER (lens = '{}' AND NOT ok) > 0")} AS failed_lenses FROM l GROUP BY 1)
+SELECT * FROM p JOIN o USING (claim_id)""")
+def panel_rows(spark, d):
+    e = F.col("_ord")
+    votes = raw_votes(spark, d).withColumn("claim_id", F.col("claim_id") * 100 + e % 97)
+    told = lambda c: F.array_join(F.array(*[F.concat(F.lit(f"{x}="), F.coalesce(F.col(c)[x], F.lit("-"))) for x in verdicts.LENSES]), ";")
+    return verdicts.panel_consensus(votes).withColumns({"votes": told("votes"), "vote_models": told("vote_models")})
 
 
 def tuples(spark, d) -> DataFrame:
@@ -466,6 +485,43 @@ def call_estimates(spark, d):
     return read(spark, d, "customer").select("c_custkey", *[c.alias(k) for k, c in evaluate.estimate_calls(n, 2.5, 1.5).items()], evaluate.cap_concurrency(n).cast("long").alias("concurrent"))
 
 
+# ---- merges ---------------------------------------------------------------------------------
+
+_REACHED = """
+link AS (SELECT o, a AS m, b AS n FROM e UNION ALL SELECT o, b, a FROM e),
+reach(o, n) AS (SELECT DISTINCT e.o, y.id FROM e JOIN x ON x.id = e.a JOIN x y ON y.c = x.c
+ UNION SELECT r.o, y.id FROM reach r JOIN link l ON l.m = r.n AND l.o < r.o JOIN x ON x.id = l.n JOIN x y ON y.c = x.c)"""
+
+
+@query("semantic_merges", rf"""
+WITH RECURSIVE ds AS (SELECT doc_id AS id, text FROM documents), {_FEATURES.replace('@p_', 'of_').replace('@table', 'ds')},
+x AS (SELECT doc_id AS id, doc_id // 8 AS s, CASE WHEN doc_id % 8 IN (1, 6) THEN doc_id // 8 * 8 + 1 ELSE doc_id END AS c FROM documents),
+e AS (SELECT row_number() OVER (ORDER BY p.id, q.id) AS o, p.id AS a, q.id AS b, round_even(round(sum(p.weight * q.weight), 9), 4) AS cosine FROM of_v p JOIN of_v q ON p.bucket = q.bucket AND p.id // 8 = q.id // 8 AND p.id < q.id GROUP BY p.id, q.id HAVING sum(p.weight * q.weight) >= 0.8),
+{_REACHED}
+SELECT a, b, cosine FROM e WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.o = e.o AND r.n = e.b)""")
+def semantic_merges(spark, d):
+    # Eight documents are a question's sources; two of them are one cluster already.
+    i = F.col("doc_id")
+    docs = read(spark, d, "documents").select("doc_id", "text", F.floor(i / 8).alias("scenario"))
+    before = docs.select(i.alias("source_id"), F.when((i % 8).isin(1, 6), F.concat(F.lit("s"), "scenario")).otherwise(F.concat(F.lit("d"), i.cast("string"))).alias("cluster_id"))
+    return cluster.semantic_merges(before, docs, "doc_id", "text", scope_col="scenario")
+
+
+@query("provenance_merges", rf"""
+WITH RECURSIVE x AS (SELECT doc_id AS id, doc_id - doc_id % 3 AS c, CASE WHEN doc_id % 2 = 0 THEN nullif(lower(trim(source)), '') END AS wire, nullif(lower(lang) || ' writer ' || doc_id % 41, '') AS byline FROM documents),
+k AS (SELECT 0 AS turn, wire AS key, id FROM x WHERE wire IS NOT NULL UNION ALL SELECT 1, byline, id FROM x WHERE byline IS NOT NULL),
+g AS (SELECT turn, key, min(id) OVER (PARTITION BY turn, key) AS a, id AS b FROM k),
+e AS (SELECT row_number() OVER (ORDER BY turn, a, b) AS o, * FROM g WHERE a <> b),
+w(o, labels) AS (SELECT 0::BIGINT, map_from_entries((SELECT list((id, c)) FROM x)) UNION ALL
+ SELECT w.o + 1, CASE WHEN labels[e.a] = labels[e.b] THEN labels ELSE map_from_entries(list_transform(map_entries(labels), lambda r: (r.key, CASE WHEN r.value = greatest(labels[e.a], labels[e.b]) THEN least(labels[e.a], labels[e.b]) ELSE r.value END))) END FROM w JOIN e ON e.o = w.o + 1)
+SELECT e.a, e.b, CASE WHEN turn = 0 THEN 'wire' ELSE 'byline' END AS signal, key FROM e JOIN w ON w.o = e.o - 1 WHERE w.labels[e.a] <> w.labels[e.b]""")
+def provenance_merges(spark, d):
+    i = F.col("doc_id")
+    docs = read(spark, d, "documents").select("doc_id", "source", F.concat(F.lit("By "), "lang", F.lit(" Writer "), (i % 41).cast("string")).alias("byline"))
+    before = docs.select(i.alias("source_id"), F.floor(i / 3).alias("cluster_id"))
+    return cluster.provenance_merges(before, docs, "doc_id", F.when(i % 2 == 0, F.col("source")), F.col("byline"))
+
+
 @query("unit_budget", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 40 AS granted FROM events")
 def unit_budget(spark, d):
     return evaluate.unit_budget(read(spark, d, "events"), 40, "user_id", "event_id").select("event_id", "granted")

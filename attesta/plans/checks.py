@@ -238,10 +238,20 @@ m AS (SELECT first, second, sum(p * q) AS pq FROM (SELECT first, second, x AS v,
 k AS (SELECT first, second, n AS n_shared, round_even((s / n - pq / (n * n)) / (1 - pq / (n * n)), 4) AS kappa FROM n JOIN m USING (first, second))"""
 
 
-def labelers(spark, d):
+def labelled(spark, d):
     e, u = F.col("event_id"), F.col("user_id")
     rows = read(spark, d, "events").select(name("p", e % 3).alias("labeler"), u.alias("unit_id"), F.when(e % 5 < 4, u % 3).otherwise(e % 3).alias("label"), e.alias("_ord"))
-    return probes.agreement(tables.last_labels(rows))
+    return tables.last_labels(rows)
+
+
+def labelers(spark, d):
+    return probes.agreement(labelled(spark, d))
+
+
+@query("labeler_disagreements", f"WITH {_LABELERS} SELECT unit_id, string_agg(labeler || '=' || label, ';' ORDER BY labeler) AS labels FROM r GROUP BY 1 HAVING min(label) <> max(label)")
+def labeler_disagreements(spark, d):
+    told = F.transform(F.map_entries("labels"), lambda x: F.concat_ws("=", x["key"], x["value"].cast("string")))
+    return probes.disagreements(labelled(spark, d)).select("unit_id", F.array_join(told, ";").alias("labels"))
 
 
 @query("labeler_pairs", f"WITH {_LABELERS} SELECT * FROM k")

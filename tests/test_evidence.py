@@ -1,10 +1,13 @@
 """URLs, findings and replay on hand-written rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from attesta.functions import text as T
 from attesta.operators import cluster, evaluate
+from attesta.operators.graph import forest
 
 URLS = [
     (None, ""), ("", ""), ("example.com/a", "https:example.com/a"), ("other.org/b", "https:other.org/b"), ("//third.net/c", "https://third.net/c"), ("mailto:a@b", "https:a@b"), ("  HTTPS://www.X.org ", "https://x.org/"),
@@ -49,3 +52,34 @@ def test_replay(spark):
     got = sorted(tuple(r) for r in evaluate.replay_plan(refs, verdicts, claims, sources).collect())
     want = [("a", "1", "frozen", None), ("a", "1", "frozen", None), ("a", "2", "tamper", "snapshot_changed"), ("b", "1", "requery", "claim_changed"), ("c", "1", "requery", "no_verdict"), ("d", "1", "requery", "no_verdict"), ("x", "9", "frozen", None)]
     assert got == sorted(want, key=lambda r: (r[0], r[1], r[2]))
+
+
+def walk(edges, labels):
+    """Edges in order; those that join two components."""
+    labels, out = dict(labels), []
+    for o, a, b in sorted(edges):
+        if labels[a] != labels[b]:
+            out.append((o, a, b))
+            old, new = max(labels[a], labels[b]), min(labels[a], labels[b])
+            labels = {k: new if v == old else v for k, v in labels.items()}
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_forest_is_the_walks_own(spark, seed):
+    r = random.Random(seed)
+    labels = {i: i - i % (2 if i < 10 else 1) for i in range(40)}
+    edges = {(r.randint(0, 3), *sorted(r.sample(range(40), 2))) for _ in range(60)} | {(0, i, i + 1) for i in range(20, 39)}
+    got = forest(spark.createDataFrame(sorted(edges), "o int, a int, b int").repartition(3), spark.createDataFrame(list(labels.items()), "node int, comp int"), "o")
+    assert sorted(tuple(x) for x in got.collect()) == walk(edges, labels)
+
+
+def test_merges(spark):
+    same, near = "the quick brown fox jumps over the lazy dog", "the quick brown fox jumps over the lazy dogs"
+    rows = [("b", same, None, "By Ann  Lee"), ("c", near, "AP", None), ("a", near, " ap ", "ann lee"), ("d", same, "", "ann lee"), ("e", "entirely different words here", None, None), ("f", "", "x", None), ("g", "", "x", "Ann Lee"), ("h", "...", None, ""), ("i", "...", None, None)]
+    docs = spark.createDataFrame(rows, "id string, text string, wire string, byline string")
+    own = docs.select(F.col("id").alias("source_id"), F.when(F.col("id").isin("e", "f"), "one").otherwise(F.col("id")).alias("cluster_id"))
+    got = sorted((r["a"], r["b"]) for r in cluster.semantic_merges(own, docs, "id", "text").collect())
+    assert got == [("a", "b"), ("a", "c"), ("a", "d")]
+    got = sorted(tuple(r) for r in cluster.provenance_merges(own, docs, "id", F.col("wire"), F.col("byline")).collect())
+    assert got == [("a", "b", "byline", "ann lee"), ("a", "c", "wire", "ap"), ("a", "d", "byline", "ann lee"), ("a", "g", "byline", "ann lee"), ("f", "g", "wire", "x")]
