@@ -22,9 +22,10 @@ So hashes propose and bytes decide: a removed byte was in a range equal, byte by
 smaller document (copied passages in their inner parts), or in a class of the interval expansion
 (their edges, and everything that differs nearby).
 
-An anchor with over ``HOT`` contexts is split before the expansion: of equal contexts those of the
-smallest document stay, and their windows are dealt out anew by their next anchor (the next larger
-hash in the window), again and again while groups are over ``HOT``. Equal windows stay together.
+An anchor with over ``HOT`` contexts (a run of one pattern has one at each byte) is reduced before the
+expansion: each different context is decided once, for the smallest document that has it, and the
+result joined back to all its places. Where over ``HOT`` different ones are left, their windows are dealt
+out anew by their next anchor (the next larger hash in the window), and so on. Equal windows stay together.
 
 Nulls: a null text is empty, a null id sorts after all others. Rows with equal ids don't cover each
 other. Texts shorter than LENGTH keep everything. Nothing is cut: long texts are whole. An empty table
@@ -33,7 +34,6 @@ gives an empty result, and other columns are not read.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -545,20 +545,32 @@ def _decide(contexts: DataFrame) -> DataFrame:
     return spread(contexts.select("h", "doc", "mark", "begin", "bytes"), "h").sortWithinPartitions("h").mapInArrow(run, RANGE)
 
 
-def _compared(scratch: Scratch, contexts: DataFrame, hot: int) -> DataFrame:
-    """Covered ranges of all contexts; groups of over ``hot`` are split first, by anchor after anchor."""
-    ranges, level = [], 0
-    while True:
-        # After K-byte string number 34 a window has no other; what is left are windows of the same strings.
-        large = scratch.save(contexts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("h")) if level < LENGTH - K else None
-        if large is None or not large.limit(1).count():
-            return functools.reduce(DataFrame.unionByName, ranges, _decide(contexts))
-        level += 1
-        ranges.append(_decide(contexts.join(large, "h", "left_anti")))
-        many = contexts.join(large, "h", "left_semi")
-        known = scratch.save(many.join(many.groupBy("h", "bytes").agg(F.min("doc").alias("least")), ["h", "bytes"]))
-        ranges.append(known.filter("doc > least").select("doc", "mark", "begin", (F.col("begin") + F.octet_length("bytes")).alias("stop")))
-        contexts = scratch.save(_sub_contexts(known.filter("doc = least"), level))
+def _compared(scratch: Scratch, contexts: DataFrame, hot: int, level: int = 0) -> DataFrame:
+    """Covered ranges of all contexts. Of a group of over ``hot``, each different context is decided once, and what is found holds for all its places.
+
+    Where a group has over ``hot`` different ones, their windows are dealt by the next anchor. After the last of the K-byte strings
+    of a window, a group's windows have all strings in common: few are different.
+    """
+    over = lambda rows: scratch.save(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("h"))
+    large = over(contexts)
+    if not large.limit(1).count():
+        return _decide(contexts)
+    small = _decide(contexts.join(large, "h", "left_anti"))
+    many = contexts.join(large, "h", "left_semi")
+    one = scratch.save(many.groupBy("h", "bytes").agg(F.min("doc").alias("least")).withColumn("context", F.monotonically_increasing_id()))
+    places = scratch.save(many.join(one, ["h", "bytes"]).select("doc", "mark", "begin", F.octet_length("bytes").alias("n"), "least", "context"))
+    whole = places.filter("doc > least").select("doc", "mark", "begin", (F.col("begin") + F.col("n")).alias("stop"))
+    # The smallest document's contexts, once each, as rows of their own.
+    own = one.select("h", F.col("least").alias("doc"), F.col("context").alias("mark"), F.lit(0).alias("begin"), "bytes")
+    still = over(own) if level < LENGTH - K else None
+    if still is None or not still.limit(1).count():
+        found = _decide(own)
+    else:
+        parts = scratch.save(_sub_contexts(own.join(still, "h", "left_semi"), level + 1))
+        found = _decide(own.join(still, "h", "left_anti")).unionByName(_compared(scratch, parts, hot, level + 1))
+    f, p = found.alias("f"), places.filter("doc = least").alias("p")
+    back = f.join(p, F.col("f.mark") == F.col("p.context")).select("p.doc", "p.mark", (F.col("p.begin") + F.col("f.begin")).alias("begin"), (F.col("p.begin") + F.col("f.stop")).alias("stop"))
+    return small.unionByName(whole).unionByName(back)
 
 
 # ---- the whole -----------------------------------------------------------------------------

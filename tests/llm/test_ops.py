@@ -126,6 +126,21 @@ def test_suffix(docs, hot):
     assert suffix.cover(docs.limit(0)).count() == 0
 
 
+def test_long_runs_of_a_pattern(spark, monkeypatch):
+    """Runs of far over HOT bytes: equal contexts are decided once, so no anchor after anchor is tried."""
+    r = random.Random(7)
+    word = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    runs = ["=" * 3000, "ab" * 1500, "0" * 3000, "x= y" * 700]
+    rows = [(i, "".join(word(r.randint(20, 90)) + r.choice(runs)[: r.randint(40, 3000)] for _ in range(5))) for i in range(4)]
+    rows += [(4, "=" * 4000 + "!" + "=" * 60), (5, "=" * 4000), (None, " " * 3000), (6, rows[0][1])]
+    levels, split = [], suffix._sub_contexts
+    monkeypatch.setattr(suffix, "_sub_contexts", lambda c, level: levels.append(level) or split(c, level))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = sorted(tuple(x) for x in suffix.cover(df, hot=50).collect())
+    assert got == [(*x[:4], bytearray(x[4])) for x in brute_cover([(2**63 - 1 if i is None else i, t) for i, t in rows])]
+    assert len(levels) <= 4, levels
+
+
 def test_common_prefixes():
     r = random.Random(1)
     text = np.array([r.choice([2, 3]) for _ in range(400)] + [0], np.uint8)
