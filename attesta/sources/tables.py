@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from . import versions
 from .scratch import Scratch
 
 
@@ -44,8 +45,11 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, mode: str =
     """Rows with ``_ord`` (their place in file order), and errors (file, line, raw).
 
     strict: bad lines are errors; lenient: they are dropped; raising: the read fails. Blank lines count
-    as places, not as rows. missing: ``none`` makes an absent file an empty table.
+    as places, not as rows. Of a path with versions (``publish_jsonl``) the newest is read. missing: ``none`` makes an absent file an empty table.
     """
+    path = versions.current(spark, path) or path
+    if not exists(spark, path) and exists(spark, f"{path}.old"):
+        path = f"{path}.old"
     nothing = spark.createDataFrame([], "file string, line bigint, raw string")
     if missing == "none" and not exists(spark, path):
         return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("_ord", T.LongType())])), nothing
@@ -65,7 +69,8 @@ def read_document(spark: SparkSession, path: str, schema: T.StructType, default:
     if not exists(spark, path):
         return other
     full = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    rows = spark.read.schema(full).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path).cache()
+    rows = spark.read.schema(full).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    rows = Scratch(spark).save(rows)
     broken = rows.filter(F.col("_corrupt").isNotNull()).limit(1).count()
     return other if broken else rows.drop("_corrupt")
 
@@ -112,7 +117,11 @@ def bench_drift(spark: SparkSession, manifest: dict, paths: dict[str, str]) -> l
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
-    """JSON lines at a path, seen by readers as a whole: written beside it, then renamed over it."""
+    """JSON lines as a plain folder at a path, in place of what was there: written beside it, then renamed.
+
+    A folder can't be renamed over another, so for a moment, or after a crash there, only ``<path>.old`` is left;
+    ``read_jsonl`` then reads that. Other readers should use ``publish_jsonl``, which leaves no such moment.
+    """
     spark = df.sparkSession
     fs, _ = _fs(spark, path)
     beside, old = f"{path}.{uuid.uuid4().hex}", f"{path}.old"
@@ -125,6 +134,11 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     fs.delete(jvm_path(old), True)
 
 
+def publish_jsonl(df: DataFrame, path: str) -> int:
+    """JSON lines as the next version at a path (see ``versions``): at any moment ``read_jsonl`` finds the version before or this one, whole."""
+    return versions.publish(df, path, "json")
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small file, replaced as a whole."""
     fs, where = _fs(spark, path)
