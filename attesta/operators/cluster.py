@@ -16,6 +16,8 @@ from ..functions import text as T
 from .graph import components, forest, leaders_by_keys, pinned
 
 NEAR_BITS, DIMENSIONS, SIMILAR = 3, 256, 0.80
+#: Patterns that are compared in one group.
+CROWD = 2048
 #: FNV-1a of 64 bits.
 OFFSET, PRIME = 0xCBF29CE484222325, 0x100000001B3
 
@@ -63,24 +65,51 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def _masks(most: int) -> list[int]:
-    """Bit masks of which one is equal in any two patterns of at most ``most`` differing bits.
+def _masks(bits: list[int], most: int) -> list[int]:
+    """Masks of half of these bits, of which one is equal in any two patterns that differ in at most ``most`` of them.
 
-    Of 2 * most blocks, most are without a difference; a mask keeps half of all bits, so few
+    Of 2 * most blocks, most are without a difference; a mask keeps half of the bits, so few
     patterns of a large table share one by chance.
     """
-    edges = [64 * i // (2 * most) for i in range(2 * most + 1)]
-    blocks = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(edges, edges[1:])]
-    whole = [sum(c) for c in itertools.combinations(blocks, most)]
-    return [m - (1 << 64) if m >> 63 else m for m in whole]
-
-
-def near_bits(hashes: DataFrame, most: int = NEAR_BITS) -> DataFrame:
-    """scope, a, b: different patterns of one scope with at most ``most`` differing bits. hashes: scope, bits."""
-    held = hashes.select("scope", "bits").filter("bits <> 0").distinct()
-    parts = held.select("scope", "bits", F.posexplode(F.array(*[F.col("bits").bitwiseAND(F.lit(m)) for m in _masks(most)])).alias("part", "value"))
-    l, r = parts.alias("l"), parts.alias("r")
-    return l.join(r, ["scope", "part", "value"]).filter("l.bits < r.bits").filter(hamming(F.col("l.bits"), F.col("r.bits")) <= most).select("scope", F.col("l.bits").alias("a"), F.col("r.bits").alias("b")).distinct()
+    edges = [len(bits) * i // (2 * most) for i in range(2 * most + 1)]
+    blocks = [sum(1 << b for b in bits[lo:hi]) for lo, hi in itertools.pairwise(edges)]
+    return [sum(c) for c in itertools.combinations(blocks, most)]
+
+
+def near_bits(hashes: DataFrame, most: int = NEAR_BITS, crowd: int = CROWD) -> DataFrame:
+    """scope, a, b: different patterns of one scope with at most ``most`` differing bits. hashes: scope, bits.
+
+    Patterns meet where they have half of their bits in common. Where over ``crowd`` do, they meet by half of the
+    other bits as well, and so on: with 64 bits and three differences, what shares a mask of the third level
+    differs in 8 bits, so no group has over max(crowd, 256) patterns.
+    """
+    spark = hashes.sparkSession
+    rows = hashes.select("scope", "bits").filter("bits <> 0").distinct().withColumn("parent", F.lit(0))
+    known, found = [(0, list(range(64)), 0)], []  # of each parent: its number, the bits left, the bits it has in common
+    while True:
+        children, nodes = [], []
+        for parent, free, common in known:
+            for mask in _masks(free, most):
+                left = [b for b in free if not mask >> b & 1]
+                nodes.append((len(nodes), left, common | mask))
+                children.append((parent, nodes[-1][0], (common | mask) - (1 << 64) if (common | mask) >> 63 else common | mask))
+        # A table of fixed size: 20, 400 or 8000 masks.
+        parts = rows.join(F.broadcast(spark.createDataFrame(children, "parent int, part int, mask bigint")), "parent").select("scope", "part", F.col("bits").bitwiseAND(F.col("mask")).alias("value"), "bits")
+        key = ["scope", "part", "value"]
+        last = len(nodes[0][1]) < 4 * most
+        large = None if last else pinned(parts.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd).select(*key))
+        more = large is not None and bool(large.limit(1).count())
+        if more:
+            rows, parts = pinned(parts.join(large, key, "left_semi").select("scope", "bits", F.col("part").alias("parent"))), parts.join(large, key, "left_anti")
+        l, r = parts.alias("l"), parts.alias("r")
+        found.append(l.join(r, key).filter("l.bits < r.bits").filter(hamming(F.col("l.bits"), F.col("r.bits")) <= most).select("scope", F.col("l.bits").alias("a"), F.col("r.bits").alias("b")))
+        if not more:
+            break
+        known = nodes
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.distinct()
 
 
 def near_pairs(hashes: DataFrame, most: int = NEAR_BITS) -> DataFrame:

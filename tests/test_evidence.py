@@ -83,3 +83,15 @@ def test_merges(spark):
     assert got == [("a", "b"), ("a", "c"), ("a", "d")]
     got = sorted(tuple(r) for r in cluster.provenance_merges(own, docs, "id", F.col("wire"), F.col("byline")).collect())
     assert got == [("a", "b", "byline", "ann lee"), ("a", "c", "wire", "ap"), ("a", "d", "byline", "ann lee"), ("a", "g", "byline", "ann lee"), ("f", "g", "wire", "x")]
+
+
+@pytest.mark.parametrize("crowd", [2048, 300, 5])
+def test_near_bits_of_a_crowd(spark, crowd):
+    r = random.Random(crowd)
+    base = r.getrandbits(64)
+    crowded = {base ^ (r.getrandbits(10) << 20) for _ in range(600)} | {base ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for _ in range(150)}
+    patterns = sorted({x - (1 << 64) if x >> 63 else x for x in crowded | {r.getrandbits(64) for _ in range(150)}})
+    rows = [("s", x) for x in patterns] + [("t", x) for x in patterns[::7]] + [("s", 0)]
+    got = {tuple(x) for x in cluster.near_bits(spark.createDataFrame(rows, "scope string, bits bigint").repartition(3), crowd=crowd).collect()}
+    near = lambda xs: {(a, b) for i, a in enumerate(xs) for b in xs[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= 3}
+    assert got == {("s", *p) for p in near(patterns)} | {("t", *p) for p in near(patterns[::7])} and len(got) > 3000
