@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import schema
 from .evaluate import estimate_calls
 from .graph import pinned
 
@@ -34,40 +35,38 @@ LIST_SIZES = {"questions.secondary": (2, 7), "constraints.sources.required_types
 LEAST, MOST = {"output.length.min_words": 500}, {"output.length.max_words": 50000}
 
 
-def query_errors(text: Column) -> Column:
-    """Faults of a structured query (JSON text) as ``path: fault``, in a fixed order; none: an empty array.
+def query_schema() -> dict:
+    """The form of a structured query as a JSON Schema."""
+    root: dict = {}
+
+    def part(path: str) -> dict:
+        at = root
+        for name in path.split("."):
+            at = at.setdefault("properties", {}).setdefault(name, {})
+        return at
+
+    for path in (*REQUIRED, *ALLOWED, *TEXT_SIZES, *LIST_SIZES, *LEAST, *MOST):
+        part(path)
+    for path in REQUIRED:
+        around, _, name = path.rpartition(".")
+        (part(around) if around else root).setdefault("required", []).append(name)
+    for path, words in ALLOWED.items():
+        part(path)["enum"] = words.split()
+    for path, (lo, hi) in TEXT_SIZES.items():
+        part(path).update(minLength=lo, maxLength=hi)
+    for path, (lo, hi) in LIST_SIZES.items():
+        part(path).update(minItems=lo, maxItems=hi)
+    part("constraints.sources.required_types")["items"] = {"enum": SOURCE_TYPES.split()}
+    for path, n in LEAST.items():
+        part(path)["minimum"] = n
+    for path, n in MOST.items():
+        part(path)["maximum"] = n
+    return root
 
-    A required part counts as missing only where the part around it is there. JSON null is missing;
-    what doesn't parse, or isn't an object, has the one fault ``(root): object``.
-    """
-    # The lambda binds the parsed document, so it is parsed once.
-    return F.transform(F.array(F.try_parse_json(text)), _faults)[0]
-
-
-def _faults(doc: Column) -> Column:
-    at = lambda p, kind="variant": F.try_variant_get(doc, "$." + p, kind)
-    kind = lambda p: F.schema_of_variant(at(p))
-    there = lambda p: F.coalesce(kind(p) != "VOID", F.lit(False))
-    is_a = lambda p, k: F.coalesce(kind(p).startswith(k), F.lit(False))
-    tests = []
-    for p in REQUIRED:
-        around = p.rpartition(".")[0]
-        tests.append(F.when((is_a(around, "OBJECT") if around else F.lit(True)) & ~there(p), F.lit(f"{p}: required")))
-    for p, words in ALLOWED.items():
-        tests.append(F.when(there(p) & ~(is_a(p, "STRING") & at(p, "string").isin(words.split())), F.lit(f"{p}: value")))
-    for p, (lo, hi) in TEXT_SIZES.items():
-        tests.append(F.when(there(p) & ~(is_a(p, "STRING") & F.char_length(at(p, "string")).between(lo, hi)), F.lit(f"{p}: length")))
-    for p, (lo, hi) in LIST_SIZES.items():
-        tests.append(F.when(there(p) & ~(is_a(p, "ARRAY") & F.size(at(p, "array<variant>")).between(lo, hi)), F.lit(f"{p}: items")))
-    types = "constraints.sources.required_types"
-    tests.append(F.when(is_a(types, "ARRAY") & ~F.forall(at(types, "array<string>"), lambda x: F.coalesce(x.isin(SOURCE_TYPES.split()), F.lit(False))), F.lit(f"{types}: value")))
-    whole = lambda p: is_a(p, "BIGINT") | is_a(p, "DECIMAL")
-    for p, n in LEAST.items():
-        tests.append(F.when(there(p) & ~(whole(p) & (at(p, "double") >= n)), F.lit(f"{p}: range")))
-    for p, n in MOST.items():
-        tests.append(F.when(there(p) & ~(whole(p) & (at(p, "double") <= n)), F.lit(f"{p}: range")))
-    root = F.coalesce(F.schema_of_variant(doc).startswith("OBJECT"), F.lit(False))
-    return F.when(root, F.array_compact(F.array(*tests))).otherwise(F.array(F.lit("(root): object")))
+
+def query_errors(text: Column) -> Column:
+    """Faults of a structured query (JSON text) as ``path: fault``, in a fixed order; none: an empty array."""
+    return schema.compiled(query_schema())(text)
 
 
 class Spending:

@@ -1,12 +1,13 @@
 """URLs, findings and replay on hand-written rows."""
 
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from attesta.functions import text as T
-from attesta.operators import cluster, evaluate
+from attesta.operators import cluster, evaluate, runs, schema
 from attesta.operators.graph import forest
 
 URLS = [
@@ -95,3 +96,26 @@ def test_near_bits_of_a_crowd(spark, crowd):
     got = {tuple(x) for x in cluster.near_bits(spark.createDataFrame(rows, "scope string, bits bigint").repartition(3), crowd=crowd).collect()}
     near = lambda xs: {(a, b) for i, a in enumerate(xs) for b in xs[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= 3}
     assert got == {("s", *p) for p in near(patterns)} | {("t", *p) for p in near(patterns[::7])} and len(got) > 3000
+
+
+SECOND = {
+    "type": "object", "required": ["name", "rows"],
+    "properties": {"name": {"type": "string", "minLength": 2}, "n": {"type": "integer", "minimum": 1, "maximum": 5}, "rows": {"type": "array", "minItems": 1, "items": {"type": "object", "required": ["id"], "properties": {"id": {"type": "string"}, "tag": {"enum": ["a", "b"]}}}}, "on": {"type": "boolean"}},
+}
+
+
+@pytest.mark.parametrize("which", ["second", "query"])
+def test_schemas_read_from_files(spark, tmp_path, which):
+    (tmp_path / "s.json").write_text(json.dumps(SECOND if which == "second" else runs.query_schema(), indent=1))
+    cases = [
+        ('{"name": "ab", "rows": [{"id": "x", "tag": "a"}]}', []), ("[]", ["(root): object"]), ("{", ["(root): object"]), (None, None), ("{}", ["name: required", "rows: required"]),
+        ('{"name": "a", "rows": []}', ["name: length", "rows: items"]), ('{"name": 7, "rows": {}, "n": "x", "on": 1}', ["name: type", "n: type", "rows: type", "on: type", "name: length", "rows: items", "n: range", "n: range"]),
+        ('{"name": "ab", "rows": [{"id": "x"}, {"tag": "z"}, 4], "n": 9}', ["rows[].id: required", "rows[]: type", "rows[].tag: value", "n: range"]), ('{"name": "ab", "rows": [{"id": null}, {"id": 3}], "n": 2.5}', ["rows[].id: required", "n: type", "rows[].id: type"]),
+    ]
+    if which == "query":
+        cases = [("{}", [f"{p}: required" for p in ("task", "context", "questions", "constraints", "output")]), ("7", ["(root): object"])]
+    faults = schema.compiled(schema.read_schema(spark, f"file://{tmp_path}/s.json"))
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+    got = {r["i"]: r["e"] for r in df.select("i", faults(F.col("t")).alias("e")).collect()}
+    for i, (text, want) in enumerate(cases):
+        assert got[i] == (["(root): object"] if want is None else want), text
