@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .filters import passing
 
 #: Caps on model calls.
 MAX_VERIFIER, MAX_PANEL, MAX_CONCURRENT, PANEL_LENSES = 120, 90, 3, 3
@@ -36,8 +37,9 @@ def leaks(texts: DataFrame, body: DataFrame, n: int = 6) -> DataFrame:
     """id, shared: how many distinct n-grams of a text's content the body has. Both sides: id, text."""
     grams = lambda d: d.select("id", F.explode(T.char_ngrams(T.content_only(F.col("text")), n)).alias("g"))
     mine = grams(texts)
-    # Only n-grams that are asked for pass the first join; texts are the small side.
-    seen = grams(body).select("g").join(mine.select("g").distinct(), "g", "left_semi").distinct()
+    wanted = mine.select("g").distinct()
+    # Of the body's n-grams only those that pass the filter are shuffled.
+    seen = passing(grams(body).select("g"), "g", wanted).distinct().join(wanted, "g", "left_semi")
     hits = mine.join(seen, "g").groupBy("id").agg(F.count_distinct("g").alias("shared"))
     return texts.select("id").join(hits, "id", "left").select("id", F.coalesce("shared", F.lit(0)).alias("shared"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .evaluate import rate
+from .filters import passing
 from .risk import matched_rules
 
 GRAM = 6
@@ -43,22 +44,30 @@ def present(claims: DataFrame, body: DataFrame, shared: DataFrame | None = None)
     """claim_id of claims whose id, or a run of six content characters, stands in the body.
 
     Runs that texts of ``shared`` have don't count. claims: claim_id, text; body, shared: text. A
-    run lies within one file of the body. Every step is an equi-join on runs of one length.
+    run lies within one file of the body. Every step is an equi-join on runs of one length; of the body only
+    runs that pass a filter of what is asked for are shuffled.
     """
-    grams = lambda d, key: d.select(*key, F.explode(T.char_ngrams(T.content_only(F.col("text")), GRAM)).alias("g"))
-    mine = grams(claims, ["claim_id"])
+    return _present(claims.withColumn("kind", F.lit("")), body, shared).select("claim_id")
+
+
+def _present(claims: DataFrame, body: DataFrame, shared: DataFrame | None, exempt: str | None = None) -> DataFrame:
+    """kind, claim_id of claims in the body, which is read once for all kinds. Runs of ``shared`` count for the exempt kind alone."""
+    runs = lambda d, key: d.select(*key, F.explode(T.char_ngrams(T.content_only(F.col("text")), GRAM)).alias("g"))
+    mine = runs(claims, ["kind", "claim_id"])
     if shared is not None:
-        mine = mine.join(grams(shared, []).distinct(), "g", "left_anti")
-    by_text = mine.join(grams(body, []).distinct(), "g", "left_semi").select("claim_id")
-    ids = claims.select("claim_id", F.length("claim_id").alias("n")).filter("n > 0").distinct()
+        kept = mine.filter(F.col("kind") != F.lit(exempt)) if exempt is not None else mine
+        kept = kept.join(runs(shared, []).distinct(), "g", "left_anti")
+        mine = kept.unionByName(mine.filter(F.col("kind") == F.lit(exempt))) if exempt is not None else kept
+    ids = claims.select("kind", "claim_id", F.length("claim_id").alias("n")).filter("n > 0").distinct()
     # The few distinct lengths of ids, not the ids.
     lengths = [r[0] for r in ids.select("n").distinct().collect()]
-    out = by_text
-    if lengths:
-        at = F.concat(*[T.char_ngrams(F.col("text"), n) for n in lengths])
-        named = body.select(F.explode(at).alias("claim_id")).distinct()
-        out = by_text.union(ids.select("claim_id").join(named, "claim_id", "left_semi"))
-    return out.distinct()
+    wanted = mine.select("g", F.lit("text").alias("of")).union(ids.select(F.col("claim_id").alias("g"), F.lit("id").alias("of"))).distinct()
+    grams = lambda c, n, of: F.transform(T.char_ngrams(c, n), lambda g: F.struct(g.alias("g"), F.lit(of).alias("of")))
+    at = F.concat(grams(T.content_only(F.col("text")), GRAM, "text"), *[grams(F.col("text"), n, "id") for n in lengths])
+    seen = passing(body.select(F.explode(at).alias("e")).select("e.g", "e.of"), "g", wanted.select("g")).distinct()
+    by_text = mine.join(seen.filter("of = 'text'"), "g", "left_semi").select("kind", "claim_id")
+    by_id = ids.join(seen.filter("of = 'id'").select(F.col("g").alias("claim_id")), "claim_id", "left_semi").select("kind", "claim_id")
+    return by_text.union(by_id).distinct()
 
 
 def report(sources: DataFrame, ledger: DataFrame, risk: DataFrame, verdicts: DataFrame, decided: DataFrame, body: DataFrame, manifest_ok: bool = True) -> DataFrame:
@@ -75,15 +84,16 @@ def report(sources: DataFrame, ledger: DataFrame, risk: DataFrame, verdicts: Dat
     lost = missing_proof(verified, verdicts)
     proofs = verified.select("claim_id", F.explode("proof_source_ids").alias("source_id")).distinct()
     shown = verdicts.join(proofs, ["claim_id", "source_id"], "left_semi")
-    leaked = present(open_.select("claim_id").join(ledger, "claim_id"), body, told)
+    both = open_.select("claim_id").join(ledger, "claim_id").withColumn("kind", F.lit("open")).unionByName(told.withColumn("kind", F.lit("told")))
+    there = _present(both.select("kind", "claim_id", "text"), body, told, "told")
     one = F.count(F.lit(1))
     n = lambda df, name, what=one: df.agg(what.alias(name))
     some = lambda test: F.count_if(F.coalesce(test, F.lit(False)))
     parts = [
         verified.agg(one.alias("high_risk_verified")), decided.agg(some(F.col("status") == "cite_write").alias("cite_write"), some(F.col("status") == "unresolved").alias("unresolved"), some(F.col("status") == "refuted").alias("refuted")),
         body.select(F.explode(T.citations(F.col("text"))).alias("id")).distinct().agg(one.alias("citations_total")), errors.agg(some(F.col("kind") == "dangling").alias("citations_dangling"), some(F.col("kind") == "orphan").alias("orphan_sources")),
-        n(sources.select("id").filter("coalesce(id, '') <> ''").distinct(), "sources_total"), n(leaked, "leaks"), n(lost, "missing_proof"), n(uncovered(risk, decided), "coverage_missing"),
-        shown.agg(one.alias("shown"), some(F.col("span_matched")).alias("matched")), verdicts.agg(one.alias("all_verdicts"), some((F.col("span_state") == "failed") | (F.coalesce("fail_reason", F.lit("")) != "")).alias("degraded")), n(present(told, body), "covered"),
+        n(sources.select("id").filter("coalesce(id, '') <> ''").distinct(), "sources_total"), there.agg(some(F.col("kind") == "open").alias("leaks"), some(F.col("kind") == "told").alias("covered")), n(lost, "missing_proof"), n(uncovered(risk, decided), "coverage_missing"),
+        shown.agg(one.alias("shown"), some(F.col("span_matched")).alias("matched")), verdicts.agg(one.alias("all_verdicts"), some((F.col("span_state") == "failed") | (F.coalesce("fail_reason", F.lit("")) != "")).alias("degraded")),
     ]
     row = parts[0]
     for p in parts[1:]:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attesta.functions import text as T
-from attesta.operators import cluster, evaluate, runs, schema
+from attesta.operators import cluster, evaluate, filters, runs, schema
 from attesta.operators.graph import forest
 
 URLS = [
@@ -119,3 +119,15 @@ def test_schemas_read_from_files(spark, tmp_path, which):
     got = {r["i"]: r["e"] for r in df.select("i", faults(F.col("t")).alias("e")).collect()}
     for i, (text, want) in enumerate(cases):
         assert got[i] == (["(root): object"] if want is None else want), text
+
+
+def test_filter_loses_nothing(spark, monkeypatch):
+    for most in (filters.MOST, 1 << 12):
+        monkeypatch.setattr(filters, "MOST", most)
+        rows = spark.range(50000).selectExpr("cast(id as string) as g", "id as _other")
+        asked = spark.range(0, 50000, 25).selectExpr("cast(id as string) as g")
+        got = filters.passing(rows, "g", asked)
+        assert got.columns == rows.columns
+        left = {r["g"] for r in got.collect()}
+        assert {str(i) for i in range(0, 50000, 25)} <= left and (most < 1 << 20 or len(left) < 8000)
+    assert filters.passing(rows, "g", asked.limit(0)).count() == 0
