@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -50,6 +53,31 @@ def present(claims: DataFrame, body: DataFrame, shared: DataFrame | None = None)
     return _present(claims.withColumn("kind", F.lit("")), body, shared).select("claim_id")
 
 
+#: The report as text: what each line tells, and of which of its columns.
+LINES = (
+    ("verdict", "{verdict}, manifest {manifest_ok}"), ("citations", "{citation_resolution_rate} resolved, {citations_dangling} of {citations_total} dangling"), ("proof", "{missing_entailment_proof_rate} of {high_risk_verified} verified claims without one, {span_match_rate} of spans found"),
+    ("leaks", "{leak_rate}, {leaks} of {unresolved} unresolved and {refuted} refuted claims"), ("coverage", "{verified_coverage_rate} of verified claims told, {coverage_missing} without a status"), ("sources", "{orphan_source_rate} of {sources_total} orphaned"), ("verdicts", "{degraded_verdict_rate} degraded, {cite_write} claims to cite"),
+)
+
+
+def report_text(found: DataFrame, details: dict[str, DataFrame] | None = None) -> DataFrame:
+    """line (from 1), text of a report: one row for each of LINES, rates as per cent; then a row for each row of the details (name to a table of id), in order of name and id."""
+    rates = [c for c in found.columns if c.endswith("_rate")]
+
+    def shown(template: str) -> Column:
+        parts: list[Column] = []
+        for i, piece in enumerate(re.split(r"\{(\w+)\}", template)):
+            parts.append(F.lit(piece) if i % 2 == 0 else F.format_string("%.1f%%", F.col(piece) * 100) if piece in rates else F.col(piece).cast("string"))
+        return F.concat(*parts)
+
+    rows = F.array(*[F.struct(F.lit(i).alias("part"), F.lit("").alias("id"), F.concat(F.lit(f"{n}: "), shown(t)).alias("text")) for i, (n, t) in enumerate(LINES)])
+    out = found.select(F.explode(rows).alias("r")).select("r.*")
+    for i, (name, df) in enumerate(sorted((details or {}).items())):
+        out = out.unionByName(df.select(F.lit(len(LINES) + i).alias("part"), F.col("id").cast("string").alias("id"), F.concat(F.lit(f"  {name}: "), F.col("id").cast("string")).alias("text")))
+    # A report's own lines and faults: what a person reads.
+    return out.select(F.row_number().over(W.orderBy("part", "id", "text")).alias("line"), "text")
+
+
 def _present(claims: DataFrame, body: DataFrame, shared: DataFrame | None, exempt: str | None = None) -> DataFrame:
     """kind, claim_id of claims in the body, which is read once for all kinds. Runs of ``shared`` count for the exempt kind alone."""
     runs = lambda d, key: d.select(*key, F.explode(T.char_ngrams(T.content_only(F.col("text")), GRAM)).alias("g"))

@@ -70,6 +70,19 @@ def report_gate(spark, d):
     return gate.report(read(spark, d, "supplier").select(name("src_", F.col("s_suppkey") + 5).alias("id")), p.select("claim_id", "text"), risk, verdicts, decided, body)
 
 
+_PERCENT = lambda c: f"printf('%.1f%%', {c} * 100)"
+
+
+@query("report_text", f"""WITH g AS ({_GATE}), t AS (SELECT unnest([
+ 'verdict: ' || verdict || ', manifest ' || manifest_ok, 'citations: ' || {_PERCENT("citation_resolution_rate")} || ' resolved, ' || citations_dangling || ' of ' || citations_total || ' dangling',
+ 'proof: ' || {_PERCENT("missing_entailment_proof_rate")} || ' of ' || high_risk_verified || ' verified claims without one, ' || {_PERCENT("span_match_rate")} || ' of spans found',
+ 'leaks: ' || {_PERCENT("leak_rate")} || ', ' || leaks || ' of ' || unresolved || ' unresolved and ' || refuted || ' refuted claims', 'coverage: ' || {_PERCENT("verified_coverage_rate")} || ' of verified claims told, ' || coverage_missing || ' without a status',
+ 'sources: ' || {_PERCENT("orphan_source_rate")} || ' of ' || sources_total || ' orphaned', 'verdicts: ' || {_PERCENT("degraded_verdict_rate")} || ' degraded, ' || cite_write || ' claims to cite']) AS text, unnest(range(1, 8)) AS line FROM g)
+SELECT line::INTEGER AS line, text FROM t""")
+def report_text(spark, d):
+    return gate.report_text(report_gate(spark, d))
+
+
 @query("strict_handoff", "SELECT 'c' || c_custkey AS claim_id, 'r' || (c_custkey % 5) AS reason FROM customer WHERE c_custkey % 3 = 1 AND c_nationkey % 2 = 0")
 def strict_handoff(spark, d):
     k, c = F.col("c_custkey"), read(spark, d, "customer")

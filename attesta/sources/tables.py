@@ -218,6 +218,32 @@ def snapshot_errors(sources: DataFrame, snapshots: DataFrame) -> DataFrame:
     return both.select("id", kind.alias("error")).filter("error is not null")
 
 
+def load_snapshots(spark: SparkSession, session: str, sources: DataFrame) -> DataFrame:
+    """The sources with snapshot_text and snapshot_error: the text at snapshot_path, which is below the session unless it is absolute.
+
+    sources: id, snapshot_path, content_hash. A text is given only if it has the source's hash, where that has one.
+    """
+    rel = F.coalesce("snapshot_path", F.lit(""))
+    absolute = rel.rlike("^(/|[a-z][a-z0-9+.-]*:/)")
+    bare = lambda c: F.regexp_replace(c, "^[a-z][a-z0-9+.-]*:/+", "/")  # noqa: E731  file:/x and file:///x are one place
+    at = F.when(absolute, bare(rel)).otherwise(F.concat(bare(F.lit(session.rstrip("/"))), F.lit("/"), F.regexp_replace(rel, r"^(\./)+", "")))
+    rows = sources.withColumn("_at", F.when(rel != "", at))
+    inside = read_folder(spark, session, "*").select(bare(F.col("path")).alias("_at"), F.col("text").alias("_text"))
+    elsewhere = [r[0] for r in rows.filter(absolute & ~F.col("_at").startswith(bare(F.lit(session.rstrip("/") + "/")))).select("snapshot_path").distinct().collect()]  # paths outside of the session: few
+    there = [p for p in elsewhere if exists(spark, p)]
+    if there:
+        inside = inside.unionByName(spark.read.text(there, wholetext=True).select(bare(F.col("_metadata.file_path")).alias("_at"), F.col("value").alias("_text")))
+    both = rows.join(inside, "_at", "left")
+    wrong = (F.coalesce("content_hash", F.lit("")) != "") & (X.content_hash(F.col("_text")) != F.col("content_hash"))
+    error = F.when(F.col("_at").isNull(), "no snapshot_path").when(F.col("_text").isNull(), F.concat(F.lit("snapshot file missing: "), rel)).when(wrong, "snapshot hash mismatch")
+    return both.select(*[F.col(c) for c in sources.columns], F.when(error.isNull(), F.col("_text")).alias("snapshot_text"), error.alias("snapshot_error"))
+
+
+def write_lines(df: DataFrame, path: str) -> None:
+    """The lines of a report (line, text) as one text file in a folder, in order."""
+    df.coalesce(1).sortWithinPartitions("line").select("text").write.mode("overwrite").text(path)
+
+
 def table_hash(df: DataFrame) -> str:
     """A digest of a table's rows that no order or partitioning changes; equal rows count.
 

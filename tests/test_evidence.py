@@ -1,14 +1,17 @@
 """URLs, findings and replay on hand-written rows."""
 
+import hashlib
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from attesta.functions import text as T
-from attesta.operators import cluster, evaluate, filters, runs, schema
+from attesta.operators import cluster, evaluate, filters, gate, runs, schema
 from attesta.operators.graph import forest
+from attesta.sources import tables
 
 URLS = [
     (None, ""), ("", ""), ("example.com/a", "https:example.com/a"), ("other.org/b", "https:other.org/b"), ("//third.net/c", "https://third.net/c"), ("mailto:a@b", "https:a@b"), ("  HTTPS://www.X.org ", "https://x.org/"),
@@ -131,3 +134,26 @@ def test_filter_loses_nothing(spark, monkeypatch):
         left = {r["g"] for r in got.collect()}
         assert {str(i) for i in range(0, 50000, 25)} <= left and (most < 1 << 20 or len(left) < 8000)
     assert filters.passing(rows, "g", asked.limit(0)).count() == 0
+
+
+def test_snapshots_by_relative_paths(spark, tmp_path):
+    (tmp_path / "s/snaps").mkdir(parents=True)
+    (tmp_path / "s/snaps/a.txt").write_text("one\r\ntwo")
+    (tmp_path / "s/b.txt").write_text("b")
+    (tmp_path / "far.txt").write_text("far")
+    digest = lambda t: "sha256:" + hashlib.sha256(t.encode()).hexdigest()
+    rows = [("a", "snaps/a.txt", digest("one\ntwo")), ("b", "./b.txt", "sha256:0"), ("c", f"{tmp_path}/far.txt", digest("far")), ("d", f"file://{tmp_path}/s/b.txt", ""), ("e", "snaps/none.txt", None), ("f", None, None), ("g", "", "x"), ("h", f"{tmp_path}/none.txt", None), ("i", "b.txt", None)]
+    got = {r["id"]: (r["snapshot_text"], r["snapshot_error"]) for r in tables.load_snapshots(spark, f"file://{tmp_path}/s", spark.createDataFrame(rows, "id string, snapshot_path string, content_hash string")).collect()}
+    assert got == {
+        "a": ("one\r\ntwo", None), "b": (None, "snapshot hash mismatch"), "c": ("far", None), "d": ("b", None), "e": (None, "snapshot file missing: snaps/none.txt"), "f": (None, "no snapshot_path"), "g": (None, "no snapshot_path"),
+        "h": (None, f"snapshot file missing: {tmp_path}/none.txt"), "i": ("b", None),
+    }
+
+
+def test_report_as_text(spark, tmp_path):
+    columns = {n: 1 for _, t in gate.LINES for n in re.findall(r"\{(\w+)\}", t)} | {"verdict": "FAIL", "manifest_ok": False, "leak_rate": 0.125}
+    found = spark.createDataFrame([tuple(float(v) if k.endswith("_rate") else v for k, v in columns.items())], list(columns))
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    tables.write_lines(gate.report_text(found, {"dangling": ids("src_2", "src_1"), "a leak": ids("c9")}), f"file://{tmp_path}/r")
+    text = next((tmp_path / "r").glob("part-*")).read_text().splitlines()
+    assert text[0] == "verdict: FAIL, manifest false" and text[3] == "leaks: 12.5%, 1 of 1 unresolved and 1 refuted claims" and text[7:] == ["  a leak: c9", "  dangling: src_1", "  dangling: src_2"] and len(text) == 10
