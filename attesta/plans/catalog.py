@@ -175,6 +175,22 @@ def anchored_spans(spark, d):
     return out.select("item_id", "doc_id", "span_matched", "char_start", "char_end", "numeric_ok", "polarity_ok", F.array_join("referent_flags", ",").alias("referents"), "anchors_ok")
 
 
+#: Claims that differ from their spans in known ways: share, amount (in other scales), year, negation, scope, place.
+@query("anchored_claims", """
+WITH o AS (SELECT o_orderkey AS k FROM orders),
+r AS (SELECT k, k % 17 <> 0 AS span_matched, k % 7 <> 0 AND k % 11 <> 0 AND k % 13 <> 0 AS numeric_ok, (k % 5 = 0) = (k % 3 = 0) AS polarity_ok, CASE WHEN k % 4 = 0 THEN 'scope:total:segment' ELSE '' END AS flags FROM o)
+SELECT k AS o_orderkey, span_matched, numeric_ok, polarity_ok, flags, span_matched AND numeric_ok AND polarity_ok AS anchors_ok FROM r""")
+def anchored_claims(spark, d):
+    k = F.col("o_orderkey")
+    said = lambda scope, share, amount, year, no: F.concat(scope, F.lit(" output rose "), share.cast("string"), F.lit("% to $"), amount, F.lit(" in "), year.cast("string"), F.lit(" and was "), F.when(no, "not disputed").otherwise("disputed"))
+    share, million, year = k % 40 + 10, k % 9 + 1, k % 20 + 2000
+    claim = said(F.lit("Total"), share, F.concat(million.cast("string"), F.lit(" million")), year, k % 5 == 0)
+    thousand = million * 1000 + F.when(k % 11 == 0, 100).otherwise(0)
+    span = said(F.when(k % 4 == 0, "Segment").otherwise("Total"), share + F.when(k % 7 == 0, 1).otherwise(0), F.concat(thousand.cast("string"), F.lit(" thousand")), year + F.when(k % 13 == 0, 1).otherwise(0), k % 3 == 0)
+    rows = read(spark, d, "orders").select("o_orderkey", claim.alias("claim"), span.alias("span")).withColumn("snapshot", F.concat(F.lit("Before. "), F.when(k % 17 != 0, F.col("span")).otherwise("nothing of it"), F.lit(" After.")))
+    return anchors.with_anchors(rows).select("o_orderkey", "span_matched", "numeric_ok", "polarity_ok", F.array_join("referent_flags", ",").alias("flags"), "anchors_ok")
+
+
 _LABELS = "|".join(anchors.LABEL_WORDS)
 _SCALED = " ".join(f"WHEN '{k}' THEN {v:.0f}" for k, v in anchors.SCALES.items())
 _QUANTITIES = rf"""
