@@ -51,6 +51,12 @@ def test_risk(spark):
     assert got["c__a1"]["atom_text"] == "The EU required Y" and not got["c"]["atomic"]
 
 
+def test_entities_without_a_semicolon(spark):
+    text = "a &amp; b &amp &copy;&am &copy c &#65; &notit; &quot;"
+    assert one(spark, T.normalize, text) == 'a & b & ©&am © c A ¬it; "'
+    assert one(spark, lambda c: T.normalize(c, open_entities=False), text) == 'a & b &amp ©&am &copy c A &notit; "'
+
+
 def test_fnv_and_graph(spark):
     assert spark.createDataFrame([("abc",)], "w string").select(cluster.fnv1a("w")).first()[0] == 16654208175385433931 - (1 << 64)
     edges = spark.createDataFrame([(1, 2), (2, 3), (5, 6)], "a bigint, b bigint")
