@@ -35,18 +35,35 @@ def is_risky(text: Column) -> Column:
     return out
 
 
+def _once(value: Column, then) -> Column:
+    """then(value), with the value computed once however often it is used: inside lambdas Spark shares nothing else."""
+    return F.transform(F.array(value), then)[0]
+
+
 def atoms_struct(text: Column) -> Column:
     """struct(atoms, atomic, needs): a compound is split only if each part is risky by itself."""
-    t = F.trim(F.coalesce(text, F.lit("")))
-    parts = F.filter(F.transform(F.split(t, COORDINATORS), F.trim), lambda p: p != "")
     verb = f"(?i)^(({VERBS}){R}|{KOREAN_VERBS})"
-    subject = F.trim(F.regexp_extract(t, f"(?is)^(.*?){L}(({VERBS}){R}|{KOREAN_VERBS})", 1))
-    own = F.transform(parts, lambda p, i: F.when((i > 0) & (subject != "") & p.rlike(verb), F.concat(subject, F.lit(" "), p)).otherwise(p))
-    risky = F.size(F.filter(own, is_risky))
-    whole = F.array(t)
-    single = (F.size(parts) < 2) | (risky < 2)
-    safe = ~single & (risky == F.size(own))
-    return F.struct(F.when(safe, own).otherwise(whole).alias("atoms"), single.alias("atomic"), (~single & ~safe).alias("needs_atomization"))
+
+    def completed(x: Column) -> Column:
+        parts, subject = x["parts"], x["subject"]
+        own = F.transform(parts, lambda p, i: F.when((i > 0) & (subject != "") & p.rlike(verb), F.concat(subject, F.lit(" "), p)).otherwise(p))
+        return _once(F.struct(own.alias("own"), x["t"].alias("t")), counted)
+
+    def counted(x: Column) -> Column:
+        return _once(F.struct(x["own"].alias("own"), x["t"].alias("t"), F.size(F.filter(x["own"], is_risky)).alias("risky")), told)
+
+    def told(x: Column) -> Column:
+        own, risky = x["own"], x["risky"]
+        single = (F.size(own) < 2) | (risky < 2)
+        safe = ~single & (risky == F.size(own))
+        return F.struct(F.when(safe, own).otherwise(F.array(x["t"])).alias("atoms"), single.alias("atomic"), (~single & ~safe).alias("needs_atomization"))
+
+    def parted(t: Column) -> Column:
+        parts = F.filter(F.transform(F.split(t, COORDINATORS), F.trim), lambda p: p != "")
+        subject = F.trim(F.regexp_extract(t, f"(?is)^(.*?){L}(({VERBS}){R}|{KOREAN_VERBS})", 1))
+        return _once(F.struct(t.alias("t"), parts.alias("parts"), subject.alias("subject")), completed)
+
+    return _once(F.trim(F.coalesce(text, F.lit(""))), parted)
 
 
 def rules_hash() -> str:
@@ -55,13 +72,29 @@ def rules_hash() -> str:
     return "sha256:" + hashlib.sha256(body.encode()).hexdigest()
 
 
+def _risk(rules: Column) -> Column:
+    return F.when(F.size(rules) > 0, "high").otherwise("normal")
+
+
+def _judged(claims: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return claims.select(F.col(id_col).cast("string").alias("claim_id"), atoms_struct(F.col(text_col)).alias("s"), matched_rules(F.coalesce(text_col, F.lit(""))).alias("rules"))
+
+
+def _row(claim: Column, rules: Column, atomic: Column, needs: Column, source: Column, atom: Column) -> Column:
+    return F.struct(claim.alias("claim_id"), _risk(rules).alias("computed_risk"), F.array_join(rules, ",").alias("rules"), atomic.alias("atomic"), needs.alias("needs_atomization"), source.alias("atomized_from"), atom.alias("atom_text"))
+
+
 def classify(claims: DataFrame, id_col: str = "claim_id", text_col: str = "text") -> DataFrame:
-    """One row per claim, and one per atom of a safely split claim (``<id>__a<n>``)."""
-    base = claims.select(F.col(id_col).cast("string").alias("claim_id"), F.col(text_col).alias("text"), atoms_struct(F.col(text_col)).alias("s"))
-    rules = matched_rules(F.coalesce("text", F.lit("")))
-    risk = lambda r: F.when(F.size(r) > 0, "high").otherwise("normal")
-    parent = base.select("claim_id", risk(rules).alias("computed_risk"), F.array_join(rules, ",").alias("rules"), F.col("s.atomic").alias("atomic"), F.col("s.needs_atomization").alias("needs_atomization"), F.lit(None).cast("string").alias("atomized_from"), F.lit(None).cast("string").alias("atom_text"))
-    split = base.filter(~F.col("s.atomic") & ~F.col("s.needs_atomization")).select("claim_id", F.posexplode("s.atoms").alias("i", "atom"))
-    found = matched_rules(F.col("atom"))
-    children = split.select(F.concat("claim_id", F.lit("__a"), F.col("i").cast("string")).alias("claim_id"), risk(found).alias("computed_risk"), F.array_join(found, ",").alias("rules"), F.lit(True).alias("atomic"), F.lit(False).alias("needs_atomization"), F.col("claim_id").alias("atomized_from"), F.col("atom").alias("atom_text"))
-    return parent.unionByName(children)
+    """One row per claim, and one per atom of a safely split claim (``<id>__a<n>``). Each text is read and split once."""
+    claim, s, none = F.col("claim_id"), F.col("s"), F.lit(None).cast("string")
+    atom = lambda a, i: _once(matched_rules(a), lambda r: _row(F.concat(claim, F.lit("__a"), i.cast("string")), r, F.lit(True), F.lit(False), claim, a))
+    parent = F.array(_row(claim, F.col("rules"), s["atomic"], s["needs_atomization"], none, none))
+    split = ~s["atomic"] & ~s["needs_atomization"]
+    rows = F.when(split, F.concat(parent, F.transform(s["atoms"], atom))).otherwise(parent)
+    return _judged(claims, id_col, text_col).select(F.inline(rows))
+
+
+def classify_whole(claims: DataFrame, id_col: str = "claim_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``classify`` for the claims themselves, without their atoms."""
+    row = _row(F.col("claim_id"), F.col("rules"), F.col("s.atomic"), F.col("s.needs_atomization"), F.lit(None).cast("string"), F.lit(None).cast("string"))
+    return _judged(claims, id_col, text_col).select(row.alias("r")).select("r.*")

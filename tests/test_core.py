@@ -1,6 +1,7 @@
 """Operators of claim verification on hand-written rows."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,6 +52,20 @@ def test_risk(spark):
     assert got["c__a1"]["atom_text"] == "The EU required Y" and not got["c"]["atomic"]
 
 
+def test_risk_of_whole_claims_and_of_many_parts(spark):
+    rows = [("a", "Sales grew 8% in 2020"), ("b", "plain prose only"), ("c", "The EU banned X and required Y"), ("d", None), ("e", "He said so and it was 5% and that")]
+    claims = spark.createDataFrame(rows, "claim_id string, text string")
+    whole = risk.classify_whole(claims)
+    parents = risk.classify(claims).filter("atomized_from is null")
+    assert whole.schema.names == parents.schema.names and sorted(whole.collect(), key=str) == sorted(parents.collect(), key=str)
+    # The first verb is at the end: a search for it from each of the parts is quadratic.
+    text = "the plain words of a part and " * 8000 + "they banned it and required 5%"
+    long = spark.createDataFrame([("l", text)], "claim_id string, text string")
+    start = time.monotonic()
+    got = risk.classify(long).select("atomic", "needs_atomization").collect()
+    assert [tuple(r) for r in got] == [(False, True)] and time.monotonic() - start < 20
+
+
 def test_entities_without_a_semicolon(spark):
     text = "a &amp; b &amp &copy;&am &copy c &#65; &notit; &quot;"
     assert one(spark, T.normalize, text) == 'a & b & ©&am © c A ¬it; "'
