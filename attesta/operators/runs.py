@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -78,9 +79,10 @@ class Spending:
 
     def __init__(self, total: int) -> None:
         self.total, self.pieces = total, [(0, 0, False, False)]  # start, add, fixed, denied
+        self.settled = math.inf  # a request of more changes nothing: all amounts are lower by now, and denied before
 
     def take(self, n: int, back: bool) -> None:
-        if n <= 0:
+        if n <= 0 or n > self.settled and not back:
             return
         out, ends = [], [p[0] for p in self.pieces[1:]] + [self.total + 1]
         for (start, add, fixed, denied), end in zip(self.pieces, ends, strict=True):
@@ -96,7 +98,13 @@ class Spending:
                 out.append(low)
             if at < end:
                 out.append((max(at, start), *high))
-        self.pieces = [p for i, p in enumerate(out) if not i or p[1:] != out[i - 1][1:]]
+        self.pieces, ends = [], [p[0] for p in out[1:]] + [self.total + 1]
+        for (start, add, fixed, denied), end in zip(out, ends, strict=True):
+            # A piece of one amount gives one value, so what is used up becomes one piece whatever it began with.
+            p = (start, start + add, True, denied) if end - start == 1 and not fixed else (start, add, fixed, denied)
+            if not self.pieces or p[1:] != self.pieces[-1][1:]:
+                self.pieces.append(p)
+        self.settled = max(add if fixed else end - 1 + add for (_, add, fixed, _), end in zip(out, ends, strict=True)) if all(p[3] for p in out) else math.inf
 
     def after(self, left: int) -> tuple[int, bool]:
         _, add, fixed, denied = self.pieces[bisect.bisect_right(self.pieces, left, key=lambda p: p[0]) - 1]

@@ -269,6 +269,16 @@ def test_spending_is_the_requests_in_turn():
             assert held.after(left) == (now, denied)
 
 
+def test_spending_keeps_few_pieces_once_all_is_spent():
+    held = runs.Spending(500)
+    for e in range(4000):
+        held.take(e % 7, False)
+    assert len(held.pieces) <= 3 and held.after(500) == (0, True) and held.after(0) == (0, True)
+    held = runs.Spending(3)
+    held.take(4, False)
+    assert held.after(3) == (3, True)
+
+
 def test_agreement_and_score(spark):
     rows = [("x", 1, "a"), ("x", 2, "b"), ("y", 1, "a"), ("y", 2, "b"), ("z", 1, "a"), ("z", 2, "a")]
     pairs, low = probes.agreement(spark.createDataFrame(rows, "labeler string, unit_id int, label string"))
