@@ -140,6 +140,27 @@ def test_near_bits_and_cosine_are_whole(spark):
     assert want and found.keys() == want.keys() and all(math.isclose(found[k], want[k]) for k in want)
 
 
+def test_close_pairs_are_whole(spark):
+    rng = random.Random(7)
+    words = [f"word{i}" for i in range(30)] + ["ab", "é", "한국어", "a"]
+    rows = [(i, f"s{i % 3 // 2}", " ".join(rng.sample(words, 12))) for i in range(60)] + [(60, "s0", ""), (61, "s0", None), (62, None, "word1"), (63, None, "word1")]
+    docs = spark.createDataFrame(rows, "id bigint, scope string, text string").repartition(3)
+    feats = cluster.lexical_features(docs, "id", "text").join(docs.select(F.col("id").alias("node"), "scope"), "node")
+    want = {(r["a"], r["b"]): r["cosine"] for r in cluster.cosine_pairs(feats, 0.8).collect()}
+    vectors = cluster.lexical_counts(docs, "id", "text", "scope")
+    assert vectors.count() == 62
+    for block in (256, 5):  # blocks of a scope meet in pairs
+        found = [(r["a"], r["b"], r["cosine"]) for r in cluster.close_pairs(vectors, 0.8, block).collect()]
+        assert len(found) == len(want) > 0 and all(math.isclose(want[min(a, b), max(a, b)], c) for a, b, c in found)
+
+
+def test_similarity_in_scopes_is_shuffled_by_text_not_by_word(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "lexical_features", None)  # a row for each word and triple
+    docs = spark.createDataFrame([(i, i // 4, f"some common words of text {i % 2}") for i in range(16)], "id bigint, scope bigint, text string")
+    edges = {(r["a"], r["b"]) for r in cluster.semantic_edges(docs, "id", "text", scope_col="scope").collect()}
+    assert {(4 * i, 4 * i + 1) for i in range(4)} <= {(min(e), max(e)) for e in edges}
+
+
 def test_labels_are_dense_and_ordered(spark):
     comp = spark.createDataFrame([(f"n{i:03}", f"n{i - i % 3:03}") for i in range(90)], "node string, comp string").repartition(7)
     got = {r["source_id"]: r["cluster_id"] for r in cluster.labels(comp, "comp").collect()}
