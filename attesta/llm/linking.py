@@ -9,10 +9,10 @@ verified links, in these steps:
 2. A hot bucket (over ``BLOCK`` members) is compared in blocks, each with the bucket's first member,
    so a large group of near copies is one coarse group by now. Where a hot bucket still holds
    several coarse groups, its members meet again under every pair of such buckets that they share;
-   a pair of near copies nearly always shares two bands, and chance does so rarely. Buckets of
-   pairs that are hot in turn, and still hold several groups, are crossed: all members outside the
-   largest group meet all others, block by block. So only a pair that shares hot buckets alone, and
-   of these just one, is left out; in all other cases the result doesn't depend on ``BLOCK``.
+   a pair of near copies nearly always shares two bands, and chance does so rarely. Hot buckets
+   that still hold several groups are then crossed: all members outside the largest group meet all
+   others, block by block. So every pair of a bucket is compared, or in one group by then, and the
+   result doesn't depend on ``BLOCK``.
 3. Each coarse group gets the whole texts of its members. A member's set is compared exactly with
    those of all members that are in another component by then; links merge components, and only
    merging links are written. A group of copies takes one comparison each, and no pair is skipped
@@ -315,28 +315,32 @@ def _coarse(scratch: Scratch, members: DataFrame, about: DataFrame, agree: Calla
     mixed = scratch.save(_several(named, "bucket"))
     if not _some(mixed):
         return labels
+
+    def rest(known: DataFrame, labels: DataFrame | None) -> DataFrame | None:
+        # What shares one hot bucket alone meets there: all members outside a bucket's largest group with all others.
+        left = scratch.save(_labelled(named.join(mixed, "bucket", "left_semi").select("bucket", "rid"), labels))
+        if _some(_several(left, "bucket")):
+            last = crossed(left, "bucket", F.lit(1), block).select("bucket", "part", "rid")
+            whole = scratch.save(known.unionByName(_proposals(last.join(about, "rid"), agree, num, den)))
+            labels = components(whole) if _some(whole) else None
+            scratch.drop(whole)
+        scratch.drop(named, known, left)
+        return labels
+
     mine = named.join(mixed, "bucket", "left_semi").groupBy("rid", "comp").agg(F.sort_array(F.collect_set("bucket")).alias("own"))  # a band each at most
     both = F.flatten(F.transform("own", lambda x, i: F.transform(F.slice("own", i + 2, F.size("own")), lambda y: F.xxhash64(x, y))))
     pairs = scratch.save(mine.select("rid", "comp", F.explode(both).alias("bucket")))
     shared = scratch.save(_several(pairs, "bucket").withColumn("parts", F.ceil(F.col("n") / block).cast("int")))
     if not _some(shared):
-        return labels
+        return rest(found, labels)
     again = pairs.join(shared, "bucket")
     leads = again.filter("parts > 1").groupBy("bucket", "parts").agg(F.min("rid").alias("rid")).withColumn("part", _every("parts"))
     dealt = again.withColumn("part", _part("parts", 0)).select("bucket", "part", "rid").unionByName(leads.select("bucket", "part", "rid")).distinct()
     more = scratch.save(found.unionByName(_proposals(dealt.join(about, "rid"), agree, num, den)))
     if not _some(more):
-        return None
-    labels = components(more)
-    large = again.filter("parts > 1").select("bucket", "rid")
-    if not _some(large):
-        return labels
-    large = scratch.save(_labelled(large, labels))
-    if _some(_several(large, "bucket")):
-        rest = crossed(large, "bucket", F.lit(1), block).select("bucket", "part", "rid")
-        labels = components(more.unionByName(_proposals(rest.join(about, "rid"), agree, num, den)))
-    scratch.drop(found, named, pairs, more, large)
-    return labels
+        return rest(more, None)
+    scratch.drop(found, pairs)
+    return rest(more, components(more))
 
 
 def link(scratch: Scratch, members: DataFrame, about: DataFrame, texts: DataFrame, shingles: Callable, num: int, den: int, agree: Callable, block: int = BLOCK) -> DataFrame | None:

@@ -275,3 +275,13 @@ def test_urls(spark):
     m = urls.train(many)
     out = many.select("blocked", m.score(F.col("url")).alias("s")).collect()
     assert sum((r["s"] >= 0.5) == bool(r["blocked"]) for r in out) > 390
+
+
+def test_a_pair_of_one_hot_bucket_is_compared(spark):
+    # 24 members of one bucket in blocks of four; 5 and 22 agree, are of different blocks and share no other bucket.
+    rows = [(1, part, rid, True) for rid in range(24) for part in [rid // 4]] + [(1, part, 0, True) for part in range(1, 6)]
+    members = spark.createDataFrame(rows, "bucket bigint, part int, rid bigint, hot boolean")
+    about = spark.createDataFrame([(rid, 9, bytes([5 if rid == 22 else rid])) for rid in range(24)], "rid bigint, size bigint, sketch binary")
+    agree = lambda many, one: (many == one).all(1)
+    found = linking._coarse(Scratch(spark), members, about, agree, 80, 100, 4)
+    assert found is not None and {(r["node"], r["comp"]) for r in found.collect()} == {(5, 5), (22, 5)}
