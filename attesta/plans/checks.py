@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import bindings, gate, probes, runs
+from ..operators.filters import spread
 from ..sources import tables
 from .catalog import _ANCHORED, _DECIDE, _FEATURES, _RULE_SQL, _SIMHASH, cited, query, read
 
@@ -172,7 +173,7 @@ def query_errors(spark, d):
         F.struct(text("policy_brief").alias("format"), F.struct((k % 1000).alias("min_words")).alias("length"), F.struct(F.lit(True).alias("include_bibliography")).alias("structure")).alias("output"),
     ))
     broken = F.when(k % 13 != 0, doc).when(k % 2 == 0, "{oops").otherwise("[1]")
-    return read(spark, d, "part").select(k, broken.alias("doc")).select(k, F.array_join(runs.query_errors(F.col("doc")), ",").alias("errors"))
+    return spread(read(spark, d, "part").select("p_partkey", "p_name", "p_type"), "p_partkey").select(k, broken.alias("doc")).select(k, F.array_join(runs.query_errors(F.col("doc")), ",").alias("errors"))
 
 
 # ---- probes and agreement ------------------------------------------------------------------

@@ -320,3 +320,15 @@ def test_lock_and_session(spark):
     rows = [("a", 1, "completed"), ("a", 2, "pending"), ("a", 3, "in_progress"), ("b", 1, "completed"), ("c", 1, None)]
     got = {r["session_id"]: (r["next_phase"], r["state"], r["done"]) for r in runs.session_status(spark.createDataFrame(rows, "session_id string, phase int, state string")).collect()}
     assert got == {"a": (2, "pending", 1), "b": (None, "complete", 1), "c": (1, "pending", 0)}
+
+
+def test_query_errors_reads_each_part_once_and_in_many_tasks(spark, tmp_path):
+    """Every test of a part read it anew, and a small file was one task, however many rows it had."""
+    from attesta.plans import checks
+
+    asked = spark.range(1).select(runs.query_errors(F.lit("{}")).alias("e"), F.rand().alias("r"))
+    paths = asked._jdf.queryExecution().analyzed().toString().count("schema_of_variant")
+    assert 0 < paths <= 60
+    spark.range(6000).select(F.col("id").alias("p_partkey"), F.lit("a name of a part").alias("p_name"), F.lit("type").alias("p_type")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    out = checks.query_errors(spark, str(tmp_path))
+    assert out.rdd.getNumPartitions() > 1 and out.count() == 6000
