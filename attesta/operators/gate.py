@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .evaluate import rate
-from .filters import passing
+from .filters import passing, spread
 from .risk import matched_rules
 
 GRAM = 6
+#: Runs of claims in a task.
+RUNS = 1 << 20
 
 
 def backstop(sentences: DataFrame, verified: DataFrame) -> DataFrame:
@@ -79,22 +81,24 @@ def report_text(found: DataFrame, details: dict[str, DataFrame] | None = None) -
 
 
 def _present(claims: DataFrame, body: DataFrame, shared: DataFrame | None, exempt: str | None = None) -> DataFrame:
-    """kind, claim_id of claims in the body, which is read once for all kinds. Runs of ``shared`` count for the exempt kind alone."""
-    runs = lambda d, key: d.select(*key, F.explode(T.char_ngrams(T.content_only(F.col("text")), GRAM)).alias("g"))
-    mine = runs(claims, ["kind", "claim_id"])
+    """kind, claim_id of claims in the body, which is read once for all kinds and once for ids. Runs of ``shared`` count for the exempt kind alone."""
+    runs = lambda d, *key: d.select(*key, F.explode(T.char_ngrams(T.content_only(F.col("text")), GRAM)).alias("g"))
+    claims, body = spread(claims, "claim_id"), spread(body)
+    size = claims.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    dealt = lambda d: d.repartition(1 + size // RUNS, "g")
+    mine = runs(claims, "kind", "claim_id")
+    # The claims' runs, the longest table, are shuffled once, a bounded share to a task: what the body has of them meets the shared ones first.
+    told = passing(runs(body), "g", mine.select("g")).distinct()
     if shared is not None:
-        kept = mine.filter(F.col("kind") != F.lit(exempt)) if exempt is not None else mine
-        kept = kept.join(runs(shared, []).distinct(), "g", "left_anti")
-        mine = kept.unionByName(mine.filter(F.col("kind") == F.lit(exempt))) if exempt is not None else kept
+        told = told.join(runs(spread(shared)).distinct().withColumn("common", F.lit(True)), "g", "left")
+        free = F.col("common").isNull() if exempt is None else F.col("common").isNull() | (F.col("kind") == F.lit(exempt))
+    by_text = dealt(mine).join(dealt(told), "g").filter(free if shared is not None else F.lit(True)).select("kind", "claim_id")
     ids = claims.select("kind", "claim_id", F.length("claim_id").alias("n")).filter("n > 0").distinct()
     # The few distinct lengths of ids, not the ids.
     lengths = [r[0] for r in ids.select("n").distinct().collect()]
-    wanted = mine.select("g", F.lit("text").alias("of")).union(ids.select(F.col("claim_id").alias("g"), F.lit("id").alias("of"))).distinct()
-    grams = lambda c, n, of: F.transform(T.char_ngrams(c, n), lambda g: F.struct(g.alias("g"), F.lit(of).alias("of")))
-    at = F.concat(grams(T.content_only(F.col("text")), GRAM, "text"), *[grams(F.col("text"), n, "id") for n in lengths])
-    seen = passing(body.select(F.explode(at).alias("e")).select("e.g", "e.of"), "g", wanted.select("g")).distinct()
-    by_text = mine.join(seen.filter("of = 'text'"), "g", "left_semi").select("kind", "claim_id")
-    by_id = ids.join(seen.filter("of = 'id'").select(F.col("g").alias("claim_id")), "claim_id", "left_semi").select("kind", "claim_id")
+    at = F.concat(F.array().cast("array<string>"), *[T.char_ngrams(F.col("text"), n) for n in lengths])
+    named = passing(body.select(F.explode(at).alias("claim_id")), "claim_id", ids.select("claim_id")).distinct()
+    by_id = ids.join(named, "claim_id", "left_semi").select("kind", "claim_id")
     return by_text.union(by_id).distinct()
 
 

@@ -332,3 +332,20 @@ def test_query_errors_reads_each_part_once_and_in_many_tasks(spark, tmp_path):
     spark.range(6000).select(F.col("id").alias("p_partkey"), F.lit("a name of a part").alias("p_name"), F.lit("type").alias("p_type")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     out = checks.query_errors(spark, str(tmp_path))
     assert out.rdd.getNumPartitions() > 1 and out.count() == 6000
+
+
+def test_present_in_bounded_shares(spark, monkeypatch):
+    """The claims' runs go to as many tasks as their number asks for, and a filter that most keys would pass is left out."""
+    from attesta.operators import filters
+
+    rows = spark.range(1000).select(F.col("id").cast("string").alias("g"))
+    monkeypatch.setattr(filters, "MOST", 64)
+    assert "Join" not in filters.passing(rows, "g", rows)._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(gate, "RUNS", 50)
+    text = lambda i: F.md5(i.cast("string"))
+    i = F.col("id")
+    claims = spark.range(40).select(F.when(i % 2 == 0, "told").otherwise("open").alias("kind"), F.format_string("n%03d", i).alias("claim_id"), text(i).alias("text"))
+    body = spark.range(20).select(F.when(i == 3, "see n011").otherwise(text(i)).alias("text")).unionByName(spark.range(20, 22).select(text(i).alias("text")))
+    out = gate._present(claims, body, claims.filter("kind = 'told'").select("text"), "told")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("], 26") == 2  # 1280 characters: both sides of the join
+    assert {r.claim_id for r in out.collect()} == {f"n{k:03d}" for k in range(22) if k != 3}
