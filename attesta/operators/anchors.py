@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -42,7 +43,7 @@ def read_quantities(text: str | None) -> list[tuple[str, float]]:
         while edge and text[edge - 1].isspace():
             edge -= 1
         before, after = text[max(0, edge - _LONGEST) : edge], _RIGHT.match(text, m.end())
-        money, label = before[-1:] in tuple("$€£¥₩"), _LABEL.search(before)
+        money = before[-1:] in tuple("$€£¥₩")
         value, kind = float(digits), None
         glued = start > 0 and (text[start - 1] in "/-#" or text[start - 1].isalpha())
         if after and after["pct"]:
@@ -52,7 +53,7 @@ def read_quantities(text: str | None) -> list[tuple[str, float]]:
             value *= SCALES[after["scale"].lower()] if after and after["scale"] else 1
         elif "." in digits:
             kind = "ver"
-        elif glued or label:
+        elif glued or _LABEL.search(before):
             continue
         elif re.fullmatch("1[89]\\d\\d|20\\d\\d", digits):
             kind = "year"
@@ -91,8 +92,14 @@ def numbers(text: Column | str, salient: bool = False) -> Column:
 
 
 def _read_all(texts: pa.Array) -> pa.Array:
-    shape = pa.list_(pa.struct([("cls", pa.string()), ("val", pa.float64())]))
-    return pa.array([[{"cls": c, "val": v} for c, v in read_quantities(t)] for t in texts.to_pylist()], shape)
+    first, cls, val = [0], [], []
+    for t in texts:
+        for c, v in read_quantities(t.as_py()):
+            cls.append(c)
+            val.append(v)
+        first.append(len(cls))
+    found = pa.StructArray.from_arrays([pa.array(cls, pa.string()), pa.array(val, pa.float64())], ["cls", "val"])
+    return pa.ListArray.from_arrays(pa.array(first, pa.int32()), found)
 
 
 def quantities(text: Column | str) -> Column:
@@ -121,24 +128,41 @@ def numeric_ok(claim: Column, span: Column) -> Column:
     return measured & ((F.size(of(span, "ver")) == 0) | each("ver", 0.0))
 
 
-def _negated(words: Column, stem: Column) -> Column:
-    """Does a negation stand right before the first long word with this stem?"""
-    at = F.array_position(F.transform(words, lambda w: F.when(F.length(w) >= 4, T.stem(w)).otherwise(F.lit(""))), stem)
-    return F.coalesce(F.when(at > 1, T.is_negation(F.try_element_at(words, (at - 1).cast("int")))), F.lit(False))
+def _told(text: Column) -> Column:
+    """stem of each long word of a text, and whether a negation stands right before it."""
+    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({T.QUOTED_WORD})"), F.lit(1))
+    before = F.concat(F.array(F.lit("")), words)  # one more than words: the last pair has no word
+    return F.filter(F.zip_with(words, before, lambda w, p: F.struct(F.when(F.length(w) >= 4, T.stem(w)).alias("stem"), T.is_negation(p).alias("no"))), lambda e: e["stem"].isNotNull())
+
+
+def _bound(parts: dict[str, Column], use: Callable[[Column], Column]) -> Column:
+    """A function of parts, each evaluated once however often it is used."""
+    return F.transform(F.array(F.struct(*[c.alias(k) for k, c in parts.items()])), use)[0]
 
 
 def polarity_ok(claim: Column, span: Column) -> Column:
-    words = lambda c: F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(f"({T.QUOTED_WORD})"), F.lit(1))
-    stems = lambda w: F.transform(F.filter(w, lambda t: F.length(t) >= 4), T.stem)
-    a, b = words(claim), words(span)
-    return F.forall(F.array_intersect(stems(a), stems(b)), lambda s: _negated(a, s) == _negated(b, s))
+    """Do the first words of each stem that both have agree in negation?"""
+
+    def agree(p: Column) -> Column:
+        no = lambda side, s: F.element_at(side["no"], F.array_position(side["stem"], s).cast("int"))
+        return F.forall(F.array_intersect(p["a"]["stem"], p["b"]["stem"]), lambda s: no(p["a"], s) == no(p["b"], s))
+
+    # Fields of an array of structs are arrays: bound once more, they are drawn once.
+    split = lambda p: F.struct(*[F.struct(p[k]["stem"].alias("stem"), p[k]["no"].alias("no")).alias(k) for k in "ab"])
+    return _bound({"a": _told(claim), "b": _told(span)}, lambda p: F.transform(F.array(split(p)), agree)[0])
 
 
 def referent_flags(claim: Column, span: Column) -> Column:
     """Names of the groups whose opposite terms stand on the two sides, as group:claim term:span term."""
-    c, s = F.lower(F.coalesce(claim, F.lit(""))), F.lower(F.coalesce(span, F.lit("")))
-    tests = [F.when(c.contains(x) & s.contains(y), F.lit(f"{name}:{x}:{y}")) for name, left, right in REFERENTS for p in left for q in right for x, y in ((p, q), (q, p))]
-    return F.array_compact(F.array(*tests))
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+
+    def flags(p: Column) -> Column:
+        test = lambda name, x, y: F.when(p["c"].contains(x) & p["s"].contains(y), F.lit(f"{name}:{x}:{y}"))
+        none = F.array().cast("array<string>")
+        # A term that stands on neither side is in no pair.
+        return F.array_compact(F.flatten(F.array(*[F.when(p["c"].contains(a) | p["s"].contains(a), F.array(*[test(name, x, y) for b in right for x, y in ((a, b), (b, a))])).otherwise(none) for name, left, right in REFERENTS for a in left])))
+
+    return _bound({"c": low(claim), "s": low(span)}, flags)
 
 
 def with_anchors(df: DataFrame, claim: str = "claim", span: str = "span", snapshot: str = "snapshot") -> DataFrame:

@@ -349,3 +349,18 @@ def test_present_in_bounded_shares(spark, monkeypatch):
     out = gate._present(claims, body, claims.filter("kind = 'told'").select("text"), "told")
     assert out._jdf.queryExecution().optimizedPlan().toString().count("], 26") == 2  # 1280 characters: both sides of the join
     assert {r.claim_id for r in out.collect()} == {f"n{k:03d}" for k in range(22) if k != 3}
+
+
+def test_anchored_claims_in_many_tasks_read_words_once(spark, tmp_path):
+    """Words were taken from a text anew for each stem, and narrow rows of one file were one task's."""
+    from attesta.operators import anchors
+    from attesta.plans import catalog
+
+    plan = spark.range(1).select(anchors.polarity_ok(F.lit("a"), F.lit("b")).alias("p"), anchors.referent_flags(F.lit("a"), F.lit("b")).alias("r"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract_all") <= 4 and plan.count("lower(coalesce") == 2
+    spark.range(4000).select(F.col("id").alias("o_orderkey")).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    out = catalog.anchored_claims(spark, str(tmp_path))
+    assert out.rdd.getNumPartitions() > 1 and out.count() == 4000
+    rows = [("it is not disputed that no sales rose", "sales were never disputed", False), ("not disputed, disputed", "disputed, not disputed", False), ("Sales rose", "no sales rose", False), ("Sales rose", "sales rose", True), (None, "no sales", True), ("", None, True)]
+    got = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "c string, s string, ok boolean, i int").withColumn("p", anchors.polarity_ok(F.col("c"), F.col("s"))).orderBy("i").collect()
+    assert [r.p for r in got] == [r.ok for r in got]
