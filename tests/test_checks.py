@@ -364,3 +364,23 @@ def test_anchored_claims_in_many_tasks_read_words_once(spark, tmp_path):
     rows = [("it is not disputed that no sales rose", "sales were never disputed", False), ("not disputed, disputed", "disputed, not disputed", False), ("Sales rose", "no sales rose", False), ("Sales rose", "sales rose", True), (None, "no sales", True), ("", None, True)]
     got = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "c string, s string, ok boolean, i int").withColumn("p", anchors.polarity_ok(F.col("c"), F.col("s"))).orderBy("i").collect()
     assert [r.p for r in got] == [r.ok for r in got]
+
+
+def test_simhash_of_a_batch_takes_little_memory():
+    """Signs of all words of a batch at once took eight bytes a word; texts without words, and longer than a step, keep their places."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [[], ["a", "b", "a"], ["w%d" % (i % 500) for i in range(cluster.WORDS + 7)], [], *[["x%d" % (i * j % 97) for j in range(1000)] for i in range(1500)], []]
+    words = pa.array(texts, pa.list_(pa.string()))
+    tracemalloc.start()
+    got = cluster._simhash(words).to_numpy()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * words.flatten().__len__() / 2
+    for i in (0, 1, 2, 3, 4, 700, 1503, 1504):
+        h = np.asarray(cluster._fnv1a(pa.array(texts[i], pa.string()))).view(np.uint64)
+        want = sum(1 << b for b in range(64) if sum(1 if int(x) >> b & 1 else -1 for x in h) > 0)
+        assert int(got[i]) % (1 << 64) == want
