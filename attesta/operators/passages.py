@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 BLOCK_CHARS = 16 << 20
+#: Documents that are searched, and hits that are told, at a time.
+PIECE = 256
 #: Words of pages that are no content, and the empty root of a page that scripts fill.
 LOGIN = ["login", "sign in", "로그인", "password"]
 CAPTCHA = ["captcha", "verify", "robot", "보안 인증"]
@@ -47,15 +49,16 @@ def holding(docs: DataFrame, items: DataFrame, form: Callable[[Column], Column]
             for i, (_, _, text) in enumerate(block):
                 auto.add_word(text, [*auto.get(text, []), i])
             auto.make_automaton()
-            for batch in batches:
+            for batch in (b.slice(i, PIECE) for b in batches for i in range(0, b.num_rows, PIECE)):
                 row, item = [], []
                 for at, text in enumerate(batch.column(2)):
                     hit = {i for _, found in auto.iter(text.as_py()) for i in found}
                     row += [at] * len(hit)
                     item += sorted(hit)
-                where = pa.array(row, pa.int64())
-                cols = [pa.array([block[i][0] for i in item], id_type), pa.array([block[i][1] for i in item], pa.string()), batch.column(0).take(where), batch.column(1).take(where)]
-                yield pa.RecordBatch.from_arrays(cols, shape.names)
+                for i in range(0, len(row), PIECE):  # each hit carries its whole text
+                    where, of = pa.array(row[i : i + PIECE], pa.int64()), item[i : i + PIECE]
+                    cols = [pa.array([block[j][0] for j in of], id_type), pa.array([block[j][1] for j in of], pa.string()), batch.column(0).take(where), batch.column(1).take(where)]
+                    yield pa.RecordBatch.from_arrays(cols, shape.names)
 
         return rows.mapInArrow(run, shape)
 

@@ -268,3 +268,20 @@ def test_oracles_have_queries():
     from attesta.plans import catalog
 
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
+
+
+def test_texts_of_a_batch_are_python_strings_in_turn():
+    """All texts of a batch, and all their normal forms, were Python strings at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array([f"{i} ﬁ &amp; " + "é" * 20000 for i in range(600)] + [None, ""], pa.string())
+    for form in (T._compat, T._compat_closed):
+        tracemalloc.start()
+        got = form(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 8 << 20
+        assert len(got) == 602 and got[599].as_py() == "599 fi & " + "é" * 20000 and got[600].as_py() is None and got[601].as_py() == ""
+    assert len(T._compat(texts[:0])) == 0
