@@ -384,3 +384,19 @@ def test_simhash_of_a_batch_takes_little_memory():
         h = np.asarray(cluster._fnv1a(pa.array(texts[i], pa.string()))).view(np.uint64)
         want = sum(1 << b for b in range(64) if sum(1 if int(x) >> b & 1 else -1 for x in h) > 0)
         assert int(got[i]) % (1 << 64) == want
+
+
+def test_near_pairs_shuffles_no_text(spark, tmp_path):
+    from attesta.plans import catalog
+
+    seen = []
+    docs = [(3, "one two three four"), (1, "one two three four"), (2, None), (5, ""), (4, "one two three four "), (7, "something else")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    keep, cluster.near_pairs = cluster.near_pairs, lambda h, *a: seen.append(h) or keep(h, *a)
+    try:
+        rows = {tuple(r) for r in catalog.near_pairs(spark, str(tmp_path)).collect()}
+    finally:
+        cluster.near_pairs = keep
+    assert rows == {(1, 4)}
+    keys = [line for line in seen[0]._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate [" in line]
+    assert keys and not any("text#" in k for k in keys)
