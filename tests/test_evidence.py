@@ -157,3 +157,25 @@ def test_report_as_text(spark, tmp_path):
     tables.write_lines(gate.report_text(found, {"dangling": ids("src_2", "src_1"), "a leak": ids("c9")}), f"file://{tmp_path}/r")
     text = next((tmp_path / "r").glob("part-*")).read_text().splitlines()
     assert text[0] == "verdict: FAIL, manifest false" and text[3] == "leaks: 12.5%, 1 of 1 unresolved and 1 refuted claims" and text[7:] == ["  a leak: c9", "  dangling: src_1", "  dangling: src_2"] and len(text) == 10
+
+
+@pytest.mark.parametrize("crowd", [2048, 60])
+def test_dense_sources_are_not_paired(spark, monkeypatch, crowd):
+    r = random.Random(7)
+    bits = [r.getrandbits(10) << 26 for _ in range(500)]  # each near some fifty others
+    scopes = [r.choice(["s", "s", "s", "t", None]) for _ in bits]
+    urls = [f"https://x.org/{r.randrange(800)}" for _ in bits]
+    ids = [f"{n:05d}" for n in r.sample(range(99999), len(bits))]
+    leads, want = [], {}
+    for n, scope, url, x in sorted(zip(ids, scopes, urls, bits, strict=True)):
+        meets = lambda m: m[1] == scope and (m[2] == url or (x and m[3] and (x ^ m[3]).bit_count() <= (3 if scope else 0)))  # noqa: B023, E731
+        want[n] = next((m[0] for m in leads if meets(m)), n)
+        if want[n] == n:
+            leads.append((n, scope, url, x))
+    number = {n: f"cl_{i:04d}" for i, n in enumerate(sorted(set(want.values())))}
+    df = spark.createDataFrame(list(zip(ids, scopes, urls, map(str, bits), strict=True)), "id string, scope string, url string, text string")
+    monkeypatch.setattr(cluster, "simhash", lambda s, i, t, *also: s.select(F.col(i).alias("node"), *also, F.col(t).cast("long").alias("bits")))
+    monkeypatch.setattr(cluster, "CROWD", crowd)
+    monkeypatch.setattr(cluster, "near_bits", None)  # a row for each pair of near patterns
+    got = {x["source_id"]: x["cluster_id"] for x in cluster.partition(df, scope_col="scope").collect()}
+    assert got == {n: number[m] for n, m in want.items()}
