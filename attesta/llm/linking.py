@@ -114,7 +114,7 @@ def exact_links(sets: list[np.ndarray], label: np.ndarray, num: int, den: int) -
     """Links that merge components: every pair whose components differ when it is reached is compared."""
     size = np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
-    order = np.argsort(flat, kind="stable")
+    order = np.argsort(flat)
     code = np.empty(len(flat), np.int64)
     code[order] = np.cumsum(np.concatenate([[0], flat[order][1:] != flat[order][:-1]]))
     first = np.concatenate([[0], np.cumsum(size)])
@@ -182,7 +182,7 @@ def pack_bands(bands: np.ndarray, rids: np.ndarray, shares: int) -> Iterator[pa.
     high = rids >> 32  # ids of one writing task differ in their low halves only
     for own in np.unique(high):
         bucket = np.ascontiguousarray(bands[high == own]).view(np.uint64).ravel()
-        to = (bucket % np.uint64(shares)).astype(np.int32)
+        to = (bucket % np.uint64(shares)).astype(np.int32 if shares >> 15 else np.int16)  # short ones are sorted by radix
         order = np.argsort(to, kind="stable")
         entry = np.empty(len(bucket), ENTRY)
         entry["bucket"], entry["offset"] = bucket[order], np.repeat(rids[high == own].astype(np.uint32), bands.shape[1])[order]
@@ -190,7 +190,18 @@ def pack_bands(bands: np.ndarray, rids: np.ndarray, shares: int) -> Iterator[pa.
         first = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, np.int64)
         head = np.int64(own << 32).tobytes()
         cuts = zip(first.tolist(), [*first[1:].tolist(), len(to)], strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(to[first], pa.int32()), pa.array([head + entry[a:b].tobytes() for a, b in cuts], pa.binary())], ["share", "blob"])
+        yield pa.RecordBatch.from_arrays([pa.array(to[first].astype(np.int32)), pa.array([head + entry[a:b].tobytes() for a, b in cuts], pa.binary())], ["share", "blob"])
+
+
+def by_bucket(bucket: np.ndarray, rid: np.ndarray) -> np.ndarray:
+    """The order by bucket and rid; most buckets have one entry, so only those of the others are sorted by rid."""
+    order = np.argsort(bucket)
+    high = bucket[order]
+    same = high[1:] == high[:-1]
+    edge = np.zeros(min(1, len(high)), bool)
+    many = np.flatnonzero(np.concatenate([edge, same]) | np.concatenate([same, edge]))
+    order[many] = order[many][np.lexsort((rid[order[many]], high[many]))]
+    return order
 
 
 class Members:
@@ -213,7 +224,7 @@ class Members:
         if not self.rid:
             return
         bucket, rid = np.concatenate(self.bucket), np.concatenate(self.rid)
-        order = np.lexsort((rid, bucket))
+        order = by_bucket(bucket, rid)
         bucket, rid = bucket[order], rid[order]
         again = np.concatenate([[False], (bucket[1:] == bucket[:-1]) & (rid[1:] == rid[:-1])])[: len(rid)]
         bucket, rid = bucket[~again], rid[~again]

@@ -470,3 +470,28 @@ def lines_hash(spark, text, seen={}):  # noqa: B006
     if text not in seen:
         seen[text] = spark.createDataFrame([(text,)], "t string").select(F.xxhash64("t")).first()[0]
     return seen[text]
+
+
+def test_shingles_in_pieces(monkeypatch):
+    import tracemalloc
+
+    r = random.Random(2)
+    few = ["", "a", "sevens.", "ééééé ß 𝄞𝄞 x", *["".join(r.choices("ab c", k=r.randrange(60))) for _ in range(300)]]
+    want = lines.char_sets(few)
+    for step in (1, 7, 64):
+        monkeypatch.setattr(lines, "STEP", step)
+        assert all((a == b).all() for a, b in zip(lines.char_sets(few), want, strict=True))
+    monkeypatch.undo()
+    many = ["".join(r.choices("abcdefgh ", k=500)) for _ in range(2000)]
+    tracemalloc.start()
+    lines.char_sets(many)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25 * 500 * 2000  # whole columns of temporaries pass through memory, not the cache
+
+
+def test_entries_by_bucket():
+    r = np.random.default_rng(3)
+    for n in (0, 1, 2, 3, 50, 5000):
+        bucket, rid = r.integers(0, max(1, n // 2), n).astype(np.uint64), r.permutation(n)
+        assert (linking.by_bucket(bucket, rid) == np.lexsort((rid, bucket))).all()
