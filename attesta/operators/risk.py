@@ -59,7 +59,7 @@ def atoms_struct(text: Column) -> Column:
         return F.struct(F.when(safe, own).otherwise(F.array(x["t"])).alias("atoms"), single.alias("atomic"), (~single & ~safe).alias("needs_atomization"))
 
     def parted(t: Column) -> Column:
-        parts = F.filter(F.transform(F.split(t, COORDINATORS), F.trim), lambda p: p != "")
+        parts = F.filter(F.transform(F.split(t, COORDINATORS), lambda p: F.trim(p)), lambda p: p != "")  # not F.trim itself: it would take a part's place as the characters to trim
         subject = F.trim(F.regexp_extract(t, f"(?is)^(.*?){L}(({VERBS}){R}|{KOREAN_VERBS})", 1))
         return _once(F.struct(t.alias("t"), parts.alias("parts"), subject.alias("subject")), completed)
 

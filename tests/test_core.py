@@ -52,6 +52,13 @@ def test_risk(spark):
     assert got["c__a1"]["atom_text"] == "The EU required Y" and not got["c"]["atomic"]
 
 
+def test_parts_keep_digits_at_their_edges(spark):
+    rows = [("a", "4880133118426010 And 101 euros and call +1 (872) 555-0271"), ("b", "0 and 1"), ("c", "5% ;  10 , and  7 euros ")]
+    got = {r["claim_id"]: r for r in risk.classify(spark.createDataFrame(rows, "claim_id string, text string")).collect()}
+    told = {k: [got[f"{k}__a{i}"]["atom_text"] for i in range(9) if f"{k}__a{i}" in got] for k in "abc"}
+    assert told == {"a": ["4880133118426010", "101 euros", "call +1 (872) 555-0271"], "b": ["0", "1"], "c": ["5%", "10", "7 euros"]}
+
+
 def test_risk_of_whole_claims_and_of_many_parts(spark):
     rows = [("a", "Sales grew 8% in 2020"), ("b", "plain prose only"), ("c", "The EU banned X and required Y"), ("d", None), ("e", "He said so and it was 5% and that")]
     claims = spark.createDataFrame(rows, "claim_id string, text string")
