@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Scratch, shuffled_joins
 from . import anchors, cluster, verdicts
 
 
@@ -69,15 +70,20 @@ def independence(scenarios: DataFrame, similar=cluster.semantic_edges) -> DataFr
     a separation as many as sources. would_verify: would these clusters let a claim through that
     every source entails?
     """
-    flat = scenarios.select("scenario_id", "kind", F.posexplode("sources").alias("pos", "s")).select("scenario_id", "kind", "pos", "s.*")
-    flat = flat.withColumns({"source": F.col("id"), "id": F.to_json(F.array(F.col("scenario_id").cast("string"), F.col("id")))})
-    comp = cluster.compose(flat, scope_col="scenario_id", similar=similar)
-    rows = flat.join(comp, flat.id == comp.source_id).drop("source_id")
-    tuples = rows.select(F.col("scenario_id").alias("claim_id"), F.col("source").alias("source_id"), "cluster_id", F.coalesce("grade", F.lit("A")).alias("grade"), F.lit("entails").alias("label"), F.lit(True).alias("anchors_ok"), F.col("pos").cast("long").alias("key_ord"))
-    passed = verdicts.decide(tuples).select(F.col("claim_id").alias("scenario_id"), (F.col("status") == "verified").alias("would_verify"))
-    n = rows.groupBy("scenario_id", "kind").agg(F.count(F.lit(1)).alias("n_sources"), F.count_distinct("cluster_id").alias("n_clusters"))
-    ok = F.when(F.col("kind") == "collapse", F.col("n_clusters") == 1).otherwise(F.col("n_clusters") == F.col("n_sources"))
-    return n.withColumn("ok", ok).join(passed, "scenario_id")
+    scratch = Scratch(scenarios.sparkSession)
+    with shuffled_joins(scenarios.sparkSession):
+        flat = scenarios.select("scenario_id", "kind", F.posexplode("sources").alias("pos", "s")).select("scenario_id", "kind", "pos", "s.*")
+        flat = flat.withColumns({"source": F.col("id"), "id": F.to_json(F.array(F.col("scenario_id").cast("string"), F.col("id")))})
+        flat = scratch.save(flat)  # read by every step: without it each would gather the scenarios anew
+        comp = cluster.compose(flat, scope_col="scenario_id", similar=similar)
+        rows = flat.join(comp, flat.id == comp.source_id).drop("source_id")
+        tuples = rows.select(F.col("scenario_id").alias("claim_id"), F.col("source").alias("source_id"), "cluster_id", F.coalesce("grade", F.lit("A")).alias("grade"), F.lit("entails").alias("label"), F.lit(True).alias("anchors_ok"), F.col("pos").cast("long").alias("key_ord"))
+        passed = verdicts.decide(tuples).select(F.col("claim_id").alias("scenario_id"), (F.col("status") == "verified").alias("would_verify"))
+        n = rows.groupBy("scenario_id", "kind").agg(F.count(F.lit(1)).alias("n_sources"), F.count_distinct("cluster_id").alias("n_clusters"))
+        ok = F.when(F.col("kind") == "collapse", F.col("n_clusters") == 1).otherwise(F.col("n_clusters") == F.col("n_sources"))
+        out = scratch.save(n.withColumn("ok", ok).join(passed, "scenario_id"))
+    scratch.drop(flat)
+    return out
 
 
 def independence_summary(found: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attesta.operators import bindings, cluster, gate, graph, probes, runs
+from attesta.sources.scratch import Scratch
 
 REF = "array<struct<source_id:string,grade:string,cluster:string,verifier:string,span:string,snapshot:string>>"
 
@@ -106,6 +107,24 @@ def test_independence(spark):
     assert {r["scenario_id"]: r["n_clusters"] for r in probes.independence(df, all_alike).collect()}["missed"] == 1
 
 
+def test_independence_broadcasts_no_table_of_its_sources(spark, monkeypatch):
+    rows = [(f"s{i}", "collapse", [(str(j), "A", f"https://x.com/{i}/{j}", f"a plain text of number {i} or {i * j}", "AP" if i % 2 else None, None) for j in range(4)]) for i in range(8)]
+    df = spark.createDataFrame(rows, "scenario_id string, kind string, sources array<struct<id:string,grade:string,url:string,text:string,wire:string,byline:string>>")
+    plans, save, keys = [], Scratch.save, ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+    def plan(df):
+        q = df._jdf.queryExecution()
+        plans.append((q.executedPlan().toString().count("BroadcastHashJoin"), q.optimizedPlan().toString().count("strategy=broadcast")))
+
+    monkeypatch.setattr(Scratch, "save", lambda self, df: (plan(df), save(self, df))[1])
+    before = [spark.conf.get(k, None) for k in keys]
+    found = probes.independence(df)
+    plan(found)
+    # Only the masks and the parts' offsets, which are marked, are sent to all: one row for each mask or partition.
+    assert all(sent <= marked for sent, marked in plans) and [spark.conf.get(k, None) for k in keys] == before
+    assert found.count() == 8 and found.filter("n_sources = 4").count() == 8
+
+
 def test_leaders_by_keys_in_turn(spark):
     rng = random.Random(3)
     for _ in range(3):
